@@ -22,33 +22,37 @@ def hash_unit(digest: Column) -> Column:
     return hash_number(digest, 12) / F.lit(float(16 ** 12))
 
 
-def spread_rank(df: DataFrame, by: list[str], digest: str, ties: list[str],
-                out: str = "rank", buckets: int = 256, size: str | None = None) -> DataFrame:
-    """Exact row_number within ``by`` in order of (``digest``, ``ties``), hot keys split.
-
-    A plain window would sort a whole group in one task. The digest is uniform, so
-    its leading bits cut every group into ordered buckets of similar size: rows are
-    ranked inside (by, bucket), and the bucket's offset is the running sum of bucket
-    counts, which are aggregated map-side first. The window over the counts sees at
-    most ``buckets`` rows per group. ``size`` optionally names the group size column.
+def bucket_rank(df: DataFrame, by: list[str], bucket: Column, order: list, out: str = "rank",
+                size: str | None = None) -> DataFrame:
+    """Exact row_number within ``by``, with hot groups split into ordered buckets.
+
+    A plain window would sort a whole group in one task. ``bucket`` must not decrease
+    along ``order``; rows are ranked inside (by, bucket) and shifted by the running sum
+    of bucket counts, which are aggregated map-side first. Only the counts meet in one
+    window per group. ``size`` optionally names a column with the group's row count.
     """
-    lead = F.conv(F.substring(F.col(digest), 1, 4), 16, 10).cast("long")
-    cut = df.withColumn("_bucket", F.floor(lead * buckets / 65536).cast("long"))
-    inner = Window.partitionBy(*by, "_bucket").orderBy(digest, *ties)
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    sizes = (cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-             .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-             .withColumn("_size", F.sum("_n").over(whole)))
+    cut = df.withColumn("_bucket", bucket.cast("long"))
+    inner = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     keys = [*by, "_bucket"]
-    right = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                         "_offset", "_size")
+    sizes = (cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+             .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n",
+                     *[F.col(k) for k in keys])
+             .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+             .withColumn("_size", F.sum("_n").over(group))
+             .select(*[f"_k{i}" for i in range(len(keys))], "_offset", "_size"))
     match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    ranked = cut.withColumn("_inner", F.row_number().over(inner))
-    joined = ranked.join(right, match)
+    joined = cut.withColumn("_inner", F.row_number().over(inner)).join(sizes, match)
     result = joined.withColumn(out, (F.col("_offset") + F.col("_inner")).cast("long"))
     if size:
         result = result.withColumn(size, F.col("_size").cast("long"))
     return result.drop("_bucket", "_offset", "_size", "_inner",
                        *[f"_k{i}" for i in range(len(keys))])
+
+
+def spread_rank(df: DataFrame, by: list[str], digest: str, ties: list[str],
+                out: str = "rank", buckets: int = 256, size: str | None = None) -> DataFrame:
+    """:func:`bucket_rank` in order of a uniform hex digest: buckets are its leading bits."""
+    lead = F.conv(F.substring(F.col(digest), 1, 4), 16, 10).cast("long")
+    return bucket_rank(df, by, F.floor(lead * buckets / 65536), [digest, *ties], out, size)

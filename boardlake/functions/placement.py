@@ -12,24 +12,33 @@ from pyspark.sql import functions as F
 
 from boardlake.functions.constants import CELLS, CLASSES, FILES, SYMBOLS
 
-VALID_PLACEMENT = r"^[1-8PNBRQKpnbrqk]{1,8}(/[1-8PNBRQKpnbrqk]{1,8}){7}$"
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``.
+
+    Filters pushed below a projection copy the projected expression into every
+    reference; a lambda variable keeps an expensive argument to one evaluation.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def literal_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
 def encode_grid(grid: Column | str) -> Column:
-    """64-symbol grid to placement; null unless it is 64 known symbols."""
-    g = _col(grid)
-    ranks = F.concat_ws("/", *[F.substring(g, 8 * r + 1, 8) for r in range(8)])
+    """64-symbol grid to placement; null unless it is 64 known symbols.
+
+    The argument appears once, so an optimizer that inlines it does not repeat it.
+    """
+    known = F.regexp_extract(_col(grid), r"^[.PNBRQKpnbrqk]{64}$", 0)
+    ranks = F.regexp_replace(known, r"(.{8})(?=.)", "$1/")
     for run in range(8, 0, -1):  # a run never crosses '/', so longest first is exact
         ranks = F.replace(ranks, F.lit("." * run), F.lit(str(run)))
-    return F.when(g.rlike(r"^[.PNBRQKpnbrqk]{64}$"), ranks)
+    return F.nullif(ranks, F.lit(""))
 
 
 def expand_runs(placement: Column | str) -> Column:
@@ -40,21 +49,20 @@ def expand_runs(placement: Column | str) -> Column:
     return p
 
 
+def _grid_or_empty(placement: Column | str) -> Column:
+    marked = F.regexp_replace(_col(placement), r"[1-8](?=[1-8])|\\.", "!")
+    valid = r"^[.PNBRQKpnbrqk]{8}(/[.PNBRQKpnbrqk]{8}){7}$"
+    return F.replace(F.regexp_extract(expand_runs(marked), valid, 0), F.lit("/"), F.lit(""))
+
+
 def is_canonical(placement: Column | str) -> Column:
     """Eight ranks of eight cells, known symbols, no two neighbouring digits."""
-    p = _col(placement)
-    ranks = expand_runs(p)
-    return F.coalesce(
-        p.rlike(VALID_PLACEMENT)
-        & ~p.rlike("[1-8][1-8]")
-        & ranks.rlike(r"^[.A-Za-z]{8}(/[.A-Za-z]{8}){7}$"),
-        F.lit(False),
-    )
+    return F.coalesce(_grid_or_empty(placement) != "", F.lit(False))
 
 
 def placement_grid(placement: Column | str) -> Column:
     """Placement to 64-symbol grid; null when the placement is not canonical."""
-    return F.when(is_canonical(placement), F.replace(expand_runs(placement), F.lit("/"), F.lit("")))
+    return F.nullif(_grid_or_empty(placement), F.lit(""))
 
 
 def square_name(idx: Column | str) -> Column:
@@ -101,13 +109,8 @@ def all_indexes() -> Column:
 
 def grid_ids(grid: Column | str) -> Column:
     """64-symbol grid to the array of class ids."""
-    g = _col(grid)
-    return F.transform(all_indexes(), lambda i: symbol_class(symbol_at(g, i)))
-
-
-def permute_grid(grid: Column, order) -> Column:
-    """Reorder the 64 symbols by a constant permutation of source indexes."""
-    return F.concat(*[F.substring(grid, int(i) + 1, 1) for i in order])
+    return let(_col(grid), lambda g: F.transform(
+        all_indexes(), lambda i: symbol_class(symbol_at(g, i))))
 
 
 def swap_colour(grid: Column | str) -> Column:
@@ -138,20 +141,25 @@ def symmetries() -> list[list[int]]:
 
 def family_key(grid: Column | str) -> Column:
     """Smallest of the 16 equivalent grids (8 symmetries, colours as is or swapped)."""
-    g = _col(grid)
-    forms = []
-    for order in symmetries():
-        picked = F.array_join(
-            F.transform(literal_array(order), lambda i: F.substring(g, i + 1, F.lit(1))), "")
-        forms += [picked, swap_colour(picked)]
-    return F.array_min(F.array(*forms))
+    def smallest(g: Column) -> Column:
+        forms = []
+        for order in symmetries():
+            picked = F.array_join(
+                F.transform(literal_array(order), lambda i: F.substring(g, i + 1, F.lit(1))), "")
+            forms.append(let(picked, lambda p: F.least(p, swap_colour(p))))
+        return F.array_min(F.array(*forms))
+
+    return let(_col(grid), smallest)
 
 
 def wrong_squares(expected: Column | str, actual: Column | str) -> Column:
     """Array of (idx, square, expected, actual) where two grids differ."""
-    e, a = _col(expected), _col(actual)
-    pairs = F.transform(all_indexes(), lambda i: F.struct(
-        i.alias("idx"), square_name(i).alias("square"),
-        label_of_symbol(symbol_at(e, i)).alias("expected"),
-        label_of_symbol(symbol_at(a, i)).alias("actual")))
-    return F.filter(pairs, lambda p: p["expected"] != p["actual"])
+    def compare(both: Column) -> Column:
+        pairs = F.transform(all_indexes(), lambda i: F.struct(
+            i.alias("idx"), square_name(i).alias("square"),
+            label_of_symbol(symbol_at(both["e"], i)).alias("expected"),
+            label_of_symbol(symbol_at(both["a"], i)).alias("actual")))
+        return F.filter(pairs, lambda p: p["expected"] != p["actual"])
+
+    both = F.struct(_col(expected).alias("e"), _col(actual).alias("a"))
+    return F.when(both["e"].isNotNull() & both["a"].isNotNull(), let(both, compare))

@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardlake.functions import placement as P
 from boardlake.functions.constants import BLACK, ERROR_STATUS, FAILED, SYMBOLS
+from boardlake.functions.rules import violations
 
 
 def encode_cells(cells: DataFrame, board: str, idx: str = "idx", class_id: str = "class_id") -> DataFrame:
     """64 cell rows to a placement; null when cells are missing, doubled or unknown."""
     symbol = F.when((F.col(class_id) >= 0) & (F.col(class_id) < len(SYMBOLS)),
                     F.substring(F.lit(SYMBOLS), (F.col(class_id) + 1).cast("int"), F.lit(1))).otherwise("?")
-    grid = F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(idx), symbol.alias("s")))), lambda c: c["s"]), "")
-    complete = (F.count(F.lit(1)) == 64) & (F.sum(F.shiftleft(F.lit(1).cast("long"), F.col(idx).cast("int"))) == -1)
-    return (cells.groupBy(board).agg(grid.alias("_g"), complete.alias("_all"))
-            .select(board, F.when(F.col("_all"), P.encode_grid("_g")).alias("placement")))
+    cells_in_order = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), symbol.alias("s"))))
+    whole = F.transform(F.col("_c"), lambda c: c["i"]) == P.all_indexes()
+    grid = F.array_join(F.transform("_c", lambda c: c["s"]), "")
+    return (cells.groupBy(board).agg(cells_in_order.alias("_c"))
+            .select(board, P.encode_grid(F.when(whole, grid)).alias("placement")))
 
 
 def expand_placement(boards: DataFrame, keys: Sequence[str], placement: str = "placement") -> DataFrame:
     """Placement to 64 rows of (idx, symbol); non-canonical placements give no rows."""
-    grid = P.placement_grid(placement)
-    return (boards.select(*keys, grid.alias("_g")).where(F.col("_g").isNotNull())
+    return (boards.select(*keys, P.placement_grid(placement).alias("_g"))
             .select(*keys, "_g", F.explode(P.all_indexes()).alias("idx"))
+            .where(F.col("_g").isNotNull())
             .select(*keys, "idx", P.symbol_at("_g", "idx").alias("symbol")))
 
 
@@ -101,12 +102,7 @@ def tag_violations(df: DataFrame, keys: Sequence[str], grid: str, ply: str, prom
         "endgame": has("endgame") & ~n.between(3, 10),
         "promotion": has("promotion") & ~promoted,
     }
-    return _violations(df, keys, problems)
-
-
-def _violations(df: DataFrame, keys: Sequence[str], problems: Mapping[str, Column]) -> DataFrame:
-    found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in problems.items()]))
-    return df.select(*keys, F.explode(found).alias("problem"))
+    return violations(df, keys, problems)
 
 
 def style_dimensions(df: DataFrame, keys: Sequence[str], config: str, held_out: Sequence[str],
@@ -152,7 +148,7 @@ SQUARE_PATTERN = r"^[a-h][1-8]$"
 
 def format_violations(df: DataFrame, keys: Sequence[str], identity: str, moves: str, ply: str,
                       placement: str) -> DataFrame:
-    return _violations(df, keys, {
+    return violations(df, keys, {
         "identifier": ~F.coalesce(F.col(identity).rlike(ID_PATTERN), F.lit(False)),
         "moves": ~F.coalesce((F.size(moves) > 0) & F.forall(moves, lambda m: m.rlike(MOVE_PATTERN)),
                              F.lit(False)),

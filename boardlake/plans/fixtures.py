@@ -83,6 +83,37 @@ SQL_TABLES = {
           200 + l_partkey % 50 - CAST(l_quantity AS BIGINT) % 4 AS dh,
           CAST(l_quantity AS BIGINT) % 11 <> 0 AS found
         FROM lineitem""",
+    "quads": """
+        SELECT board_id, group_id, category, split, 600 AS image_w, 600 AS image_h,
+          CASE WHEN board_id % 50 = 0 THEN 500 ELSE 100 + board_id % 7 END AS ex0,
+          100 + board_id % 5 AS ey0,
+          CASE WHEN board_id % 50 = 0 THEN 100 ELSE 500 - board_id % 11 END AS ex1,
+          100 + board_id % 6 AS ey1,
+          CASE WHEN board_id % 37 = 0 THEN 700 ELSE 500 + board_id % 13 END AS ex2,
+          500 - board_id % 9 AS ey2, 100 + board_id % 8 AS ex3, 500 + board_id % 10 AS ey3,
+          board_id % 3 - 1 AS j0, board_id % 4 - 1 AS j1, group_id % 3 - 1 AS j2,
+          CASE WHEN board_id % 17 = 0 THEN 12 ELSE group_id % 5 - 2 END AS j3,
+          board_id % 23 <> 0 AS found
+        FROM boards""",
+    "marks": """
+        SELECT board_id, kind, CASE kind WHEN 'arrow' THEN 1 WHEN 'circle' THEN 2 ELSE 3 END AS mark_no,
+          CASE WHEN kind = 'arrow' THEN ar * 8 + ac ELSE (board_id * 11) % 64 END AS sq1,
+          CASE WHEN kind = 'arrow' THEN br * 8 + bc ELSE (board_id * 13 + 1) % 64 END AS sq2,
+          CASE WHEN kind <> 'arrow' THEN NULL WHEN g = 3 THEN 'knight' ELSE 'straight' END AS path,
+          CASE WHEN kind = 'arrow' AND g = 3 THEN CASE WHEN board_id % 2 = 0 THEN 'horizontal-first'
+               ELSE 'vertical-first' END END AS bend,
+          CASE WHEN kind = 'arrow' THEN [0.08, 0.14, 0.22][board_id % 3 + 1] END AS width,
+          CASE WHEN board_id % 41 = 0 THEN 0 ELSE 96 + 48 * (board_id % 3) END AS alpha
+        FROM (SELECT *, CASE WHEN g = 0 THEN ar
+                WHEN g = 3 THEN CASE WHEN ar < 4 THEN ar + 2 ELSE ar - 2 END
+                WHEN ar < 4 THEN ar + n ELSE ar - n END AS br,
+              CASE WHEN g = 1 THEN ac
+                WHEN g = 3 THEN CASE WHEN ac < 4 THEN ac + 1 ELSE ac - 1 END
+                WHEN ac < 4 THEN ac + n ELSE ac - n END AS bc
+          FROM (SELECT board_id, unnest(list_concat(list_filter(conditions, lambda c: c <> 'clean'),
+                  CASE WHEN status = 'P' THEN ['check'] ELSE CAST([] AS VARCHAR[]) END)) AS kind,
+                board_id % 4 AS g, 1 + group_id % 4 AS n, (board_id * 7) % 64 // 8 AS ar,
+                (board_id * 7) % 8 AS ac FROM boards))""",
     "hashes": """
         SELECT doc_id, sha256(text) AS text_sha,
           sha256(lower(trim(text))) AS norm_sha, sha256(url_part) AS head_sha, lang, source,
@@ -209,6 +240,52 @@ class Tables:
             (x + q % 3).alias("dx"), (y + q % 2).alias("dy"),
             (w + q % 5).alias("dw"), (w - q % 4).alias("dh"), (q % 11 != 0).alias("found"))
 
+    @property
+    def quads(self) -> DataFrame:
+        k, g = F.col("board_id"), F.col("group_id")
+
+        def n(c) -> Column:
+            return (c if isinstance(c, Column) else L(c)).cast("long")
+
+        corners = {
+            "ex0": F.when(k % 50 == 0, 500).otherwise(100 + k % 7), "ey0": 100 + k % 5,
+            "ex1": F.when(k % 50 == 0, 100).otherwise(500 - k % 11), "ey1": 100 + k % 6,
+            "ex2": F.when(k % 37 == 0, 700).otherwise(500 + k % 13), "ey2": 500 - k % 9,
+            "ex3": 100 + k % 8, "ey3": 500 + k % 10, "j0": k % 3 - 1, "j1": k % 4 - 1,
+            "j2": g % 3 - 1, "j3": F.when(k % 17 == 0, 12).otherwise(g % 5 - 2)}
+        return self.boards.select(
+            "board_id", "group_id", "category", "split", n(600).alias("image_w"),
+            n(600).alias("image_h"), *[n(c).alias(name) for name, c in corners.items()],
+            (k % 23 != 0).alias("found"))
+
+    @property
+    def marks(self) -> DataFrame:
+        k = F.col("board_id")
+        kinds = F.concat(F.filter("conditions", lambda c: c != "clean"),
+                         F.when(F.col("status") == "P", literal_array(["check"]))
+                         .otherwise(F.array().cast("array<string>")))
+        base = self.boards.select(
+            "board_id", F.explode(kinds).alias("kind"), (k % 4).alias("g"),
+            (1 + F.col("group_id") % 4).alias("n"), F.floor((k * 7) % 64 / 8).alias("ar"),
+            ((k * 7) % 8).alias("ac"))
+
+        def move(c: str, same: int, knight: int) -> Column:
+            v, step = F.col(c), F.when(F.col("g") == 3, knight).otherwise(F.col("n"))
+            return F.when(F.col("g") == same, v).when(v < 4, v + step).otherwise(v - step)
+
+        arrow = F.col("kind") == "arrow"
+        sides = base.withColumn("br", move("ar", 0, 2)).withColumn("bc", move("ac", 1, 1))
+        return sides.select(
+            "board_id", "kind",
+            F.when(arrow, 1).when(F.col("kind") == "circle", 2).otherwise(3).cast("long").alias("mark_no"),
+            F.when(arrow, F.col("ar") * 8 + F.col("ac")).otherwise((k * 11) % 64).alias("sq1"),
+            F.when(arrow, F.col("br") * 8 + F.col("bc")).otherwise((k * 13 + 1) % 64).alias("sq2"),
+            F.when(~arrow, None).when(F.col("g") == 3, "knight").otherwise("straight").alias("path"),
+            F.when(arrow & (F.col("g") == 3), F.when(k % 2 == 0, "horizontal-first")
+                   .otherwise("vertical-first")).alias("bend"),
+            F.when(arrow, F.get(literal_array([0.08, 0.14, 0.22]), (k % 3).cast("int"))).alias("width"),
+            F.when(k % 41 == 0, L(0)).otherwise(96 + 48 * (k % 3)).cast("long").alias("alpha"))
+
     @property
     def hashes(self) -> DataFrame:
         d = F.col("doc_id")

@@ -29,6 +29,12 @@ def sql(select: str, **ctes: str) -> str:
     return (f"WITH {', '.join(parts)} " if parts else "") + select
 
 
+def problems_sql(rules: dict[str, str]) -> str:
+    """SQL twin of ``violations``: one row per broken rule."""
+    cases = ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in rules.items())
+    return f"unnest(list_filter([{cases}], lambda x: x IS NOT NULL)) AS problem"
+
+
 def query(name: str, oracle: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""
 
