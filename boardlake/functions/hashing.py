@@ -40,14 +40,14 @@ def bucket_rank(df: DataFrame, by: list[str], bucket: Column, order: list, out:
              .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n",
                      *[F.col(k) for k in keys])
              .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-             .withColumn("_size", F.sum("_n").over(group))
+             .withColumn("__size", F.sum("_n").over(group))
              .select(*[f"_k{i}" for i in range(len(keys))], "_offset", "_size"))
     match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     joined = cut.withColumn("_inner", F.row_number().over(inner)).join(sizes, match)
     result = joined.withColumn(out, (F.col("_offset") + F.col("_inner")).cast("long"))
     if size:
-        result = result.withColumn(size, F.col("_size").cast("long"))
-    return result.drop("_bucket", "_offset", "_size", "_inner",
+        result = result.withColumn(size, F.col("__size").cast("long"))
+    return result.drop("_bucket", "_offset", "__size", "_inner",
                        *[f"_k{i}" for i in range(len(keys))])
 
 

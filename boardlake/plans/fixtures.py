@@ -96,7 +96,7 @@ SQL_TABLES = {
           board_id % 23 <> 0 AS found
         FROM boards""",
     "marks": """
-        SELECT board_id, kind, CASE kind WHEN 'arrow' THEN 1 WHEN 'circle' THEN 2 ELSE 3 END AS mark_no,
+        SELECT board_id, kind, CAST(CASE kind WHEN 'arrow' THEN 1 WHEN 'circle' THEN 2 ELSE 3 END AS BIGINT) AS mark_no,
           CASE WHEN kind = 'arrow' THEN ar * 8 + ac ELSE (board_id * 11) % 64 END AS sq1,
           CASE WHEN kind = 'arrow' THEN br * 8 + bc ELSE (board_id * 13 + 1) % 64 END AS sq2,
           CASE WHEN kind <> 'arrow' THEN NULL WHEN g = 3 THEN 'knight' ELSE 'straight' END AS path,

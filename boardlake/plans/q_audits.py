@@ -212,8 +212,8 @@ def c13b(t):
 
 @query("c13_grid_lines", sql(
     "SELECT box_id, " + problems_sql({
-        "count": "category = 'A'", "alignment": "w % 8 + 7 * (l_shift) > 8 AND false OR mis"}) +
-    " FROM (SELECT *, 0 AS l_shift, list_bool_or([abs((x + i * (w // 8) + CASE WHEN box_id % 5 = 0 AND i = 3 THEN 2 "
+        "count": "category = 'A'", "alignment": "mis"}) +
+    " FROM (SELECT *, list_bool_or([abs((x + i * (w // 8) + CASE WHEN box_id % 5 = 0 AND i = 3 THEN 2 "
     "ELSE 0 END) - (x + i * w / 8.0)) > 1 FOR i IN range(1, CASE WHEN category = 'A' THEN 7 ELSE 8 END)]) AS mis FROM rects)"))
 def c13c(t):
     step = F.floor(F.col("w") / 8)
