@@ -41,7 +41,7 @@ def bucket_rank(df: DataFrame, by: list[str], bucket: Column, order: list, out:
                      *[F.col(k) for k in keys])
              .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
              .withColumn("__size", F.sum("_n").over(group))
-             .select(*[f"_k{i}" for i in range(len(keys))], "_offset", "_size"))
+             .select(*[f"_k{i}" for i in range(len(keys))], "_offset", "__size"))
     match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     joined = cut.withColumn("_inner", F.row_number().over(inner)).join(sizes, match)
     result = joined.withColumn(out, (F.col("_offset") + F.col("_inner")).cast("long"))
