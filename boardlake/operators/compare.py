@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardlake.functions.placement import class_label, square_name, wrong_squares
+from boardlake.functions.placement import class_label, let, square_name, wrong_squares
 from boardlake.operators.joins import pair_clean
 from boardlake.operators.metrics import count_of
 
@@ -87,21 +87,24 @@ def stage_failures(boards: DataFrame, keys: Sequence[str], expected: str, annota
     """
     def squares(actual: str) -> Column:
         return F.transform(wrong_squares(expected, actual), lambda w: w["square"])
-    rows = boards.select(*keys, squares(annotated).alias("_m"), squares(automatic).alias("_a"))
-    m, a = F.size("_m"), F.when(F.col("_a").isNotNull(), F.size("_a"))
-    stage = (F.when(a.isNull(), "detection-failed").when((a > 0) & (m == 0), "crop-sensitive-failure")
-             .when(a > 0, "classification-fails-with-both-geometries")
-             .when(m > 0, "automatic-crop-recovers-position").otherwise("both-correct"))
-
-    def text(c: Column) -> Column:
-        return F.when(F.col("_a").isNotNull(), F.array_join(c, "; ")).otherwise("")
-
-    return rows.select(
-        *keys, stage.alias("stage"), m.cast("long").alias("annotated_errors"),
-        a.cast("long").alias("automatic_errors"),
-        text(F.array_except("_m", "_a")).alias("recovered_squares"),
-        text(F.array_except("_a", "_m")).alias("introduced_squares"),
-        text(F.array_intersect("_m", "_a")).alias("persistent_squares"))
+
+    def describe(both: Column) -> Column:
+        m, a = F.size(both["m"]), F.when(both["a"].isNotNull(), F.size(both["a"]))
+        stage = (F.when(a.isNull(), "detection-failed").when((a > 0) & (m == 0), "crop-sensitive-failure")
+                 .when(a > 0, "classification-fails-with-both-geometries")
+                 .when(m > 0, "automatic-crop-recovers-position").otherwise("both-correct"))
+
+        def text(c: Column) -> Column:
+            return F.when(both["a"].isNotNull(), F.array_join(c, "; ")).otherwise("")
+
+        return F.struct(
+            stage.alias("stage"), m.cast("long").alias("annotated_errors"), a.cast("long").alias("automatic_errors"),
+            text(F.array_except(both["m"], both["a"])).alias("recovered_squares"),
+            text(F.array_except(both["a"], both["m"])).alias("introduced_squares"),
+            text(F.array_intersect(both["m"], both["a"])).alias("persistent_squares"))
+
+    both = F.struct(squares(annotated).alias("m"), squares(automatic).alias("a"))
+    return boards.select(*keys, let(both, describe).alias("_r")).select(*keys, "_r.*")
 
 
 def stage_summary(stages: DataFrame) -> DataFrame:

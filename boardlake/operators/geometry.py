@@ -47,33 +47,34 @@ def corner_array(corners: Sequence[tuple[Column | str, Column | str]]) -> Column
 
 
 def polygon_area(points: Column) -> Column:
-    n = F.size(points)
-    cross = F.transform(points, lambda p, i: p["x"] * F.get(points, (i + 1) % n)["y"]
-                        - F.get(points, (i + 1) % n)["x"] * p["y"])
-    return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, v: a + v)) / 2
+    def shoelace(ps: Column) -> Column:
+        n = F.size(ps)
+        cross = F.transform(ps, lambda p, i: let(F.get(ps, (i + 1) % n), lambda q: p["x"] * q["y"] - q["x"] * p["y"]))
+        return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, v: a + v)) / 2
+    return let(points, shoelace)
 
 
 def clip_convex(subject: Column, clip: Column) -> Column:
     """Vertices of the intersection of two clockwise (image axes) convex polygons."""
-    edges = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(
-        F.get(clip, i).alias("a"), F.get(clip, (i + 1) % 4).alias("b")))
+    edges = let(clip, lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(
+        F.get(c, i).alias("a"), F.get(c, (i + 1) % 4).alias("b"))))
 
     def side(edge: Column, p: Column) -> Column:
         a, b = edge["a"], edge["b"]
         return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
 
     def cut(points: Column, edge: Column) -> Column:
-        n = F.size(points)
-
-        def corner(p: Column, i: Column) -> Column:
-            q = F.get(points, (i + 1) % n)
-            sp, sq = side(edge, p), side(edge, q)
-            t = safe_div(sp, sp - sq)
-            crossing = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"),
-                                (p["y"] + t * (q["y"] - p["y"])).alias("y"))
-            return F.array_compact(F.array(F.when(sp >= 0, p), F.when((sp >= 0) != (sq >= 0), crossing)))
-
-        return F.flatten(F.transform(points, corner))
+        ahead = F.transform(points, lambda p, i: F.struct(
+            p.alias("p"), F.get(points, (i + 1) % F.size(points)).alias("q")))
+        signed = F.transform(ahead, lambda v: F.struct(
+            v["p"].alias("p"), v["q"].alias("q"), side(edge, v["p"]).alias("sp"), side(edge, v["q"]).alias("sq"),
+            safe_div(side(edge, v["p"]), side(edge, v["p"]) - side(edge, v["q"])).alias("t")))
+        kept = F.transform(signed, lambda v: F.array_compact(F.array(
+            F.when(v["sp"] >= 0, v["p"]),
+            F.when((v["sp"] >= 0) != (v["sq"] >= 0), F.struct(
+                (v["p"]["x"] + v["t"] * (v["q"]["x"] - v["p"]["x"])).alias("x"),
+                (v["p"]["y"] + v["t"] * (v["q"]["y"] - v["p"]["y"])).alias("y"))))))
+        return F.flatten(kept)
 
     return F.aggregate(edges, subject, cut)
 
@@ -126,10 +127,11 @@ def quad_metrics(df: DataFrame, keys: Sequence[str], expected: Column, actual: C
     """IoU, corner and grid errors of a detected quadrilateral, and the policy flag."""
     rows = df.select(*keys, expected.alias("_e"), actual.alias("_a"))
     rows = rows.withColumn("_m", quad_errors(F.col("_e"), F.col("_a"))).withColumn(
-        "_i", polygon_area(clip_convex(F.col("_a"), F.col("_e"))))
-    iou = safe_div(F.col("_i"), polygon_area(F.col("_e")) + polygon_area(F.col("_a")) - F.col("_i"))
+        "_iou", let(F.struct(polygon_area(clip_convex(F.col("_a"), F.col("_e"))).alias("i"),
+                             polygon_area(F.col("_e")).alias("e"), polygon_area(F.col("_a")).alias("a")),
+                    lambda s: safe_div(s["i"], s["e"] + s["a"] - s["i"])))
     out = rows.select(
-        *keys, F.round(iou, 9).alias("iou"), F.round("_m.corner", 6).alias("max_corner_error"),
+        *keys, F.round("_iou", 9).alias("iou"), F.round("_m.corner", 6).alias("max_corner_error"),
         F.round(F.col("_m.corner") / F.col("_m.side"), 9).alias("corner_board_fraction"),
         F.round(F.col("_m.grid") / (F.col("_m.side") / 8), 9).alias("grid_cell_fraction"))
     return out.withColumn("within_policy", F.coalesce(

@@ -67,9 +67,9 @@ def p3(t):
 
 _STAGE = ("SELECT board_id, category, CASE WHEN x THEN 'detection-failed' WHEN a > 0 AND m = 0 THEN 'crop-sensitive-failure' WHEN a > 0 THEN "
           "'classification-fails-with-both-geometries' WHEN m > 0 THEN 'automatic-crop-recovers-position' ELSE 'both-correct' END AS stage, "
-          "CASE WHEN NOT y THEN m ELSE -1 END AS annotated_errors, CASE WHEN NOT x THEN a END AS automatic_errors, CASE WHEN NOT x THEN coalesce(r, '') ELSE '' END AS "
+          "m AS annotated_errors, CASE WHEN NOT x THEN a END AS automatic_errors, CASE WHEN NOT x THEN coalesce(r, '') ELSE '' END AS "
           "recovered_squares, CASE WHEN NOT x THEN coalesce(i, '') ELSE '' END AS introduced_squares, CASE WHEN NOT x THEN coalesce(p, '') "
-          "ELSE '' END AS persistent_squares FROM (SELECT board_id, category, min(cand_id) < 0 AS x, false AS y, count(*) FILTER (ann <> class_id) AS m, "
+          "ELSE '' END AS persistent_squares FROM (SELECT board_id, category, min(cand_id) < 0 AS x, count(*) FILTER (ann <> class_id) AS m, "
           "count(*) FILTER (cand_id <> class_id) AS a, "
           + ", ".join(f"string_agg({SQUARE}, '; ' ORDER BY idx) FILTER ({c}) AS {n}" for n, c in (
               ("r", "ann <> class_id AND cand_id = class_id"), ("i", "ann = class_id AND cand_id <> class_id"),
