@@ -31,24 +31,22 @@ def bucket_rank(df: DataFrame, by: list[str], bucket: Column, order: list, out:
     of bucket counts, which are aggregated map-side first. Only the counts meet in one
     window per group. ``size`` optionally names a column with the group's row count.
     """
-    cut = df.withColumn("_bucket", bucket.cast("long"))
-    inner = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    keys = [*by, "_bucket"]
-    sizes = (cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-             .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n",
-                     *[F.col(k) for k in keys])
+    # One struct key: nulls inside it compare equal, and the window, the counts and the
+    # join share its partitioning, so the rows are exchanged once.
+    cut = df.withColumn("_key", F.struct(*by, bucket.cast("long").alias("_bucket")))
+    inner = Window.partitionBy("_key").orderBy(*order)
+    names = [f"_key.{c}" for c in by]
+    group = Window.partitionBy(*names) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_key._bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (cut.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
              .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
              .withColumn("__size", F.sum("_n").over(group))
-             .select(*[f"_k{i}" for i in range(len(keys))], "_offset", "__size"))
-    match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = cut.withColumn("_inner", F.row_number().over(inner)).join(sizes, match)
+             .select("_key", "_offset", "__size"))
+    joined = cut.withColumn("_inner", F.row_number().over(inner)).join(sizes, "_key")
     result = joined.withColumn(out, (F.col("_offset") + F.col("_inner")).cast("long"))
     if size:
         result = result.withColumn(size, F.col("__size").cast("long"))
-    return result.drop("_bucket", "_offset", "__size", "_inner",
-                       *[f"_k{i}" for i in range(len(keys))])
+    return result.drop("_key", "_offset", "__size", "_inner")
 
 
 def spread_rank(df: DataFrame, by: list[str], digest: str, ties: list[str],

@@ -52,9 +52,13 @@ def first_examples(df: DataFrame, by: Sequence[str], example: str, k: int = 3) -
 
 def overlap_audit(train: DataFrame, reserved: DataFrame, row_id: str,
                   kinds: Mapping[str, str]) -> DataFrame:
-    """Training rows sharing any identity with reserved data, with three reserved examples."""
-    right = first_examples(unpivot(reserved, [row_id], kinds).distinct(), ["kind", "value"], row_id)
-    left = unpivot(train, [row_id], kinds).distinct()
+    """Training rows sharing any identity with reserved data, with three reserved examples.
+
+    ``row_id`` is unique, and a kind appears once per row. A reserved key keeps three
+    rows before the exchange, however many rows hold it.
+    """
+    right = first_examples(unpivot(reserved, [row_id], kinds), ["kind", "value"], row_id)
+    left = unpivot(train, [row_id], kinds)
     return left.join(right, ["kind", "value"]).select(row_id, "kind", "examples")
 
 
@@ -152,7 +156,7 @@ def coverage_gaps(cells: DataFrame, split: str, class_id: str, idx: str, group:
     counts = (cells.groupBy(split, class_id, background(idx).alias("background"), group)
               .agg(F.count(ONE).alias("_n"))
               .groupBy(*by).agg(F.sum("_n").alias("squares"), F.count(ONE).alias("groups")))
-    grid = (cells.select(split).distinct()
+    grid = (counts.select(split).distinct()
             .select(split, F.explode(literal_array(range(N_CLASSES)).cast("array<bigint>")).alias(class_id))
             .select("*", F.explode(literal_array(BACKGROUNDS)).alias("background")))
     full = grid.join(counts, by, "left").na.fill(0, ["squares", "groups"])

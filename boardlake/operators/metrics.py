@@ -137,8 +137,8 @@ def omission_metrics(cells: DataFrame, expected: str, predicted: str,
 def latency(df: DataFrame, seconds: str, by: Sequence[str] = ()) -> DataFrame:
     """Sample count, exact median and p95 in milliseconds (linear interpolation).
 
-    ``percentile`` keeps a value histogram per group; for groups with unbounded
-    distinct values use :func:`latency_by_rank`, which sorts in parallel.
+    For small groups: ``percentile`` keeps a value histogram per group. Groups of any
+    size go through :func:`latency_by_rank`.
     """
     q = F.percentile(seconds, F.array(F.lit(0.5), F.lit(0.95)))
     return (df.groupBy(*by).agg(F.count(seconds).alias("samples"), q.alias("_q"))
@@ -146,53 +146,62 @@ def latency(df: DataFrame, seconds: str, by: Sequence[str] = ()) -> DataFrame:
                     F.round(F.col("_q")[1] * 1000, 6).alias("p95_ms")))
 
 
-def latency_by_rank(df: DataFrame, seconds: str, by: Sequence[str], width: float) -> DataFrame:
-    """Same result as :func:`latency` without holding a group in one task.
+QUANTILES = (("q50", 0.5), ("q95", 0.95))
+
+
+def quantiles_by_rank(df: DataFrame, value: str, by: Sequence[str], width: float) -> DataFrame:
+    """Exact median and p95 per group (linear interpolation) without a group in one task.
 
-    Counts per value band of ``width`` locate the bands that contain the two
-    neighbours of each quantile; only values in those bands are ranked.
+    Equal values collapse to one counted row. Counts per value band of ``width`` locate
+    the few bands holding the neighbours of each quantile; only those are ordered.
     """
     by = list(by)
-    band = F.floor(F.col(seconds) / width)
-    rows = df.where(F.col(seconds).isNotNull()).select(*by, F.col(seconds).alias("_v"),
-                                                        band.alias("_band"))
+    vals = (df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(ONE).alias("_n"))
+            .withColumn("_band", F.floor(F.col("_v") / width)))
     before = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = (rows.groupBy(*by, "_band").agg(F.count(ONE).alias("_n"))
-             .withColumn("_lo", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-             .withColumn("_all", F.sum("_n").over(Window.partitionBy(*by))))
-    wanted = F.array(*[F.struct(F.lit(name).alias("q"), ((F.col("_all") - 1) * f).alias("pos"))
-                       for name, f in (("median_ms", 0.5), ("p95_ms", 0.95))])
-    targets = (bands.select(*by, "_band", "_n", "_lo", "_all", F.inline(wanted))
-               .where((F.col("_lo") <= F.ceil("pos")) & (F.col("_lo") + F.col("_n") > F.floor("pos"))))
-    hit_bands = targets.select(*by, "_band", "_lo").distinct()
+    bands = (vals.groupBy(*by, "_band").agg(F.sum("_n").alias("_bn"))
+             .withColumn("_lo", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
+             .withColumn("_all", F.sum("_bn").over(Window.partitionBy(*by))))
+    wanted = F.array(*[F.struct(F.lit(q).alias("q"), ((F.col("_all") - 1) * f).alias("pos")) for q, f in QUANTILES])
+    targets = (bands.select(*by, "_band", "_bn", "_lo", "_all", F.inline(wanted))
+               .where((F.col("_lo") <= F.ceil("pos")) & (F.col("_lo") + F.col("_bn") > F.floor("pos"))))
     on = [*by, "_band"]
-    ranked = (rows.join(hit_bands, on)
-              .withColumn("_r", F.col("_lo") + F.row_number().over(
-                  Window.partitionBy(*on).orderBy("_v")) - 1))
-    values = (ranked.join(targets.select(*on, "q", "pos", "_all"), on)
-              .where((F.col("_r") == F.floor("pos")) | (F.col("_r") == F.ceil("pos"))))
-    frac = F.col("pos") - F.floor("pos")
-    weight = (F.when(F.floor("pos") == F.ceil("pos"), F.lit(1.0))
-              .when(F.col("_r") == F.floor("pos"), 1 - frac).otherwise(frac))
-    return (values.groupBy(*by, "_all").agg(
-        F.round(F.sum(F.when(F.col("q") == "median_ms", F.col("_v") * weight)) * 1000, 6).alias("median_ms"),
-        F.round(F.sum(F.when(F.col("q") == "p95_ms", F.col("_v") * weight)) * 1000, 6).alias("p95_ms"))
-        .withColumnRenamed("_all", "samples"))
-
-
-def trial_aggregate(df: DataFrame, trial: str, model: str, value: str, baseline: str,
+    upto = Window.partitionBy(*on).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = vals.join(targets.select(*on).distinct(), on, "left_semi").withColumn("_upto", F.sum("_n").over(upto))
+    last = F.col("_lo") + F.col("_upto") - 1
+    first = F.col("_lo") + F.col("_upto") - F.col("_n")
+    low, high = F.floor("pos"), F.ceil("pos")
+    frac = F.col("pos") - low
+    weight = (F.when(low.between(first, last), 1 - frac).otherwise(0.0)
+              + F.when(high.between(first, last), frac).otherwise(0.0))
+    hits = ranked.join(targets.select(*on, "_lo", "_all", "q", "pos"), on).withColumn("_wt", weight)
+    return hits.groupBy(*by, "_all").agg(*[
+        F.sum(F.when(F.col("q") == q, F.col("_v") * F.col("_wt"))).alias(q) for q, _ in QUANTILES]
+    ).withColumnRenamed("_all", "samples")
+
+
+def latency_by_rank(df: DataFrame, seconds: str, by: Sequence[str], width: float) -> DataFrame:
+    """Same result as :func:`latency` for groups of any size."""
+    q = quantiles_by_rank(df, seconds, by, width)
+    return q.select(*by, "samples", F.round(F.col("q50") * 1000, 6).alias("median_ms"),
+                    F.round(F.col("q95") * 1000, 6).alias("p95_ms"))
+
+
+def trial_aggregate(df: DataFrame, trial: str, model: str, value: str, baseline: str, width: float,
                     limit: float = 1.25) -> DataFrame:
-    """Median over trials of the trial median and p95, and the ratio gate."""
-    trials = df.groupBy(model, trial).agg(
-        F.percentile(value, F.array(F.lit(0.5), F.lit(0.95))).alias("_q"))
-    models = trials.groupBy(model).agg(F.percentile(F.col("_q")[0], 0.5).alias("_m"),
-                                       F.percentile(F.col("_q")[1], 0.5).alias("_p"))
-    base = models.where(F.col(model) == baseline).select(F.col("_m").alias("_bm"),
-                                                         F.col("_p").alias("_bp"))
-    return (models.join(F.broadcast(base), F.lit(True))
-            .select(model, F.round("_m", 6).alias("median"), F.round("_p", 6).alias("p95"),
-                    F.round(F.col("_m") / F.col("_bm"), 6).alias("median_ratio"),
-                    F.round(F.col("_p") / F.col("_bp"), 6).alias("p95_ratio"))
+    """Median over trials of the trial median and p95, and the ratio gate.
+
+    Only the trial rows (a handful per model) reach the exact ``percentile``.
+    """
+    trials = quantiles_by_rank(df, value, [model, trial], width)
+    models = trials.groupBy(model).agg(F.percentile("q50", 0.5).alias("_m"), F.percentile("q95", 0.5).alias("_p"))
+    is_base = F.col(model) == baseline
+    every = Window.partitionBy(F.lit(0))
+    both = models.withColumn("_bm", F.max(F.when(is_base, F.col("_m"))).over(every)).withColumn(
+        "_bp", F.max(F.when(is_base, F.col("_p"))).over(every))
+    return (both.select(model, F.round("_m", 6).alias("median"), F.round("_p", 6).alias("p95"),
+                        F.round(F.col("_m") / F.col("_bm"), 6).alias("median_ratio"),
+                        F.round(F.col("_p") / F.col("_bp"), 6).alias("p95_ratio"))
             .withColumn("passed", F.coalesce((F.col("median_ratio") <= limit)
                                              & (F.col("p95_ratio") <= limit), F.lit(False))))
 
@@ -242,7 +251,7 @@ def coverage(cells: DataFrame, class_id: str, idx: str, board: str, position: st
     counts = pos.groupBy(*by).agg(
         F.sum("_n").alias("squares"), F.sum("_b").alias("boards"),
         F.countDistinct(position).alias("positions"), F.countDistinct(group).alias("groups"))
-    grid = (cells.select(split).distinct()
+    grid = (counts.select(split).distinct()
             .select(split, F.explode(literal_array(range(N_CLASSES)).cast("array<bigint>")).alias(class_id))
             .select(split, class_id, F.explode(literal_array(BACKGROUNDS)).alias("background")))
     return (grid.join(counts, by, "left").na.fill(0, ["squares", "boards", "positions", "groups"])
@@ -280,7 +289,7 @@ def marked_coverage(marked: DataFrame, split: str, kind: str, class_id: str, idx
     by = [split, kind, class_id, "background"]
     counts = marked.groupBy(split, kind, class_id, background(idx).alias("background")).agg(
         F.count(ONE).alias("squares"))
-    grid = (marked.select(split, kind).distinct()
+    grid = (counts.select(split, kind).distinct()
             .select("*", F.explode(literal_array(range(N_CLASSES)).cast("array<bigint>")).alias(class_id))
             .select("*", F.explode(literal_array(BACKGROUNDS)).alias("background")))
     return (grid.join(counts, by, "left").na.fill(0, ["squares"])

@@ -16,12 +16,16 @@ def admissible(batch: DataFrame, published: DataFrame, batch_id: str, split: str
                kinds: Mapping[str, str]) -> DataFrame:
     """Rows of those batches whose keys stay in one partition, alone and with everything published.
 
-    Keys are reduced to their split range before the join, so a hot key is one row.
+    Published keys are first restricted to those of the batch (a micro-batch is small, so
+    that is usually a broadcast and a scan), and keys are reduced to their split range, so
+    a hot key is one row.
     """
-    def ranges(df: DataFrame) -> DataFrame:
-        return unpivot(df, [split], kinds).groupBy("kind", "value").agg(
-            F.min(split).alias("lo"), F.max(split).alias("hi"))
-    both = ranges(batch).unionByName(ranges(published)).groupBy("kind", "value").agg(
+    def ranges(keys: DataFrame) -> DataFrame:
+        return keys.groupBy("kind", "value").agg(F.min(split).alias("lo"), F.max(split).alias("hi"))
+
+    own = unpivot(batch, [split], kinds)
+    known = unpivot(published, [split], kinds).join(own.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
+    both = ranges(own).unionByName(ranges(known)).groupBy("kind", "value").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     bad = both.where("lo <> hi").select("kind", "value")
     rejected = unpivot(batch, [batch_id], kinds).join(bad, ["kind", "value"], "left_semi").select(batch_id).distinct()
