@@ -50,7 +50,7 @@ def expand_runs(placement: Column | str) -> Column:
 
 
 def _grid_or_empty(placement: Column | str) -> Column:
-    marked = F.regexp_replace(_col(placement), r"[1-8](?=[1-8])|\\.", "!")
+    marked = F.regexp_replace(_col(placement), r"[1-8](?=[1-8])|[.]", "!")
     valid = r"^[.PNBRQKpnbrqk]{8}(/[.PNBRQKpnbrqk]{8}){7}$"
     return F.replace(F.regexp_extract(expand_runs(marked), valid, 0), F.lit("/"), F.lit(""))
 
