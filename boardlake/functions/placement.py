@@ -49,7 +49,7 @@ def expand_runs(placement: Column | str) -> Column:
     return p
 
 
-def _grid_or_empty(placement: Column | str) -> Column:
+def grid_or_empty(placement: Column | str) -> Column:
     marked = F.regexp_replace(_col(placement), r"[1-8](?=[1-8])|[.]", "!")
     valid = r"^[.PNBRQKpnbrqk]{8}(/[.PNBRQKpnbrqk]{8}){7}$"
     return F.replace(F.regexp_extract(expand_runs(marked), valid, 0), F.lit("/"), F.lit(""))
@@ -57,12 +57,12 @@ def _grid_or_empty(placement: Column | str) -> Column:
 
 def is_canonical(placement: Column | str) -> Column:
     """Eight ranks of eight cells, known symbols, no two neighbouring digits."""
-    return F.coalesce(_grid_or_empty(placement) != "", F.lit(False))
+    return F.coalesce(grid_or_empty(placement) != "", F.lit(False))
 
 
 def placement_grid(placement: Column | str) -> Column:
     """Placement to 64-symbol grid; null when the placement is not canonical."""
-    return F.nullif(_grid_or_empty(placement), F.lit(""))
+    return F.nullif(grid_or_empty(placement), F.lit(""))
 
 
 def square_name(idx: Column | str) -> Column:
@@ -155,11 +155,11 @@ def family_key(grid: Column | str) -> Column:
 def wrong_squares(expected: Column | str, actual: Column | str) -> Column:
     """Array of (idx, square, expected, actual) where two grids differ."""
     def compare(both: Column) -> Column:
-        pairs = F.transform(all_indexes(), lambda i: F.struct(
+        wrong = F.filter(all_indexes(), lambda i: symbol_at(both["e"], i) != symbol_at(both["a"], i))
+        return F.transform(wrong, lambda i: F.struct(
             i.alias("idx"), square_name(i).alias("square"),
             label_of_symbol(symbol_at(both["e"], i)).alias("expected"),
             label_of_symbol(symbol_at(both["a"], i)).alias("actual")))
-        return F.filter(pairs, lambda p: p["expected"] != p["actual"])
 
     both = F.struct(_col(expected).alias("e"), _col(actual).alias("a"))
     return F.when(both["e"].isNotNull() & both["a"].isNotNull(), let(both, compare))

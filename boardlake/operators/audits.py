@@ -87,12 +87,10 @@ def reservation_violations(df: DataFrame, reserved: DataFrame, keys: Sequence[st
 def addition_violations(old: DataFrame, new: DataFrame, row_id: str, split: str, group: str,
                         family: str, digest: str, identity: Sequence[str]) -> DataFrame:
     """New training rows that touch reserved groups, families or bytes, or repeat a variant."""
-    reserved = old.where(F.col(split) != "training")
-    hits = None
-    for name, col in (("group", group), ("family", family), ("hash", digest)):
-        found = (new.join(reserved.select(col), col, "left_semi")
-                 .select(row_id, F.lit(name).alias("problem")))
-        hits = found if hits is None else hits.unionByName(found)
+    kinds = {"group": group, "family": family, "hash": digest}
+    reserved = unpivot(old.where(F.col(split) != "training"), [], kinds).distinct()
+    hits = (unpivot(new, [row_id], kinds).join(reserved, ["kind", "value"], "left_semi")
+            .select(row_id, F.col("kind").alias("problem")))
     both = (old.select(*identity, F.lit(0).alias("_new"))
             .unionByName(new.select(*identity, F.lit(1).alias("_new"))))
     doubled = both.groupBy(*identity).agg(F.count(ONE).alias("_n")).where("_n > 1")

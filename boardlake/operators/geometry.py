@@ -79,9 +79,9 @@ def clip_convex(subject: Column, clip: Column) -> Column:
     return F.aggregate(edges, subject, cut)
 
 
-def _homography(q: Column) -> dict[str, Column]:
-    p = [F.get(q, F.lit(i)) for i in range(4)]
-    x, y = [v["x"] for v in p], [v["y"] for v in p]
+def _coefficients(q: Sequence[tuple[Column, Column]]) -> dict[str, Column]:
+    """Closed form of the map from the unit square to TL, TR, BR, BL."""
+    x, y = [p[0] for p in q], [p[1] for p in q]
     dx1, dx2, sx = x[1] - x[2], x[3] - x[2], x[0] - x[1] + x[2] - x[3]
     dy1, dy2, sy = y[1] - y[2], y[3] - y[2], y[0] - y[1] + y[2] - y[3]
     det = dx1 * dy2 - dx2 * dy1
@@ -90,50 +90,53 @@ def _homography(q: Column) -> dict[str, Column]:
             "d": y[1] - y[0] + g * y[1], "e": y[3] - y[0] + h * y[3], "f": y[0], "g": g, "h": h}
 
 
-def homography(quad: Column) -> Column:
-    """Struct of the 8 coefficients mapping the unit square to TL, TR, BR, BL."""
-    return let(quad, lambda q: F.struct(*[v.alias(k) for k, v in _homography(q).items()]))
+def homography(corners: Sequence[tuple[str, str]]) -> Column:
+    """Struct of the 8 coefficients for corner columns in TL, TR, BR, BL order."""
+    q = [(_c(x).cast("double"), _c(y).cast("double")) for x, y in corners]
+    return F.struct(*[v.alias(k) for k, v in _coefficients(q).items()])
 
 
-def project(m: Column, u: Column, v: Column) -> tuple[Column, Column]:
+def project(m, u: Column, v: Column) -> tuple[Column, Column]:
     w = m["g"] * u + m["h"] * v + 1
     return safe_div(m["a"] * u + m["b"] * v + m["c"], w), safe_div(m["d"] * u + m["e"] * v + m["f"], w)
 
 
-def quad_errors(expected: Column, actual: Column) -> Column:
-    """Struct of max corner error, mean side and max error over the 9 x 9 grid."""
-    def measure(s: Column) -> Column:
-        e, a = s["e"], s["a"]
-        corner = F.array_max(F.zip_with(e, a, lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"])))
-        side = F.aggregate(F.transform(e, lambda p, i: F.hypot(
-            p["x"] - F.get(e, (i + 1) % 4)["x"], p["y"] - F.get(e, (i + 1) % 4)["y"])),
-            F.lit(0.0), lambda x, y: x + y) / 4
+def quad_errors(df: DataFrame, keys: Sequence[str], expected: Sequence, actual: Sequence,
+                carry: dict[str, Column] | None = None) -> DataFrame:
+    """Max corner error, mean side and max error over the 9 x 9 grid per quadrilateral.
 
-        def grid(ms: Column) -> Column:
-            def error(k: Column) -> Column:
-                u, v = (k % 9) / 8, F.floor(k / 9) / 8
-                (ex, ey), (ax, ay) = project(ms["e"], u, v), project(ms["a"], u, v)
-                return F.hypot(ex - ax, ey - ay)
-            return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(80)), error))
-
-        return F.struct(corner.alias("corner"), side.alias("side"), let(
-            F.struct(homography(e).alias("e"), homography(a).alias("a")), grid).alias("grid"))
-
-    return let(F.struct(expected.alias("e"), actual.alias("a")), measure)
-
-
-def quad_metrics(df: DataFrame, keys: Sequence[str], expected: Column, actual: Column,
+    ``keys`` identify a row. The grid points are exploded and reduced again with primitive
+    maxima, which stays in generated code; one row per quadrilateral is exchanged.
+    """
+    e, a = ([(_c(x).cast("double"), _c(y).cast("double")) for x, y in q] for q in (expected, actual))
+    corner = F.greatest(*[F.hypot(p[0] - q[0], p[1] - q[1]) for p, q in zip(e, a)])
+    side = sum((F.hypot(e[i][0] - e[(i + 1) % 4][0], e[i][1] - e[(i + 1) % 4][1]) for i in range(1, 4)),
+               F.hypot(e[0][0] - e[1][0], e[0][1] - e[1][1])) / 4
+    maps = {f"_{n}{k}": v for n, q in (("e", e), ("a", a)) for k, v in _coefficients(q).items()}
+    carry = carry or {}
+    rows = df.select(*keys, corner.alias("corner"), side.alias("side"), *[v.alias(k) for k, v in carry.items()],
+                     *[v.alias(k) for k, v in maps.items()])
+    grid = rows.select("*", F.explode(literal_array(range(81)).cast("array<bigint>")).alias("_k"))
+    u, v = (F.col("_k") % 9) / 8, F.floor(F.col("_k") / 9) / 8
+    (ex, ey), (ax, ay) = (project({k: F.col(f"_{n}{k}") for k in "abcdefgh"}, u, v) for n in "ea")
+    return grid.groupBy(*keys).agg(
+        F.max("corner").alias("corner"), F.max("side").alias("side"), F.max(F.hypot(ex - ax, ey - ay)).alias("grid"),
+        *[F.max(k).alias(k) for k in carry])
+
+
+def quad_metrics(df: DataFrame, keys: Sequence[str], expected: Sequence, actual: Sequence,
                  min_iou: float = 0.95, max_corner: float = 0.01, max_grid: float = 0.08) -> DataFrame:
     """IoU, corner and grid errors of a detected quadrilateral, and the policy flag."""
-    rows = df.select(*keys, expected.alias("_e"), actual.alias("_a"))
-    rows = rows.withColumn("_m", quad_errors(F.col("_e"), F.col("_a"))).withColumn(
-        "_iou", let(F.struct(polygon_area(clip_convex(F.col("_a"), F.col("_e"))).alias("i"),
-                             polygon_area(F.col("_e")).alias("e"), polygon_area(F.col("_a")).alias("a")),
-                    lambda s: safe_div(s["i"], s["e"] + s["a"] - s["i"])))
-    out = rows.select(
-        *keys, F.round("_iou", 9).alias("iou"), F.round("_m.corner", 6).alias("max_corner_error"),
-        F.round(F.col("_m.corner") / F.col("_m.side"), 9).alias("corner_board_fraction"),
-        F.round(F.col("_m.grid") / (F.col("_m.side") / 8), 9).alias("grid_cell_fraction"))
+    e, a = corner_array(expected), corner_array(actual)
+    iou = let(F.struct(e.alias("e"), a.alias("a")), lambda q: let(
+        F.struct(polygon_area(clip_convex(q["a"], q["e"])).alias("i"), polygon_area(q["e"]).alias("e"),
+                 polygon_area(q["a"]).alias("a")),
+        lambda s: safe_div(s["i"], s["e"] + s["a"] - s["i"])))
+    m = quad_errors(df, keys, expected, actual, {"iou": iou})
+    out = m.select(
+        *keys, F.round("iou", 9).alias("iou"), F.round("corner", 6).alias("max_corner_error"),
+        F.round(safe_div(F.col("corner"), F.col("side")), 9).alias("corner_board_fraction"),
+        F.round(safe_div(F.col("grid"), F.col("side") / 8), 9).alias("grid_cell_fraction"))
     return out.withColumn("within_policy", F.coalesce(
         (F.col("iou") >= min_iou) & (F.col("corner_board_fraction") <= max_corner)
         & (F.col("grid_cell_fraction") <= max_grid), F.lit(False)))

@@ -25,9 +25,9 @@ def encode_cells(cells: DataFrame, board: str, idx: str = "idx", class_id: str =
 
 def expand_placement(boards: DataFrame, keys: Sequence[str], placement: str = "placement") -> DataFrame:
     """Placement to 64 rows of (idx, symbol); non-canonical placements give no rows."""
-    return (boards.select(*keys, P.placement_grid(placement).alias("_g"))
+    return (boards.select(*keys, P.grid_or_empty(placement).alias("_g"))
             .select(*keys, "_g", F.explode(P.all_indexes()).alias("idx"))
-            .where(F.col("_g").isNotNull())
+            .where(F.col("_g") != "")
             .select(*keys, "idx", P.symbol_at("_g", "idx").alias("symbol")))
 
 

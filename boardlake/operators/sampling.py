@@ -175,20 +175,24 @@ def arrow_plan(boards: DataFrame, routes: DataFrame, board: str, occupied_mask:
                seed: int) -> DataFrame:
     """First route (hash order) of a hash-chosen geometry whose touched cells fit the case.
 
-    ``routes`` is the fixed table of legal arrows with a 64-bit mask of touched cells,
-    so the occupancy test is one bitwise AND; boards without a fitting route keep nulls.
+    ``routes`` is the fixed table of legal arrows (under 8192 rows) with a 64-bit mask of
+    touched cells, so the occupancy test is one bitwise AND; boards without a fitting
+    route keep nulls.
     """
     names = literal_array(["horizontal", "vertical", "diagonal", "knight"])
     kind = F.get(names, (hash_number(stable_hash(F.lit(seed), board)) % 4).cast("int"))
     asked = boards.select(board, occupied_mask, wants_empty.alias("_empty"), kind.alias("geometry"))
+    fixed = Window.partitionBy(F.lit(0)).orderBy("geometry", "start", "end", "bend", "width")
+    table = routes.withColumn("_no", F.row_number().over(fixed).cast("long"))
     fits = (F.col("touched").bitwiseAND(F.col(occupied_mask)) == 0) == F.col("_empty")
-    found = (asked.join(F.broadcast(routes), "geometry").where(fits)
-             .groupBy(board).agg(F.min_by(
-                 F.struct("start", "end", "bend", "width", "touched"),
-                 stable_hash(F.lit(seed), board, "start", "end", "bend", "width")).alias("_r")))
-    return (asked.join(found, board, "left")
-            .select(board, "geometry", "_r.start", "_r.end", "_r.bend", "_r.width", "_r.touched",
-                    F.when(F.col("_r").isNull(), "no-route").alias("reason")))
+    # A 50-bit hash with the route number behind it: the minimum is one primitive, so the
+    # many candidate rows are hash-aggregated where they arise.
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), board, "_no"), 14) * 8192 + F.col("_no")
+    found = (asked.join(F.broadcast(table.select("geometry", "touched", "_no")), "geometry").where(fits)
+             .groupBy(board).agg((F.min(order) % 8192).alias("_no")))
+    return (asked.join(found, board, "left").join(F.broadcast(table.drop("geometry")), "_no", "left")
+            .select(board, "geometry", "start", "end", "bend", "width", "touched",
+                    F.when(F.col("_no").isNull(), "no-route").alias("reason")))
 
 
 def arrow_into(routes: DataFrame, keys: Sequence[str], start: str, seed: int) -> DataFrame:

@@ -183,7 +183,7 @@ class Tables:
     @staticmethod
     def _class_at(src: Column) -> Column:
         s = F.col("seed_key")
-        v = (s * 7919 + src * 104729 + (s % 13) * src * 31) % 1000
+        v = (s * 7919 + src * (104729 + (s % 13) * 31)) % 1000
         return F.when(v < 500, L(0).cast("long")).otherwise(1 + v % 12)
 
     @staticmethod
@@ -194,8 +194,8 @@ class Tables:
     @staticmethod
     def _noisy(c: Column, i: Column, a: int, b: int, mod: int, fail: int) -> Column:
         k = F.col("board_id")
-        return (F.when(k % fail == 0, L(-1).cast("long"))
-                .when((k * a + i * b) % mod == 0, (c + 5) % 13).otherwise(c))
+        slip = F.when((k * a + i * b) % mod == 0, 5).otherwise(0)
+        return F.when(k % fail == 0, L(-1).cast("long")).otherwise((c + slip) % 13)
 
     @property
     def cells(self) -> DataFrame:
@@ -209,10 +209,14 @@ class Tables:
                 .select("board_id", "group_id", "position_id", "split", "leak_split", "orientation",
                         "category", "pair_id", "idx", "class_id", "pred_id", "cand_id"))
 
-    @property
-    def placements(self) -> DataFrame:
-        """One row per board with true/predicted/candidate grids, no shuffle."""
+    def placed(self, *names: str) -> DataFrame:
+        """Boards with the named grids (or the placement), no shuffle after ``spread``.
+
+        In a real corpus these are stored columns. Here they come out of a generator, which
+        the optimizer does not inline, so they are derived once per row.
+        """
         idx = literal_array(range(64)).cast("array<bigint>")
+        k = F.col("board_id")
 
         def grid(noise=None) -> Column:
             def at(i):
@@ -222,11 +226,15 @@ class Tables:
                 return F.substring(F.lit(SYMBOLS), (c + 1).cast("int"), F.lit(1))
             return F.array_join(F.transform(idx, at), "")
 
-        k = F.col("board_id")
-        return (self.spread(self.boards, "board_id").withColumn("grid", grid())
-                .withColumn("pred_grid", F.when(k % 29 != 0, grid((131, 17, 211, 29))))
-                .withColumn("cand_grid", F.when(k % 31 != 0, grid((137, 19, 223, 31))))
-                .withColumn("placement", encode_grid("grid")))
+        made = {"grid": lambda: grid(), "placement": lambda: encode_grid(grid()),
+                "pred_grid": lambda: F.when(k % 29 != 0, grid((131, 17, 211, 29))),
+                "cand_grid": lambda: F.when(k % 31 != 0, grid((137, 19, 223, 31)))}
+        row = F.struct(*[made[n]().alias(n) for n in names])
+        return self.spread(self.boards, "board_id").select("*", F.inline(F.array(row)))
+
+    @property
+    def placements(self) -> DataFrame:
+        return self.placed("grid", "pred_grid", "cand_grid", "placement")
 
     @property
     def rects(self) -> DataFrame:
@@ -253,7 +261,7 @@ class Tables:
             "ex2": F.when(k % 37 == 0, 700).otherwise(500 + k % 13), "ey2": 500 - k % 9,
             "ex3": 100 + k % 8, "ey3": 500 + k % 10, "j0": k % 3 - 1, "j1": k % 4 - 1,
             "j2": g % 3 - 1, "j3": F.when(k % 17 == 0, 12).otherwise(g % 5 - 2)}
-        return self.boards.select(
+        return self.spread(self.boards, "board_id").select(
             "board_id", "group_id", "category", "split", n(600).alias("image_w"),
             n(600).alias("image_h"), *[n(c).alias(name) for name, c in corners.items()],
             (k % 23 != 0).alias("found"))
@@ -264,7 +272,7 @@ class Tables:
         kinds = F.concat(F.filter("conditions", lambda c: c != "clean"),
                          F.when(F.col("status") == "P", literal_array(["check"]))
                          .otherwise(F.array().cast("array<string>")))
-        base = self.boards.select(
+        base = self.spread(self.boards, "board_id").select(
             "board_id", F.explode(kinds).alias("kind"), (k % 4).alias("g"),
             (1 + F.col("group_id") % 4).alias("n"), F.floor((k * 7) % 64 / 8).alias("ar"),
             ((k * 7) % 8).alias("ac"))

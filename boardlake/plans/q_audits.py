@@ -12,7 +12,7 @@ _FAM = f"SELECT p.*, {FAMILY_SQL} AS family, sha256(grid) AS sha FROM placements
 
 
 def families(t):
-    return t.placements.withColumn("family", family_key("grid")).withColumn("sha", F.sha2("grid", 256))
+    return t.placed("grid").withColumn("family", family_key("grid")).withColumn("sha", F.sha2("grid", 256))
 
 
 @query("c1_split_leaks", sql(
@@ -68,7 +68,7 @@ _ID = ["group_id", "category", "orientation", "grid"]
     "THEN 'old' ELSE sha END AS ref_sha FROM f WHERE m >= 37) e LEFT JOIN f b ON e.ref = b.board_id",
     f="SELECT placements.*, sha256(grid) AS sha FROM placements"))
 def c5(t):
-    p = t.placements.withColumn("sha", F.sha2("grid", 256))
+    p = t.placed("grid").withColumn("sha", F.sha2("grid", 256))
     k = F.col("board_id")
     extra = p.where("m >= 37").withColumn("ref", F.when(k % 7 == 0, -1).otherwise(F.col("seed_key"))) \
         .withColumn("ref_sha", F.when(k % 3 == 0, "old").otherwise(F.col("sha")))
@@ -115,7 +115,7 @@ def c7(t):
       "board_id % 4 AS box FROM placements",
     r="SELECT * FROM s WHERE category = '5-LOW'"))
 def c8(t):
-    s = t.placements.select("board_id", "group_id", "leak_split", "category", F.sha2("grid", 256).alias("sha"),
+    s = t.placed("grid").select("board_id", "group_id", "leak_split", "category", F.sha2("grid", 256).alias("sha"),
                             F.split("config_id", "-")[0].alias("platform"),
                             (F.col("board_id") % 4).alias("box"))
     low = F.col("category") == "5-LOW"
@@ -368,7 +368,7 @@ def c20(t):
     "SELECT board_id, first_row FROM (SELECT board_id, min(board_id) OVER (PARTITION BY grid) AS first_row FROM grids) "
     "WHERE board_id <> first_row"))
 def c20b(t):
-    return C.later_duplicates(t.placements.select("board_id", "grid"), "grid", "board_id")
+    return C.later_duplicates(t.placed("grid").select("board_id", "grid"), "grid", "board_id")
 
 
 _LIST = ("SELECT box_id + CASE WHEN box_id % 101 = 0 THEN 1000000000 ELSE 0 END AS box_id, board_id + CASE WHEN box_id % 37 = 0 "

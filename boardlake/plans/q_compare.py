@@ -61,7 +61,7 @@ _CTRL = "SELECT pair_id, min(board_id) AS c FROM boards WHERE conditions = ['cle
     "FROM placements p JOIN grids g USING (board_id) LEFT JOIN ct ON p.pair_id = ct.pair_id LEFT JOIN grids cgr ON cgr.board_id = ct.c "
     "WHERE p.conditions <> ['clean']) GROUP BY 1", ct=_CTRL))
 def p3(t):
-    p = t.placements.withColumn("exact", F.col("grid") == F.col("pred_grid"))
+    p = t.placed("grid", "pred_grid").withColumn("exact", F.col("grid") == F.col("pred_grid"))
     return P.paired_contingency(p, "pair_id", "board_id", clean(), F.col("conditions"), "exact", "pred_grid")
 
 
@@ -78,7 +78,7 @@ _STAGE = ("SELECT board_id, category, CASE WHEN x THEN 'detection-failed' WHEN a
 
 
 def stages(t):
-    p = t.placements.withColumn("annotated", F.coalesce("pred_grid", "grid"))
+    p = t.placed("grid", "pred_grid", "cand_grid").withColumn("annotated", F.coalesce("pred_grid", "grid"))
     return P.stage_failures(p, ["board_id", "category"], "grid", "annotated", "cand_grid")
 
 

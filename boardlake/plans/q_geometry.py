@@ -48,17 +48,13 @@ def a19(t):
 _C = [(f"ex{i}", f"ey{i}") for i in range(4)]
 
 
-def _quads(t):
-    e = G.corner_array(_C)
-    a = G.corner_array([(F.col(x) + F.col(f"j{i}"), F.col(y) + F.col(f"j{(i + 1) % 4}"))
-                        for i, (x, y) in enumerate(_C)])
-    return t.quads, e, a
+def _found():
+    return [(F.col(x) + F.col(f"j{i}"), F.col(y) + F.col(f"j{(i + 1) % 4}")) for i, (x, y) in enumerate(_C)]
 
 
 @query("g2_quad_metrics")
 def g2(t):
-    q, e, a = _quads(t)
-    return G.quad_metrics(q.where("found"), ["board_id"], e, a)
+    return G.quad_metrics(t.quads.where("found"), ["board_id"], _C, _found())
 
 
 def _hom(x, y):
@@ -89,11 +85,10 @@ _CORNER = "greatest(" + ", ".join(f"sqrt((ex{i}-ax{i})**2 + (ey{i}-ay{i})**2)" f
     d=f"SELECT *, {_DET} FROM quads WHERE found",
     h=f"SELECT *, {_EG} AS eg, {_EH} AS eh, {_AG} AS ag, {_AH} AS ah, {_CORNER} AS corner, {_SIDE} AS side FROM d"))
 def g2b(t):
-    q, e, a = _quads(t)
-    m = q.where("found").select("board_id", G.quad_errors(e, a).alias("m"))
-    return m.select("board_id", F.round("m.corner", 4).alias("max_corner_error"),
-                    F.round(F.col("m.corner") / F.col("m.side"), 5).alias("corner_board_fraction"),
-                    F.round(F.col("m.grid") / (F.col("m.side") / 8), 5).alias("grid_cell_fraction"))
+    m = G.quad_errors(t.quads.where("found"), ["board_id"], _C, _found())
+    return m.select("board_id", F.round("corner", 4).alias("max_corner_error"),
+                    F.round(F.col("corner") / F.col("side"), 5).alias("corner_board_fraction"),
+                    F.round(F.col("grid") / (F.col("side") / 8), 5).alias("grid_cell_fraction"))
 
 
 _ED = [f"sqrt(CAST((ex{i}-ex{(i + 1) % 4})**2 + (ey{i}-ey{(i + 1) % 4})**2 AS DOUBLE))" for i in range(4)]
@@ -166,7 +161,7 @@ _WIDTHS = [0.08, 0.14, 0.22]
 
 @query("w12_arrow_plan")
 def w12(t):
-    boards = t.placements.select("board_id", "status", G.occupied_mask("grid").alias("mask"))
+    boards = t.placed("grid").select("board_id", "status", G.occupied_mask("grid").alias("mask"))
     return W.arrow_plan(boards, G.route_table(t.spark, _WIDTHS), "board_id", "mask", F.col("status") == "F", 17)
 
 
@@ -174,7 +169,7 @@ def w12(t):
 def c18(t):
     """Recorded coverage against recomputed cells: boards whose annotation disagrees."""
     arrows = _arrows(t)
-    occupied = t.placements.select("board_id", "grid")
+    occupied = t.placed("grid").select("board_id", "grid")
     cells = G.with_touched(arrows, ["board_id"], "sq1", "sq2", "bend", "width").join(occupied, "board_id")
     filled = F.substring("grid", (F.col("idx") + 1).cast("int"), F.lit(1)) != "."
     found = cells.groupBy("board_id").agg(

@@ -11,7 +11,7 @@ from boardlake.plans.registry import problems_sql, query, sql
     "FROM placements b JOIN (SELECT board_id, count(*) AS boxes, bool_and(found) AS found FROM rects GROUP BY 1) "
     "g USING (board_id) JOIN customer ON c_custkey = group_id"))
 def j1(t):
-    p = t.placements
+    p = t.placed("grid", "pred_grid")
     preds = p.select("board_id", (F.col("grid") == F.col("pred_grid")).alias("exact"))
     geo = t.rects.groupBy("board_id").agg(F.count(F.lit(1)).alias("boxes"), F.bool_and("found").alias("found"))
     style = t.customer.select(F.col("c_custkey").alias("group_id"), F.col("c_mktsegment").alias("style"))
@@ -34,7 +34,7 @@ _RUN = ("SELECT board_id, grid, coalesce(pred_grid = grid, false) AS base, coale
 @query("j3_pair_runs", sql(
     "SELECT board_id, base AS baseline, cand AS candidate, true AS same_label FROM r", r=_RUN))
 def j3(t):
-    p = t.placements
+    p = t.placed("grid", "pred_grid", "cand_grid")
     old = p.select("board_id", "grid", F.coalesce(F.col("pred_grid") == F.col("grid"), F.lit(False)).alias("ok"))
     new = p.select("board_id", "grid", F.coalesce(F.col("cand_grid") == F.col("grid"), F.lit(False)).alias("ok"))
     return J.pair_runs(old, new, ["board_id"], "grid", "ok").drop("grid")
@@ -55,7 +55,7 @@ _FAILED = "SELECT board_id FROM grids WHERE pred_grid IS NULL OR pred_grid <> gr
 @query("j5_previous_failures", sql(
     f"SELECT box_id, board_id FROM rects WHERE board_id IN ({_FAILED})"))
 def j5(t):
-    p = t.placements
+    p = t.placed("grid", "pred_grid")
     failed = p.where(F.col("pred_grid").isNull() | (F.col("pred_grid") != F.col("grid")))
     return J.previous_failures(t.rects.select("box_id", "board_id"), failed, "board_id")
 
@@ -111,7 +111,7 @@ def j9(t):
     "(SELECT board_id, grid FROM placements WHERE split = 'evaluation') a, (SELECT grid, count(*) AS n, "
     "min(board_id) AS f FROM placements WHERE split = 'training' GROUP BY 1) b)) WHERE r = 1 GROUP BY 1, 2"))
 def j10(t):
-    p = t.placements
+    p = t.placed("grid")
     return J.nearest_position(p.where("split = 'evaluation'").withColumnRenamed("board_id", "session_id"),
                               p.where("split = 'training'"), "session_id", "board_id", "grid")
 
@@ -125,7 +125,7 @@ _FIELDS = ["group_id", "leak_split", "category", "orientation", "grid"]
         **{f: f"p.board_id IS NOT NULL AND c.{f} IS DISTINCT FROM p.{f}" for f in _FIELDS}}) +
     " FROM placements c LEFT JOIN placements p ON c.seed_key = p.board_id WHERE c.m >= 37"))
 def j11(t):
-    p = t.placements.select("board_id", "seed_key", "m", *_FIELDS)
+    p = t.placed("grid").select("board_id", "seed_key", "m", *_FIELDS)
     return J.inheritance_violations(p.where("m >= 37"), p, "board_id", "seed_key", "board_id", _FIELDS)
 
 
@@ -157,5 +157,5 @@ def j13(t):
     def side(grid, mod):
         code = F.when(F.col(grid).isNull(), F.when(F.col("board_id") % mod == 0, "BOARD_NOT_FOUND")
                       .otherwise("INVALID_IMAGE"))
-        return t.placements.select("board_id", F.col(grid).alias("p"), code.alias("c"))
+        return t.placed(grid).select("board_id", F.col(grid).alias("p"), code.alias("c"))
     return J.result_parity(side("pred_grid", 2), side("cand_grid", 3), "board_id", "p", "c")

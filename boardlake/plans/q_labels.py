@@ -27,7 +27,7 @@ _EXP = "replace(" + expand_sql("placement") + ", '/', '')"
     f"SELECT board_id, i AS idx, substr(g, i + 1, 1) AS symbol FROM (SELECT board_id, {_EXP} AS g "
     "FROM placements), idx"))
 def b2(t):
-    return B.expand_placement(t.placements, ["board_id"])
+    return B.expand_placement(t.placed("placement"), ["board_id"])
 
 
 @query("b2_invalid_placements", sql(
@@ -41,7 +41,7 @@ def b2b(t):
     tail = F.when(F.col("l_linenumber") % 4 == 0, "").when(F.col("l_linenumber") % 4 == 1, "1") \
         .when(F.col("l_linenumber") % 4 == 2, "/8").otherwise("x")
     rows = t.lineitem.select(F.col("l_orderkey"), "l_linenumber").join(
-        t.placements.select(F.col("board_id").alias("l_orderkey"), "placement"), "l_orderkey")
+        t.placed("placement").select(F.col("board_id").alias("l_orderkey"), "placement"), "l_orderkey")
     ok = P.is_canonical(F.concat("placement", tail))
     return rows.select("l_orderkey", "l_linenumber", ok.alias("ok")).where(~F.col("ok"))
 
@@ -53,7 +53,7 @@ _LABELS = f"""SELECT board_id, idx, {SQUARE} AS square, {label('class_id')} AS l
 
 @query("b3_square_labels", sql(_LABELS))
 def b3(t):
-    return B.square_labels(t.placements, ["board_id"], "placement", "orientation")
+    return B.square_labels(t.placed("placement"), ["board_id"], "placement", "orientation")
 
 
 @query("b4_to_canonical", sql(
@@ -85,13 +85,13 @@ FAMILY_SQL = ("least(" + ", ".join(f"{_perm(o)}, {_SWAP.format(_perm(o))}" for o
 
 @query("b5_placement_family", sql(f"SELECT board_id, {FAMILY_SQL} AS family FROM grids"))
 def b5(t):
-    return B.placement_family(t.placements, ["board_id"], "grid")
+    return B.placement_family(t.placed("grid"), ["board_id"], "grid")
 
 
 @query("b6_placement_ids", sql(
     "SELECT board_id, string_agg(CAST(class_id AS VARCHAR), ',' ORDER BY idx) AS ids FROM cells GROUP BY 1"))
 def b6(t):
-    ids = B.placement_ids(t.placements, ["board_id"], "grid")
+    ids = B.placement_ids(t.placed("grid"), ["board_id"], "grid")
     return ids.select("board_id", F.array_join("ids", ",").alias("ids"))
 
 
@@ -99,7 +99,7 @@ def b6(t):
     f"SELECT board_id, idx, {SQUARE} AS square, {label('class_id')} AS expected, {label('pred_id')} AS actual "
     "FROM cells WHERE pred_id >= 0 AND pred_id <> class_id"))
 def b7(t):
-    return B.diff_placement(t.placements, ["board_id"], "grid", "pred_grid")
+    return B.diff_placement(t.placed("grid", "pred_grid"), ["board_id"], "grid", "pred_grid")
 
 
 @query("b7_diff_summary", sql(
@@ -107,7 +107,7 @@ def b7(t):
     "CASE WHEN min(pred_id) >= 0 THEN count(*) FILTER (pred_id <> class_id) END AS wrong "
     "FROM cells GROUP BY 1"))
 def b7b(t):
-    return B.diff_summary(t.placements, ["board_id"], "grid", "pred_grid")
+    return B.diff_summary(t.placed("grid", "pred_grid"), ["board_id"], "grid", "pred_grid")
 
 
 @query("b8_square_names", sql(
@@ -142,7 +142,7 @@ _TAGS = (f"concat_ws(',', CASE WHEN {_PLY} = 12 AND n >= 28 THEN 'opening' END,
 @query("b10_position_tags", sql(
     f"SELECT board_id, n AS occupied, {_TAGS} AS tags FROM (SELECT board_id, {_OCC} AS n FROM grids)"))
 def b10(t):
-    df = t.placements.withColumn("ply", F.col("board_id") % 60 + 1)
+    df = t.placed("grid").withColumn("ply", F.col("board_id") % 60 + 1)
     tags = B.position_tags(df, ["board_id"], "grid", "ply", F.col("board_id") % 5 == 0)
     return tags.withColumn("tags", F.array_join("tags", ","))
 
@@ -155,7 +155,7 @@ def b10(t):
     "board_id % 3 = 2 AS middle FROM grids)) WHERE problem IS NOT NULL"))
 def b10b(t):
     tags = F.get(P.literal_array(["dense", "opening", "middlegame"]), (F.col("board_id") % 3).cast("int"))
-    df = t.placements.withColumn("ply", F.col("board_id") % 60 + 1).withColumn("tags", F.array(tags))
+    df = t.placed("grid").withColumn("ply", F.col("board_id") % 60 + 1).withColumn("tags", F.array(tags))
     return B.tag_violations(df, ["board_id"], "grid", "ply", F.lit(False), "tags")
 
 
@@ -215,7 +215,7 @@ def b14(t):
     f"|| {label('class_id')} || '->' || {label('pred_id')}, '; ' ORDER BY idx) "
     "FILTER (pred_id <> class_id), 'OK') END AS errors FROM cells GROUP BY 1"))
 def b15(t):
-    return t.placements.select("board_id", B.error_text("grid", "pred_grid").alias("errors"))
+    return t.placed("grid", "pred_grid").select("board_id", B.error_text("grid", "pred_grid").alias("errors"))
 
 
 @query("b16_source_key", sql(
@@ -250,7 +250,7 @@ def b17(t):
             .when(k == 2, F.concat(F.lit('{"error": {"code": "'), code, F.lit('", "message": "m"}}')))
             .when(k == 3, '{"piecePlacement": "8/8/8/8/8/8/8/44"}')
             .when(k == 4, "[1, 2]").otherwise(good))
-    return B.audit_payloads(t.placements.withColumn("body", body), ["board_id"], "body")
+    return B.audit_payloads(t.placed("placement").withColumn("body", body), ["board_id"], "body")
 
 
 @query("b18_coverage_label", sql(

@@ -207,7 +207,7 @@ def w14(t):
     "SELECT board_id, min(board_id) OVER w AS request, count(*) OVER w AS aliases FROM grids JOIN boards USING (board_id) "
     "WINDOW w AS (PARTITION BY grid, orientation)"))
 def w15(t):
-    return W.dedupe_aliases(t.placements.select("board_id", F.sha2("grid", 256).alias("sha"), "orientation"),
+    return W.dedupe_aliases(t.placed("grid").select("board_id", F.sha2("grid", 256).alias("sha"), "orientation"),
                             ["sha", "orientation"], "board_id")
 
 

@@ -36,7 +36,7 @@ def s1(t):
 def _manifest(t):
     entry = F.struct(F.col("board_id").alias("position_id"), (F.col("board_id") % 60 + 1).alias("ply"),
                      F.col("placement").alias("piece_placement"), F.col("conditions").alias("categories"))
-    return t.placements.groupBy("position_id").agg(F.array_sort(F.collect_list(entry)).alias("positions")).select(
+    return t.placed("placement").groupBy("position_id").agg(F.array_sort(F.collect_list(entry)).alias("positions")).select(
         F.lit("corpus").alias("dataset_id"), F.struct(F.col("position_id").alias("group_id"), F.lit("training").alias("split")).alias("group"),
         "positions")
 

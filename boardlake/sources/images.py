@@ -90,9 +90,15 @@ def identify(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def image_catalog(spark: SparkSession, path: str, pattern: str = "*", wanted: DataFrame | None = None) -> DataFrame:
-    """Catalogue a folder; ``wanted`` (a ``path`` table) also reports unreadable files."""
+    """Catalogue a folder; ``wanted`` (``path``, ``length``) also reports unreadable files.
+
+    Spark's file sources skip zero-length files, so emptiness is known from the listing:
+    a wanted path of length 0 is an invalid image, any other one without content could
+    not be read.
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
              .option("recursiveFileLookup", "true").load(path).select("path", "content"))
     if wanted is not None:
-        files = wanted.select("path").join(files, "path", "left")
+        files = wanted.select("path", "length").join(files, "path", "left").select(
+            "path", F.when(F.col("length") == 0, F.unhex(F.lit(""))).otherwise(F.col("content")).alias("content"))
     return identify(files)

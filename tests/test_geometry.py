@@ -61,7 +61,7 @@ def test_route_table_counts(spark):
 
 
 def quad(*p):
-    return G.corner_array([(F.lit(float(x)), F.lit(float(y))) for x, y in p])
+    return [(F.lit(float(x)), F.lit(float(y))) for x, y in p]
 
 
 def test_quad_metrics(spark):

@@ -35,7 +35,7 @@ def test_catalogue(spark, tmp_path):
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
     prefix = f"file:{tmp_path}/"
-    wanted = spark.createDataFrame([(prefix + n,) for n in [*files, "gone.png"]], "path string")
+    wanted = spark.createDataFrame([(prefix + n, len(files.get(n, b"?"))) for n in [*files, "gone.png"]], "path string, length long")
     got = {r.path[len(prefix):]: r for r in image_catalog(spark, str(tmp_path), wanted=wanted).collect()}
     def row(n):
         return (got[n].format, got[n].width, got[n].height, got[n].mode, got[n].error_code)
