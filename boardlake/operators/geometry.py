@@ -22,6 +22,11 @@ def _c(v) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
 
+def norm(x: Column, y: Column) -> Column:
+    """Euclidean length; plain arithmetic is much cheaper than ``hypot`` at board scale."""
+    return F.sqrt(x * x + y * y)
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """Quotient, null for a zero divisor (degenerate shapes have no metric)."""
     return F.try_divide(a, b)
@@ -109,9 +114,9 @@ def quad_errors(df: DataFrame, keys: Sequence[str], expected: Sequence, actual:
     maxima, which stays in generated code; one row per quadrilateral is exchanged.
     """
     e, a = ([(_c(x).cast("double"), _c(y).cast("double")) for x, y in q] for q in (expected, actual))
-    corner = F.greatest(*[F.hypot(p[0] - q[0], p[1] - q[1]) for p, q in zip(e, a)])
-    side = sum((F.hypot(e[i][0] - e[(i + 1) % 4][0], e[i][1] - e[(i + 1) % 4][1]) for i in range(1, 4)),
-               F.hypot(e[0][0] - e[1][0], e[0][1] - e[1][1])) / 4
+    corner = F.greatest(*[norm(p[0] - q[0], p[1] - q[1]) for p, q in zip(e, a)])
+    side = sum((norm(e[i][0] - e[(i + 1) % 4][0], e[i][1] - e[(i + 1) % 4][1]) for i in range(1, 4)),
+               norm(e[0][0] - e[1][0], e[0][1] - e[1][1])) / 4
     maps = {f"_{n}{k}": v for n, q in (("e", e), ("a", a)) for k, v in _coefficients(q).items()}
     carry = carry or {}
     rows = df.select(*keys, corner.alias("corner"), side.alias("side"), *[v.alias(k) for k, v in carry.items()],
@@ -120,7 +125,7 @@ def quad_errors(df: DataFrame, keys: Sequence[str], expected: Sequence, actual:
     u, v = (F.col("_k") % 9) / 8, F.floor(F.col("_k") / 9) / 8
     (ex, ey), (ax, ay) = (project({k: F.col(f"_{n}{k}") for k in "abcdefgh"}, u, v) for n in "ea")
     return grid.groupBy(*keys).agg(
-        F.max("corner").alias("corner"), F.max("side").alias("side"), F.max(F.hypot(ex - ax, ey - ay)).alias("grid"),
+        F.max("corner").alias("corner"), F.max("side").alias("side"), F.max(norm(ex - ax, ey - ay)).alias("grid"),
         *[F.max(k).alias(k) for k in carry])
 
 
@@ -146,7 +151,7 @@ def quad_shape(df: DataFrame, keys: Sequence[str], corners: Sequence[tuple[str,
                limit: float = 1.2) -> DataFrame:
     """Shortest edge, opposite-edge ratio and geometry band."""
     pts = [(F.col(a), F.col(b)) for a, b in corners]
-    edges = [F.hypot(pts[i][0] - pts[(i + 1) % 4][0], pts[i][1] - pts[(i + 1) % 4][1]) for i in range(4)]
+    edges = [norm(pts[i][0] - pts[(i + 1) % 4][0], pts[i][1] - pts[(i + 1) % 4][1]) for i in range(4)]
     ratio = F.greatest(*[safe_div(edges[a], edges[b]) for a, b in ((0, 2), (2, 0), (1, 3), (3, 1))])
     return df.select(*keys, F.round(F.least(*edges), 6).alias("shortest_edge"),
                      F.round(F.least(*edges) / 8, 6).alias("shortest_edge_per_cell"),
@@ -185,7 +190,7 @@ def _segment_point(ax, ay, bx, by, px, py) -> Column:
     length = dx * dx + dy * dy
     t = F.when(length > 0, ((px - ax) * dx + (py - ay) * dy) / length).otherwise(0.0)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return F.hypot(px - ax - t * dx, py - ay - t * dy)
+    return norm(px - ax - t * dx, py - ay - t * dy)
 
 
 def _segment_hits(ax, ay, bx, by, left, top, right, bottom) -> Column:
@@ -199,7 +204,7 @@ def _segment_hits(ax, ay, bx, by, left, top, right, bottom) -> Column:
 def _near_segment(ax, ay, bx, by, left, top, right, bottom, reach) -> Column:
     def outside(px, py):
         zero = F.lit(0.0)
-        return F.hypot(F.greatest(left - px, zero, px - right), F.greatest(top - py, zero, py - bottom))
+        return norm(F.greatest(left - px, zero, px - right), F.greatest(top - py, zero, py - bottom))
     near = F.least(outside(ax, ay), outside(bx, by), *[
         _segment_point(ax, ay, bx, by, x, y) for x in (left, right) for y in (top, bottom)])
     return _segment_hits(ax, ay, bx, by, left, top, right, bottom) | (near < reach)
@@ -230,8 +235,8 @@ def _arrow_parts(df: DataFrame, start: str, end: str, bend: str, width: str) ->
         "_y1": F.when(F.col(bend) == "horizontal-first", F.col("_y0"))
         .when(F.col(bend) == "vertical-first", F.col("_y2")).otherwise(F.col("_y0"))})
     vx, vy = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
-    norm = F.hypot(vx, vy)
-    out = out.withColumns({"_vx": vx / norm, "_vy": vy / norm,
+    size = norm(vx, vy)
+    out = out.withColumns({"_vx": vx / size, "_vy": vy / size,
                            "_len": F.greatest(F.lit(0.30), F.col("_w") * 2.1), "_half": F.col("_w") * 1.5})
     bx, by = F.col("_x2") - F.col("_vx") * F.col("_len"), F.col("_y2") - F.col("_vy") * F.col("_len")
     return out.withColumns({

@@ -215,7 +215,19 @@ def f9(t):
     return X.crop_difference(images(t).withColumn("other", other), ["c_custkey"], "pixels", "other")
 
 
-@query("f10_rectify_pixels")
+_XY = {"x0": "1 + c_custkey % 3", "y0": "1 + c_custkey % 2", "x1": "15 - c_custkey % 2", "y1": "1 + c_custkey % 3", "x2": "15 - c_custkey % 3",
+       "y2": "15 - c_custkey % 2", "x3": "1 + c_custkey % 2", "y3": "14 + c_custkey % 2"}
+_W = "(g * u + h * v + 1)"
+
+
+@query("f10_rectify_pixels", sql(
+    "SELECT c_custkey, t % 8 AS tx, t // 8 AS ty, round(sum(w * p) / sum(w), 6) AS v FROM (SELECT c_custkey, t, (CASE WHEN dx = 1 THEN fx ELSE 1 - fx END) * (CASE WHEN dy = 1 THEN fy ELSE 1 - fy END) "
+    f"AS w, {_PX.format(y='(fy0 + dy)', x='(fx0 + dx)')} AS p FROM (SELECT *, sx - fx0 AS fx, sy - fy0 AS fy FROM (SELECT *, CAST(floor(sx) AS BIGINT) AS fx0, CAST(floor(sy) AS BIGINT) AS fy0 FROM (SELECT *, "
+    f"((x1 - x0 + g * x1) * u + (x3 - x0 + h * x3) * v + x0) / {_W} - 0.5::DOUBLE AS sx, ((y1 - y0 + g * y1) * u + (y3 - y0 + h * y3) * v + y0) / {_W} - 0.5::DOUBLE AS sy FROM (SELECT *, "
+    "(sx_ * dy2 - dx2 * sy_) / (dx1 * dy2 - dx2 * dy1) AS g, (dx1 * sy_ - sx_ * dy1) / (dx1 * dy2 - dx2 * dy1) AS h FROM (SELECT *, x1 - x2 AS dx1, x3 - x2 AS dx2, x0 - x1 + x2 - x3 AS sx_, y1 - y2 AS dy1, "
+    "y3 - y2 AS dy2, y0 - y1 + y2 - y3 AS sy_ FROM (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, "
+    + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _XY.items()) + " FROM customer))), (SELECT range AS t, (range % 8 + 0.5::DOUBLE) / 8 AS u, (range // 8 + 0.5::DOUBLE) / 8 AS v FROM range(64))))), "
+    "(SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy) WHERE fx0 + dx BETWEEN 0 AND 15 AND fy0 + dy BETWEEN 0 AND 15) WHERE w > 0 GROUP BY c_custkey, t"))
 def f10(t):
     rows = images(t).select("c_custkey", F.posexplode("pixels").alias("_i", "v")).select(
         "c_custkey", (F.col("_i") % 16).cast("long").alias("x"), F.floor(F.col("_i") / 16).cast("long").alias("y"), "v")

@@ -72,15 +72,15 @@ def _proj(p, x, y):
 
 _EG, _EH = _hom("ex", "ey")
 _AG, _AH = _hom("ax", "ay")
-_EP, _AP = _proj("e", "ex", "ey"), _proj("a", "ax", "ay")
+_PE, _PA = _proj("e", "ex", "ey"), _proj("a", "ax", "ay")
 _DET = ", ".join(f"ex{i} + j{i} AS ax{i}, ey{i} + j{(i + 1) % 4} AS ay{i}" for i in range(4))
 _SIDE = "(" + " + ".join(f"sqrt((ex{i}-ex{(i + 1) % 4})**2 + (ey{i}-ey{(i + 1) % 4})**2)" for i in range(4)) + ") / 4"
 _CORNER = "greatest(" + ", ".join(f"sqrt((ex{i}-ax{i})**2 + (ey{i}-ay{i})**2)" for i in range(4)) + ")"
 
 
 @query("g2_quad_errors", sql(
-    f"SELECT board_id, round(max(corner), 4) AS max_corner_error, round(max(corner) / max(side), 5) AS corner_board_fraction, round(max(sqrt(({_EP[0]} - "
-    f"{_AP[0]})**2 + ({_EP[1]} - {_AP[1]})**2)) / (max(side) / 8), 5) AS grid_cell_fraction FROM h, (SELECT (range % 9) / 8.0::DOUBLE AS u, "
+    f"SELECT board_id, round(max(corner), 4) AS max_corner_error, round(max(corner) / max(side), 5) AS corner_board_fraction, round(max(sqrt(({_PE[0]} - "
+    f"{_PA[0]})**2 + ({_PE[1]} - {_PA[1]})**2)) / (max(side) / 8), 5) AS grid_cell_fraction FROM h, (SELECT (range % 9) / 8.0::DOUBLE AS u, "
     "(range // 9) / 8.0::DOUBLE AS v FROM range(81)) GROUP BY 1",
     d=f"SELECT *, {_DET} FROM quads WHERE found",
     h=f"SELECT *, {_EG} AS eg, {_EH} AS eh, {_AG} AS ag, {_AH} AS ah, {_CORNER} AS corner, {_SIDE} AS side FROM d"))
@@ -119,28 +119,97 @@ def _arrows(t):
     return t.marks.where("kind = 'arrow'")
 
 
-@query("g5_touched_cells")
+_SHAFTS = (("x0", "y0", "x1", "y1"), ("x1", "y1", "tx", "ty"))
+
+
+def _point_sql(seg, px, py):
+    """Distance of a point to a segment."""
+    ax, ay, bx, by = seg
+    dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
+    t = (f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN {dx} * {dx} + {dy} * {dy} > 0 THEN (({px} - {ax}) * {dx} + ({py} - {ay}) * {dy}) / "
+         f"({dx} * {dx} + {dy} * {dy}) ELSE 0 END))")
+    ox, oy = f"({px} - {ax} - {t} * {dx})", f"({py} - {ay} - {t} * {dy})"
+    return f"sqrt({ox} * {ox} + {oy} * {oy})"
+
+
+def _near_sql(seg):
+    ax, ay, bx, by = seg
+    cross = [f"({bx} - {ax}) * ({y} - {ay}) - ({by} - {ay}) * ({x} - {ax})" for x in ("lf", "rt") for y in ("tp", "bt")]
+    hits = (f"(greatest({ax}, {bx}) >= lf AND least({ax}, {bx}) <= rt AND greatest({ay}, {by}) >= tp AND least({ay}, {by}) <= bt AND "
+            f"greatest({', '.join(cross)}) >= 0 AND least({', '.join(cross)}) <= 0)")
+    def outside(x, y):
+        ox, oy = f"greatest(lf - {x}, 0.0::DOUBLE, {x} - rt)", f"greatest(tp - {y}, 0.0::DOUBLE, {y} - bt)"
+        return f"sqrt({ox} * {ox} + {oy} * {oy})"
+    near = ", ".join([outside(ax, ay), outside(bx, by)] + [_point_sql(seg, x, y) for x in ("lf", "rt") for y in ("tp", "bt")])
+    return f"({hits} OR least({near}) < width / 2)"
+
+
+def _head_sql():
+    pts = [("x2", "y2"), ("lx", "ly"), ("rx", "ry")]
+    xs, ys = ", ".join(p[0] for p in pts), ", ".join(p[1] for p in pts)
+    parts = [f"greatest({xs}) >= lf AND least({xs}) <= rt AND greatest({ys}) >= tp AND least({ys}) <= bt"]
+    for i in range(3):
+        (ax, ay), (bx, by), (cx, cy) = pts[i], pts[(i + 1) % 3], pts[(i + 2) % 3]
+        def side(x, y):
+            return f"(({bx} - {ax}) * ({y} - {ay}) - ({by} - {ay}) * ({x} - {ax}))"
+        parts.append("greatest(" + ", ".join(f"{side(x, y)} * sign({side(cx, cy)})" for x in ("lf", "rt") for y in ("tp", "bt")) + ") >= 0")
+    return "(" + " AND ".join(parts) + ")"
+
+
+def _parts_sql(source, keep):
+    return (f"SELECT *, bx + vx * width * 0.4::DOUBLE AS tx, by_ + vy * width * 0.4::DOUBLE AS ty, bx - vy * half AS lx, by_ + vx * half AS ly, bx + vy * half AS rx, "
+            "by_ - vx * half AS ry FROM (SELECT *, x2 - vx * len AS bx, y2 - vy * len AS by_ FROM (SELECT *, (x2 - x1) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * "
+            "(y2 - y1)) AS vx, (y2 - y1) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS vy, greatest(0.3::DOUBLE, width * 2.1::DOUBLE) AS len, width * "
+            "1.5::DOUBLE AS half FROM (SELECT *, CASE WHEN bend = 'horizontal-first' THEN x2 ELSE x0 END AS x1, CASE WHEN bend = 'vertical-first' THEN y2 ELSE y0 END AS y1 "
+            f"FROM (SELECT {keep}, sq1 % 8 + 0.5::DOUBLE AS x0, sq1 // 8 + 0.5::DOUBLE AS y0, sq2 % 8 + 0.5::DOUBLE AS x2, sq2 // 8 + 0.5::DOUBLE AS y2, bend, "
+            f"CAST(width AS DOUBLE) AS width FROM {source}))))")
+
+
+def _touch_sql(parts, keep, halo):
+    return (f"SELECT {keep}, idx FROM (SELECT *, i % 8 - {halo}::DOUBLE AS lf, i // 8 - {halo}::DOUBLE AS tp, i % 8 - {halo}::DOUBLE + 1 + 2 * {halo}::DOUBLE AS rt, "
+            f"i // 8 - {halo}::DOUBLE + 1 + 2 * {halo}::DOUBLE AS bt, i AS idx FROM {parts}, idx) WHERE " + " OR ".join([*map(_near_sql, _SHAFTS), _head_sql()]))
+
+
+_AR = "SELECT * FROM marks WHERE kind = 'arrow'"
+_AP = _parts_sql("ar", "board_id, mark_no")
+
+
+@query("g5_touched_cells", sql("SELECT * FROM tc", ar=_AR, ap=_AP, tc=_touch_sql("ap", "board_id, mark_no", "0.0625")))
 def g5(t):
     return G.with_touched(_arrows(t), ["board_id", "mark_no"], "sq1", "sq2", "bend", "width")
 
 
-@query("g5_crossing_cells")
+_POINT = "idx % 8 + (p % 16 + 0.5::DOUBLE) / 16 AS px, idx // 8 + (p // 16 + 0.5::DOUBLE) / 16 AS py"
+_ALONG, _OFF = "((x2 - px) * vx + (y2 - py) * vy)", "abs((px - x2) * vy - (py - y2) * vx)"
+
+
+@query("g5_crossing_cells", sql(
+    "SELECT DISTINCT position_id, idx FROM (SELECT position_id, idx, p FROM (SELECT *, " + _POINT + " FROM ap JOIN busy USING (position_id), (SELECT range AS p FROM range(256))) "
+    f"WHERE least({_point_sql(_SHAFTS[0], 'px', 'py')}, {_point_sql(_SHAFTS[1], 'px', 'py')}) <= width / 2 OR ({_ALONG} >= 0 AND {_ALONG} <= len AND {_OFF} <= {_ALONG} / len * half) "
+    "GROUP BY 1, 2, 3 HAVING count(DISTINCT mark_no) > 1)",
+    ar="SELECT board_id // 4 AS position_id, board_id AS mark_no, sq1, sq2, bend, width FROM marks WHERE kind = 'arrow'",
+    ap=_parts_sql("ar", "position_id, mark_no"), tc=_touch_sql("ap", "position_id, mark_no", "0.0"),
+    busy="SELECT position_id, idx FROM tc GROUP BY 1, 2 HAVING count(DISTINCT mark_no) > 1"))
 def g5b(t):
     arrows = _arrows(t).select(
         F.floor(F.col("board_id") / 4).alias("position_id"), F.col("board_id").alias("mark_no"), "sq1", "sq2", "bend", "width")
     return G.crossing_cells(arrows, "position_id", "mark_no", "sq1", "sq2", "bend", "width")
 
 
-@query("g6_cell_tags")
+_TAGS = ("SELECT board_id, i AS idx, 'clean-control' AS tag FROM boards, idx WHERE conditions = ['clean'] UNION SELECT board_id, sq1, "
+         "'arrow-start' FROM marks WHERE kind = 'arrow' UNION SELECT board_id, sq2, 'arrow-tip' FROM marks WHERE kind = 'arrow' UNION "
+         "SELECT board_id, unnest([sq1, sq2]), kind FROM marks WHERE kind <> 'arrow'")
+
+
+@query("g6_cell_tags", sql(
+    _TAGS + " UNION SELECT board_id, idx, 'arrow-touch' FROM tc UNION SELECT board_id, idx, 'arrow-with-other-mark' FROM tc SEMI JOIN (SELECT board_id, unnest([sq1, sq2]) AS "
+    "idx FROM marks WHERE kind <> 'arrow') USING (board_id, idx)", ar=_AR, ap=_AP, tc=_touch_sql("ap", "board_id, mark_no", "0.0")))
 def g6(t):
     return G.cell_tags(t.boards, t.marks, "board_id", F.col("conditions") == F.array(F.lit("clean")), "mark_no", "kind",
                        "sq1", "sq2", "bend", "width")
 
 
-@query("g6_mark_tags", sql(
-    "SELECT board_id, i AS idx, 'clean-control' AS tag FROM boards, idx WHERE conditions = ['clean'] UNION SELECT board_id, sq1, "
-    "'arrow-start' FROM marks WHERE kind = 'arrow' UNION SELECT board_id, sq2, 'arrow-tip' FROM marks WHERE kind = 'arrow' UNION "
-    "SELECT board_id, unnest([sq1, sq2]), kind FROM marks WHERE kind <> 'arrow'"))
+@query("g6_mark_tags", sql(_TAGS))
 def g6b(t):
     return g6(t).where(~F.col("tag").isin("arrow-touch", "arrow-crossing", "arrow-with-other-mark"))
 
@@ -165,7 +234,10 @@ def w12(t):
     return W.arrow_plan(boards, G.route_table(t.spark, _WIDTHS), "board_id", "mask", F.col("status") == "F", 17)
 
 
-@query("c18_arrow_coverage")
+@query("c18_arrow_coverage", sql(
+    "SELECT * FROM (SELECT board_id, count(*) AS touched, count(*) FILTER (o) AS occupied, count(*) FILTER (NOT o) AS empty, CASE WHEN board_id % 2 = 0 THEN 'arrow-piece' ELSE "
+    "'arrow-empty' END AS \"case\" FROM (SELECT tc.board_id, class_id <> 0 AS o FROM tc JOIN cells c ON c.board_id = tc.board_id AND c.idx = tc.idx) GROUP BY 1) WHERE CASE WHEN "
+    "\"case\" = 'arrow-empty' THEN occupied > 0 ELSE occupied = 0 END", ar=_AR, ap=_AP, tc=_touch_sql("ap", "board_id, mark_no", "0.0625")))
 def c18(t):
     """Recorded coverage against recomputed cells: boards whose annotation disagrees."""
     arrows = _arrows(t)
