@@ -184,30 +184,30 @@ def layout_variants(df: DataFrame, keys: Sequence[str], carry: Sequence[str],
     return df.select(*keys, *carry, F.inline(rows))
 
 
-def _segment_point(ax, ay, bx, by, px, py) -> Column:
-    """Distance of a point to a segment."""
-    dx, dy = bx - ax, by - ay
-    length = dx * dx + dy * dy
-    t = F.when(length > 0, ((px - ax) * dx + (py - ay) * dy) / length).otherwise(0.0)
+def _segment_point(seg, px, py) -> Column:
+    """Distance of a point to a segment (start, direction, squared length)."""
+    ax, ay, dx, dy, length = seg
+    t = F.when(length > 0, safe_div((px - ax) * dx + (py - ay) * dy, length)).otherwise(0.0)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     return norm(px - ax - t * dx, py - ay - t * dy)
 
 
-def _segment_hits(ax, ay, bx, by, left, top, right, bottom) -> Column:
-    """Separating-axis test of a segment against an axis-parallel rectangle."""
+def _near_segment(seg, end, left, top, right, bottom, reach) -> Column:
+    """Segment meets the rectangle (separating axes), or passes within ``reach`` of it."""
+    ax, ay, dx, dy, _ = seg
+    bx, by = end
     boxes = (F.greatest(ax, bx) >= left) & (F.least(ax, bx) <= right) \
         & (F.greatest(ay, by) >= top) & (F.least(ay, by) <= bottom)
-    sides = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x in (left, right) for y in (top, bottom)]
-    return boxes & (F.greatest(*sides) >= 0) & (F.least(*sides) <= 0)
+    sides = [dx * (y - ay) - dy * (x - ax) for x in (left, right) for y in (top, bottom)]
+    hits = boxes & (F.greatest(*sides) >= 0) & (F.least(*sides) <= 0)
 
-
-def _near_segment(ax, ay, bx, by, left, top, right, bottom, reach) -> Column:
     def outside(px, py):
         zero = F.lit(0.0)
         return norm(F.greatest(left - px, zero, px - right), F.greatest(top - py, zero, py - bottom))
+
     near = F.least(outside(ax, ay), outside(bx, by), *[
-        _segment_point(ax, ay, bx, by, x, y) for x in (left, right) for y in (top, bottom)])
-    return _segment_hits(ax, ay, bx, by, left, top, right, bottom) | (near < reach)
+        _segment_point(seg, x, y) for x in (left, right) for y in (top, bottom)])
+    return hits | (near < reach)
 
 
 def _triangle_hits(pts, left, top, right, bottom) -> Column:
@@ -239,33 +239,49 @@ def _arrow_parts(df: DataFrame, start: str, end: str, bend: str, width: str) ->
     out = out.withColumns({"_vx": vx / size, "_vy": vy / size,
                            "_len": F.greatest(F.lit(0.30), F.col("_w") * 2.1), "_half": F.col("_w") * 1.5})
     bx, by = F.col("_x2") - F.col("_vx") * F.col("_len"), F.col("_y2") - F.col("_vy") * F.col("_len")
-    return out.withColumns({
+    out = out.withColumns({
         "_tx": bx + F.col("_vx") * F.col("_w") * 0.4, "_ty": by + F.col("_vy") * F.col("_w") * 0.4,
         "_lx": bx - F.col("_vy") * F.col("_half"), "_ly": by + F.col("_vx") * F.col("_half"),
         "_rx": bx + F.col("_vy") * F.col("_half"), "_ry": by - F.col("_vx") * F.col("_half")})
+    out = out.withColumns({"_ax": F.col("_x1") - F.col("_x0"), "_ay": F.col("_y1") - F.col("_y0"),
+                           "_bx": F.col("_tx") - F.col("_x1"), "_by": F.col("_ty") - F.col("_y1")})
+    return out.withColumns({n: F.col(f"_{k}x") * F.col(f"_{k}x") + F.col(f"_{k}y") * F.col(f"_{k}y")
+                            for n, k in (("_aq", "a"), ("_bq", "b"))})
 
 
-_PARTS = ["_x0", "_y0", "_x1", "_y1", "_x2", "_y2", "_w", "_vx", "_vy", "_len", "_half", "_tx", "_ty",
-          "_lx", "_ly", "_rx", "_ry"]
+_SHAFT = ("_x0", "_y0", "_ax", "_ay", "_aq")
+_BEND = ("_x1", "_y1", "_bx", "_by", "_bq")
 
 
-def touched_cells(marks: DataFrame, start: str, end: str, bend: str, width: str,
+def _cols(names: Sequence[str]) -> list[Column]:
+    return [F.col(n) for n in names]
+
+
+def touched_masks(marks: DataFrame, start: str, end: str, bend: str, width: str,
                   halo: float = 4 / 64) -> DataFrame:
-    """(start, end, bend, width, idx) rows: cells met by shaft, bend or head plus a halo.
+    """Distinct arrow shapes with the 64-bit mask of cells met by shaft, bend, head and halo.
 
-    Computed once per distinct arrow shape; join the result back on the four columns.
+    Each shape is tested once against 64 cells; the bits are or-ed as primitives, so only
+    one long per shape is exchanged.
     """
-    shapes = marks.select(start, end, bend, width).distinct()
-    p = _arrow_parts(shapes, start, end, bend, width).select(
-        "*", F.explode(literal_array(range(64)).cast("array<bigint>")).alias("idx"))
-    left, top = F.col("idx") % 8 - halo, F.floor(F.col("idx") / 8) - halo
+    shape = [start, end, bend, width]
+    p = _arrow_parts(marks.select(*shape).distinct(), *shape).select(
+        "*", F.explode(literal_array(range(64)).cast("array<bigint>")).alias("_i"))
+    left, top = F.col("_i") % 8 - halo, F.floor(F.col("_i") / 8) - halo
     rect = (left, top, left + 1 + 2 * halo, top + 1 + 2 * halo)
-    v = {n: F.col(n) for n in _PARTS}
-    reach = v["_w"] / 2
-    first = _near_segment(v["_x0"], v["_y0"], v["_x1"], v["_y1"], *rect, reach)
-    second = _near_segment(v["_x1"], v["_y1"], v["_tx"], v["_ty"], *rect, reach)
-    head = _triangle_hits([(v["_x2"], v["_y2"]), (v["_lx"], v["_ly"]), (v["_rx"], v["_ry"])], *rect)
-    return p.where(first | second | head).select(start, end, bend, width, "idx")
+    reach = F.col("_w") / 2
+    hit = (_near_segment(_cols(_SHAFT), _cols(("_x1", "_y1")), *rect, reach)
+           | _near_segment(_cols(_BEND), _cols(("_tx", "_ty")), *rect, reach)
+           | _triangle_hits([_cols(c) for c in (("_x2", "_y2"), ("_lx", "_ly"), ("_rx", "_ry"))], *rect))
+    bit = F.when(hit, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_i").cast("int")))
+    return p.groupBy(*shape).agg(F.bit_or(bit).alias("touched"))
+
+
+def touched_cells(marks: DataFrame, start: str, end: str, bend: str, width: str,
+                  halo: float = 4 / 64) -> DataFrame:
+    """(start, end, bend, width, idx) rows of :func:`touched_masks`."""
+    m = touched_masks(marks, start, end, bend, width, halo)
+    return m.select(start, end, bend, width, F.explode(mask_cells("touched")).alias("idx"))
 
 
 def with_touched(marks: DataFrame, keys: Sequence[str], start: str, end: str, bend: str, width: str,
@@ -288,10 +304,12 @@ def route_table(spark: SparkSession, widths: Sequence[float], halo: float = 4 /
             F.col("geometry") == "knight", literal_array(["horizontal-first", "vertical-first"]))
             .otherwise(F.array(F.lit(None).cast("string")))).alias("bend"))
     routes = routes.select("*", F.explode(literal_array(widths)).alias("width"))
-    cells = with_touched(routes, ["geometry", "start", "end", "bend", "width"], "start", "end", "bend",
-                         "width", halo)
-    bit = F.expr("shiftleft(1L, cast(idx as int))")
-    return cells.groupBy("geometry", "start", "end", "bend", "width").agg(F.bit_or(bit).alias("touched"))
+    masks = touched_masks(routes, "start", "end", "bend", "width", halo)
+    dx = F.abs(F.col("end") % 8 - F.col("start") % 8)
+    dy = F.abs(F.floor(F.col("end") / 8) - F.floor(F.col("start") / 8))
+    geometry = (F.when(F.col("bend").isNotNull(), "knight").when(dy == 0, "horizontal")
+                .when(dx == 0, "vertical").otherwise("diagonal"))
+    return masks.withColumn("geometry", geometry)
 
 
 def occupied_mask(grid: Column | str) -> Column:
@@ -321,12 +339,10 @@ def crossing_cells(marks: DataFrame, board: str, mark: str, start: str, end: str
     at = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(points * points - 1))).alias("_p"))
     px = F.col("idx") % 8 + (F.col("_p") % points + 0.5) / points
     py = F.floor(F.col("idx") / 8) + (F.floor(F.col("_p") / points) + 0.5) / points
-    v = {n: F.col(n) for n in _PARTS}
-    shaft = F.least(_segment_point(v["_x0"], v["_y0"], v["_x1"], v["_y1"], px, py),
-                    _segment_point(v["_x1"], v["_y1"], v["_tx"], v["_ty"], px, py)) <= v["_w"] / 2
-    along = (v["_x2"] - px) * v["_vx"] + (v["_y2"] - py) * v["_vy"]
-    off = F.abs((px - v["_x2"]) * v["_vy"] - (py - v["_y2"]) * v["_vx"])
-    head = (along >= 0) & (along <= v["_len"]) & (off <= along / v["_len"] * v["_half"])
+    shaft = F.least(_segment_point(_cols(_SHAFT), px, py), _segment_point(_cols(_BEND), px, py)) <= F.col("_w") / 2
+    along = (F.col("_x2") - px) * F.col("_vx") + (F.col("_y2") - py) * F.col("_vy")
+    off = F.abs((px - F.col("_x2")) * F.col("_vy") - (py - F.col("_y2")) * F.col("_vx"))
+    head = (along >= 0) & (along <= F.col("_len")) & (off <= along / F.col("_len") * F.col("_half"))
     return (at.where(shaft | head).groupBy(board, "idx", "_p").agg(F.countDistinct(mark).alias("_n"))
             .where("_n > 1").select(board, "idx").distinct())
 
