@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlake.functions.constants import BLACK
 from boardlake.functions.placement import let, literal_array
 
 ONE = "*"
@@ -330,8 +329,10 @@ def crossing_cells(marks: DataFrame, board: str, mark: str, start: str, end: str
                    width: str, points: int = 16) -> DataFrame:
     """Cells where the strokes of two arrows of a board overlap.
 
-    Only cells touched by at least two arrows are sampled on a ``points`` grid; a point
-    covered twice marks the cell.
+    Only cells touched by at least two arrows are sampled on a ``points`` grid. A point is
+    covered once per arrow, so two strokes overlap where more points were covered than
+    differ: one count and a few or-ed words per cell, combined before the exchange.
+    ``mark`` is unique within its board.
     """
     touched = with_touched(marks, [board, mark, start, end, bend, width], start, end, bend, width, 0.0)
     busy = touched.groupBy(board, "idx").agg(F.countDistinct(mark).alias("_n")).where("_n > 1").drop("_n")
@@ -343,8 +344,12 @@ def crossing_cells(marks: DataFrame, board: str, mark: str, start: str, end: str
     along = (F.col("_x2") - px) * F.col("_vx") + (F.col("_y2") - py) * F.col("_vy")
     off = F.abs((px - F.col("_x2")) * F.col("_vy") - (py - F.col("_y2")) * F.col("_vx"))
     head = (along >= 0) & (along <= F.col("_len")) & (off <= along / F.col("_len") * F.col("_half"))
-    return (at.where(shaft | head).groupBy(board, "idx", "_p").agg(F.countDistinct(mark).alias("_n"))
-            .where("_n > 1").select(board, "idx").distinct())
+    words = range((points * points + 63) // 64)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_p") % 64).cast("int"))
+    covered = at.where(shaft | head).groupBy(board, "idx").agg(
+        F.count(ONE).alias("_n"), *[F.bit_or(F.when(F.floor(F.col("_p") / 64) == w, bit)).alias(f"_w{w}") for w in words])
+    distinct = sum((F.coalesce(F.bit_count(f"_w{w}"), F.lit(0)) for w in words), F.lit(0))
+    return covered.where(F.col("_n") > distinct).select(board, "idx")
 
 
 def cell_tags(boards: DataFrame, marks: DataFrame, board: str, is_clean: Column, mark: str, kind: str,
@@ -367,7 +372,3 @@ def cell_tags(boards: DataFrame, marks: DataFrame, board: str, is_clean: Column,
     for part in (touch, ends, others, cross, both):
         rows = rows.unionByName(part.select(board, "idx", "tag"))
     return rows.distinct()
-
-
-def visual_index(idx: Column, orientation: Column) -> Column:
-    return F.when(orientation == BLACK, 63 - idx).otherwise(idx)

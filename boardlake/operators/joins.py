@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from boardlake.functions.hashing import bucket_rank
 from boardlake.functions.placement import literal_array
 from boardlake.functions.rules import differs, violations
+from boardlake.session import cut_lineage
 
 ONE = "*"  # counted as rows; a name, so importing needs no session
 
@@ -136,7 +137,8 @@ def nearest_position(sessions: DataFrame, samples: DataFrame, session_id: str, s
     by an equi-join (distance 0). The rest, an intake batch, are compared in blocks of
     ``block`` grids: each block is shipped to the tasks that scan the distinct samples,
     which return one best row per session and task. Memory per task is one block,
-    whatever the number of sessions, and no pair is ever materialised.
+    whatever the number of sessions, and no pair is ever materialised. The numbering is
+    checkpointed, so a lost executor does not recompute it for every block.
     """
     distinct = samples.groupBy(grid).agg(F.count(ONE).alias("_n"), F.min(sample_id).alias("_first"))
     wanted = sessions.select(session_id, grid)
@@ -144,8 +146,8 @@ def nearest_position(sessions: DataFrame, samples: DataFrame, session_id: str, s
         session_id, F.lit(0).cast("long").alias("distance"), F.col("_n").alias("nearest_samples"),
         F.col("_first").alias("first_nearest"))
     open_grids = wanted.join(distinct.select(grid), grid, "left_anti").select(grid).distinct()
-    numbered = bucket_rank(open_grids, [], F.conv(F.substring(F.sha2(grid, 256), 1, 2), 16, 10),
-                           [F.sha2(grid, 256)], out="_no").persist()
+    numbered = cut_lineage(bucket_rank(
+        open_grids, [], F.conv(F.substring(F.sha2(grid, 256), 1, 2), 16, 10), [F.sha2(grid, 256)], out="_no"))
     total = numbered.agg(F.max("_no")).first()[0] or 0
     best = None
     for low in range(0, total, block):

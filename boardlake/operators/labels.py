@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardlake.functions import placement as P
-from boardlake.functions.constants import BLACK, ERROR_STATUS, FAILED, SYMBOLS
+from boardlake.functions.constants import ERROR_STATUS, SYMBOLS
 from boardlake.functions.rules import violations
 
 
@@ -213,9 +213,7 @@ def control_mask(cohort: str, conditions: str, policy: str) -> Column:
     return ~F.array_contains(conditions, "arrow")
 
 
-def failed_to_null(class_id: str) -> Column:
-    return F.when(F.col(class_id) != FAILED, F.col(class_id))
-
-
-def is_black(orientation: str) -> Column:
-    return F.col(orientation) == BLACK
+def baseline_exact(cells: DataFrame, expected: str, predicted: str, board: str) -> DataFrame:
+    """Control boards of the third policy: those the baseline reads without error."""
+    ok = F.col(expected).eqNullSafe(F.col(predicted))
+    return cells.groupBy(board).agg(F.bool_and(ok).alias("_ok")).where("_ok").select(board)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardlake.functions.constants import BACKGROUNDS, CLASSES, FAILED, N_CLASSES
+from boardlake.functions.constants import BACKGROUNDS, FAILED, N_CLASSES
 from boardlake.functions.placement import background, class_label, literal_array
 
 ONE = "*"  # counted as rows; a name, so importing needs no session

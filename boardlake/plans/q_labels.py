@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from boardlake.functions import placement as P
-from boardlake.functions.constants import ERROR_STATUS, SYMBOLS
+from boardlake.functions.constants import ERROR_STATUS
 from boardlake.operators import labels as B
 from boardlake.operators import setops as S
 from boardlake.plans.fixtures import expand_sql
@@ -270,6 +270,11 @@ def b19(t):
                      B.control_mask("cohort", "conditions", "arrow-free").alias("arrow_free"))
 
 
+@query("b19_baseline_exact", sql("SELECT board_id FROM cells GROUP BY 1 HAVING bool_and(class_id = pred_id)"))
+def b19b(t):
+    return B.baseline_exact(t.cells, "class_id", "pred_id", "board_id")
+
+
 @query("o1_ordered", sql("SELECT config_id, board_id, split FROM boards ORDER BY 1, 2"))
 def o1(t):
     return S.ordered(t.boards.select("config_id", "board_id", "split"), ["config_id", "board_id"])

@@ -8,6 +8,7 @@ from boardlake.operators import sampling as W
 from boardlake.operators.joins import arrow_routes
 from boardlake.plans.q_metrics import BACKGROUND
 from boardlake.plans.registry import query, sql
+from boardlake.session import cut_lineage
 
 
 def digest(*parts):
@@ -170,7 +171,7 @@ _CLS = [(c, b) for c in range(13) for b in ("light", "dark")]
        "(SELECT range AS trial FROM range(200)))"))
 def w10(t):
     nation = t.customer.select(F.col("c_custkey").alias("group_id"), "c_nationkey")
-    profile = W.group_profile(t.cells.join(nation, "group_id"), "c_nationkey", "class_id", "idx").persist()
+    profile = cut_lineage(W.group_profile(t.cells.join(nation, "group_id"), "c_nationkey", "class_id", "idx"))
     total = sum(F.sum(f"c{c}_{b}") for c, b in _CLS)
     minimum = profile.agg(F.floor(total / 260)).first()[0]
     return W.assign_splits(profile, "c_nationkey", _SIZES, minimum, 3, 200)
