@@ -346,8 +346,10 @@ def crossing_cells(marks: DataFrame, board: str, mark: str, start: str, end: str
     head = (along >= 0) & (along <= F.col("_len")) & (off <= along / F.col("_len") * F.col("_half"))
     words = range((points * points + 63) // 64)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_p") % 64).cast("int"))
-    covered = at.where(shaft | head).groupBy(board, "idx").agg(
-        F.count(ONE).alias("_n"), *[F.bit_or(F.when(F.floor(F.col("_p") / 64) == w, bit)).alias(f"_w{w}") for w in words])
+    # A projected column, not a filter: shared terms of the distances are evaluated once.
+    inside = at.select(board, "idx", F.floor(F.col("_p") / 64).alias("_word"), F.when(shaft | head, bit).alias("_bit"))
+    covered = inside.groupBy(board, "idx").agg(
+        F.count("_bit").alias("_n"), *[F.bit_or(F.when(F.col("_word") == w, F.col("_bit"))).alias(f"_w{w}") for w in words])
     distinct = sum((F.coalesce(F.bit_count(f"_w{w}"), F.lit(0)) for w in words), F.lit(0))
     return covered.where(F.col("_n") > distinct).select(board, "idx")
 
