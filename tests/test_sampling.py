@@ -88,3 +88,20 @@ def test_first_passing_trial(spark):
             keep = first
     assert keep == first
     assert W.assign_splits(p, "g", sizes, 99, 1, 20).count() == 0
+
+
+def test_arrow_plan_fits_its_case(spark):
+    from boardlake.operators.geometry import route_table
+    routes = route_table(spark, [0.14]).persist()
+    masks = {r.geometry: r.m for r in routes.groupBy("geometry").agg(F.collect_list("touched").alias("m")).collect()}
+    rows = [(i, m, e) for i, (m, e) in enumerate([(0, True), (0, False), (-1, True), (-1, False), (255, True), (255, False),
+                                                   (0x00FF00000000FF00, True), (0x00FF00000000FF00, False)] * 4)]
+    df = spark.createDataFrame(rows, "b long, mask long, e boolean")
+    got = {r.b: r for r in W.arrow_plan(df, routes, "b", "mask", F.col("e"), 3).collect()}
+    assert len(got) == len(rows)
+    for b, mask, empty in rows:
+        fits = [t for t in masks[got[b].geometry] if ((t & mask) == 0) == empty]
+        if fits:
+            assert got[b].touched in fits and got[b].reason is None
+        else:
+            assert got[b].touched is None and got[b].reason == "no-route"
