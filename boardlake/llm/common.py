@@ -44,3 +44,11 @@ def own_column(df: DataFrame, base: str) -> str:
 
 def partitions_for(rows: int, per_task: int, least: int = 1) -> int:
     return max(least, -(-rows // per_task))
+
+
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Broadcast a stored table of ids or other short rows if it has at most ``rows`` rows.
+
+    Beyond that it is left to a shuffled join, which adaptive execution splits where it is skewed.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
