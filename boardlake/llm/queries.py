@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boardlake.llm import decontaminate, html_text, quality, simhash, tokens, topk, url_filter
+from boardlake.llm import decontaminate, html_text, quality, simhash, suffix_dedup, tokens, topk, url_filter
 from boardlake.llm.common import table
 
 
@@ -36,12 +36,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op4_decontaminate, op5_quality, op6_top_k, op7_html_text, op8_token_counts, op10_url_filter)}
+    f.__name__: f for f in (op1_simhash, op4_decontaminate, op5_quality, op6_top_k, op7_html_text, op8_token_counts, op9_suffix_dedup, op10_url_filter)}
 
 OP6_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
