@@ -185,3 +185,16 @@ def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
         run, f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` with a score of at least 0.5, all columns as they are; nothing is joined."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        net = shared.value
+        for batch in batches:
+            good = [probability((t.as_py() or "").encode(), net) >= 0.5 for t in batch.column(at)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boardlake.llm import decontaminate, html_text, quality, simhash, suffix_dedup, tokens, topk, url_filter
+from boardlake.llm import decontaminate, html_text, line_dedup, mixing, quality, simhash, suffix_dedup, tokens, topk, url_filter
 from boardlake.llm.common import table
 
 
@@ -15,6 +16,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op4_decontaminate, op5_quality, op6_top_k, op7_html_text, op8_token_counts, op9_suffix_dedup, op10_url_filter)}
+    f.__name__: f for f in (op1_simhash, op2_mixing, op3_line_dedup, op4_decontaminate, op5_quality, op6_top_k, op7_html_text, op8_token_counts, op9_suffix_dedup, op10_url_filter)}
 
 OP6_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -80,4 +91,29 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_top_k": OP6_SQL}
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
+s AS (SELECT source, CAST(sum(n) AS BIGINT) AS tokens FROM d GROUP BY source HAVING sum(n) > 0),
+w AS (SELECT sum(tokens) AS total, count(*) AS k FROM s),
+p AS (SELECT source, tokens, ln(tokens / CAST(total AS DOUBLE)) AS lp, CAST(total AS DOUBLE) AS total, k FROM s, w),
+g1 AS (SELECT a, sum(exp(lp * a / 1e6)) AS z, sum(exp(lp * a / 1e6) * lp) AS zl, max(exp(lp * a / 1e6) * total / tokens)
+              AS worst, max(k) AS k FROM p, (SELECT unnest(range(0, 1000001, 1000)) AS a) GROUP BY a),
+f1 AS (SELECT coalesce(min(a), 1000000) AS a FROM g1
+       WHERE ln(z) - a / 1e6 * zl / z <= 0.95 * ln(k) + 1e-12 AND worst / z <= 4.0 + 1e-9),
+g2 AS (SELECT a, sum(exp(lp * a / 1e6)) AS z, sum(exp(lp * a / 1e6) * lp) AS zl, max(exp(lp * a / 1e6) * total / tokens)
+              AS worst, max(k) AS k FROM p, (SELECT unnest(range(greatest(0, a - 1000), a + 1)) AS a FROM f1) GROUP BY a),
+e AS (SELECT coalesce(min(a), 1000000) / 1e6 AS a FROM g2
+      WHERE ln(z) - a / 1e6 * zl / z <= 0.95 * ln(k) + 1e-12 AND worst / z <= 4.0 + 1e-9),
+u AS (SELECT source, tokens, total, exp(lp * e.a) AS x FROM p, e),
+t AS (SELECT source, tokens, CAST(round(x / (SELECT sum(x) FROM u) * total) AS BIGINT) AS target FROM u),
+b AS (SELECT d.doc_id, d.source, d.n, t.tokens, t.target,
+             unnest(range(0, CAST(ceil(t.target / CAST(t.tokens AS DOUBLE)) AS BIGINT))) AS block
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE t.target > 0),
+o AS (SELECT *, row_number() OVER x AS position, sum(n) OVER x AS run FROM b
+      WINDOW x AS (PARTITION BY source, block ORDER BY sha256('7|' || block || '|' || coalesce(CAST(doc_id AS VARCHAR), '')),
+                   doc_id, n ROWS UNBOUNDED PRECEDING))
+SELECT source, CAST(block AS INTEGER) AS block, position, doc_id, n AS n_tokens FROM o
+WHERE block * tokens + run - n < target
+"""
+
+ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_decontaminate": OP4_SQL, "op6_top_k": OP6_SQL}
