@@ -7,6 +7,7 @@ N_CLASSES = len(CLASSES)
 CELLS = 64
 FAILED = -1  # class id of a cell whose board could not be processed
 FAILED_SYMBOL = "?"
+# Square colours, partitions and views.
 BACKGROUNDS = ("light", "dark")
 SPLITS = ("training", "validation", "evaluation")
 WHITE, BLACK = "white-bottom", "black-bottom"

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 
 def broken(problems: Mapping[str, Column]) -> Column:
-    """Array of the names whose condition holds."""
-    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in problems.items()]))
+    """Array of the names whose condition holds or cannot be decided (null): rules fail closed."""
+    return F.array_compact(F.array(*[F.when(~c.eqNullSafe(F.lit(False)), F.lit(n)) for n, c in problems.items()]))
 
 
 def violations(df: DataFrame, keys: Sequence[str], problems: Mapping[str, Column]) -> DataFrame:
-    """One row per key and broken rule; a null condition counts as kept."""
+    """One row per key and broken rule; a null condition counts as broken."""
     return df.select(*keys, F.explode(broken(problems)).alias("problem"))
 
 

@@ -12,21 +12,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardlake.functions.constants import BACKGROUNDS, MARK_KINDS, N_CLASSES
-from boardlake.functions.placement import background, literal_array
+from boardlake.functions.constants import BACKGROUNDS, MARK_KINDS, N_CLASSES, SPLITS
+from boardlake.functions.placement import background, literal_array, square_index
 from boardlake.functions.rules import differs, violations
 
 ONE = "*"  # counted as rows; a name, so importing needs no session
 
 
-def unpivot(df: DataFrame, keep: Sequence[str], kinds: Mapping[str, str]) -> DataFrame:
-    """(kind, value) rows for the named columns; unknown (null) values are dropped."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value"))
-                      for k, c in kinds.items()])
+def unpivot(df: DataFrame, keep: Sequence[str], kinds: Mapping[str, str | Sequence[str]]) -> DataFrame:
+    """(kind, value) rows for the named columns; unknown (null) values are dropped.
+
+    A kind may name several columns: they share one namespace, so a value in any of them meets the
+    same value in any other. A row gives each (kind, value) once.
+    """
+    named = [(k, c) for k, cols in kinds.items() for c in ([cols] if isinstance(cols, str) else cols)]
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in named])
+    if len(named) > len(kinds):
+        pairs = F.array_distinct(pairs)
     return df.select(*keep, F.inline(pairs)).where(F.col("value").isNotNull())
 
 
-def split_leaks(df: DataFrame, split: str, kinds: Mapping[str, str]) -> DataFrame:
+def split_leaks(df: DataFrame, split: str, kinds: Mapping[str, str | Sequence[str]]) -> DataFrame:
     """Keys seen in more than one partition."""
     return (unpivot(df, [split], kinds).groupBy("kind", "value")
             .agg(F.array_join(F.array_sort(F.collect_set(split)), ",").alias("splits"),
@@ -50,11 +56,11 @@ def first_examples(df: DataFrame, by: Sequence[str], example: str, k: int = 3) -
 
 
 def overlap_audit(train: DataFrame, reserved: DataFrame, row_id: str,
-                  kinds: Mapping[str, str]) -> DataFrame:
+                  kinds: Mapping[str, str | Sequence[str]]) -> DataFrame:
     """Training rows sharing any identity with reserved data, with three reserved examples.
 
-    ``row_id`` is unique, and a kind appears once per row. A reserved key keeps three
-    rows before the exchange, however many rows hold it.
+    ``row_id`` is unique. A reserved key keeps three rows before the exchange, however many
+    rows hold it. A row with two shared values of one kind is returned for each of them.
     """
     right = first_examples(unpivot(reserved, [row_id], kinds), ["kind", "value"], row_id)
     left = unpivot(train, [row_id], kinds)
@@ -84,12 +90,15 @@ def reservation_violations(df: DataFrame, reserved: DataFrame, keys: Sequence[st
 
 
 def addition_violations(old: DataFrame, new: DataFrame, row_id: str, split: str, group: str,
-                        family: str, digest: str, identity: Sequence[str]) -> DataFrame:
-    """New training rows that touch reserved groups, families or bytes, or repeat a variant."""
+                        family: str, digest: str | Sequence[str], identity: Sequence[str]) -> DataFrame:
+    """New training rows that touch reserved groups, families or bytes, or repeat a variant.
+
+    ``digest`` may name several file hashes, which share one namespace.
+    """
     kinds = {"group": group, "family": family, "hash": digest}
     reserved = unpivot(old.where(F.col(split) != "training"), [], kinds).distinct()
     hits = (unpivot(new, [row_id], kinds).join(reserved, ["kind", "value"], "left_semi")
-            .select(row_id, F.col("kind").alias("problem")))
+            .select(row_id, F.col("kind").alias("problem")).distinct())
     both = (old.select(*identity, F.lit(0).alias("_new"))
             .unionByName(new.select(*identity, F.lit(1).alias("_new"))))
     doubled = both.groupBy(*identity).agg(F.count(ONE).alias("_n")).where("_n > 1")
@@ -147,21 +156,38 @@ def consume(plan: DataFrame, ledger: DataFrame, identity: str) -> DataFrame:
 
 
 def coverage_gaps(cells: DataFrame, split: str, class_id: str, idx: str, group: str, minimum: int,
-                  warn_squares: int = 5, warn_groups: int = 3) -> DataFrame:
-    """Split x class x colour combinations under the minimum, or thin enough to warn."""
+                  warn_squares: int = 5, warn_groups: int = 3, splits: Sequence[str] = SPLITS) -> DataFrame:
+    """Split x class x colour combinations under the minimum, or thin enough to warn.
+
+    Every split of ``splits`` is reported, also one without any row; so is an unknown one.
+    """
     by = [split, class_id, "background"]
     counts = (cells.groupBy(split, class_id, background(idx).alias("background"), group)
               .agg(F.count(ONE).alias("_n"))
               .groupBy(*by).agg(F.sum("_n").alias("squares"), F.count(ONE).alias("groups")))
-    grid = (counts.select(split).distinct()
-            .select(split, F.explode(literal_array(range(N_CLASSES)).cast("array<bigint>")).alias(class_id))
-            .select("*", F.explode(literal_array(BACKGROUNDS)).alias("background")))
-    full = grid.join(counts, by, "left").na.fill(0, ["squares", "groups"])
+    full = full_grid(cells, {split: splits}, class_id).join(counts, by, "full").na.fill(0, ["squares", "groups"])
     level = (F.when(F.col("squares") < minimum, "insufficient")
              .when((F.col("squares") < warn_squares) | (F.col("groups") < warn_groups), "warning"))
     return full.withColumn("level", level).where(F.col("level").isNotNull())
 
 
+def full_grid(df: DataFrame, dims: Mapping[str, Sequence[str]], class_id: str) -> DataFrame:
+    """Every combination of the listed values, class and square colour: a table of fixed size."""
+    grid = df.sparkSession.range(1).select(F.explode(literal_array(range(N_CLASSES)).cast("array<bigint>")).alias(class_id))
+    for name, values in {"background": BACKGROUNDS, **dims}.items():
+        grid = grid.select("*", F.explode(literal_array(values)).alias(name))
+    return grid
+
+
+def missing_colours(df: DataFrame, split: str, colour: Column, splits: Sequence[str] = SPLITS,
+                    colours: Sequence[str] = ("white", "black")) -> DataFrame:
+    """Splits without a promotion of some colour; ``colour`` is null for other rows."""
+    seen = df.select(F.col(split), colour.alias("colour")).where(F.col("colour").isNotNull()).distinct()
+    grid = df.sparkSession.range(1).select(F.explode(literal_array(splits)).alias(split)).select(
+        "*", F.explode(literal_array(colours)).alias("colour"))
+    return grid.join(seen, [split, "colour"], "left_anti")
+
+
 def group_composition(df: DataFrame, groups: DataFrame, group: str, category: str,
                       required: Sequence[str], size: int) -> DataFrame:
     """Groups without exactly ``size`` samples, one per required category; unused groups."""
@@ -172,18 +198,19 @@ def group_composition(df: DataFrame, groups: DataFrame, group: str, category: st
     wrong = F.lit(False)
     for i in range(len(required)):
         wrong = wrong | (F.col(f"n{i}") != 1)
-    return violations(j, [group], {"unused": F.col("samples").isNull(),
-                                   "size": F.col("samples") != size, "categories": wrong})
+    used = F.col("samples").isNotNull()
+    return violations(j, [group], {"unused": ~used, "size": used & (F.col("samples") != size),
+                                   "categories": used & wrong})
 
 
 def box_violations(df: DataFrame, keys: Sequence[str], x: str, y: str, w: str, h: str,
-                   image_w: Column, image_h: Column, min_side: int, tolerance: float) -> DataFrame:
-    """Box inside its image, nearly square and not too small."""
+                   image_w: Column, image_h: Column, min_side: int, pixels: float = 1) -> DataFrame:
+    """Box inside its image, square to ``pixels`` and not too small; a box without a number breaks all."""
     cx, cy, cw, ch = (F.col(c) for c in (x, y, w, h))
     return violations(df, keys, {
         "outside": (cx < 0) | (cy < 0) | (cx + cw > image_w) | (cy + ch > image_h),
         "small": F.least(cw, ch) < min_side,
-        "not-square": F.abs(cw - ch) > F.greatest(cw, ch) * tolerance})
+        "not-square": F.abs(cw - ch) > pixels})
 
 
 def corner_violations(df: DataFrame, keys: Sequence[str], corners: Sequence[tuple[str, str]],
@@ -242,11 +269,12 @@ def stale_reviews(df: DataFrame, keys: Sequence[str], fields: Sequence[str], rec
 def intake_violations(df: DataFrame, keys: Sequence[str], status: str, placement: str, reviewer: str,
                       method: str, source_digest: str, digest: str) -> DataFrame:
     """Label status rules: transcriptions are reviewed and bound to bytes, others have none."""
-    done = F.col(status) == "visual-transcription"
+    done = F.col(status).eqNullSafe("visual-transcription")
+    undone = F.coalesce(F.col(status).isin("pending", "ambiguous"), F.lit(False))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     return violations(df, keys, {
         "status": ~F.col(status).isin("visual-transcription", "pending", "ambiguous"),
-        "label-without-review": F.col(status).isin("pending", "ambiguous") & F.col(placement).isNotNull(),
+        "label-without-review": undone & F.col(placement).isNotNull(),
         "missing-label": done & F.col(placement).isNull(),
         "reviewer": done & (blank(reviewer) | (F.col(method) != "visual-board-review")),
         "stale-source": done & differs(source_digest, digest)})
@@ -267,26 +295,38 @@ def repeated_values(df: DataFrame, value: str, row_id: str, k: int = 3) -> DataF
     return many.join(first_examples(rows, [value], row_id, k), value)
 
 
-def mark_violations(marks: DataFrame, cells: DataFrame, board: str, mark: str, kind: str, a: str,
-                    b: str, path: str, bend: str, width: str, alpha: str) -> DataFrame:
-    """Overlay rules: kinds, distinct squares, king under a check mark, colour, arrow geometry."""
-    dx = F.abs(F.col(b) % 8 - F.col(a) % 8)
-    dy = F.abs(F.floor(F.col(b) / 8) - F.floor(F.col(a) / 8))
-    arrow = F.col(kind) == "arrow"
+def mark_violations(marks: DataFrame, cells: DataFrame, board: str, mark: str, kind: str, squares: str,
+                    rgba: str, path: str, bend: str, width: str, start: str, end: str) -> DataFrame:
+    """Overlay rules: kinds, squares of each kind, kings under a check mark, colour, arrow geometry.
+
+    ``squares`` is the list of square names of a box mark; a last move has two, a selection one, a check at
+    most two, all of them kings. ``start`` and ``end`` are the indexes of an arrow. A king is looked up once for
+    each square of a check mark, before the marks are judged.
+    """
+    arrow = F.col(kind).eqNullSafe("arrow")
+    n = F.size(squares)
+    named = F.coalesce((n > 0) & F.forall(squares, lambda s: F.coalesce(s.rlike("^[a-h][1-8]$"), F.lit(False)))
+                       & (F.size(F.array_distinct(squares)) == n), F.lit(False))
+    dx = F.abs(F.col(end) % 8 - F.col(start) % 8)
+    dy = F.abs(F.floor(F.col(end) / 8) - F.floor(F.col(start) / 8))
     straight = ((dx > 0) | (dy > 0)) & ((dx == 0) | (dy == 0) | (dx == dy))
-    king = (cells.where(F.col("class_id").isin(6, 12))
-            .select(F.col(board).alias("_b"), F.col("idx").alias("_i"), F.lit(True).alias("_king")))
-    on_king = F.col("_king").isNotNull()
-    j = marks.join(king, (F.col(board) == F.col("_b")) & (F.col(a) == F.col("_i"))
-                   & (F.col(kind) == "check"), "left")
+    kings = cells.where(F.col("class_id").isin(6, 12)).select(F.col(board).alias("_b"), F.col("idx").alias("_i"))
+    asked = marks.where(F.col(kind) == "check").select(board, mark, F.explode(squares).alias("_s")).withColumn(
+        "_at", F.when(F.col("_s").rlike("^[a-h][1-8]$"), square_index("_s")))
+    off = asked.join(kings, (F.col(board) == F.col("_b")) & (F.col("_at") == F.col("_i")), "left_anti").select(
+        board, mark).distinct().withColumn("_off", F.lit(True))
+    j = marks.join(off, [board, mark], "left")
+    is_kind = lambda k: F.col(kind).eqNullSafe(k)
     return violations(j, [board, mark], {
         "kind": ~F.col(kind).isin("arrow", *MARK_KINDS),
-        "squares": ~arrow & (F.col(a) == F.col(b)),
-        "check": (F.col(kind) == "check") & ~on_king,
-        "path": arrow & F.when(F.col(path) == "straight", ~straight | F.col(bend).isNotNull())
-        .when(F.col(path) == "knight", (dx * dy != 2) | F.col(bend).isNull()).otherwise(True),
+        "squares": ~arrow & (~named | (is_kind("last-move") & (n != 2)) | (is_kind("selection") & (n != 1))
+                             | (is_kind("check") & (n > 2))),
+        "check": is_kind("check") & F.coalesce("_off", F.lit(False)),
+        "path": arrow & F.coalesce(F.when(F.col(path) == "straight", ~straight | F.col(bend).isNotNull())
+                                   .when(F.col(path) == "knight", (dx * dy != 2) | F.col(bend).isNull()), F.lit(True)),
         "width": arrow & ~F.coalesce(F.col(width).between(0.04, 0.30), F.lit(False)),
-        "colour": ~F.coalesce(F.col(alpha).between(1, 255), F.lit(False))})
+        "colour": ~F.coalesce((F.size(rgba) == 4) & F.forall(rgba, lambda v: F.coalesce(v.between(0, 255), F.lit(False)))
+                              & (F.element_at(rgba, -1) > 0), F.lit(False))})
 
 
 def doubled_kinds(marks: DataFrame, board: str, kind: str) -> DataFrame:
@@ -302,7 +342,8 @@ def capture_audit(batch: DataFrame, expected: DataFrame, key: Sequence[str],
     count = batch.groupBy(*key).agg(F.count(ONE).alias("_n"))
     state = want.join(count, list(key), "full")
     grid = violations(state, key, {
-        "missing": F.col("_n").isNull(), "unexpected": F.col("_want").isNull(), "doubled": F.col("_n") > 1})
+        "missing": F.col("_n").isNull(), "unexpected": F.col("_want").isNull(),
+        "doubled": F.coalesce("_n", F.lit(0)) > 1})
     return grid.unionByName(violations(batch, key, rules))
 
 
@@ -327,11 +368,12 @@ def session_membership(images: DataFrame, listing: DataFrame, image: str, sessio
         F.count(ONE).alias("_n"), F.min(session).alias("_s1"), F.max(session).alias("_s2"),
         F.min(kind).alias("_k1"), F.max(kind).alias("_k2"))
     j = images.select(image, session, kind, F.lit(True).alias("_img")).join(listed, image, "full")
+    both = F.col("_img").isNotNull() & F.col("_n").isNotNull()
     return violations(j, [image], {
         "unknown-image": F.col("_img").isNull(), "unassigned": F.col("_n").isNull(),
-        "several-sessions": F.col("_n") > 1,
-        "wrong-session": (F.col(session) != F.col("_s1")) | (F.col(session) != F.col("_s2")),
-        "wrong-kind": (F.col(kind) != F.col("_k1")) | (F.col(kind) != F.col("_k2"))})
+        "several-sessions": F.coalesce("_n", F.lit(0)) > 1,
+        "wrong-session": both & ((F.col(session) != F.col("_s1")) | (F.col(session) != F.col("_s2"))),
+        "wrong-kind": both & ((F.col(kind) != F.col("_k1")) | (F.col(kind) != F.col("_k2")))})
 
 
 def session_overlap(sessions: DataFrame, cohort: DataFrame, row_id: str, family: str, source: str,

@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardlake.functions.constants import BACKGROUNDS, FAILED, N_CLASSES
+from boardlake.functions.constants import FAILED, MARK_KINDS, N_CLASSES, SPLITS
 from boardlake.functions.placement import background, class_label, literal_array
+from boardlake.operators.audits import full_grid
 
 ONE = "*"  # counted as rows; a name, so importing needs no session
 
@@ -239,8 +240,8 @@ def stratified_metrics(cells: DataFrame, expected: str, predicted: str, board: s
 
 
 def coverage(cells: DataFrame, class_id: str, idx: str, board: str, position: str, group: str,
-             split: str) -> DataFrame:
-    """Squares, boards, positions and groups per split x class x colour (full grid).
+             split: str, splits: Sequence[str] = SPLITS) -> DataFrame:
+    """Squares, boards, positions and groups per split x class x colour (full grid of ``splits``).
 
     Distinct counting goes through two keyed reductions, not one set per class.
     """
@@ -251,10 +252,7 @@ def coverage(cells: DataFrame, class_id: str, idx: str, board: str, position: st
     counts = pos.groupBy(*by).agg(
         F.sum("_n").alias("squares"), F.sum("_b").alias("boards"),
         F.countDistinct(position).alias("positions"), F.countDistinct(group).alias("groups"))
-    grid = (counts.select(split).distinct()
-            .select(split, F.explode(literal_array(range(N_CLASSES)).cast("array<bigint>")).alias(class_id))
-            .select(split, class_id, F.explode(literal_array(BACKGROUNDS)).alias("background")))
-    return (grid.join(counts, by, "left").na.fill(0, ["squares", "boards", "positions", "groups"])
+    return (full_grid(cells, {split: splits}, class_id).join(counts, by, "full").na.fill(0, ["squares", "boards", "positions", "groups"])
             .withColumn("label", class_label(class_id)))
 
 
@@ -284,15 +282,13 @@ def tag_examples(cells: DataFrame, tags: str, archive: str, class_id: str, idx:
                     F.col("_at.i").alias(idx)))
 
 
-def marked_coverage(marked: DataFrame, split: str, kind: str, class_id: str, idx: str) -> DataFrame:
+def marked_coverage(marked: DataFrame, split: str, kind: str, class_id: str, idx: str,
+                    splits: Sequence[str] = SPLITS, kinds: Sequence[str] = ("arrow", *MARK_KINDS)) -> DataFrame:
     """Marked cells per split x kind x class x colour with zero rows for missing pairs."""
     by = [split, kind, class_id, "background"]
     counts = marked.groupBy(split, kind, class_id, background(idx).alias("background")).agg(
         F.count(ONE).alias("squares"))
-    grid = (counts.select(split, kind).distinct()
-            .select("*", F.explode(literal_array(range(N_CLASSES)).cast("array<bigint>")).alias(class_id))
-            .select("*", F.explode(literal_array(BACKGROUNDS)).alias("background")))
-    return (grid.join(counts, by, "left").na.fill(0, ["squares"])
+    return (full_grid(marked, {split: splits, kind: kinds}, class_id).join(counts, by, "full").na.fill(0, ["squares"])
             .withColumn("missing", F.col("squares") == 0))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from boardlake.functions.placement import family_key, literal_array
+from boardlake.functions.placement import family_key, literal_array, square_name
 from boardlake.operators import audits as C
 from boardlake.plans.q_labels import FAMILY_SQL
 from boardlake.plans.q_metrics import BACKGROUND
@@ -40,8 +40,14 @@ def c3(t):
     return duplicate_keys(t.boards, ["group_id", "category", "orientation"], "board_id")
 
 
-_OVK = ("SELECT board_id, leak_split, unnest(['group', 'position-id', 'placement-family', 'archive']) AS kind, "
-        "unnest([CAST(group_id AS VARCHAR), CAST(position_id AS VARCHAR), family, sha]) AS value FROM f")
+# File hashes of a board: its image is another board's source, or original, now and then.
+_FILES = {"image_sha": "board_id", "source_sha": "board_id // 3 * 3", "original_sha": "board_id // 7 * 7 + 1"}
+_OVK = ("SELECT DISTINCT board_id, leak_split, kind, value FROM (SELECT board_id, leak_split, unnest(['group', 'position-id', "
+        "'placement-family', 'archive', 'image-file', 'image-file', 'image-file', 'pixels', 'known-source']) AS kind, "
+        "unnest([CAST(group_id AS VARCHAR), CAST(position_id AS VARCHAR), family, sha, "
+        + ", ".join(f"sha256(CAST({e} AS VARCHAR))" for e in _FILES.values()) +
+        ", sha256(grid || orientation), CASE WHEN status = 'P' THEN 'game:' || CAST(pair_id AS VARCHAR) END]) AS value FROM f) "
+        "WHERE value IS NOT NULL")
 
 
 @query("c4_overlap_audit", sql(
@@ -49,8 +55,13 @@ _OVK = ("SELECT board_id, leak_split, unnest(['group', 'position-id', 'placement
     "board_id ORDER BY board_id), 1, 3), ',') AS examples FROM k WHERE leak_split = 'validation' GROUP BY 1, 2) r "
     "ON k.kind = r.kind AND k.value = r.value WHERE leak_split = 'training'", f=_FAM, k=_OVK))
 def c4(t):
-    f = families(t)
-    kinds = {"group": "group_id", "position-id": "position_id", "placement-family": "family", "archive": "sha"}
+    k = F.col("board_id")
+    files = {"image_sha": k, "source_sha": F.floor(k / 3) * 3, "original_sha": F.floor(k / 7) * 7 + 1}
+    f = families(t).withColumns({n: F.sha2(e.cast("string"), 256) for n, e in files.items()}).withColumns({
+        "pixels": F.sha2(F.concat("grid", "orientation"), 256),
+        "known": F.when(F.col("status") == "P", F.concat(F.lit("game:"), F.col("pair_id").cast("string")))})
+    kinds = {"group": "group_id", "position-id": "position_id", "placement-family": "family", "archive": "sha",
+             "image-file": list(files), "pixels": "pixels", "known-source": "known"}
     return C.overlap_audit(f.where("leak_split = 'training'"), f.where("leak_split = 'validation'"),
                            "board_id", kinds)
 
@@ -162,35 +173,48 @@ def c10(t):
     "groups, CASE WHEN coalesce(squares, 0) < 2600 THEN 'insufficient' WHEN coalesce(squares, 0) < 2700 OR "
     "coalesce(groups, 0) < 1300 THEN 'warning' END AS level FROM g LEFT JOIN c USING (category, class_id, background)) "
     "WHERE level IS NOT NULL",
-    g="SELECT category, class_id, background FROM (SELECT DISTINCT category FROM boards), (SELECT CAST(range AS BIGINT) "
+    g="SELECT category, class_id, background FROM (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', "
+      "'5-LOW', '6-ABSENT']) AS category), (SELECT CAST(range AS BIGINT) "
       "AS class_id FROM range(13)), (SELECT unnest(['light', 'dark']) AS background)",
     c=f"SELECT category, class_id, {BACKGROUND} AS background, count(*) AS squares, count(DISTINCT group_id) AS groups "
       "FROM cells GROUP BY 1, 2, 3"))
 def c11(t):
-    return C.coverage_gaps(t.cells, "category", "class_id", "idx", "group_id", 2600, 2700, 1300)
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-ABSENT"]
+    return C.coverage_gaps(t.cells, "category", "class_id", "idx", "group_id", 2600, 2700, 1300, names)
 
 
 @query("c12_group_composition", sql(
     "SELECT group_id, " + problems_sql({
-        "unused": "samples IS NULL", "size": "samples <> 4",
-        "categories": "n0 <> 1 OR n1 <> 1 OR n2 <> 1 OR n3 <> 1"}) +
+        "unused": "samples IS NULL", "size": "samples IS NOT NULL AND samples <> 4",
+        "categories": "samples IS NOT NULL AND (n0 <> 1 OR n1 <> 1 OR n2 <> 1 OR n3 <> 1)"}) +
     " FROM (SELECT c_custkey AS group_id FROM customer) LEFT JOIN (SELECT group_id, count(*) AS samples, "
     "count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER "
-    "(k = 3) AS n3 FROM (SELECT group_id, board_id % 4 AS k FROM boards WHERE status = 'F') GROUP BY 1) USING (group_id)"))
+    "(k = 3) AS n3 FROM (SELECT group_id, board_id % 4 AS k FROM boards) GROUP BY 1) USING (group_id)"))
 def c12(t):
     names = ["opening", "middlegame", "endgame", "promotion"]
-    df = t.boards.where("status = 'F'").withColumn(
+    df = t.boards.withColumn(
         "phase", F.get(literal_array(names), (F.col("board_id") % 4).cast("int")))
     groups = t.customer.select(F.col("c_custkey").alias("group_id"))
     return C.group_composition(df, groups, "group_id", "phase", names, 4)
 
 
+@query("c12_missing_colours", sql(
+    "SELECT split, colour FROM (SELECT unnest(['training', 'validation', 'evaluation', 'reserve']) AS split), (SELECT unnest(['white', "
+    "'black']) AS colour) WHERE (split, colour) NOT IN (SELECT split, CASE WHEN group_id % 2 = 0 THEN 'white' ELSE 'black' END FROM boards "
+    "WHERE board_id % 4 = 3 AND (split <> 'evaluation' OR group_id % 2 = 0))"))
+def c12b(t):
+    colour = F.when((F.col("board_id") % 4 == 3) & ((F.col("split") != "evaluation") | (F.col("group_id") % 2 == 0)),
+                    F.when(F.col("group_id") % 2 == 0, "white").otherwise("black"))
+    return C.missing_colours(t.boards, "split", colour, ["training", "validation", "evaluation", "reserve"])
+
+
 @query("c13_box_violations", sql(
     "SELECT box_id, " + problems_sql({
         "outside": "dx < 0 OR dy < 0 OR dx + dw > 300 OR dy + dh > 280", "small": "least(dw, dh) < 202",
-        "not-square": "abs(dw - dh) > greatest(dw, dh) * 0.02"}) + " FROM rects"))
+        "not-square": "abs(dw - dh) > 1"}) + " FROM (SELECT * REPLACE (CASE WHEN box_id % 71 = 0 THEN NULL ELSE dw END AS dw) FROM rects)"))
 def c13(t):
-    return C.box_violations(t.rects, ["box_id"], "dx", "dy", "dw", "dh", F.lit(300), F.lit(280), 202, 0.02)
+    holes = t.rects.withColumn("dw", F.when(F.col("box_id") % 71 != 0, F.col("dw")))
+    return C.box_violations(holes, ["box_id"], "dx", "dy", "dw", "dh", F.lit(300), F.lit(280), 202)
 
 
 _P = [("ex0", "ey0"), ("ex1", "ey1"), ("ex2", "ey2"), ("ex3", "ey3")]
@@ -312,25 +336,65 @@ def c16c(t):
     return C.repeated_values(t.hashes, "text_sha", "doc_id")
 
 
+# Marks of every kind, with square names and colours; some are broken in each way the rules name.
+MARKS_SQL = """
+    SELECT board_id, mark_no, kind, sq1, sq2, path, bend, width, [255, 200 + board_id % 60, 0, alpha] AS rgba,
+      CASE WHEN kind = 'arrow' THEN NULL
+           WHEN kind = 'selection' AND board_id % 13 <> 0 OR kind = 'check' THEN [n1]
+           WHEN kind = 'move-dot' AND board_id % 11 = 0 THEN [n1, n2, n1]
+           WHEN kind = 'last-move' AND board_id % 11 = 0 THEN [n1]
+           WHEN board_id % 53 = 0 THEN [n1, 'j9'] ELSE [n1, n2] END AS squares
+    FROM (SELECT * REPLACE (CASE WHEN board_id % 61 = 0 THEN NULL WHEN kind <> 'circle' THEN kind
+              ELSE ['circle', 'last-move', 'selection', 'move-dot'][board_id % 4 + 1] END AS kind,
+              CASE WHEN board_id % 43 = 0 THEN (sq2 + 11) % 64 ELSE sq2 END AS sq2),
+            'abcdefgh'[sq1 % 8 + 1] || CAST(8 - sq1 // 8 AS VARCHAR) AS n1,
+            'abcdefgh'[sq2 % 8 + 1] || CAST(8 - sq2 // 8 AS VARCHAR) AS n2
+          FROM marks)"""
+
+
+def all_marks(t):
+    k, n1, n2 = F.col("board_id"), square_name("sq1"), square_name("sq2")
+    kind = F.when(k % 61 == 0, None).when(F.col("kind") != "circle", F.col("kind")).otherwise(
+        F.get(literal_array(["circle", "last-move", "selection", "move-dot"]), (k % 4).cast("int")))
+    named = t.marks.withColumns({"n1": n1, "n2": n2, "kind": kind})
+    is_kind = lambda x: F.col("kind") == x
+    squares = (F.when(is_kind("arrow"), None)
+               .when((is_kind("selection") & (k % 13 != 0)) | is_kind("check"), F.array("n1"))
+               .when(is_kind("move-dot") & (k % 11 == 0), F.array("n1", "n2", "n1"))
+               .when(is_kind("last-move") & (k % 11 == 0), F.array("n1"))
+               .when(k % 53 == 0, F.array(F.col("n1"), F.lit("j9"))).otherwise(F.array("n1", "n2")))
+    return named.withColumns({
+        "squares": squares, "rgba": F.array(F.lit(255).cast("long"), 200 + k % 60, F.lit(0).cast("long"), F.col("alpha")),
+        "sq2": F.when(k % 43 == 0, (F.col("sq2") + 11) % 64).otherwise(F.col("sq2"))})
+
+
 _DXY = "abs(sq2 % 8 - sq1 % 8) AS dx, abs(sq2 // 8 - sq1 // 8) AS dy"
 
 
 @query("c17_mark_violations", sql(
     "SELECT board_id, mark_no, " + problems_sql({
         "kind": "kind NOT IN ('arrow', 'last-move', 'selection', 'check', 'circle', 'move-dot')",
-        "squares": "kind <> 'arrow' AND sq1 = sq2",
-        "check": "kind = 'check' AND NOT EXISTS (SELECT 1 FROM cells c WHERE c.board_id = x.board_id AND c.idx = x.sq1 "
-                 "AND class_id IN (6, 12))",
-        "path": "kind = 'arrow' AND CASE path WHEN 'straight' THEN NOT ((dx > 0 OR dy > 0) AND (dx = 0 OR dy = 0 OR "
-                "dx = dy)) OR bend IS NOT NULL ELSE dx * dy <> 2 OR bend IS NULL END",
-        "width": "kind = 'arrow' AND NOT width BETWEEN 0.04 AND 0.3", "colour": "NOT alpha BETWEEN 1 AND 255"}) +
-    f" FROM (SELECT *, {_DXY} FROM (SELECT * REPLACE (CASE WHEN board_id % 43 = 0 THEN (sq2 + 11) % 64 ELSE sq2 END AS sq2) "
-    "FROM marks)) x"))
+        "squares": "kind IS DISTINCT FROM 'arrow' AND (len(squares) <> len(list_distinct(squares)) OR list_contains(squares, 'j9') "
+                   "OR coalesce(kind = 'last-move', false) AND len(squares) <> 2 OR coalesce(kind = 'selection', false) "
+                   "AND len(squares) <> 1)",
+        "check": "coalesce(kind = 'check', false) AND NOT EXISTS (SELECT 1 FROM cells c WHERE c.board_id = x.board_id AND "
+                 "c.idx = x.sq1 AND class_id IN (6, 12))",
+        "path": "coalesce(kind = 'arrow', false) AND CASE path WHEN 'straight' THEN NOT ((dx > 0 OR dy > 0) AND (dx = 0 OR dy = 0 "
+                "OR dx = dy)) OR bend IS NOT NULL ELSE dx * dy <> 2 OR bend IS NULL END",
+        "width": "coalesce(kind = 'arrow', false) AND NOT width BETWEEN 0.04 AND 0.3",
+        "colour": "rgba[2] > 255 OR rgba[4] = 0"}) +
+    f" FROM (SELECT *, {_DXY} FROM am) x", am=MARKS_SQL))
 def c17(t):
-    m = t.marks.withColumn("sq2", F.when(F.col("board_id") % 43 == 0, (F.col("sq2") + 11) % 64)
-                           .otherwise(F.col("sq2")))
-    return C.mark_violations(m, t.cells, "board_id", "mark_no", "kind", "sq1", "sq2", "path", "bend", "width",
-                             "alpha")
+    return C.mark_violations(all_marks(t), t.cells, "board_id", "mark_no", "kind", "squares", "rgba", "path", "bend",
+                             "width", "sq1", "sq2")
+
+
+@query("c17_doubled_kinds", sql(
+    "SELECT board_id, kind, count(*) AS n FROM (SELECT board_id, kind FROM am UNION ALL SELECT board_id, kind FROM am WHERE "
+    "board_id % 5 = 0) WHERE kind <> 'arrow' GROUP BY 1, 2 HAVING count(*) > 1", am=MARKS_SQL))
+def c17b(t):
+    m = all_marks(t).select("board_id", "kind")
+    return C.doubled_kinds(m.unionAll(m.where("board_id % 5 = 0")), "board_id", "kind")
 
 
 _BATCH = ("SELECT pair_id, orientation, board_id, 2 * (board_id % 50) + CASE WHEN board_id % 19 = 0 THEN 1 ELSE 0 END AS px, "
@@ -378,8 +442,9 @@ _LIST = ("SELECT box_id + CASE WHEN box_id % 101 = 0 THEN 1000000000 ELSE 0 END
 
 @query("c21_session_membership", sql(
     "SELECT coalesce(x.box_id, l.box_id) AS box_id, " + problems_sql({
-        "unknown-image": "x.box_id IS NULL", "unassigned": "n IS NULL", "several-sessions": "n > 1",
-        "wrong-session": "board_id <> s1 OR board_id <> s2", "wrong-kind": "category <> k1 OR category <> k2"}) +
+        "unknown-image": "x.box_id IS NULL", "unassigned": "n IS NULL", "several-sessions": "coalesce(n, 0) > 1",
+        "wrong-session": "x.box_id IS NOT NULL AND n IS NOT NULL AND (board_id <> s1 OR board_id <> s2)",
+        "wrong-kind": "x.box_id IS NOT NULL AND n IS NOT NULL AND (category <> k1 OR category <> k2)"}) +
     " FROM x FULL JOIN (SELECT box_id, count(*) AS n, min(board_id) AS s1, max(board_id) AS s2, min(category) AS k1, "
     "max(category) AS k2 FROM l GROUP BY 1) l ON x.box_id = l.box_id",
     x="SELECT box_id, min(board_id) AS board_id, min(category) AS category FROM rects GROUP BY 1", l=_LIST))

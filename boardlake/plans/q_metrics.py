@@ -151,7 +151,7 @@ def a10(t):
     f"SELECT split, class_id, background, {label('class_id')} AS label, coalesce(squares, 0) AS squares, "
     "coalesce(boards, 0) AS boards, coalesce(positions, 0) AS positions, coalesce(groups, 0) AS groups FROM g "
     "LEFT JOIN c USING (split, class_id, background)",
-    g="SELECT split, class_id, background FROM (SELECT DISTINCT split FROM boards), "
+    g="SELECT split, class_id, background FROM (SELECT unnest(['training', 'validation', 'evaluation']) AS split), "
       "(SELECT CAST(range AS BIGINT) AS class_id FROM range(13)), "
       "(SELECT unnest(['light', 'dark']) AS background)",
     c=f"SELECT split, class_id, {BACKGROUND} AS background, count(*) AS squares, "
@@ -193,15 +193,15 @@ def a12b(t):
 @query("a13_marked_coverage", sql(
     "SELECT split, kind, class_id, background, coalesce(n, 0) AS squares, n IS NULL AS missing FROM g "
     "LEFT JOIN c USING (split, kind, class_id, background)",
-    mk="SELECT split, category AS kind, class_id, " + BACKGROUND + " AS background FROM cells "
-       "WHERE (board_id + idx) % 97 = 0",
+    mk="SELECT split, kind, class_id, " + BACKGROUND + " AS background FROM cells JOIN (SELECT board_id, kind, "
+       "unnest(list_distinct([sq1, sq2])) AS idx FROM marks) USING (board_id, idx)",
     c="SELECT split, kind, class_id, background, count(*) AS n FROM mk GROUP BY 1, 2, 3, 4",
-    g="SELECT split, kind, class_id, background FROM (SELECT DISTINCT split, kind FROM mk), "
-      "(SELECT CAST(range AS BIGINT) AS class_id FROM range(13)), "
+    g="SELECT split, kind, class_id, background FROM (SELECT unnest(['training', 'validation', 'evaluation']) AS split), "
+      "(SELECT unnest(['arrow', 'last-move', 'selection', 'check', 'circle', 'move-dot']) AS kind), (SELECT CAST(range AS BIGINT) AS class_id FROM range(13)), "
       "(SELECT unnest(['light', 'dark']) AS background)"))
 def a13(t):
-    marked = t.cells.where((F.col("board_id") + F.col("idx")) % 97 == 0) \
-        .withColumnRenamed("category", "kind")
+    ends = t.marks.select("board_id", "kind", F.explode(F.array_distinct(F.array("sq1", "sq2"))).alias("idx"))
+    marked = t.cells.join(ends, ["board_id", "idx"])
     return M.marked_coverage(marked, "split", "kind", "class_id", "idx")
 
 

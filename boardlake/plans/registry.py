@@ -31,7 +31,7 @@ def sql(select: str, **ctes: str) -> str:
 
 def problems_sql(rules: dict[str, str]) -> str:
     """SQL twin of ``violations``: one row per broken rule."""
-    cases = ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in rules.items())
+    cases = ", ".join(f"CASE WHEN ({cond}) IS DISTINCT FROM false THEN '{name}' END" for name, cond in rules.items())
     return f"unnest(list_filter([{cases}], lambda x: x IS NOT NULL)) AS problem"
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,8 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+_TEMPORARY: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "boardlake", **extra: str) -> SparkSession:
@@ -31,24 +36,32 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """New folder for intermediate tables: under ``spark.checkpoint.dir`` when it is set.
+def base_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    Only where no folder is configured, which is the case in tests, it is a temporary one.
+    Without that setting a local master gets one temporary folder, removed at exit; on a cluster
+    executors could not read it, so the missing setting is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    if spark not in _TEMPORARY:
+        _TEMPORARY[spark] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _TEMPORARY[spark], ignore_errors=True)
+    return _TEMPORARY[spark]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """New folder for an intermediate table, below :func:`base_folder`."""
+    return f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    A local temporary folder is used only where no folder is configured, which is
-    the case in tests.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint below :func:`base_folder`."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(base_folder(df.sparkSession))
     return df.checkpoint()

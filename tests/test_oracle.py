@@ -4,8 +4,9 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from boardlake.plans import ORACLE, QUERIES
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def con(sf):
 def test_query_equals_sql(spark, con, sf, name):
     error, rows, *_ = compare(spark, con, sf, name, QUERIES[name], ORACLE.get(name))
     assert error is None, error
-    assert rows >= 0
+    assert rows > 0 or name in MAY_BE_EMPTY
 
 
 def test_sql_only_for_known_queries():
