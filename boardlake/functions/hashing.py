@@ -49,6 +49,28 @@ def bucket_rank(df: DataFrame, by: list[str], bucket: Column, order: list, out:
     return result.drop("_key", "_offset", "__size", "_inner")
 
 
+def value_bucket(df: DataFrame, column: str, rows: int = 20_000) -> Column:
+    """Bucket number that never decreases along ``column``, about one bucket for ``rows`` rows.
+
+    Numbers are cut into equal ranges between the smallest and the largest value. Strings are cut by the
+    six bytes behind the prefix that all of them share; Spark orders strings by bytes. One
+    aggregation finds range and count.
+    """
+    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    if low is None or low == high:
+        return F.lit(0).cast("long")
+    if isinstance(low, str):
+        first, last = low.encode(), high.encode()
+        shared = next((i for i, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
+        lead = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), shared + 1, 6)), 12, "0")
+        value = F.conv(lead, 16, 10).cast("double")
+        start, stop = (int.from_bytes(x[shared:shared + 6].ljust(6, b"\0"), "big") for x in (first, last))
+    else:
+        value, start, stop = F.col(column).cast("double"), float(low), float(high)
+    buckets = -(-n // rows)
+    return F.floor((value - F.lit(float(start))) / F.lit(max(float(stop - start), 1e-300)) * F.lit(buckets - 1)).cast("long")
+
+
 def spread_rank(df: DataFrame, by: list[str], digest: str, ties: list[str],
                 out: str = "rank", buckets: int = 256, size: str | None = None) -> DataFrame:
     """:func:`bucket_rank` in order of a uniform hex digest: buckets are its leading bits."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardlake.functions.placement import class_label
+from boardlake.functions.rules import broken
 from boardlake.operators.compare import outcome
 from boardlake.operators.metrics import count_of, stratify
 
@@ -55,8 +56,11 @@ def worse_strata(boards: DataFrame, domain: str, dims: Sequence[str], multi: Seq
 
 
 def safety_gate(cells: DataFrame, boards: DataFrame, domain: str, dims: Sequence[str], expected: str,
-                baseline: str, candidate: str, multi: Sequence[str] = ()) -> DataFrame:
-    """Per domain: all reasons a checkpoint is unsafe, and the ranking values if it is safe."""
+                baseline: str, candidate: str, domains: Sequence[str], multi: Sequence[str] = ()) -> DataFrame:
+    """Per domain of ``domains``: all reasons a checkpoint is unsafe, and its ranking values.
+
+    A domain without boards is a row that is not safe. Rows of other domains are judged as well.
+    """
     totals = boards.groupBy(domain).agg(
         F.count(ONE).alias("boards"), count_of(outcome() == "lost").alias("lost_boards"),
         count_of(outcome() == "gained").alias("gained_boards"),
@@ -67,9 +71,33 @@ def safety_gate(cells: DataFrame, boards: DataFrame, domain: str, dims: Sequence
     strata = worse_strata(boards, domain, dims, multi).groupBy(domain).agg(F.count(ONE).alias("worse_strata"))
     j = (totals.join(class_recall_losses(cells, domain, expected, baseline, candidate), domain)
          .join(strata, domain, "left").na.fill(0, ["worse_strata"]))
-    safe = ((F.col("lost_boards") == 0) & (F.col("correct_change") >= 0) & (F.col("false_change") <= 0)
-            & (F.col("missed_change") <= 0) & (F.col("lost_classes") == "") & (F.col("worse_strata") == 0))
-    return j.withColumn("safe", safe)
+    required = cells.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, domains))).alias(domain))
+    j = required.join(j, domain, "full")
+    rules = {"missing domain": F.col("boards").isNull(), "lost baseline-correct boards": F.col("lost_boards") != 0,
+             "fewer correct squares": F.col("correct_change") < 0, "increased false pieces": F.col("false_change") > 0,
+             "increased missed pieces": F.col("missed_change") > 0, "decreased class recall": F.col("lost_classes") != "",
+             "worsened strata": F.col("worse_strata") != 0}
+    missing = F.col("boards").isNull()
+    reasons = F.when(missing, F.array(F.lit("missing domain"))).otherwise(broken(rules))
+    return j.withColumn("reasons", F.array_join(reasons, "; ")).withColumn("safe", F.col("reasons") == "")
+
+
+def assess_accuracy(gate: DataFrame, domain: str, gain_domain: str, minimum_gain: int = 1) -> DataFrame:
+    """One row over a :func:`safety_gate`: safe checkpoint, accuracy accepted, all reasons with their domain.
+
+    Accepted means safe in every domain and at least ``minimum_gain`` more exact boards in ``gain_domain``;
+    losses elsewhere are never offset, and no row at all is neither safe nor accepted.
+    """
+    if minimum_gain < 1:
+        raise ValueError("require at least one additional correct board")
+    gain = F.when(F.col(domain) == gain_domain, F.col("gained_boards") - F.col("lost_boards"))
+    one = gate.agg(F.coalesce(F.bool_and("safe"), F.lit(False)).alias("safe_checkpoint"),
+                   F.coalesce(F.max(gain) >= minimum_gain, F.lit(False)).alias("_gain"),
+                   F.array_sort(F.collect_list(F.when(~F.col("safe"), F.concat(domain, F.lit(": "), "reasons")))).alias("_r"))
+    short = F.when(~F.col("_gain"), F.array(F.lit(f"{gain_domain}: insufficient exact-board improvement"))).otherwise(
+        F.array().cast("array<string>"))
+    return one.select("safe_checkpoint", (F.col("safe_checkpoint") & F.col("_gain")).alias("accuracy_accepted"),
+                      F.array_join(F.concat("_r", short), "; ").alias("reasons"))
 
 
 def tolerance_gate(rows: DataFrame, board: str, scenario: str, reference: str, case: str) -> DataFrame:

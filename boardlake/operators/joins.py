@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardlake.functions.hashing import bucket_rank
+from boardlake.functions.hashing import bucket_rank, value_bucket
 from boardlake.functions.placement import literal_array
 from boardlake.functions.rules import differs, violations
 from boardlake.session import cut_lineage
@@ -29,8 +29,28 @@ def duplicate_keys(df: DataFrame, key: Sequence[str], example: str) -> DataFrame
 
 def join_evidence(predictions: DataFrame, geometry: DataFrame, manifest: DataFrame,
                   appearance: DataFrame, key: str, style_key: str) -> DataFrame:
-    """Inner equi-joins on one identity; Spark broadcasts a side only below its size limit."""
-    return (manifest.join(predictions, key).join(geometry, key).join(appearance, style_key))
+    """All evidence of each identity, and ``problem``: null, or which side lacks or repeats it.
+
+    Every side is first reduced to one row per key with its count, on the partitioning that the
+    joins use, so a repeated id is named and never multiplies; ids of any side are kept.
+    """
+    def single(df: DataFrame, by: str, name: str) -> DataFrame:
+        rest = [c for c in df.columns if c != by]
+        return df.groupBy(by).agg(F.count(ONE).alias(f"_n_{name}"), F.min(F.struct(*rest)).alias(f"_{name}"))
+
+    sides = {"manifest": manifest, "predictions": predictions, "geometry": geometry}
+    out = None
+    for name, df in sides.items():
+        part = single(df, key, name)
+        out = part if out is None else out.join(part, key, "full")
+    out = out.withColumn(style_key, F.col(f"_manifest.{style_key}")).join(
+        single(appearance, style_key, "appearance"), style_key, "left")
+    counts = [(name, F.coalesce(f"_n_{name}", F.lit(0))) for name in (*sides, "appearance")]
+    problems = F.array_compact(F.array(*[
+        F.when(n == 0, f"missing-{name}").when(n > 1, f"repeated-{name}") for name, n in counts]))
+    fields = [F.col(f"_{name}.{c}").alias(c) for name, df in {**sides, "appearance": appearance}.items()
+              for c in df.columns if c not in (key, style_key)]
+    return out.select(key, style_key, *fields, F.nullif(F.array_join(problems, ","), F.lit("")).alias("problem"))
 
 
 def membership_diff(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -43,11 +63,16 @@ def membership_diff(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame
 
 def pair_runs(baseline: DataFrame, candidate: DataFrame, keys: Sequence[str], label: str,
               value: str) -> DataFrame:
-    """Baseline and candidate values of the same item, with a label-equality flag."""
-    old = baseline.select(*keys, F.col(label), F.col(value).alias("baseline"))
-    new = candidate.select(*keys, F.col(label).alias("_label"), F.col(value).alias("candidate"))
-    return (old.join(new, list(keys))
-            .withColumn("same_label", F.col(label).eqNullSafe(F.col("_label"))).drop("_label"))
+    """Baseline and candidate values of the same item, with a label-equality flag.
+
+    An item of one run only has no equal label and is named in ``problem``.
+    """
+    old = baseline.select(*keys, F.col(label), F.col(value).alias("baseline"), F.lit(True).alias("_old"))
+    new = candidate.select(*keys, F.col(label).alias("_label"), F.col(value).alias("candidate"), F.lit(True).alias("_new"))
+    problem = F.when(F.col("_old").isNull(), "only-candidate").when(F.col("_new").isNull(), "only-baseline")
+    same = F.col(label).eqNullSafe(F.col("_label")) & problem.isNull()
+    return (old.join(new, list(keys), "full").withColumn("same_label", same).withColumn("problem", problem)
+            .withColumn(label, F.coalesce(label, "_label")).drop("_label", "_old", "_new"))
 
 
 def pair_clean(df: DataFrame, pair: str, is_clean: Column, row_id: str, carry: Sequence[str]) -> DataFrame:
@@ -76,17 +101,16 @@ def observed(plan: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     return plan.join(ledger.select(key), key, "left_semi")
 
 
-def plan_jobs(positions: DataFrame, group: str, position: str, configs: Sequence[str],
-              width: int = 4096) -> DataFrame:
+def plan_jobs(positions: DataFrame, group: str, position: str, configs: Sequence[str]) -> DataFrame:
     """Capture jobs: every position in standard size, one per group in compact size.
 
     The compact position is the (group index mod group size)-th one. Configurations and
-    sizes are a fixed list multiplied onto each row; ranks use id buckets, so neither
-    a large group nor the list of groups is ordered in one task.
+    sizes are a fixed list multiplied onto each row; ranks use buckets of the ids, which are
+    numbers or strings, so neither a large group nor the list of groups is ordered in one task.
     """
-    ranked = bucket_rank(positions.select(group, position), [group], F.floor(F.col(position) / width),
+    ranked = bucket_rank(positions.select(group, position), [group], value_bucket(positions, position),
                          [position], out="_r", size="_n")
-    groups = bucket_rank(positions.select(group).distinct(), [], F.floor(F.col(group) / width),
+    groups = bucket_rank(positions.select(group).distinct(), [], value_bucket(positions, group),
                          [group], out="_g")
     chosen = F.col("_r") - 1 == (F.col("_g") - 1) % F.col("_n")
     sizes = F.when(chosen, literal_array(["standard", "compact"])).otherwise(literal_array(["standard"]))

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardlake.functions.hashing import bucket_rank, hash_number, spread_rank, stable_hash
+from boardlake.functions.hashing import bucket_rank, hash_number, spread_rank, stable_hash, value_bucket
 from boardlake.functions.placement import background, literal_array
 
 ONE = "*"  # counted as rows; a name, so importing needs no session
@@ -70,15 +72,21 @@ def sample_epoch(boards: DataFrame, quotas: DataFrame, pool: str, levels: Sequen
 
     Each level is one distinct + ranked pass over the keys still in play. A board's
     cells are shuffled anew for every cycle and no cell repeats before all were used;
-    that part is a row-level expression because a board has at most 64 cells.
+    that part is a row-level expression because a board has at most 64 cells. A pool with a quota but without
+    boards is an error at once; drawing from a board without eligible cells fails the job by name.
     """
+    lacking = [r[0] for r in quotas.where("quota > 0").join(
+        boards.select(pool).distinct(), pool, "left_anti").select(pool).limit(10).collect()]
+    if lacking:
+        raise ValueError(f"pools without boards: {sorted(map(str, lacking))}")
     path, current = [pool], quotas.select(pool, F.col("quota").cast("long"))
     for level in levels:
         children = boards.select(*path, level).distinct()
         current = allocate(children.join(current, path), path, level, "quota", (seed, epoch))
         path.append(level)
     drawn = boards.select(*path, cells).join(current, path)
-    size = F.size(cells)
+    size = F.when(F.size(cells) > 0, F.size(cells)).otherwise(F.raise_error(F.concat(
+        F.lit("board without eligible cells: "), F.col(levels[-1]).cast("string"))).cast("int"))
     cycles = drawn.withColumn("cycle", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / size))))
     order = F.array_sort(F.transform(cells, lambda c: F.struct(
@@ -122,14 +130,14 @@ def group_profile(cells: DataFrame, group: str, class_id: str, idx: str) -> Data
 
 
 def assign_splits(profile: DataFrame, group: str, sizes: Sequence[tuple[str, int]], minimum: int,
-                  seed: int, trials: int, block: int = 64) -> DataFrame:
+                  seed: int, trials: int = 10_000, block: int = 64, required: Sequence[str] = ()) -> DataFrame:
     """First seeded allocation whose every split holds ``minimum`` of each class and colour.
 
-    ``profile`` has one row per group. Trials are evaluated block by block: a block
-    aggregates (trial, split) sums and only the smallest passing trial number returns
-    to the driver.
+    ``profile`` has one row per group; of the counts named in ``required`` (promotions of either
+    colour) one is enough. Trials are evaluated block by block: a block aggregates (trial, split)
+    sums and only the smallest passing trial number returns to the driver. No passing trial is an error.
     """
-    counts = [c for c in profile.columns if c != group]
+    counts = [c for c in profile.columns if c != group and c not in required]
     bounds, used = [], 0
     for name, n in sizes:
         used += n
@@ -150,13 +158,14 @@ def assign_splits(profile: DataFrame, group: str, sizes: Sequence[tuple[str, int
     for low in range(0, trials, block):
         alloc = allocation(low, min(low + block, trials))
         sums = (alloc.where(F.col("split").isNotNull()).join(profile, group)
-                .groupBy("trial", "split").agg(F.least(*[F.sum(c) for c in counts]).alias("_least")))
+                .groupBy("trial", "split").agg(F.least(*[F.sum(c) for c in counts], *[
+                    F.when(F.sum(c) > 0, F.lit(minimum)).otherwise(F.lit(minimum - 1)) for c in required]).alias("_least")))
         passing = (sums.groupBy("trial").agg(F.count(ONE).alias("_s"), F.min("_least").alias("_m"))
                    .where((F.col("_s") == len(sizes)) & (F.col("_m") >= minimum)))
         first = passing.agg(F.min("trial")).first()[0]
         if first is not None:
             return allocation(first, first + 1).where(F.col("split").isNotNull())
-    return allocation(0, 1).where(F.lit(False))
+    raise ValueError(f"none of {trials} allocations gives every split {minimum} of each class and colour")
 
 
 def mark_plan(cells: DataFrame, board: str, class_id: str, idx: str, count: int, seed: int,
@@ -171,28 +180,82 @@ def mark_plan(cells: DataFrame, board: str, class_id: str, idx: str, count: int,
             .withColumn("mark_rank", F.col("mark_rank").cast("long")).drop("_h"))
 
 
-def arrow_plan(boards: DataFrame, routes: DataFrame, board: str, occupied_mask: str, wants_empty: Column,
-               seed: int) -> DataFrame:
-    """First route (hash order) of a hash-chosen geometry whose touched cells fit the case.
+def arrow_plan(boards: DataFrame, routes: DataFrame, board: str, occupied_mask: str, case: str, seed: int,
+               most: int = 200_000) -> DataFrame:
+    """Arrows for each board and its ``case``: one row per arrow, or one with ``reason`` no-route.
 
-    ``routes`` is the fixed table of legal arrows (under 8192 rows) with a 64-bit mask of
-    touched cells, so the occupancy test is one bitwise AND; boards without a fitting
-    route keep nulls.
+    The geometry follows from a hash of seed and board, before occupancy is looked at. ``arrow-empty`` asks for a route
+    over empty cells only, ``arrow-piece`` and ``arrow-combined`` for one that touches a piece; of the fitting
+    routes, in the order of start, end, bend and width, the hash picks one. ``arrow-crossed`` takes two
+    arrows of four steps that cross in a square off the border. ``routes`` is the table of legal arrows with
+    64-bit masks of touched cells; its size depends on the widths alone, and more than ``most`` rows are refused. It is sent to the
+    tasks once, and each board is settled inside its batch: no route rows are made.
     """
-    names = literal_array(["horizontal", "vertical", "diagonal", "knight"])
-    kind = F.get(names, (hash_number(stable_hash(F.lit(seed), board)) % 4).cast("int"))
-    asked = boards.select(board, occupied_mask, wants_empty.alias("_empty"), kind.alias("geometry"))
-    fixed = Window.partitionBy(F.lit(0)).orderBy("geometry", "start", "end", "bend", "width")
-    table = routes.withColumn("_no", F.row_number().over(fixed).cast("long"))
-    fits = (F.col("touched").bitwiseAND(F.col(occupied_mask)) == 0) == F.col("_empty")
-    # A 50-bit hash with the route number behind it: the minimum is one primitive, so the
-    # many candidate rows are hash-aggregated where they arise.
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), board, "_no"), 14) * 8192 + F.col("_no")
-    found = (asked.join(F.broadcast(table.select("geometry", "touched", "_no")), "geometry").where(fits)
-             .groupBy(board).agg((F.min(order) % 8192).alias("_no")))
-    return (asked.join(found, board, "left").join(F.broadcast(table.drop("geometry")), "_no", "left")
-            .select(board, "geometry", "start", "end", "bend", "width", "touched",
-                    F.when(F.col("_no").isNull(), "no-route").alias("reason")))
+    names = ("horizontal", "vertical", "diagonal", "knight")
+    table = routes.select("geometry", "start", "end", "bend", "width", "touched").limit(most + 1).collect()
+    if len(table) > most:
+        raise ValueError(f"more than {most} routes")
+    table = sorted(table, key=lambda r: (r.start, r.end, r.bend or "", r.width))
+    masks = np.array([r.touched for r in table], dtype=np.int64)
+    of = {g: np.array([i for i, r in enumerate(table) if r.geometry == g], dtype=np.int64) for g in names}
+    widths = sorted({r.width for r in table})
+    at = {(r.start, r.end, r.width): i for i, r in enumerate(table) if r.bend is None}
+
+    def crossed(n: int) -> list[int]:
+        x, y, w = 2 + n // 4 % 4, 2 + n // 16 % 4, widths[n // 128 % len(widths)]
+        straight = n // 64 % 2
+        ends = [((x - 2, y), (x + 2, y)), ((x, y - 2), (x, y + 2))] if straight else [
+            ((x - 2, y - 2), (x + 2, y + 2)), ((x - 2, y + 2), (x + 2, y - 2))]
+        return [at[8 * a[1] + a[0], 8 * b[1] + b[0], w] for a, b in ends]
+
+    def fitting(occupied: np.ndarray, empty: np.ndarray, number: np.ndarray, geometry: str) -> np.ndarray:
+        """Route of each board, -1 without one."""
+        known, out = of[geometry], np.full(len(occupied), -1, dtype=np.int64)
+        for a in range(0, len(occupied) if len(known) else 0, 512):
+            part = slice(a, a + 512)
+            fits = ((masks[known][None, :] & occupied[part, None]) == 0) == empty[part, None]
+            count = fits.sum(axis=1)
+            nth = number[part] // 128 % np.maximum(count, 1) + 1
+            out[part] = np.where(count > 0, known[(fits.cumsum(axis=1) == nth[:, None]).argmax(axis=1)], -1)
+        return out
+
+    def run(batches):
+        for batch in batches:
+            occupied, number = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 3))
+            asked = np.array(batch.column(2).to_pylist(), dtype=object)
+            chosen = np.full(len(asked), -1, dtype=np.int64)
+            for k, geometry in enumerate(names):
+                rows = np.flatnonzero((number % 4 == k) & (asked != "arrow-crossed"))
+                chosen[rows] = fitting(occupied[rows], asked[rows] == "arrow-empty", number[rows], geometry)
+            rows, arrows, routes_of = [], [], []
+            for i, (name, route) in enumerate(zip(asked, chosen.tolist())):
+                for no, r in enumerate(crossed(int(number[i])) if name == "arrow-crossed" else [route], 1):
+                    rows.append(i)
+                    arrows.append(no)
+                    routes_of.append(table[r] if r >= 0 else None)
+            kept = batch.take(pa.array(rows, pa.int64()))
+            column = lambda f, kind: pa.array([None if r is None else r[f] for r in routes_of], kind)
+            yield pa.record_batch([
+                kept.column(0), kept.column(2), pa.array(arrows, pa.int32()),
+                pa.array([names[int(number[i]) % 4] if r is None else r.geometry for i, r in zip(rows, routes_of)]),
+                column("start", pa.int64()), column("end", pa.int64()), column("bend", pa.string()),
+                column("width", pa.float64()), column("touched", pa.int64()),
+                pa.array(["no-route" if r is None else None for r in routes_of], pa.string())],
+                names=[board, "case", "arrow_no", "geometry", "start", "end", "bend", "width", "touched", "reason"])
+
+    kind = boards.schema[board].dataType.simpleString()
+    asked = boards.select(board, F.col(occupied_mask).cast("long"), F.col(case).alias("case"),
+                          hash_number(stable_hash(F.lit(seed), board)))
+    return asked.mapInArrow(run, f"{board} {kind}, case string, arrow_no int, geometry string, start long, end long, "
+                                 "bend string, width double, touched long, reason string")
+
+
+def combined_marks(plan: DataFrame, board: str) -> DataFrame:
+    """The box marks under a combined arrow: its ends as last move, its tip in a circle."""
+    rows = plan.where((F.col("case") == "arrow-combined") & F.col("start").isNotNull())
+    marks = F.array(F.struct(F.lit("last-move").alias("kind"), F.array("start", "end").alias("squares")),
+                    F.struct(F.lit("circle").alias("kind"), F.array("end").alias("squares")))
+    return rows.select(board, F.inline(marks))
 
 
 def arrow_into(routes: DataFrame, keys: Sequence[str], start: str, seed: int) -> DataFrame:
@@ -202,11 +265,11 @@ def arrow_into(routes: DataFrame, keys: Sequence[str], start: str, seed: int) ->
         .select(*keys, F.col("_r").getField(start).alias(start), F.col("_r.geometry").alias("geometry")))
 
 
-def compact_pick(df: DataFrame, group: str, position: str, width: int = 4096) -> DataFrame:
-    """The (group index mod group size)-th position of each group."""
-    ranked = bucket_rank(df.select(group, position), [group], F.floor(F.col(position) / width),
+def compact_pick(df: DataFrame, group: str, position: str) -> DataFrame:
+    """The (group index mod group size)-th position of each group; ids are numbers or strings."""
+    ranked = bucket_rank(df.select(group, position), [group], value_bucket(df, position),
                          [position], out="_r", size="_n")
-    groups = bucket_rank(df.select(group).distinct(), [], F.floor(F.col(group) / width), [group], out="_g")
+    groups = bucket_rank(df.select(group).distinct(), [], value_bucket(df, group), [group], out="_g")
     return (ranked.join(groups, group).where(F.col("_r") - 1 == (F.col("_g") - 1) % F.col("_n"))
             .select(group, position))
 
@@ -217,19 +280,24 @@ def dedupe_aliases(df: DataFrame, key: Sequence[str], row_id: str) -> DataFrame:
     return df.select(row_id, *key).join(first, list(key)).select(row_id, "request", "aliases")
 
 
-def training_cells(boards: DataFrame, marks: DataFrame, board: str, is_clean: Column, squares: Sequence[str],
+def training_cells(boards: DataFrame, marks: DataFrame, board: str, is_clean: Column, kind: str, squares: str,
                    touched: DataFrame | None = None) -> DataFrame:
-    """Cells kept for training: clean boards whole, marked cells with their 8 neighbours.
+    """Cells kept for training: clean boards whole, of marked ones the cells that a mark can change.
 
-    ``touched`` adds (board, idx) rows for arrows, halo included.
+    ``squares`` holds the cell indexes of a box mark. Last moves and selections are whole squares whose colour
+    bleeds into the 8 neighbours when an image is scaled; other marks keep to their cell. ``touched``
+    adds (board, idx) rows for arrows, halo included.
     """
     whole = boards.where(is_clean).select(board, F.explode(literal_array(range(64)).cast("array<bigint>")).alias("idx"))
     steps = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]
-    spots = marks.select(board, F.explode(F.array(*[F.col(s) for s in squares])).alias("_s"))
-    near = F.array(*[F.struct((F.floor(F.col("_s") / 8) + r).alias("r"), (F.col("_s") % 8 + c).alias("c"))
-                     for r, c in steps])
-    around = (spots.select(board, F.inline(near)).where(F.col("r").between(0, 7) & F.col("c").between(0, 7))
-              .select(board, (F.col("r") * 8 + F.col("c")).cast("long").alias("idx")))
+    wide = F.coalesce(F.col(kind).isin("last-move", "selection"), F.lit(False))
+    spots = marks.where(~F.coalesce(F.col(kind) == "arrow", F.lit(False))).select(
+        board, wide.alias("_wide"), F.explode(squares).alias("_s"))
+    near = F.array(*[F.struct((F.floor(F.col("_s") / 8) + r).alias("r"), (F.col("_s") % 8 + c).alias("c"),
+                              F.lit((r, c) == (0, 0)).alias("own")) for r, c in steps])
+    around = (spots.select(board, "_wide", F.inline(near)).where(
+        (F.col("_wide") | F.col("own")) & F.col("r").between(0, 7) & F.col("c").between(0, 7))
+        .select(board, (F.col("r") * 8 + F.col("c")).cast("long").alias("idx")))
     out = around if touched is None else around.unionByName(touched.select(board, "idx"))
     return whole.unionByName(out.distinct())
 

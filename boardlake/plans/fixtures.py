@@ -103,7 +103,7 @@ SQL_TABLES = {
           CASE WHEN kind = 'arrow' AND g = 3 THEN CASE WHEN board_id % 2 = 0 THEN 'horizontal-first'
                ELSE 'vertical-first' END END AS bend,
           CASE WHEN kind = 'arrow' THEN [0.08, 0.14, 0.22][board_id % 3 + 1] END AS width,
-          CASE WHEN board_id % 41 = 0 THEN 0 ELSE 96 + 48 * (board_id % 3) END AS alpha
+          CASE WHEN board_id % 41 = 0 THEN 0 ELSE 100 + 50 * (board_id % 3) END AS alpha
         FROM (SELECT *, CASE WHEN g = 0 THEN ar
                 WHEN g = 3 THEN CASE WHEN ar < 4 THEN ar + 2 ELSE ar - 2 END
                 WHEN ar < 4 THEN ar + n ELSE ar - n END AS br,
@@ -292,7 +292,7 @@ class Tables:
             F.when(arrow & (F.col("g") == 3), F.when(k % 2 == 0, "horizontal-first")
                    .otherwise("vertical-first")).alias("bend"),
             F.when(arrow, F.get(literal_array([0.08, 0.14, 0.22]), (k % 3).cast("int"))).alias("width"),
-            F.when(k % 41 == 0, L(0)).otherwise(96 + 48 * (k % 3)).cast("long").alias("alpha"))
+            F.when(k % 41 == 0, L(0)).otherwise(100 + 50 * (k % 3)).cast("long").alias("alpha"))
 
     @property
     def hashes(self) -> DataFrame:

@@ -218,15 +218,36 @@ _CR = (f"SELECT orientation, coalesce(string_agg({label('class_id')}, ',' ORDER
        "bc, count(*) FILTER (class_id = cand_id) AS cc FROM cells GROUP BY 1, 2) GROUP BY 1")
 
 
-@query("q2_safety_gate", sql(
-    "SELECT *, lost_boards = 0 AND correct_change >= 0 AND false_change <= 0 AND missed_change <= 0 AND lost_classes = '' AND worse_strata = 0 AS safe "
-    "FROM (SELECT orientation, count(*) AS boards, count(*) FILTER (base_exact AND NOT cand_exact) AS lost_boards, count(*) FILTER (cand_exact AND NOT "
-    "base_exact) AS gained_boards, count(*) FILTER (cand_exact) AS cand_exact_boards, CAST(sum(cand_correct) AS BIGINT) AS cand_correct_squares, "
-    + ", ".join(f"CAST(sum(cand_{c} - base_{c}) AS BIGINT) AS {c}_change" for c in ("correct", "false", "missed"))
-    + ", lost_classes, cand_macro_recall, coalesce(max(ws.n), 0) AS worse_strata FROM pb JOIN cr USING (orientation) LEFT JOIN ws USING (orientation) "
-    "GROUP BY orientation, lost_classes, cand_macro_recall)", pb=_PB, ws=_WS, cr=_CR))
+_SAFE = ("SELECT d.orientation, boards, lost_boards, gained_boards, cand_exact_boards, cand_correct_squares, correct_change, false_change, missed_change, "
+         "lost_classes, cand_macro_recall, worse_strata, CASE WHEN boards IS NULL THEN 'missing domain' ELSE concat_ws('; ', CASE WHEN lost_boards <> 0 THEN "
+         "'lost baseline-correct boards' END, CASE WHEN correct_change < 0 THEN 'fewer correct squares' END, CASE WHEN false_change > 0 THEN "
+         "'increased false pieces' END, CASE WHEN missed_change > 0 THEN 'increased missed pieces' END, CASE WHEN lost_classes <> '' THEN "
+         "'decreased class recall' END, CASE WHEN worse_strata <> 0 THEN 'worsened strata' END) END AS reasons FROM (SELECT unnest(['white-bottom', "
+         "'black-bottom', 'unknown']) AS orientation) d LEFT JOIN (SELECT orientation, count(*) AS boards, count(*) FILTER (base_exact AND NOT cand_exact) AS "
+         "lost_boards, count(*) FILTER (cand_exact AND NOT base_exact) AS gained_boards, count(*) FILTER (cand_exact) AS cand_exact_boards, "
+         "CAST(sum(cand_correct) AS BIGINT) AS cand_correct_squares, "
+         + ", ".join(f"CAST(sum(cand_{c} - base_{c}) AS BIGINT) AS {c}_change" for c in ("correct", "false", "missed"))
+         + ", lost_classes, cand_macro_recall, coalesce(max(ws.n), 0) AS worse_strata FROM pb JOIN cr USING (orientation) LEFT JOIN ws USING (orientation) "
+         "GROUP BY orientation, lost_classes, cand_macro_recall) x ON d.orientation = x.orientation")
+
+
+def safety(t):
+    return Q.safety_gate(t.cells, boards(t), "orientation", ["category", "split"], "class_id", "pred_id", "cand_id",
+                         ["white-bottom", "black-bottom", "unknown"])
+
+
+@query("q2_safety_gate", sql("SELECT *, reasons = '' AS safe FROM sg", pb=_PB, ws=_WS, cr=_CR, sg=_SAFE))
 def q2(t):
-    return Q.safety_gate(t.cells, boards(t), "orientation", ["category", "split"], "class_id", "pred_id", "cand_id")
+    return safety(t)
+
+
+@query("q2_accuracy", sql(
+    "SELECT bool_and(reasons = '') AS safe_checkpoint, bool_and(reasons = '') AND coalesce(max(gained_boards - lost_boards) FILTER (orientation = "
+    "'white-bottom') >= 2, false) AS accuracy_accepted, concat_ws('; ', string_agg(orientation || ': ' || reasons, '; ' ORDER BY orientation) FILTER "
+    "(reasons <> ''), CASE WHEN NOT coalesce(max(gained_boards - lost_boards) FILTER (orientation = 'white-bottom') >= 2, false) THEN "
+    "'white-bottom: insufficient exact-board improvement' END) AS reasons FROM sg", pb=_PB, ws=_WS, cr=_CR, sg=_SAFE))
+def q2b(t):
+    return Q.assess_accuracy(safety(t), "orientation", "white-bottom", 2)
 
 
 _TG = ("SELECT board_id, category, unnest(['reference', 'shift', 'resample']) AS scenario, unnest([base_correct, base_correct, cand_correct]) AS a, "

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from boardlake.operators import geometry as G
 from boardlake.operators import metrics as M
 from boardlake.operators import sampling as W
+from boardlake.functions.placement import literal_array
+from boardlake.plans.q_audits import MARKS_SQL, all_marks
 from boardlake.plans.registry import query, sql
 
 _RM = ("SELECT *, greatest(abs(x - dx), abs(y - dy), abs(x + w - dx - dw), abs(y + h - dy - dh)) AS max_edge_error, "
@@ -228,10 +230,65 @@ def g7(t):
 _WIDTHS = [0.08, 0.14, 0.22]
 
 
-@query("w12_arrow_plan")
+_CASES = ["arrow-empty", "arrow-piece", "arrow-crossed", "arrow-combined"]
+_NUM = f"CAST(('0x' || substr(sha256('17|' || CAST(board_id AS VARCHAR)), 1, 15)) AS BIGINT)"
+_ROUTES = {
+    "ro": "SELECT *, abs(sq2 % 8 - sq1 % 8) AS dx, abs(sq2 // 8 - sq1 // 8) AS dy FROM (SELECT a.i AS sq1, b.i AS sq2 FROM idx a, idx b)",
+    "rs": "SELECT *, CASE WHEN bend IS NOT NULL THEN 'knight' WHEN dy = 0 THEN 'horizontal' WHEN dx = 0 THEN 'vertical' ELSE 'diagonal' END "
+          "AS geometry FROM (SELECT sq1, sq2, dx, dy, unnest(CASE WHEN dx * dy = 2 THEN ['horizontal-first', 'vertical-first'] ELSE [NULL] END) "
+          "AS bend, width FROM ro, (SELECT unnest([0.08, 0.14, 0.22]) AS width) WHERE (dx > 0 OR dy > 0) AND (dx = 0 OR dy = 0 OR dx = dy "
+          "OR dx * dy = 2))",
+    "rp": _parts_sql("rs", "sq1, sq2, geometry"),
+    "rt": _touch_sql("rp", "sq1, sq2, geometry, bend, width", "0.0625"),
+    "rm": "SELECT *, row_number() OVER (PARTITION BY geometry ORDER BY sq1, sq2, coalesce(bend, ''), width) AS no FROM (SELECT sq1, sq2, "
+          "geometry, bend, width, bit_or(1::UBIGINT << CAST(idx AS UBIGINT)) AS touched FROM rt GROUP BY 1, 2, 3, 4, 5)",
+    "bo": f"SELECT board_id, ['arrow-empty', 'arrow-piece', 'arrow-crossed', 'arrow-combined'][board_id % 4 + 1] AS \"case\", {_NUM} AS n, m "
+          "FROM (SELECT board_id, bit_or(CASE WHEN class_id <> 0 THEN 1::UBIGINT << CAST(idx AS UBIGINT) ELSE 0::UBIGINT END) AS m "
+          "FROM cells GROUP BY 1)",
+    "bg": "SELECT *, ['horizontal', 'vertical', 'diagonal', 'knight'][n % 4 + 1] AS geometry FROM bo WHERE \"case\" <> 'arrow-crossed'",
+    "fit": "SELECT board_id, no, row_number() OVER (PARTITION BY board_id ORDER BY no) AS k, count(*) OVER (PARTITION BY board_id) AS c, n FROM bg "
+           "JOIN rm USING (geometry) WHERE ((touched & m) = 0) = (\"case\" = 'arrow-empty')",
+    "two": "SELECT board_id, \"case\", a, [0.08, 0.14, 0.22][n // 128 % 3 + 1] AS width, CASE WHEN n // 64 % 2 = 1 THEN CASE a WHEN 1 THEN "
+           "y * 8 + x - 2 ELSE (y - 2) * 8 + x END ELSE CASE a WHEN 1 THEN (y - 2) * 8 + x - 2 ELSE (y + 2) * 8 + x - 2 END END AS s1, CASE WHEN "
+           "n // 64 % 2 = 1 THEN CASE a WHEN 1 THEN y * 8 + x + 2 ELSE (y + 2) * 8 + x END ELSE CASE a WHEN 1 THEN (y + 2) * 8 + x + 2 ELSE "
+           "(y - 2) * 8 + x + 2 END END AS s2 FROM (SELECT *, 2 + n // 4 % 4 AS x, 2 + n // 16 % 4 AS y FROM bo WHERE \"case\" = 'arrow-crossed'), "
+           "(SELECT unnest([1, 2]) AS a)",
+}
+_SIGNED = "CAST(CASE WHEN touched >= 9223372036854775808 THEN CAST(touched AS HUGEINT) - 18446744073709551616 ELSE touched END AS BIGINT)"
+_PLAN = (f"SELECT bg.board_id, \"case\", CAST(1 AS INTEGER) AS arrow_no, bg.geometry, sq1 AS start, sq2 AS \"end\", bend, width, {_SIGNED} AS "
+         "touched, CASE WHEN f.no IS NULL THEN 'no-route' END AS reason FROM bg LEFT JOIN (SELECT * FROM fit WHERE k = n // 128 % c + 1) f ON "
+         "bg.board_id = f.board_id LEFT JOIN rm ON rm.geometry = bg.geometry AND rm.no = f.no UNION ALL SELECT board_id, \"case\", CAST(a AS "
+         f"INTEGER), geometry, sq1, sq2, bend, rm.width, {_SIGNED}, CAST(NULL AS VARCHAR) FROM two JOIN rm ON s1 = sq1 AND s2 = sq2 AND rm.width = two.width")
+
+
+def arrow_plans(t):
+    case = F.get(literal_array(_CASES), (F.col("board_id") % 4).cast("int"))
+    boards = t.placed("grid").select("board_id", case.alias("case"), G.occupied_mask("grid").alias("mask"))
+    return W.arrow_plan(boards, G.route_table(t.spark, _WIDTHS), "board_id", "mask", "case", 17)
+
+
+@query("w12_arrow_plan", sql(_PLAN, **_ROUTES))
 def w12(t):
-    boards = t.placed("grid").select("board_id", "status", G.occupied_mask("grid").alias("mask"))
-    return W.arrow_plan(boards, G.route_table(t.spark, _WIDTHS), "board_id", "mask", F.col("status") == "F", 17)
+    return arrow_plans(t)
+
+
+@query("w12_combined_marks", sql(
+    "SELECT board_id, 'last-move' AS kind, start || ',' || \"end\" AS squares FROM pl WHERE \"case\" = 'arrow-combined' AND start IS NOT NULL UNION ALL "
+    "SELECT board_id, 'circle', CAST(\"end\" AS VARCHAR) FROM pl WHERE \"case\" = 'arrow-combined' AND start IS NOT NULL", **_ROUTES, pl=_PLAN))
+def w12b(t):
+    return W.combined_marks(arrow_plans(t), "board_id").withColumn("squares", F.array_join("squares", ","))
+
+
+@query("w16_training_cells", sql(
+    "SELECT board_id, i AS idx FROM boards, idx WHERE conditions = ['clean'] UNION ALL (SELECT board_id, r * 8 + c AS idx FROM (SELECT board_id, "
+    "s // 8 + dr AS r, s % 8 + dc AS c FROM (SELECT board_id, kind, unnest([sq1, sq2]) AS s FROM am WHERE kind IS DISTINCT FROM 'arrow'), "
+    "(SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc) WHERE dr = 0 AND dc = 0 OR coalesce(kind IN ('last-move', 'selection'), "
+    "false)) WHERE r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7 UNION SELECT board_id, idx FROM tc)", am=MARKS_SQL, ar=_AR, ap=_AP,
+    tc=_touch_sql("ap", "board_id, mark_no", "0.0625")))
+def w16(t):
+    boxes = all_marks(t).withColumn("cells", F.array("sq1", "sq2"))
+    touched = G.with_touched(_arrows(t), ["board_id"], "sq1", "sq2", "bend", "width")
+    return W.training_cells(t.boards, boxes, "board_id", F.col("conditions") == F.array(F.lit("clean")), "kind", "cells", touched)
 
 
 @query("c18_arrow_coverage", sql(

@@ -7,16 +7,20 @@ from boardlake.plans.registry import problems_sql, query, sql
 
 
 @query("j1_join_evidence", sql(
-    "SELECT b.board_id, b.group_id, category, grid = pred_grid AS exact, boxes, found, c_mktsegment AS style "
-    "FROM placements b JOIN (SELECT board_id, count(*) AS boxes, bool_and(found) AS found FROM rects GROUP BY 1) "
-    "g USING (board_id) JOIN customer ON c_custkey = group_id"))
+    "SELECT b.board_id, b.group_id, category, CASE WHEN b.board_id % 17 <> 0 THEN grid = pred_grid END AS exact, boxes, found, "
+    "c_mktsegment AS style, nullif(concat_ws(',', CASE WHEN b.board_id % 23 = 0 THEN 'repeated-manifest' END, CASE WHEN "
+    "b.board_id % 17 = 0 THEN 'missing-predictions' END, CASE WHEN boxes IS NULL THEN 'missing-geometry' END, CASE WHEN "
+    "c_custkey IS NULL THEN 'missing-appearance' END), '') AS problem "
+    "FROM placements b LEFT JOIN (SELECT board_id, count(*) AS boxes, bool_and(found) AS found FROM rects GROUP BY 1) "
+    "g ON b.board_id = g.board_id LEFT JOIN customer ON c_custkey = group_id"))
 def j1(t):
-    p = t.placed("grid", "pred_grid")
+    p = t.placed("grid", "pred_grid").where("board_id % 17 <> 0")
     preds = p.select("board_id", (F.col("grid") == F.col("pred_grid")).alias("exact"))
     geo = t.rects.groupBy("board_id").agg(F.count(F.lit(1)).alias("boxes"), F.bool_and("found").alias("found"))
     style = t.customer.select(F.col("c_custkey").alias("group_id"), F.col("c_mktsegment").alias("style"))
-    return J.join_evidence(preds, geo, t.boards.select("board_id", "group_id", "category"), style,
-                           "board_id", "group_id")
+    manifest = t.boards.select("board_id", "group_id", "category")
+    manifest = manifest.unionAll(manifest.where("board_id % 23 = 0"))
+    return J.join_evidence(preds, geo, manifest, style, "board_id", "group_id")
 
 
 @query("j2_membership_diff", sql(
@@ -32,12 +36,14 @@ _RUN = ("SELECT board_id, grid, coalesce(pred_grid = grid, false) AS base, coale
 
 
 @query("j3_pair_runs", sql(
-    "SELECT board_id, base AS baseline, cand AS candidate, true AS same_label FROM r", r=_RUN))
+    "SELECT board_id, CASE WHEN board_id % 19 <> 0 THEN base END AS baseline, CASE WHEN board_id % 13 <> 0 THEN cand END AS candidate, "
+    "board_id % 19 <> 0 AND board_id % 13 <> 0 AS same_label, CASE WHEN board_id % 19 = 0 THEN 'only-candidate' WHEN board_id % 13 = 0 "
+    "THEN 'only-baseline' END AS problem FROM r WHERE board_id % 19 <> 0 OR board_id % 13 <> 0", r=_RUN))
 def j3(t):
     p = t.placed("grid", "pred_grid", "cand_grid")
     old = p.select("board_id", "grid", F.coalesce(F.col("pred_grid") == F.col("grid"), F.lit(False)).alias("ok"))
     new = p.select("board_id", "grid", F.coalesce(F.col("cand_grid") == F.col("grid"), F.lit(False)).alias("ok"))
-    return J.pair_runs(old, new, ["board_id"], "grid", "ok").drop("grid")
+    return J.pair_runs(old.where("board_id % 19 <> 0"), new.where("board_id % 13 <> 0"), ["board_id"], "grid", "ok").drop("grid")
 
 
 @query("j4_pair_clean", sql(

@@ -48,13 +48,13 @@ def w3(t):
     return W.hash_fraction(t.boards.select("board_id"), ["board_id"], 4)
 
 
-_EDGES = [(-1, 0), (1, 0), (0, -1), (0, 1), (-2, 0), (2, 0), (0, -2), (0, 2)]
+_EDGES = [(-1, 0), (1, 0), (0, -1), (0, 1), (-3, 1), (3, -1), (1, 4), (-2, -2)]  # test values of this file
 
 
 @query("w4_assign_scenario", sql(
-    f"SELECT box_id, [((s + j) % 8) FOR j IN range(8) IF x + [-1,1,0,0,-2,2,0,0][(s + j) % 8 + 1] >= 10 AND y + "
-    "[0,0,-1,1,0,0,-2,2][(s + j) % 8 + 1] >= 0 AND x + w + [-1,1,0,0,-2,2,0,0][(s + j) % 8 + 1] <= 300 AND y + h + "
-    "[0,0,-1,1,0,0,-2,2][(s + j) % 8 + 1] <= 260][1] AS scenario FROM "
+    f"SELECT box_id, [((s + j) % 8) FOR j IN range(8) IF x + [-1,1,0,0,-3,3,1,-2][(s + j) % 8 + 1] >= 10 AND y + "
+    "[0,0,-1,1,1,-1,4,-2][(s + j) % 8 + 1] >= 0 AND x + w + [-1,1,0,0,-3,3,1,-2][(s + j) % 8 + 1] <= 300 AND y + h + "
+    "[0,0,-1,1,1,-1,4,-2][(s + j) % 8 + 1] <= 260][1] AS scenario FROM "
     f"(SELECT *, {number(digest(7, 'box_id'))} % 8 AS s FROM rects)"))
 def w4(t):
     dx, dy = (literal_array([e[i] for e in _EDGES]) for i in (0, 1))
@@ -174,7 +174,7 @@ def w10(t):
     profile = cut_lineage(W.group_profile(t.cells.join(nation, "group_id"), "c_nationkey", "class_id", "idx"))
     total = sum(F.sum(f"c{c}_{b}") for c, b in _CLS)
     minimum = profile.agg(F.floor(total / 260)).first()[0]
-    return W.assign_splits(profile, "c_nationkey", _SIZES, minimum, 3, 200)
+    return W.assign_splits(profile, "c_nationkey", _SIZES, minimum, 3)
 
 
 @query("w11_mark_plan", sql(
@@ -212,15 +212,6 @@ def w15(t):
                             ["sha", "orientation"], "board_id")
 
 
-@query("w16_training_cells", sql(
-    "SELECT board_id, i AS idx FROM boards, idx WHERE conditions = ['clean'] UNION ALL (SELECT DISTINCT board_id, r * 8 + c "
-    "FROM (SELECT board_id, s // 8 + dr AS r, s % 8 + dc AS c FROM (SELECT board_id, unnest([sq1, sq2]) AS s FROM marks WHERE kind = 'circle'), "
-    "(SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc)) WHERE r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7)"))
-def w16(t):
-    return W.training_cells(t.boards, t.marks.where("kind = 'circle'"), "board_id",
-                            F.col("conditions") == F.array(F.lit("clean")), ["sq1", "sq2"])
-
-
 _EP = ("SELECT board_id, idx, class_id, unnest([0, 1, 2]) AS epoch, unnest([pred_id, cand_id, CASE WHEN board_id % 5 = 0 THEN pred_id "
        "ELSE class_id END]) AS pred FROM cells")
 

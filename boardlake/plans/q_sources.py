@@ -1,5 +1,6 @@
 """Source, sink, corpus and streaming queries (families S and ST)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boardlake.functions.placement import literal_array
@@ -12,23 +13,37 @@ from boardlake.sources.images import identify
 from boardlake.streaming.intake import stream_dedupe, stream_intake
 from boardlake.streaming.monitor import monitor, stream_monitor
 
-_PNG = "89504E470D0A1A0A0000000D49484452"
-
-
 @query("s1_image_catalog", sql(
-    "SELECT page_id, CASE k WHEN 4 THEN 'JPEG' WHEN 5 THEN 'OTHER' WHEN 6 THEN NULL WHEN 7 THEN NULL ELSE 'PNG' END AS format, CAST(CASE WHEN k < 4 THEN 256 + page_id % 256 WHEN k = 4 THEN 640 END AS BIGINT) AS "
-    "width, CAST(CASE WHEN k < 4 THEN 512 WHEN k = 4 THEN 480 END AS BIGINT) AS height, CASE WHEN k = 1 THEN 'I;16' WHEN k < 5 THEN 'RGB' END AS mode, CASE k WHEN 0 THEN NULL WHEN 4 THEN NULL WHEN 1 THEN "
-    "'UNSUPPORTED_IMAGE' WHEN 2 THEN 'UNSUPPORTED_IMAGE' WHEN 5 THEN 'UNSUPPORTED_IMAGE' ELSE 'INVALID_IMAGE' END AS error_code FROM (SELECT page_id, page_id % 8 AS k FROM pages)"))
+    "SELECT page_id, CASE WHEN k IN (4, 11) THEN 'JPEG' WHEN k = 5 THEN 'OTHER' WHEN k IN (6, 7) THEN NULL ELSE 'PNG' END AS format, CAST(CASE WHEN k IN "
+    "(4, 11) THEN 640 WHEN k IN (5, 6, 7) THEN NULL WHEN k = 12 THEN 65536 ELSE 256 + page_id % 256 END AS BIGINT) AS width, CAST(CASE WHEN k IN (4, 11) "
+    "THEN 480 WHEN k IN (5, 6, 7) THEN NULL WHEN k = 12 THEN 65536 ELSE 512 END AS BIGINT) AS height, CASE WHEN k = 1 THEN 'I;16' WHEN k NOT IN (5, 6, 7) "
+    "THEN 'RGB' END AS mode, CASE WHEN k IN (1, 2, 5, 12) THEN 'UNSUPPORTED_IMAGE' WHEN k IN (3, 6, 7, 13) THEN 'INVALID_IMAGE' END AS error_code FROM "
+    "(SELECT page_id, page_id % 14 AS k FROM pages)"))
 def s1(t):
-    """Page bytes wrapped in image headers: every outcome of the catalogue."""
-    k, body = F.col("page_id") % 8, F.hex(F.encode("html", "UTF-8"))
-    side = F.lpad(F.hex(256 + F.col("page_id") % 256), 8, "0")
-    head = F.concat(F.lit(_PNG), side, F.lit("00000200"), F.when(k == 1, "10").otherwise("08"), F.lit("02000000AABBCCDD"))
-    end = F.lit("0000000049454E44AE426082")
-    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108" "01E00280" "03012200021101031101"), body, F.lit("FFD9"))
-    hexed = (F.when(k == 2, F.concat(head, F.lit("000000086163544C"), body, end)).when(k == 3, F.concat(head, body))
-             .when(k < 2, F.concat(head, body, end)).when(k == 4, jpeg).when(k == 5, F.concat(F.lit("474946383961"), body))
-             .when(k == 6, "").otherwise(body))
+    """Page bytes wrapped in image files: every outcome of the catalogue."""
+    k, body = F.col("page_id") % 14, F.hex(F.encode("html", "UTF-8"))
+
+    def number(value, digits=8):
+        return F.lpad(F.hex(value), digits, "0")
+
+    def chunk(kind, data, flaw=F.lit(0)):
+        """Length, kind, data and checksum, in hex."""
+        lead = F.concat(F.hex(F.encode(F.lit(kind), "UTF-8")), data)
+        return F.concat(number((F.length(data) / 2).cast("long")), lead, number((F.crc32(F.unhex(lead)) + flaw) % 4294967296))
+
+    side = F.when(k == 12, F.lit(65536)).otherwise(256 + F.col("page_id") % 256)
+    height = F.when(k == 12, F.lit(65536)).otherwise(F.lit(512))
+    kind = F.when(k == 1, "1000").when(k == 8, "1002").otherwise("0802")
+    head = F.concat(F.lit("89504E470D0A1A0A"), chunk("IHDR", F.concat(number(side), number(height), kind, F.lit("000000"))))
+    frames = F.when(k == 2, chunk("acTL", F.lit("0000000200000000"))).otherwise("")
+    stray = F.concat(body, F.when(k == 10, "6163544C").otherwise(""))
+    pixels = chunk("IDAT", stray, F.when(k == 13, 1).otherwise(0))
+    png = F.concat(head, frames, pixels, F.when(k == 3, "").otherwise(chunk("IEND", F.lit(""))), F.when(k == 9, body).otherwise(""))
+    many = F.when(k == 11, F.repeat(F.lit("FFE200044943"), 300)).otherwise("")
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), many, F.lit("FFC0001108" "01E00280" "03012200021101031101"), body,
+                    F.lit("FFD9"))
+    hexed = (F.when(k.isin(4, 11), jpeg).when(k == 5, F.concat(F.lit("474946383961"), body)).when(k == 6, "")
+             .when(k == 7, body).otherwise(png))
     files = t.pages.select("page_id", F.unhex(hexed).alias("content"))
     return identify(files).drop("sha256")
 
@@ -115,11 +130,21 @@ def s9(t):
     "FROM boards WHERE m < 37 AND split = 'training')"))
 def s10(t):
     b = t.boards
-    extra = b.where("m >= 37").select("board_id", "split", "seed_key")
-    out = K.append_training(b.where("m < 37").select("board_id", "split"), extra, "split", "seed_key", "board_id")
+    base, extra = b.where("m < 37").select("board_id", "split"), b.where("m >= 37").select("board_id", "split", "seed_key")
+    bad = K.refused_additions(base, extra, "split", "seed_key", "board_id")
+    out = K.append_training(base, extra.join(bad, "board_id", "left_anti"), "split", "seed_key", "board_id")
     return out.select("board_id", "split", "added")
 
 
+@query("s10_refused_additions", sql(
+    "SELECT board_id, CASE WHEN split <> 'training' THEN 'split' ELSE 'source' END AS problem FROM boards WHERE m >= 37 AND (split <> 'training' OR seed_key "
+    "NOT IN (SELECT board_id FROM boards WHERE m < 37 AND split = 'training'))"))
+def s10b(t):
+    b = t.boards
+    return K.refused_additions(b.where("m < 37").select("board_id", "split"), b.where("m >= 37").select("board_id", "split", "seed_key"),
+                               "split", "seed_key", "board_id").select("board_id", "problem")
+
+
 @query("s11_reviewed_imports", sql(
     "SELECT CAST(position_id AS VARCHAR) AS batch_id, board_id AS sample_id, split FROM boards WHERE status = 'P'"))
 def s11(t):
@@ -132,6 +157,14 @@ def s11(t):
     return K.reviewed_imports(D.read_manifest(t.spark, path, "batch")).select("batch_id", "sample_id", "split")
 
 
+@query("s12_partition_members", sql(
+    "SELECT DISTINCT group_id, kind, value FROM (SELECT group_id, unnest(['sample', 'game']) AS kind, unnest([CAST(board_id AS VARCHAR), CASE WHEN status = 'P' "
+    "THEN category || ':' || CAST(position_id AS VARCHAR) END]) AS value FROM boards) WHERE value IS NOT NULL"))
+def s12b(t):
+    game = F.when(F.col("status") == "P", F.col("position_id"))
+    return K.partition_members(t.boards.withColumn("game", game), "group_id", "board_id", "category", "game")
+
+
 @query("s12_partition_plan", sql(
     "SELECT group_id, count(DISTINCT board_id) AS samples, count(DISTINCT CASE WHEN status = 'P' THEN category || ':' || CAST(position_id AS VARCHAR) END) AS games FROM boards GROUP BY 1"))
 def s12(t):
@@ -155,12 +188,16 @@ def s13(t):
     "SELECT board_id, leak_split FROM boards WHERE leak_split = 'evaluation' UNION ALL SELECT board_id, leak_split FROM boards WHERE leak_split <> 'evaluation' AND position_id NOT IN "
     "(SELECT position_id FROM boards b WHERE leak_split <> 'evaluation' AND pair_id IN (SELECT pair_id FROM boards GROUP BY 1 HAVING count(DISTINCT leak_split) > 1))"))
 def st1(t):
-    source, published, mark = (shared_folder(t.spark, n) for n in ("incoming", "published", "intake"))
+    source, published, pending, mark = (shared_folder(t.spark, n) for n in ("incoming", "published", "pending", "intake"))
     b = t.boards.select("board_id", "pair_id", "position_id", "leak_split")
-    b.where("leak_split = 'evaluation'").write.parquet(f"{published}/intake=-1")
-    b.where("leak_split <> 'evaluation'").write.parquet(source)
-    stream = t.spark.readStream.schema(b.schema).parquet(source)
-    q = stream_intake(stream, published, mark, "position_id", "leak_split", {"pair": "pair_id"})
+    done = F.col("leak_split") == "evaluation"
+    b = b.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("position_id", done)))
+    b.where(done).write.parquet(f"{published}/intake=-1")
+    # Two files of each batch, read one after the other: a batch is cut over two micro-batches.
+    for half in (0, 1):
+        b.where(~done & (F.col("board_id") % 2 == half)).coalesce(1).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = stream_intake(stream, published, pending, mark, "position_id", "size", {"pair": ("pair_id", ["leak_split"])})
     q.awaitTermination()
     return t.spark.read.parquet(published).select("board_id", "leak_split")
 
@@ -183,7 +220,7 @@ def _finish(t, df, name):
 @query("st2_stream_dedupe", sql(
     "SELECT DISTINCT user_id, event_type FROM events"))
 def st2(t):
-    d = stream_dedupe(_event_stream(t, "requests"), "ts", "36500 days", ["user_id", "event_type"])
+    d = stream_dedupe(_event_stream(t, "requests"), "ts", "2 hours", ["user_id", "event_type"])
     return _finish(t, d.select("user_id", "event_type"), "deduped")
 
 

@@ -52,12 +52,25 @@ def merge_corpora(parent: DataFrame, addition: DataFrame, config: str, held_out:
     return both.withColumn("generalization", F.col("style.combination").isin(*held_out))
 
 
+def refused_additions(base: DataFrame, extra: DataFrame, split: str, ref: str, base_id: str) -> DataFrame:
+    """Added rows that are not training rows, or whose source is no training row of ``base``."""
+    sources = base.where(F.col(split) == "training").select(F.col(base_id).alias(ref)).distinct().withColumn(
+        "_known", F.lit(True))
+    j = extra.join(sources, ref, "left")
+    return j.withColumn("problem", F.when(~F.col(split).eqNullSafe("training"), "split").when(
+        F.col("_known").isNull(), "source")).where(F.col("problem").isNotNull()).drop("_known")
+
+
 def append_training(base: DataFrame, extra: DataFrame, split: str, ref: str, base_id: str) -> DataFrame:
-    """Base rows unchanged plus training variants of existing training rows."""
-    sources = base.where(F.col(split) == "training").select(F.col(base_id).alias(ref))
-    accepted = extra.where(F.col(split) == "training").join(sources, ref, "left_semi")
+    """Base rows unchanged plus training variants of existing training rows.
+
+    One row that :func:`refused_additions` names refuses the whole set.
+    """
+    refused = refused_additions(base, extra, split, ref, base_id).groupBy("problem").agg(F.count("*").alias("n")).collect()
+    if refused:
+        raise ValueError("additions refused: " + ", ".join(sorted(f"{r.problem} {r.n}" for r in refused)))
     return (base.withColumn("added", F.lit(False))
-            .unionByName(accepted.withColumn("added", F.lit(True)), allowMissingColumns=True))
+            .unionByName(extra.withColumn("added", F.lit(True)), allowMissingColumns=True))
 
 
 def reviewed_imports(batches: DataFrame, provenance: str = "reviewed-real-use") -> DataFrame:

@@ -1,76 +1,92 @@
 """Image catalogue: files identified by content, never decoded.
 
-The listing is ``binaryFile`` rows; format, size, mode and animation come from header
-bytes with binary expressions, so a corrupt file becomes a code instead of an error.
+The listing is ``binaryFile`` rows. The walk over PNG chunks and JPEG segments has no bound but the file itself,
+which column expressions cannot loop over, so one small vectorised function reads the headers of a batch of
+files; a corrupt file becomes a code instead of an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import zlib
 
-from boardlake.functions.placement import let
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# File signatures and the colour modes of PNG colour types.
+# File signatures, the colour modes of PNG colour types, and the decoder's pixel limit.
 PNG_SIGNATURE = "89504E470D0A1A0A"
 OTHER_SIGNATURES = ("47494638", "424D", "52494646", "49492A00", "4D4D002A", "00000100")
 PNG_MODES = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
 JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
+MAX_PIXELS = 89_478_485
 
-
-def _hex(content: Column, pos, n: int) -> Column:
-    at = pos if isinstance(pos, Column) else F.lit(pos)
-    return F.hex(F.substring(content, at, F.lit(n)))
-
-
-def _number(content: Column, pos, n: int) -> Column:
-    """Big-endian unsigned integer; null past the end."""
-    text = _hex(content, pos, n)
-    return F.when(F.length(text) == 2 * n, F.conv(text, 16, 10)).cast("long")
-
-
-def _mapped(table: dict, key: Column) -> Column:
-    out = None
-    for k, v in table.items():
-        out = F.when(key == k, v) if out is None else out.when(key == k, v)
-    return out
+HEADER = "width long, height long, mode string, whole boolean, animated boolean"
+BROKEN = (None, None, None, False, False)
 
 
-def _png(content: Column) -> Column:
-    depth, kind = _number(content, 25, 1), _number(content, 26, 1)
-    mode = F.when(depth == 16, "I;16").when((kind == 0) & (depth == 1), "1").otherwise(_mapped(PNG_MODES, kind))
-    whole = (_hex(content, 13, 4) == "49484452") & _hex(content, F.length(content) - 7, 4).eqNullSafe(F.lit("49454E44"))
-    animation = F.instr(F.hex(content), "6163544C") > 0
-    return F.struct(_number(content, 17, 4).alias("width"), _number(content, 21, 4).alias("height"),
-                    mode.alias("mode"), F.coalesce(whole, F.lit(False)).alias("whole"), animation.alias("animated"))
+def png_header(data: bytes) -> tuple:
+    """Size, mode, whether all chunks up to the end chunk are sound, and whether frames are announced.
 
-
-def _jpeg(content: Column, segments: int = 64) -> Column:
-    """Walk the marker segments to the frame header."""
-    start = F.struct(F.lit(3).cast("long").alias("pos"), F.lit(None).cast("long").alias("width"),
-                     F.lit(None).cast("long").alias("height"), F.lit(None).cast("long").alias("parts"))
-
-    def step(state: Column, _: Column) -> Column:
-        pos = state["pos"]
-        marker = _hex(content, pos.cast("int"), 2)
-        frame = marker.rlike("^FFC[0-9A-F]$") & ~marker.isin("FFC4", "FFC8", "FFCC")
-        at = pos.cast("int")
-        seen = state["width"].isNotNull()
-        return F.struct(
-            F.when(seen | frame | ~marker.rlike("^FF"), pos).otherwise(
-                pos + 2 + F.coalesce(_number(content, at + 2, 2), F.lit(1 << 40))).alias("pos"),
-            F.when(~seen & frame, _number(content, at + 7, 2)).otherwise(state["width"]).alias("width"),
-            F.when(~seen & frame, _number(content, at + 5, 2)).otherwise(state["height"]).alias("height"),
-            F.when(~seen & frame, _number(content, at + 9, 1)).otherwise(state["parts"]).alias("parts"))
-
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(segments)), start, step)
-    whole = _hex(content, F.length(content) - 1, 2) == "FFD9"
-    return let(end, lambda e: F.struct(
-        e["width"].alias("width"), e["height"].alias("height"), _mapped(JPEG_MODES, e["parts"]).alias("mode"),
-        F.coalesce(whole & e["width"].isNotNull(), F.lit(False)).alias("whole"), F.lit(False).alias("animated")))
-
-
-def identify(files: DataFrame, content: str = "content") -> DataFrame:
+    Only an ``acTL`` chunk before the pixels announces frames; bytes behind the end chunk do not matter.
+    """
+    at, size, pixels, animated = 8, None, False, False
+    while at + 12 <= len(data):
+        length, kind = int.from_bytes(data[at:at + 4], "big"), data[at + 4:at + 8]
+        body = data[at + 8:at + 8 + length]
+        check = data[at + 8 + length:at + 12 + length]
+        if len(check) < 4 or zlib.crc32(kind + body) != int.from_bytes(check, "big"):
+            break
+        if size is None:
+            if kind != b"IHDR" or length != 13:
+                return BROKEN
+            depth, colour = body[8], body[9]
+            mode = "I;16" if (depth, colour) == (16, 0) else "1" if (depth, colour) == (1, 0) else PNG_MODES.get(colour)
+            size = (int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), mode)
+        elif kind == b"acTL" and not pixels and length >= 4:
+            animated = 1 < int.from_bytes(body[:4], "big") <= 1 << 31
+        elif kind == b"IDAT":
+            pixels = True
+        elif kind == b"IEND":
+            return (*size, pixels and min(size[:2]) > 0, animated)
+        at += 12 + length
+    return (*size, False, animated) if size else BROKEN
+
+
+def jpeg_header(data: bytes) -> tuple:
+    """Size and mode of the first frame header, behind any number of segments."""
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        marker = data[at + 1]
+        if marker == 0xFF:  # a fill byte
+            at += 1
+        elif marker == 0x01 or 0xD0 <= marker <= 0xD8:  # markers without a segment
+            at += 2
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            depth = data[at + 4:at + 5]
+            if len(data) < at + 10 or depth != b"\x08":
+                return BROKEN
+            height, width = (int.from_bytes(data[i:i + 2], "big") for i in (at + 5, at + 7))
+            whole = min(height, width) > 0 and data.find(b"\xff\xd9", at + 10) >= 0
+            return (width, height, JPEG_MODES.get(data[at + 9]), whole, False)
+        else:
+            length = int.from_bytes(data[at + 2:at + 4], "big")
+            if length < 2:
+                break
+            at += 2 + length
+    return BROKEN
+
+
+def read_headers(content: pd.Series) -> pd.DataFrame:
+    rows = []
+    for data in content:
+        data = b"" if data is None else bytes(data)
+        png = data.startswith(bytes.fromhex(PNG_SIGNATURE))
+        rows.append(png_header(data) if png else jpeg_header(data) if data.startswith(b"\xff\xd8\xff") else BROKEN)
+    out = pd.DataFrame(rows, columns=["width", "height", "mode", "whole", "animated"])
+    return out.astype({"width": "Int64", "height": "Int64"})
+
+
+def identify(files: DataFrame, content: str = "content", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """Add format, width, height, mode, sha256 and an error code (null when usable)."""
     c = F.col(content)
     lead = F.hex(F.substring(c, 1, 8))
@@ -78,11 +94,12 @@ def identify(files: DataFrame, content: str = "content") -> DataFrame:
     other = F.lit(False)
     for signature in OTHER_SIGNATURES:
         other = other | lead.startswith(signature)
-    rows = files.withColumn("format", F.coalesce(kind, F.when(other, "OTHER")))
-    rows = rows.withColumn("_h", F.when(F.col("format") == "PNG", _png(c)).when(F.col("format") == "JPEG", _jpeg(c)))
+    headers = F.pandas_udf(read_headers, HEADER)
+    rows = files.withColumn("format", F.coalesce(kind, F.when(other, "OTHER"))).withColumn("_h", headers(c))
     code = (F.when(c.isNull(), "INPUT_READ_ERROR").when(F.length(c) == 0, "INVALID_IMAGE")
             .when(F.col("format").isNull(), "INVALID_IMAGE").when(F.col("format") == "OTHER", "UNSUPPORTED_IMAGE")
             .when(~F.col("_h.whole"), "INVALID_IMAGE").when(F.col("_h.animated"), "UNSUPPORTED_IMAGE")
+            .when(F.col("_h.width") * F.col("_h.height") > max_pixels, "UNSUPPORTED_IMAGE")
             .when(F.col("_h.mode").isNull() | (F.col("_h.mode") == "I;16"), "UNSUPPORTED_IMAGE"))
     return rows.select(*[x for x in files.columns if x != content], "format", F.col("_h.width").alias("width"),
                        F.col("_h.height").alias("height"), F.col("_h.mode").alias("mode"),

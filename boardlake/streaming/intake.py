@@ -2,49 +2,83 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from boardlake.operators.audits import unpivot
+from boardlake.session import shared_folder
 from boardlake.sources.corpora import signature
 
+Rules = Mapping[str, tuple[str, Sequence[str]]]
 
-def admissible(batch: DataFrame, published: DataFrame, batch_id: str, split: str,
-               kinds: Mapping[str, str]) -> DataFrame:
-    """Rows of those batches whose keys stay in one partition, alone and with everything published.
 
-    Published keys are first restricted to those of the batch (a micro-batch is small, so
-    that is usually a broadcast and a scan), and keys are reduced to their split range, so
-    a hot key is one row.
-    """
-    def ranges(keys: DataFrame) -> DataFrame:
-        return keys.groupBy("kind", "value").agg(F.min(split).alias("lo"), F.max(split).alias("hi"))
+def facts(df: DataFrame, keep: Sequence[str], rules: Rules) -> DataFrame:
+    """(rule, key, value): what each row says about each key; unknown keys say nothing."""
+    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(key).cast("string").alias("key"),
+                              F.to_json(F.struct(*values)).alias("value")) for name, (key, values) in rules.items()])
+    return df.select(*keep, F.inline(rows)).where(F.col("key").isNotNull()).distinct()
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex[:6]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    own = unpivot(batch, [split], kinds)
-    known = unpivot(published, [split], kinds).join(own.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
-    both = ranges(own).unionByName(ranges(known)).groupBy("kind", "value").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    bad = both.where("lo <> hi").select("kind", "value")
-    rejected = unpivot(batch, [batch_id], kinds).join(bad, ["kind", "value"], "left_semi").select(batch_id).distinct()
-    return batch.join(rejected, batch_id, "left_anti")
+
+def admissible(rows: DataFrame, published: DataFrame, batch_id: str, rules: Rules) -> DataFrame:
+    """Rows of the batches that contradict neither themselves, nor what is published, nor an earlier admitted batch.
+
+    A rule ``name: (key, values)`` says that a key has one combination of values: a group one split, the same
+    bytes one identity. Batches are taken in the order of ``batch_id``, as if one came after another. A
+    round admits every open batch that no earlier open batch contradicts, so the number of rounds is the length
+    of the longest chain of contradictions, and keys are compared by joins on one row per key and value.
+    """
+    own = _kept(facts(rows, [batch_id], rules), "facts")
+    keys = own.select("rule", "key").distinct()
+    known = _kept(facts(published, [], rules).join(keys, ["rule", "key"], "left_semi"), "known")
+    admitted = None
+    while True:
+        said = known.select("rule", "key", F.col("value").alias("other"))
+        within = own.groupBy(batch_id, "rule", "key").agg(F.count("*").alias("n")).where("n > 1").select(batch_id)
+        against = own.join(said, ["rule", "key"]).where("value <> other").select(batch_id)
+        open_ = _kept(own.join(within.unionByName(against).distinct(), batch_id, "left_anti"), "open")
+        first = open_.groupBy("rule", "key", "value").agg(F.min(batch_id).alias("first"))
+        first = first.withColumnRenamed("value", "other")
+        blocked = open_.join(first, ["rule", "key"]).where(
+            (F.col("value") != F.col("other")) & (F.col("first") < F.col(batch_id))).select(batch_id).distinct()
+        free = _kept(open_.join(blocked, batch_id, "left_anti"), "free")
+        won = free.select(batch_id).distinct()
+        admitted = won if admitted is None else admitted.unionByName(won)
+        own = _kept(open_.join(won, batch_id, "left_anti"), "facts")
+        if own.isEmpty():
+            return rows.join(admitted, batch_id, "left_semi")
+        known = known.unionByName(free.select("rule", "key", "value").distinct())
 
 
-def stream_intake(stream: DataFrame, published: str, checkpoint: str, batch_id: str, split: str,
-                  kinds: Mapping[str, str]) -> StreamingQuery:
-    """Append admissible batches to the published table.
+def stream_intake(stream: DataFrame, published: str, pending: str, checkpoint: str, batch_id: str, size: str,
+                  rules: Rules) -> StreamingQuery:
+    """Append admissible batches to the published table, each as a whole.
 
-    Each micro-batch writes its own ``intake=<n>`` folder in overwrite mode, so a
-    replayed micro-batch after a failure replaces its own output and nothing else.
+    ``size`` is the number of rows of a row's batch. Rows of a batch that has not fully arrived wait below
+    ``pending``, so it does not matter how files are cut into micro-batches. Each micro-batch writes its own
+    ``intake=<n>`` folders in overwrite mode: replayed after a failure it replaces its own output
+    and nothing else.
     """
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target = f"{published}/intake={number}"
+        arrived = batch
+        if number:
+            arrived = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{pending}/intake={number - 1}"))
+        arrived = _kept(arrived, "arrived")
+        full = arrived.groupBy(batch_id).agg(F.count("*").alias("_n"), F.max(size).alias("_size")).where(
+            "_n >= _size").select(batch_id)
         known = spark.read.option("basePath", published).parquet(published).where(F.col("intake") != number)
-        kept = admissible(batch, known, batch_id, split, kinds)
-        kept.write.mode("overwrite").parquet(target)
+        kept = admissible(arrived.join(full, batch_id, "left_semi"), known, batch_id, rules)
+        kept.write.mode("overwrite").parquet(f"{published}/intake={number}")
+        arrived.join(full, batch_id, "left_anti").write.mode("overwrite").parquet(f"{pending}/intake={number}")
 
     return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

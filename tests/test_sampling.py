@@ -1,3 +1,4 @@
+import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
@@ -64,9 +65,11 @@ def test_every_batch_is_full_but_the_last(spark):
 
 def test_training_cells_clip_at_the_border(spark):
     b = spark.createDataFrame([(1, True), (2, False)], "b long, clean boolean")
-    m = spark.createDataFrame([(2, 0, 63)], "b long, s1 long, s2 long")
-    got = values(W.training_cells(b, m, "b", F.col("clean"), ["s1", "s2"]).where("b = 2"), "idx")
-    assert sorted(x[0] for x in got) == [0, 1, 8, 9, 54, 55, 62, 63]
+    for kind, want in (("last-move", [0, 1, 8, 9, 54, 55, 62, 63]), ("selection", [0, 1, 8, 9, 54, 55, 62, 63]),
+                       ("circle", [0, 63]), ("check", [0, 63]), ("move-dot", [0, 63]), (None, [0, 63]), ("arrow", [])):
+        m = spark.createDataFrame([(2, kind, [0, 63])], "b long, k string, s array<long>")
+        got = values(W.training_cells(b, m, "b", F.col("clean"), "k", "s").where("b = 2"), "idx")
+        assert sorted(x[0] for x in got) == want, kind
 
 
 def test_scenario_falls_forward_to_a_valid_one(spark):
@@ -87,21 +90,65 @@ def test_first_passing_trial(spark):
         if block == 1:
             keep = first
     assert keep == first
-    assert W.assign_splits(p, "g", sizes, 99, 1, 20).count() == 0
+    with pytest.raises(ValueError, match="none of 20"):
+        W.assign_splits(p, "g", sizes, 99, 1, 20)
+
+
+def test_required_counts_need_one_in_each_split(spark):
+    p = spark.createDataFrame([(g, 9, int(g in (0, 1, 2)), int(g in (3, 4, 5))) for g in range(9)],
+                              "g long, c0 long, white long, black long")
+    got = {r.g: r.split for r in W.assign_splits(p, "g", [("a", 3), ("b", 3), ("c", 3)], 9, 2,
+                                                 required=["white", "black"]).collect()}
+    assert {got[g] for g in (0, 1, 2)} == {got[g] for g in (3, 4, 5)} == {"a", "b", "c"}
+
+
+def test_missing_pools_and_empty_boards_are_named(spark):
+    df = spark.createDataFrame([("p", 1, 1, "s", 1, [1, 2]), ("q", 2, 2, "s", 2, [])],
+                               "pool string, grp long, pos long, style string, board long, cells array<long>")
+    quota = lambda rows: spark.createDataFrame(rows, "pool string, quota long")
+    args = ("pool", ["grp", "pos", "style", "board"], "cells", 1, 0)
+    with pytest.raises(ValueError, match="missing"):
+        W.sample_epoch(df, quota([("p", 2), ("missing", 5)]), *args)
+    with pytest.raises(Exception, match="board without eligible cells: 2"):
+        W.sample_epoch(df, quota([("q", 1)]), *args).collect()
+    assert W.sample_epoch(df, quota([("p", 5), ("missing", 0)]), *args).count() == 5
+
+
+def test_picks_take_string_ids(spark):
+    df = spark.createDataFrame([(f"game-{g:03}", f"pos-{g}-{i}é") for g in range(30) for i in range(1 + g % 4)],
+                               "g string, p string")
+    got = values(W.compact_pick(df, "g", "p"))
+    by = {}
+    for g, p in sorted(map(tuple, df.collect())):
+        by.setdefault(g, []).append(p)
+    assert got == sorted(((g, ps[i % len(ps)]) for i, (g, ps) in enumerate(sorted(by.items()))), key=repr)
 
 
-def test_arrow_plan_fits_its_case(spark):
+@pytest.mark.parametrize("widths", [[0.14], [0.06, 0.1, 0.14, 0.22]])
+def test_arrow_plan_fits_its_case(spark, widths):
     from boardlake.operators.geometry import route_table
-    routes = route_table(spark, [0.14]).persist()
-    masks = {r.geometry: r.m for r in routes.groupBy("geometry").agg(F.collect_list("touched").alias("m")).collect()}
-    rows = [(i, m, e) for i, (m, e) in enumerate([(0, True), (0, False), (-1, True), (-1, False), (255, True), (255, False),
-                                                   (0x00FF00000000FF00, True), (0x00FF00000000FF00, False)] * 4)]
-    df = spark.createDataFrame(rows, "b long, mask long, e boolean")
-    got = {r.b: r for r in W.arrow_plan(df, routes, "b", "mask", F.col("e"), 3).collect()}
-    assert len(got) == len(rows)
-    for b, mask, empty in rows:
-        fits = [t for t in masks[got[b].geometry] if ((t & mask) == 0) == empty]
+    routes = route_table(spark, widths).persist()
+    by_kind = {}
+    for r in routes.collect():
+        by_kind.setdefault(r.geometry, {})[r.start, r.end, r.bend, r.width] = r.touched
+    cases = ["arrow-empty", "arrow-piece", "arrow-crossed", "arrow-combined"]
+    rows = [(i, m, cases[i % 4]) for i, m in enumerate([0, -1, 255, 0x00FF00000000FF00, 1 << 62, -(1 << 63)] * 20)]
+    df = spark.createDataFrame(rows, "b long, mask long, c string").repartition(3)
+    got = {}
+    for r in W.arrow_plan(df, routes, "b", "mask", "c", 3).collect():
+        got.setdefault(r.b, []).append(r)
+    assert set(got) == {b for b, *_ in rows}
+    for b, mask, case in rows:
+        if case == "arrow-crossed":
+            one, two = got[b]
+            assert one.touched & two.touched and {one.arrow_no, two.arrow_no} == {1, 2}
+            continue
+        r, = got[b]
+        known = by_kind[r.geometry]
+        fits = [k for k, t in known.items() if ((t & mask) == 0) == (case == "arrow-empty")]
         if fits:
-            assert got[b].touched in fits and got[b].reason is None
+            assert (r.start, r.end, r.bend, r.width) in fits and r.reason is None
+            assert r.touched == known[r.start, r.end, r.bend, r.width]
         else:
-            assert got[b].touched is None and got[b].reason == "no-route"
+            assert r.touched is None and r.reason == "no-route"
+    assert {r.geometry for rs in got.values() for r in rs} == set(by_kind)

@@ -30,7 +30,10 @@ def jpeg(w, h, parts=3):
 
 def test_catalogue(spark, tmp_path):
     files = {"a.png": png(640, 480), "b.txt": jpeg(320, 200), "grey.jpg": jpeg(9, 8, 1), "cmyk.jpg": jpeg(9, 8, 4), "empty.png": b"",
-             "cut.png": png(5, 5)[:-6], "deep.png": png(5, 5, 16), "one.png": png(5, 5, 1, 0), "anim.png": png(5, 5, extra=chunk(b"acTL", b"\0" * 8)),
+             "cut.png": png(5, 5)[:-6], "deep.png": png(5, 5, 16, 0), "one.png": png(5, 5, 1, 0), "anim.png": png(5, 5, extra=chunk(b"acTL", b"\0\0\0\2" + b"\0" * 4)), "still.png": png(5, 5, extra=chunk(b"acTL", b"\0\0\0\1" + b"\0" * 4)),
+             "deep-rgb.png": png(5, 5, 16, 2), "deep-la.png": png(5, 5, 16, 4), "tail.png": png(5, 5) + b"more", "tail.jpg": jpeg(5, 5) + b"x",
+             "stray.png": png(5, 5, extra=chunk(b"tEXt", b"acTL")), "crc.png": png(5, 5)[:-2] + b"xx", "big.png": png(20000, 20000),
+             **{f"app{n}.jpg": jpeg(5, 5)[:2] + (b"\xff\xe2\0\4ab") * n + jpeg(5, 5)[2:] for n in (65, 300)},
              "x.gif": b"GIF89a....", "noise.png": b"hello", "cut.jpg": jpeg(5, 5)[:-2], "pal.png": png(7, 6, 8, 3)}
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
@@ -44,8 +47,11 @@ def test_catalogue(spark, tmp_path):
     assert row("grey.jpg")[3] == "L" and row("cmyk.jpg")[3] == "CMYK" and row("one.png")[3] == "1" and row("pal.png")[3] == "P"
     codes = {n: got[n].error_code for n in got}
     assert codes["gone.png"] == "INPUT_READ_ERROR"
-    assert {codes[n] for n in ("empty.png", "cut.png", "noise.png", "cut.jpg")} == {"INVALID_IMAGE"}
-    assert {codes[n] for n in ("deep.png", "anim.png", "x.gif")} == {"UNSUPPORTED_IMAGE"}
+    assert {codes[n] for n in ("empty.png", "cut.png", "noise.png", "cut.jpg", "crc.png")} == {"INVALID_IMAGE"}
+    assert {codes[n] for n in ("deep.png", "anim.png", "x.gif", "big.png")} == {"UNSUPPORTED_IMAGE"}
+    assert {codes[n] for n in ("still.png", "deep-rgb.png", "deep-la.png", "tail.png", "tail.jpg", "stray.png", "app65.jpg",
+                               "app300.jpg")} == {None}
+    assert row("deep-rgb.png")[3] == "RGB" and row("deep-la.png")[3] == "LA"
     assert image_catalog(spark, str(tmp_path), "*.gif").count() == 1
 
 
@@ -99,19 +105,26 @@ def test_merge_keeps_an_existing_style(spark):
 
 
 def test_intake_stream_rejects_leaking_batches_and_replays(spark, tmp_path):
-    pub, src, mark = (str(tmp_path / n) for n in ("pub", "src", "mark"))
-    schema = "id long, grp long, batch string, split string"
-    spark.createDataFrame([(1, 1, "old", "validation")], schema).write.parquet(f"{pub}/intake=-1")
-    spark.createDataFrame([(2, 1, "leak", "training"), (3, 9, "leak", "training"), (4, 2, "good", "training"),
-                           (5, 5, "self", "training"), (6, 5, "self", "validation")], schema).write.parquet(src)
-    def run():
-        q = stream_intake(spark.readStream.schema(schema).parquet(src), pub, mark, "batch", "split", {"group": "grp"})
-        q.awaitTermination()
-        return sorted(r.id for r in spark.read.parquet(pub).collect())
-    assert run() == [1, 4]
-    spark.createDataFrame([(7, 2, "late", "validation"), (8, 3, "more", "evaluation")], schema).write.mode("append").parquet(src)
-    assert run() == [1, 4, 8]
-    assert run() == [1, 4, 8]
+    schema = "id long, grp long, batch string, split string, sha string, size long"
+    rows = [(2, 1, "a-leak", "training", "s2", 2), (3, 9, "a-leak", "training", "s3", 2), (4, 2, "b-good", "training", "s4", 1),
+            (5, 5, "c-self", "training", "s5", 2), (6, 5, "c-self", "validation", "s6", 2),
+            (7, 2, "d-late", "validation", "s7", 1), (8, 3, "e-more", "evaluation", "s8", 3), (9, 6, "e-more", "evaluation", "s9", 3),
+            (10, 6, "e-more", "evaluation", "s10", 3), (11, 6, "f-after", "training", "s11", 1),
+            (12, 7, "g-bytes", "training", "s4", 1), (13, 2, "h-same", "training", "s4", 1), (14, 8, "i-short", "training", "s14", 2)]
+    rules = {"group": ("grp", ["split"]), "bytes": ("sha", ["grp", "split"])}
+    for cut in ([rows], [rows[:7], rows[7:]], [[r] for r in rows]):
+        base = tmp_path / str(len(cut))
+        pub, pend, src, mark = (str(base / n) for n in ("pub", "pend", "src", "mark"))
+        spark.createDataFrame([(1, 1, "old", "validation", "s1", 1)], schema).write.parquet(f"{pub}/intake=-1")
+        def run():
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(src)
+            stream_intake(stream, pub, pend, mark, "batch", "size", rules).awaitTermination()
+            return sorted(r.id for r in spark.read.parquet(pub).collect())
+        for part in cut:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+            got = run()
+        assert got == [1, 4, 8, 9, 10, 13], cut
+        assert run() == got
 
 
 def test_stream_monitor_drops_late_rows_and_matches_batch(spark, tmp_path):
@@ -163,3 +176,25 @@ def test_soft_targets_and_margin(spark):
     got = {r.id: r for r in df.select("id", L.softmax("s", 2.0).alias("p"), L.margin("s", "y").alias("m"), L.argmax("s").alias("k")).collect()}
     assert abs(sum(got[1].p) - 1) < 1e-12 and got[2].p[0] == 1.0
     assert got[1].m == 1.0 and got[2].m == -1000.0 and (got[1].k, got[2].k) == (1, 0)
+
+
+def test_refused_additions_refuse_the_set(spark):
+    base = spark.createDataFrame([(1, "training"), (2, "validation")], "id long, split string")
+    extra = lambda rows: spark.createDataFrame(rows, "id long, split string, src long")
+    good = [(10, "training", 1)]
+    assert K.append_training(base, extra(good), "split", "src", "id").count() == 3
+    for bad in ((11, "validation", 1), (11, "training", 2), (11, "training", None), (11, None, 1)):
+        with pytest.raises(ValueError, match="additions refused"):
+            K.append_training(base, extra([*good, bad]), "split", "src", "id")
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from boardlake.session import base_folder
+    there = lambda master, folder: SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *a: folder), sparkContext=SimpleNamespace(master=master))
+    assert base_folder(there("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            base_folder(there(master, None))
