@@ -123,33 +123,25 @@ def canonical_index(idx: Column | str, orientation: Column | str) -> Column:
     return F.when(_col(orientation) == "black-bottom", 63 - i).otherwise(i)
 
 
-def symmetries() -> list[list[int]]:
-    """Source indexes of the 8 rotations and reflections of the square."""
-    views = []
-    for turn in range(4):
-        for mirror in (False, True):
-            order = []
-            for row in range(8):
-                for col in range(8):
-                    r, c = row, 7 - col if mirror else col
-                    for _ in range(turn):
-                        r, c = 7 - c, r
-                    order.append(8 * r + c)
-            views.append(order)
-    return views
+def family_key(grid: Column | str) -> Column:
+    """Smallest of the 16 equivalent grids (8 symmetries, colours as is or swapped).
 
+    Reversing the text is a half turn and reversing the order of the ranks a flip; both of the grid and of its
+    transpose are all eight views, so only the transpose reads single cells.
+    """
+    def views(g: Column) -> list[Column]:
+        flipped = F.concat(*[F.substring(g, 8 * r + 1, 8) for r in range(7, -1, -1)])
+        return [g, flipped, F.reverse(g), F.reverse(flipped)]
 
-def family_key(grid: Column | str) -> Column:
-    """Smallest of the 16 equivalent grids (8 symmetries, colours as is or swapped)."""
-    def smallest(g: Column) -> Column:
-        forms = []
-        for order in symmetries():
-            picked = F.array_join(
-                F.transform(literal_array(order), lambda i: F.substring(g, i + 1, F.lit(1))), "")
-            forms.append(let(picked, lambda p: F.least(p, swap_colour(p))))
-        return F.array_min(F.array(*forms))
-
-    return let(_col(grid), smallest)
+    def smallest(both: Column) -> Column:
+        forms = [*views(both["g"]), *views(both["t"])]
+        return F.least(*forms, *map(swap_colour, forms))
+
+    def turned(g: Column) -> Column:
+        cells = F.concat(*[F.substring(g, 8 * r + c + 1, 1) for c in range(8) for r in range(8)])
+        return let(F.struct(g.alias("g"), cells.alias("t")), smallest)
+
+    return let(_col(grid), turned)
 
 
 def wrong_squares(expected: Column | str, actual: Column | str) -> Column:

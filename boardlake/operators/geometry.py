@@ -325,18 +325,14 @@ def mask_cells(mask: Column | str) -> Column:
         "shiftright", _c(mask), i.cast("int")).bitwiseAND(F.lit(1).cast("long")) != 0)
 
 
-def crossing_cells(marks: DataFrame, board: str, mark: str, start: str, end: str, bend: str,
-                   width: str, points: int = 16) -> DataFrame:
-    """Cells where the strokes of two arrows of a board overlap.
+def point_words(marks: DataFrame, start: str, end: str, bend: str, width: str, points: int = 16) -> DataFrame:
+    """Distinct arrow shapes and touched cells with the ``points`` x ``points`` bits their stroke covers, and their number.
 
-    Only cells touched by at least two arrows are sampled on a ``points`` grid. A point is
-    covered once per arrow, so two strokes overlap where more points were covered than
-    differ: one count and a few or-ed words per cell, combined before the exchange.
-    ``mark`` is unique within its board.
+    Shapes depend on the arrow alone, so their number is bounded by squares, bends and widths, whatever the
+    number of boards.
     """
-    touched = with_touched(marks, [board, mark, start, end, bend, width], start, end, bend, width, 0.0)
-    busy = touched.groupBy(board, "idx").agg(F.countDistinct(mark).alias("_n")).where("_n > 1").drop("_n")
-    parts = _arrow_parts(touched.join(busy, [board, "idx"]), start, end, bend, width)
+    shape = [start, end, bend, width]
+    parts = _arrow_parts(touched_cells(marks, *shape, 0.0), *shape)
     at = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(points * points - 1))).alias("_p"))
     px = F.col("idx") % 8 + (F.col("_p") % points + 0.5) / points
     py = F.floor(F.col("idx") / 8) + (F.floor(F.col("_p") / points) + 0.5) / points
@@ -344,13 +340,29 @@ def crossing_cells(marks: DataFrame, board: str, mark: str, start: str, end: str
     along = (F.col("_x2") - px) * F.col("_vx") + (F.col("_y2") - py) * F.col("_vy")
     off = F.abs((px - F.col("_x2")) * F.col("_vy") - (py - F.col("_y2")) * F.col("_vx"))
     head = (along >= 0) & (along <= F.col("_len")) & (off <= along / F.col("_len") * F.col("_half"))
-    words = range((points * points + 63) // 64)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_p") % 64).cast("int"))
     # A projected column, not a filter: shared terms of the distances are evaluated once.
-    inside = at.select(board, "idx", F.floor(F.col("_p") / 64).alias("_word"), F.when(shaft | head, bit).alias("_bit"))
-    covered = inside.groupBy(board, "idx").agg(
-        F.count("_bit").alias("_n"), *[F.bit_or(F.when(F.col("_word") == w, F.col("_bit"))).alias(f"_w{w}") for w in words])
-    distinct = sum((F.coalesce(F.bit_count(f"_w{w}"), F.lit(0)) for w in words), F.lit(0))
+    inside = at.select(*shape, "idx", F.floor(F.col("_p") / 64).alias("_word"), F.when(shaft | head, bit).alias("_bit"))
+    return inside.groupBy(*shape, "idx").agg(F.count("_bit").alias("_n"), *[
+        F.bit_or(F.when(F.col("_word") == w, F.col("_bit"))).alias(f"_w{w}") for w in range((points * points + 63) // 64)])
+
+
+def crossing_cells(marks: DataFrame, board: str, mark: str, start: str, end: str, bend: str,
+                   width: str, points: int = 16) -> DataFrame:
+    """Cells where the strokes of two arrows of a board overlap.
+
+    The points that a stroke covers in a cell are looked up by its shape as a few words. A point is
+    covered once per arrow, so two strokes overlap where more points were covered than differ: one
+    count and a few or-ed words per cell, combined before the exchange. ``mark`` is unique within its board.
+    """
+    words = [f"_w{w}" for w in range((points * points + 63) // 64)]
+    t = point_words(marks, start, end, bend, width, points).select(
+        F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(bend).alias("_bd"), F.col(width).alias("_wd"), "idx", "_n", *words)
+    on = ((F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e"))
+          & F.col(bend).eqNullSafe(F.col("_bd")) & (F.col(width) == F.col("_wd")))
+    covered = marks.join(t, on).groupBy(board, "idx").agg(
+        F.sum("_n").alias("_n"), *[F.bit_or(w).alias(w) for w in words])
+    distinct = sum((F.coalesce(F.bit_count(w), F.lit(0)) for w in words), F.lit(0))
     return covered.where(F.col("_n") > distinct).select(board, "idx")
 
 

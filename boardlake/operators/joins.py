@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardlake.functions.hashing import bucket_rank, value_bucket
+from boardlake.functions.constants import SYMBOLS
 from boardlake.functions.placement import literal_array
 from boardlake.functions.rules import differs, violations
-from boardlake.session import cut_lineage
+from boardlake.session import shared_folder
 
 ONE = "*"  # counted as rows; a name, so importing needs no session
 
@@ -154,78 +155,92 @@ def duplicate_matches(a: DataFrame, b: DataFrame, a_id: str, b_id: str,
 
 
 def nearest_position(sessions: DataFrame, samples: DataFrame, session_id: str, sample_id: str,
-                     grid: str, block: int = 2000) -> DataFrame:
+                     grid: str, block: int = 2000, sample_block: int = 8000) -> DataFrame:
     """Fewest differing squares from each session grid to any sample grid, and its ties.
 
-    Samples are reduced to distinct grids. Sessions whose grid occurs there are settled
-    by an equi-join (distance 0). The rest, an intake batch, are compared in blocks of
-    ``block`` grids: each block is shipped to the tasks that scan the distinct samples,
-    which return one best row per session and task. Memory per task is one block,
-    whatever the number of sessions, and no pair is ever materialised. The numbering is
-    checkpointed, so a lost executor does not recompute it for every block.
+    Samples are reduced to distinct grids. Sessions whose grid occurs there are settled by an
+    equi-join (distance 0). The other distinct grids and the samples are dealt into blocks by hash;
+    each block of one side meets each block of the other once, in its own task row, as one matrix product. A
+    meeting returns one row for each of its session grids, so no pair is kept and nothing passes
+    through the driver but two counts. Comparing all of them is the work asked for.
     """
-    distinct = samples.groupBy(grid).agg(F.count(ONE).alias("_n"), F.min(sample_id).alias("_first"))
+    distinct = _stored(samples.groupBy(grid).agg(F.count(ONE).alias("_n"), F.min(sample_id).alias("_first")), "nearest-samples")
     wanted = sessions.select(session_id, grid)
     exact = wanted.join(distinct, grid).select(
         session_id, F.lit(0).cast("long").alias("distance"), F.col("_n").alias("nearest_samples"),
         F.col("_first").alias("first_nearest"))
-    open_grids = wanted.join(distinct.select(grid), grid, "left_anti").select(grid).distinct()
-    numbered = cut_lineage(bucket_rank(
-        open_grids, [], F.conv(F.substring(F.sha2(grid, 256), 1, 2), 16, 10), [F.sha2(grid, 256)], out="_no"))
-    total = numbered.agg(F.max("_no")).first()[0] or 0
-    best = None
-    for low in range(0, total, block):
-        rows = numbered.where((F.col("_no") > low) & (F.col("_no") <= low + block)).select("_no", grid).collect()
-        part = _nearest_in_block(distinct, grid, [r[0] for r in rows], [r[1] for r in rows])
-        best = part if best is None else best.unionAll(part)
-    if best is None:
-        return exact
-    low = best.groupBy("_no").agg(F.min("distance").alias("distance"))
-    ties = best.join(low, ["_no", "distance"]).groupBy("_no", "distance").agg(
-        F.sum("n").alias("nearest_samples"), F.min("first").alias("first_nearest"))
-    found = numbered.join(ties, "_no").join(wanted, grid)
-    return exact.unionByName(found.select(session_id, "distance", "nearest_samples", "first_nearest"))
-
-
-def _nearest_in_block(distinct: DataFrame, grid: str, numbers: list[int], grids: list[str]) -> DataFrame:
+    open_grids = _stored(wanted.join(distinct.select(grid), grid, "left_anti").select(grid).distinct(), "nearest-open")
+    rows = max(1, -(-open_grids.count() // block))
+    columns = max(1, -(-distinct.count() // sample_block))
+    left = open_grids.groupBy(F.pmod(F.xxhash64(grid), F.lit(rows)).cast("long").alias("i")).agg(
+        F.collect_list(grid).alias("asked")).select("*", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"))
+    right = distinct.groupBy(F.pmod(F.xxhash64(grid), F.lit(columns)).cast("int").alias("j")).agg(
+        F.collect_list(F.struct(F.col(grid).alias("g"), "_n", "_first")).alias("s")).select(
+        "j", F.col("s.g").alias("grids"), F.col("s._n").alias("counts"), F.col("s._first").alias("firsts"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("i"))
+    cells = left.repartition(min(rows * columns, 100_000), "i", "j").join(right, ["i", "j"]).select("asked", "grids", "counts", "firsts")
+    kind = samples.schema[sample_id].dataType.simpleString()
+    best = cells.mapInPandas(_nearest_in_cells, f"{grid} string, distance long, n long, first {kind}")
+    ties = best.groupBy(grid, "distance").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    found = ties.groupBy(grid).agg(F.min(F.struct("distance", "n", "first")).alias("b"))
+    rest = wanted.join(found, grid).select(session_id, F.col("b.distance").alias("distance"),
+                                           F.col("b.n").alias("nearest_samples"), F.col("b.first").alias("first_nearest"))
+    return exact.unionByName(rest)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _one_hot(grids) -> np.ndarray:
     symbols = np.frombuffer("".join(grids).encode(), dtype=np.uint8).reshape(len(grids), 64)
-    alphabet = np.frombuffer(b".PNBRQKpnbrqk", dtype=np.uint8)
-    onehot = (symbols[:, :, None] == alphabet).reshape(len(grids), -1).astype(np.float32)
-    numbers_array = np.asarray(numbers, dtype=np.int64)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low = np.full(len(numbers_array), 65, dtype=np.int64)
-        count = np.zeros(len(numbers_array), dtype=np.int64)
-        first = np.full(len(numbers_array), np.iinfo(np.int64).max)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            rows = np.frombuffer("".join(pdf[grid]).encode(), dtype=np.uint8).reshape(len(pdf), 64)
-            same = (rows[:, :, None] == alphabet).reshape(len(pdf), -1).astype(np.float32) @ onehot.T
-            distance = 64 - same.astype(np.int64)
-            nearest = distance.min(axis=0)
-            hit = distance == nearest
-            n = (hit * pdf["_n"].to_numpy()[:, None]).sum(axis=0)
-            f = np.where(hit, pdf["_first"].to_numpy()[:, None], np.iinfo(np.int64).max).min(axis=0)
-            better, equal = nearest < low, nearest == low
-            count = np.where(better, n, np.where(equal, count + n, count))
-            first = np.where(better, f, np.where(equal, np.minimum(first, f), first))
-            low = np.minimum(low, nearest)
-        seen = low < 65
-        yield pd.DataFrame({"_no": numbers_array[seen], "distance": low[seen], "n": count[seen],
-                            "first": first[seen]})
-
-    return distinct.mapInPandas(scan, "_no long, distance long, n long, first long")
+    alphabet = np.frombuffer(SYMBOLS.encode(), dtype=np.uint8)
+    return (symbols[:, :, None] == alphabet).reshape(len(grids), -1).astype(np.float32)
+
+
+def _nearest_in_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for row in pdf.itertuples():
+            asked, counts, firsts = _one_hot(row.asked), np.asarray(row.counts), np.asarray(row.firsts)
+            known = _one_hot(row.grids)
+            out = []
+            for a in range(0, len(asked), 256):
+                distance = 64 - (asked[a:a + 256] @ known.T).astype(np.int64)
+                low = distance.min(axis=1)
+                hit = distance == low[:, None]
+                out += [(g, d, int(counts[h].sum()), firsts[h].min()) for g, d, h in zip(row.asked[a:a + 256], low.tolist(), hit)]
+            yield pd.DataFrame(out, columns=[0, 1, 2, 3])
 
 
 def inheritance_violations(child: DataFrame, parent: DataFrame, child_id: str, parent_ref: str,
-                           parent_id: str, fields: Sequence[str]) -> DataFrame:
-    """Fields a variant does not share with its parent; unknown or own parent."""
-    right = parent.select(F.col(parent_id).alias("_pid"), *[F.col(f).alias(f"_p_{f}") for f in fields])
+                           parent_id: str, fields: Sequence[str],
+                           crop: Sequence[str] = (), size: Sequence[str] = (), grid: Sequence[str] = ()) -> DataFrame:
+    """Fields a variant does not share with its parent; unknown or own parent.
+
+    A cropped variant names its ``crop`` (left, top, right, bottom in the parent's image), its image ``size`` (width,
+    height, also the parent's columns) and its ``grid`` box (left, top, right, bottom, also the parent's): the crop lies
+    in the parent, its size is the variant's, and the grid moves with it. Rows without a crop are not cropped.
+    """
+    fields, own = list(fields), [*size, *grid]
+    shared = fields
+    right = parent.select(F.col(parent_id).alias("_pid"), *[F.col(f).alias(f"_p_{f}") for f in dict.fromkeys([*fields, *own])])
     j = child.join(right, F.col(parent_ref) == F.col("_pid"), "left")
     known = F.col("_pid").isNotNull()
     rules = {"parent": ~known | (F.col(parent_ref) == F.col(child_id))}
-    rules.update({f: known & differs(f, f"_p_{f}") for f in fields})
+    rules.update({f: known & differs(f, f"_p_{f}") for f in shared})
+    if crop:
+        left, top, right_, bottom = (F.col(c) for c in crop)
+        cropped = known & left.isNotNull()
+        width, height = (F.col(c) for c in size)
+        rules["crop"] = cropped & ~((left >= 0) & (top >= 0) & (left < right_) & (top < bottom)
+                                    & (right_ <= F.col(f"_p_{size[0]}")) & (bottom <= F.col(f"_p_{size[1]}")))
+        rules["size"] = cropped & ((width != right_ - left) | (height != bottom - top))
+        moved = F.lit(False)
+        for c, shift in zip(grid, (left, top, left, top)):
+            moved = moved | (F.col(c) != F.col(f"_p_{c}") - shift)
+        rules["grid"] = cropped & moved
     return violations(j, [child_id], rules)
 
 

@@ -229,13 +229,13 @@ _W = "(g * u + h * v + 1)"
     + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _XY.items()) + " FROM customer))), (SELECT range AS t, (range % 8 + 0.5::DOUBLE) / 8 AS u, (range // 8 + 0.5::DOUBLE) / 8 AS v FROM range(64))))), "
     "(SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy) WHERE fx0 + dx BETWEEN 0 AND 15 AND fy0 + dy BETWEEN 0 AND 15) WHERE w > 0 GROUP BY c_custkey, t"))
 def f10(t):
-    rows = images(t).select("c_custkey", F.posexplode("pixels").alias("_i", "v")).select(
-        "c_custkey", (F.col("_i") % 16).cast("long").alias("x"), F.floor(F.col("_i") / 16).cast("long").alias("y"), "v")
     k = F.col("c_custkey")
-    quads = t.customer.select(k, *[v.cast("double").alias(n) for n, v in {
+    quads = images(t).select(k, "pixels", F.lit(16).alias("width"), *[v.cast("double").alias(n) for n, v in {
         "x0": 1 + k % 3, "y0": 1 + k % 2, "x1": 15 - k % 2, "y1": 1 + k % 3, "x2": 15 - k % 3, "y2": 15 - k % 2,
         "x3": 1 + k % 2, "y3": 14 + k % 2}.items()])
-    return X.rectify_pixels(rows, quads, "c_custkey", "x", "y", "v", [("x0", "y0"), ("x1", "y1"), ("x2", "y2"), ("x3", "y3")], 8)
+    r = X.rectify_pixels(quads, "c_custkey", "pixels", "width", [("x0", "y0"), ("x1", "y1"), ("x2", "y2"), ("x3", "y3")], 8)
+    return r.select("c_custkey", F.posexplode("rectified").alias("t", "v")).select(
+        "c_custkey", (F.col("t") % 8).cast("long").alias("tx"), F.floor(F.col("t") / 8).cast("long").alias("ty"), F.round("v", 6).alias("v"))
 
 
 def weighted(t):
@@ -253,6 +253,33 @@ def m1(t):
         "class_id", "total", "correct").groupBy("class_id").agg(F.sum("total").alias("total"), F.sum("correct").alias("correct"))
 
 
+@query("m1_calibration", sql(
+    "SELECT CAST(label AS BIGINT) AS class_id, count(*) AS total, true AS calibrated FROM embeddings GROUP BY 1"))
+def m1b(t):
+    """At the weighted fit the free intercepts make predicted and observed weight of every class equal."""
+    df = weighted(t)
+    model = L.fit_classifier(df, "embedding", "label", "weight")
+    p = L.predict(df, model, "embedding", ["label", "weight"]).select(
+        "label", "weight", F.posexplode(L.softmax("scores")).alias("k", "p"))
+    own = F.col("label") == F.col("k")
+    sums = p.groupBy(F.col("k").cast("long").alias("class_id")).agg(
+        F.count_if(own).alias("total"), F.sum(F.col("p") * F.col("weight")).alias("e"),
+        F.sum(F.when(own, F.col("weight")).otherwise(0.0)).alias("o"))
+    return sums.select("class_id", "total", (F.abs(F.col("e") - F.col("o")) <= 0.01 * F.col("o")).alias("calibrated"))
+
+
+@query("m2_prediction_facts", sql(
+    "SELECT vec_id, true AS known_class, true AS largest_score FROM embeddings"))
+def m2b(t):
+    """Every row gets a class of the labels, and the one with its largest score."""
+    df = weighted(t)
+    model = L.fit_classifier(df, "embedding", "label", "weight")
+    p = L.predict(t.embeddings, model, "embedding", ["vec_id"])
+    known = t.embeddings.select(F.col("label").cast("long").alias("class_id"), F.lit(True).alias("known")).distinct()
+    return p.join(known, "class_id", "left").select(
+        "vec_id", F.coalesce("known", F.lit(False)).alias("known_class"), (L.argmax("scores") == F.col("class_id")).alias("largest_score"))
+
+
 @query("m2_predict")
 def m2(t):
     df = weighted(t)
@@ -282,9 +309,9 @@ def m4(t):
 
 
 @query("m5_teacher_mask", sql(
-    "SELECT board_id, idx, category IN ('1-URGENT', '2-HIGH') AND NOT (class_id = 0 AND pred_id <> 0) AS use_teacher FROM cells WHERE pred_id <> class_id"))
+    "SELECT board_id, idx, category IN ('1-URGENT', '2-HIGH') AND NOT (class_id = 0 AND pred_id <> 0) AS use_teacher FROM cells"))
 def m5(t):
-    return L.teacher_mask(t.cells.where("pred_id <> class_id"), ["board_id", "idx"], "category", ["1-URGENT", "2-HIGH"],
+    return L.teacher_mask(t.cells, ["board_id", "idx"], "category", ["1-URGENT", "2-HIGH"],
                           "class_id", F.col("pred_id"), True)
 
 

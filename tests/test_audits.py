@@ -101,7 +101,7 @@ def test_nearest_position_brute_force(spark):
     s = spark.createDataFrame(samples, "id long, g string")
     q = spark.createDataFrame(sessions, "sid long, g string")
     got = {x.sid: (x.distance, x.nearest_samples, x.first_nearest)
-           for x in J.nearest_position(q, s, "sid", "id", "g", block=3).collect()}
+           for x in J.nearest_position(q, s, "sid", "id", "g", block=3, sample_block=7).collect()}
     for sid, g in sessions:
         d = [(sum(a != b for a, b in zip(g, h)), i) for i, h in samples]
         low = min(d)[0]
@@ -112,3 +112,43 @@ def test_nearest_position_brute_force(spark):
 def test_membership_and_parity(spark):
     a, b = spark.range(5), spark.range(1, 6)
     assert values(J.membership_diff(a, b, ["id"])) == [(0, "only-left"), (5, "only-right")]
+
+
+def test_crops_must_reproduce_their_parent(spark):
+    cols = "id long, ref long, cl int, ct int, cr int, cb int, w int, h int, gl int, gt int, gr int, gb int"
+    rows = [(1, 0, None, None, None, None, 100, 80, 10, 10, 60, 60), (2, 1, 5, 5, 65, 70, 60, 65, 5, 5, 55, 55),
+            (3, 1, 5, 5, 65, 90, 60, 85, 5, 5, 55, 55), (4, 1, 5, 5, 65, 70, 61, 65, 5, 5, 55, 55),
+            (5, 1, 5, 5, 65, 70, 60, 65, 5, 6, 55, 55), (6, 1, 5, None, 65, 70, 60, 65, 5, 5, 55, 55)]
+    df = spark.createDataFrame(rows, cols)
+    got = {}
+    for r in J.inheritance_violations(df.where("id > 1"), df.where("id = 1"), "id", "ref", "id", [], ["cl", "ct", "cr", "cb"],
+                                      ["w", "h"], ["gl", "gt", "gr", "gb"]).collect():
+        got.setdefault(r.id, set()).add(r.problem)
+    assert got == {3: {"crop"}, 4: {"size"}, 5: {"grid"}, 6: {"crop", "size", "grid"}}
+
+
+def test_rules_fail_closed(spark):
+    from boardlake.functions.rules import violations
+    df = spark.createDataFrame([(1, True), (2, False), (3, None)], "id long, bad boolean")
+    assert values(violations(df, ["id"], {"rule": F.col("bad")})) == [(1, "rule"), (3, "rule")]
+
+
+def test_a_leak_between_two_file_columns_is_found(spark):
+    train = spark.createDataFrame([(1, "a", "b"), (2, "x", "x")], "id long, image string, source string")
+    held = spark.createDataFrame([(9, "b", "z"), (8, "q", "x")], "id long, image string, source string")
+    got = C.overlap_audit(train, held, "id", {"image-file": ["image", "source"]})
+    assert values(got) == [(1, "image-file", "9"), (2, "image-file", "8")]
+
+
+def test_marks_by_kind(spark):
+    cells = spark.createDataFrame([(1, i, 6 if i == 60 else 0) for i in range(64)], "b long, idx long, class_id long")
+    rows = [(1, "last-move", ["a1", "a2"]), (2, "last-move", ["a1"]), (3, "selection", ["a1"]), (4, "selection", ["a1", "a2"]),
+            (5, "check", ["e1"]), (6, "check", ["e1", "e2"]), (7, "circle", ["a1", "b2", "c3"]), (8, "circle", []), (9, None, ["a1"]),
+            (10, "move-dot", None), (11, "circle", ["a9"]), (12, "circle", ["a1", "a1"])]
+    df = spark.createDataFrame([(1, n, k, s, [1, 2, 3, 4], None, None, None, None, None) for n, k, s in rows],
+                               "b long, n long, k string, s array<string>, c array<int>, p string, bd string, w double, x long, y long")
+    got = {}
+    for r in C.mark_violations(df, cells, "b", "n", "k", "s", "c", "p", "bd", "w", "x", "y").collect():
+        got.setdefault(r.n, set()).add(r.problem)
+    assert got == {2: {"squares"}, 4: {"squares"}, 6: {"check"}, 8: {"squares"}, 9: {"kind"}, 10: {"squares"}, 11: {"squares"},
+                   12: {"squares"}}

@@ -104,10 +104,14 @@ def test_rectified_pixels_are_bilinear(spark):
     rng = np.random.default_rng(1)
     img = rng.integers(0, 256, (20, 24))
     q = [(3.0, 2.0), (21.0, 3.5), (20.0, 17.0), (2.5, 18.0)]
-    px = spark.createDataFrame([(1, x, y, int(img[y, x])) for y in range(20) for x in range(24)], "b long, x long, y long, v long")
     cols = [(f"x{i}", f"y{i}") for i in range(4)]
-    boards = spark.createDataFrame([(1, *[c for p in q for c in p])], "b long, " + ", ".join(f"{a} double, {b} double" for a, b in cols))
-    got = {(r.tx, r.ty): r.v for r in X.rectify_pixels(px, boards, "b", "x", "y", "v", cols, 6).collect()}
+    flat = [int(v) for v in img.ravel()]
+    corners = [c for p in q for c in p]
+    boards = spark.createDataFrame([(1, flat, 24, *corners), (2, None, 24, *corners), (3, flat, 24, None, *corners[1:]), (4, flat, 24, *[5.0] * 8)],
+                                   "b long, px array<long>, w int, " + ", ".join(f"{a} double, {b} double" for a, b in cols))
+    out = {r.b: r.rectified for r in X.rectify_pixels(boards, "b", "px", "w", cols, 6).collect()}
+    assert out[2] == out[3] == out[4] == [None] * 36
+    got = {(t % 6, t // 6): v for t, v in enumerate(out[1])}
     h = solve(q)
     assert len(got) == 36
     for ty in range(6):
