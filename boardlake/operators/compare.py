@@ -137,6 +137,35 @@ def scenario_report(rows: DataFrame, board: str, scenario: str, reference: str,
         count_of(ok & F.col("_ref") & ~F.col(exact)).alias("previously_correct_lost"))
 
 
+def scenario_cases(rows: DataFrame, scenario: str, case: str, exact: str, correct: str, squares: str,
+                   invalid: str) -> DataFrame:
+    """Metrics of the applicable boards per perturbation and case; a case without any keeps its row."""
+    ok = ~F.col(invalid)
+    return rows.groupBy(scenario, case).agg(
+        count_of(ok).alias("applicable"), count_of(ok & F.col(exact)).alias("exact_boards"),
+        F.sum(F.when(ok, F.col(correct)).otherwise(0)).alias("correct_squares"),
+        F.sum(F.when(ok, F.col(squares)).otherwise(0)).alias("squares"))
+
+
+def recovery_positions(before: DataFrame, after: DataFrame, key: str, result: str, expected: str,
+                       by: Sequence[str] = ()) -> DataFrame:
+    """Lost and gained exact boards, and returned positions that changed, of two pipeline versions.
+
+    ``result`` is null where nothing was returned. Accepted: no board lost, no returned position changed, at least one
+    board gained, and every board in both versions.
+    """
+    new = after.select(key, F.col(result).alias("_r"), F.lit(True).alias("_n"))
+    j = before.select(key, *by, result, expected, F.lit(True).alias("_o")).join(new, key, "full")
+    was, now = (F.coalesce(F.col(c) == F.col(expected), F.lit(False)) for c in (result, "_r"))
+    both = F.col("_o").isNotNull() & F.col("_n").isNotNull()
+    out = j.groupBy(*by).agg(
+        count_of(was & ~now).alias("lost_boards"), count_of(~was & now).alias("gained_boards"),
+        count_of(both & F.col(result).isNotNull() & ~F.col(result).eqNullSafe(F.col("_r"))).alias("changed_positions"),
+        count_of(~both).alias("unmatched"))
+    return out.withColumn("accepted", (F.col("lost_boards") == 0) & (F.col("changed_positions") == 0)
+                          & (F.col("gained_boards") > 0) & (F.col("unmatched") == 0))
+
+
 def recovery_compare(before: DataFrame, after: DataFrame, key: str, found: str, corners: str,
                      by: Sequence[str] = ()) -> DataFrame:
     """Lost and new detections and changed corners of two detector versions."""

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boardlake.functions.rules import differs, violations
 from boardlake.functions.placement import let, literal_array
 
 ONE = "*"
@@ -366,6 +367,20 @@ def crossing_cells(marks: DataFrame, board: str, mark: str, start: str, end: str
     return covered.where(F.col("_n") > distinct).select(board, "idx")
 
 
+def annotation_mismatch(touched: DataFrame, boards: DataFrame, annotated: DataFrame, board: str, grid: str) -> DataFrame:
+    """(board, problem): stored index lists of arrow coverage that the recomputed cells do not bear out.
+
+    ``touched`` has (board, idx) rows of all arrows of a board, ``annotated`` the lists ``covered``, ``occupied`` and ``empty``. A
+    list holds at most a board's 64 cells; a board without annotation, or without arrows, breaks all three.
+    """
+    cells = touched.select(board, "idx").distinct().join(boards.select(board, grid), board)
+    filled = F.substring(grid, (F.col("idx") + 1).cast("int"), F.lit(1)) != "."
+    lists = cells.groupBy(board).agg(*[F.array_sort(F.collect_list(F.when(keep, F.col("idx")))).alias(f"_{name}") for name, keep in (
+        ("covered", F.lit(True)), ("occupied", filled), ("empty", ~filled))])
+    j = annotated.join(lists, board, "full")
+    return violations(j, [board], {n: differs(n, f"_{n}") for n in ("covered", "occupied", "empty")})
+
+
 def cell_tags(boards: DataFrame, marks: DataFrame, board: str, is_clean: Column, mark: str, kind: str,
               a: str, b: str, bend: str, width: str) -> DataFrame:
     """(board, idx, tag) rows: clean control, marks, arrow touch/start/tip/crossing, combinations."""

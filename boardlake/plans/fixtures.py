@@ -207,7 +207,7 @@ class Tables:
                 .withColumn("pred_id", self._noisy(F.col("class_id"), i, 131, 17, 211, 29))
                 .withColumn("cand_id", self._noisy(F.col("class_id"), i, 137, 19, 223, 31))
                 .select("board_id", "group_id", "position_id", "split", "leak_split", "orientation",
-                        "category", "pair_id", "idx", "class_id", "pred_id", "cand_id"))
+                        "category", "pair_id", "idx", "class_id", "pred_id", "cand_id", "conditions", "seed_key"))
 
     def placed(self, *names: str) -> DataFrame:
         """Boards with the named grids (or the placement), no shuffle after ``spread``.

@@ -129,6 +129,28 @@ def p6(t):
     return P.scenario_report(scenarios(t), "board_id", "scenario", "reference", "exact", "correct", "squares", "invalid")
 
 
+@query("p6_scenario_cases", sql(
+    "SELECT scenario, board_id % 5 AS case_no, count(*) FILTER (NOT invalid) AS applicable, count(*) FILTER (NOT invalid AND correct = squares) AS exact_boards, "
+    "CAST(sum(CASE WHEN invalid THEN 0 ELSE correct END) AS BIGINT) AS correct_squares, CAST(sum(CASE WHEN invalid THEN 0 ELSE squares END) AS BIGINT) AS squares "
+    "FROM s GROUP BY 1, 2", pb=_PB, s=_SC))
+def p6b(t):
+    rows = scenarios(t).withColumn("case_no", F.col("board_id") % 5)
+    return P.scenario_cases(rows, "scenario", "case_no", "exact", "correct", "squares", "invalid")
+
+
+@query("p7_recovery_positions", sql(
+    "SELECT *, lost_boards = 0 AND changed_positions = 0 AND gained_boards > 0 AND unmatched = 0 AS accepted FROM (SELECT category, count(*) FILTER "
+    "(coalesce(pred_grid = grid, false) AND NOT coalesce(now = grid, false)) AS lost_boards, count(*) FILTER (NOT coalesce(pred_grid = grid, false) AND "
+    "coalesce(now = grid, false)) AS gained_boards, count(*) FILTER (NOT miss AND pred_grid IS NOT NULL AND pred_grid IS DISTINCT FROM now) AS "
+    "changed_positions, count(*) FILTER (miss) AS unmatched FROM (SELECT *, board_id % 41 = 0 AND category = '5-LOW' AS miss, CASE WHEN board_id % 41 = 0 "
+    "AND category = '5-LOW' THEN NULL WHEN category = '1-URGENT' THEN coalesce(pred_grid, grid) ELSE cand_grid END AS now FROM placements) GROUP BY 1)"))
+def p7b(t):
+    p = t.placed("grid", "pred_grid", "cand_grid").select("board_id", "category", "grid", "pred_grid", "cand_grid")
+    now = F.when(F.col("category") == "1-URGENT", F.coalesce("pred_grid", "grid")).otherwise(F.col("cand_grid"))
+    new = p.where(~((F.col("board_id") % 41 == 0) & (F.col("category") == "5-LOW"))).select("board_id", now.alias("pred_grid"))
+    return P.recovery_positions(p, new, "board_id", "pred_grid", "grid", ["category"])
+
+
 @query("p7_recovery_compare", sql(
     "SELECT category, count(*) AS images, count(*) FILTER (f) AS before, count(*) FILTER (n) AS after, count(*) FILTER (f AND NOT n) AS lost, "
     "count(*) FILTER (NOT f AND n) AS new, count(*) FILTER (f AND n AND board_id % 7 = 0) AS changed_corners, count(*) FILTER (miss) AS unmatched, "

@@ -306,3 +306,22 @@ def c18(t):
     case = F.when(F.col("board_id") % 2 == 0, "arrow-piece").otherwise("arrow-empty")
     wrong = F.when(F.col("case") == "arrow-empty", F.col("occupied") > 0).otherwise(F.col("occupied") == 0)
     return found.withColumn("case", case).where(wrong)
+
+
+@query("c18_annotation_mismatch", sql(
+    "SELECT DISTINCT board_id, 'covered' AS problem FROM tc WHERE board_id % 9 = 0 UNION ALL SELECT DISTINCT board_id, unnest(['occupied', 'empty']) FROM tc WHERE "
+    "board_id % 12 = 0 UNION ALL SELECT DISTINCT board_id, unnest(['covered', 'occupied', 'empty']) FROM tc WHERE board_id % 77 = 1 AND board_id % 9 <> 0 AND board_id % 12 <> 0",
+    ar=_AR, ap=_AP, tc=_touch_sql("ap", "board_id, mark_no", "0.0625")))
+def c18b(t):
+    """Lists as recomputed, but for a missing last cell, exchanged halves, and boards without annotation."""
+    touched = G.with_touched(_arrows(t), ["board_id"], "sq1", "sq2", "bend", "width").distinct()
+    boards = t.placed("grid").select("board_id", "grid")
+    filled = F.substring("grid", (F.col("idx") + 1).cast("int"), F.lit(1)) != "."
+    made = touched.join(boards, "board_id").groupBy("board_id").agg(*[F.array_sort(F.collect_list(F.when(k, F.col("idx")))).alias(n) for n, k in (
+        ("c", F.lit(True)), ("o", filled), ("e", ~filled))])
+    b = F.col("board_id")
+    swap = b % 12 == 0
+    stored = made.select("board_id", F.when(b % 9 == 0, F.slice("c", F.lit(1), F.size("c") - 1)).otherwise(F.col("c")).alias("covered"),
+                         F.when(swap, F.col("e")).otherwise(F.col("o")).alias("occupied"), F.when(swap, F.col("o")).otherwise(F.col("e")).alias("empty"))
+    stored = stored.where(~((b % 77 == 1) & (b % 9 != 0) & ~swap))
+    return G.annotation_mismatch(touched, boards, stored, "board_id", "grid")

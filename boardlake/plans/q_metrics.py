@@ -162,8 +162,7 @@ def a11(t):
 
 
 def tagged_cells(t):
-    return t.cells.join(t.boards.select("board_id", F.col("conditions").alias("tags")), "board_id") \
-        .withColumn("selected", F.col("idx") % 8 < 3)
+    return t.cells.withColumnRenamed("conditions", "tags").withColumn("selected", F.col("idx") % 8 < 3)
 
 
 _TAGGED = ("SELECT cells.*, unnest(conditions) AS tag, idx % 8 < 3 AS selected "
@@ -264,7 +263,7 @@ def a17(t):
       "sha256(concat_ws('|', CASE WHEN pred_id >= 0 THEN CAST(pred_id AS VARCHAR) END)) AS dg "
       "FROM cells c JOIN boards USING (board_id)"))
 def a20(t):
-    draws = t.cells.join(t.boards.select("board_id", "seed_key"), "board_id").select(
+    draws = t.cells.select(
         F.col("category").alias("pool"), "seed_key", "idx", "class_id",
         F.when(F.col("pred_id") >= 0, F.col("pred_id")).alias("tc")) \
         .withColumn("dg", stable_hash("tc"))

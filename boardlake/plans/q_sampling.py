@@ -36,7 +36,7 @@ _GRID = ("SELECT category, class_id, background FROM (SELECT DISTINCT category F
     g=_GRID))
 def w2(t):
     cells = t.cells.withColumn("background", M.background("idx"))
-    grid = (cells.select("category").distinct()
+    grid = (t.boards.select("category").distinct()
             .select("category", F.explode(literal_array(range(14)).cast("array<bigint>")).alias("class_id"))
             .select("*", F.explode(literal_array(["light", "dark"])).alias("background")))
     return W.hash_pick_covering(cells, ["category", "class_id", "background"], ["board_id", "idx"], "cover", grid)
