@@ -8,14 +8,18 @@ of them. A pre-token among them counts 1 by a lookup; only the others are merged
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: the pre-token pattern of byte-level tokenizers.
-PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the pre-token pattern of byte-level tokenizers, with white space as Unicode lists it.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PRE_TOKEN = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"""
+#: The same pattern for texts of ASCII characters only.
+PRE_TOKEN_ASCII = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 
 
 def byte_letters() -> list[str]:
@@ -26,10 +30,13 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+NEVER = 1 << 60  # rank of a pair that is not merged
+
+
 class ByteMerger:
     """Vocabulary of one byte-level tokenizer file, its merges and its special strings."""
 
-    def __init__(self, source: str, memory: int = 200_000):
+    def __init__(self, source: str, memory: int = 500_000):
         spec = json.loads(source)
         pre = spec["pre_tokenizer"]
         if (spec["model"]["type"], pre["type"], pre["add_prefix_space"], pre["use_regex"], spec["normalizer"]) != (
@@ -42,7 +49,7 @@ class ByteMerger:
         # Longer strings first: the leftmost longest special string is cut out of a text.
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))
                                      ) if special else None
-        self.pieces = regex.compile(PRE_TOKEN)
+        self.pieces, self.ascii_pieces = regex.compile(PRE_TOKEN), re.compile(PRE_TOKEN_ASCII)
         self.memory = memory
         self.known: dict[str, int] = {}
         self.whole = self.prove(spec["model"]["vocab"])
@@ -50,27 +57,22 @@ class ByteMerger:
     def spell(self, piece: str) -> list[str]:
         return [self.letters[b] for b in piece.encode()]
 
-    def merge_count(self, symbols: list[str]) -> int:
-        """Tokens left when the pair of lowest rank is merged again and again, leftmost first."""
-        rank = self.rank
-        while len(symbols) > 1:
-            best, at = None, []
-            for i in range(len(symbols) - 1):
-                r = rank.get((symbols[i], symbols[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best = r
-            if best is None:
+    def merge_count(self, parts: list[str]) -> int:
+        """Tokens left when the pair of lowest rank, the leftmost of equals, is merged again and again."""
+        rank = self.rank.get
+        ranks = [rank(pair, NEVER) for pair in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
                 break
-            out, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and rank.get((symbols[i], symbols[i + 1])) == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return len(symbols)
+            i = ranks.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), NEVER)
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), NEVER)
+        return len(parts)
 
     def prove(self, vocab: dict[str, int]) -> frozenset[str]:
         """Vocabulary strings that are valid text and merge to exactly one token when alone."""
@@ -88,13 +90,12 @@ class ByteMerger:
         return frozenset(found)
 
     def piece_count(self, piece: str) -> int:
-        n = self.known.get(piece)
-        if n is None:
-            n = self._long(piece) if len(piece) > 200 else self.merge_count(self.spell(piece))
-            if len(piece) <= 200:
-                if len(self.known) >= self.memory:
-                    self.known.clear()
-                self.known[piece] = n
+        """Merge a piece; short ones are remembered."""
+        if len(piece) > 200:
+            return self._long(piece)
+        if len(self.known) >= self.memory:
+            self.known.clear()
+        n = self.known[piece] = self.merge_count(self.spell(piece))
         return n
 
     def _long(self, piece: str) -> int:
@@ -134,13 +135,13 @@ class ByteMerger:
         if self.special is not None and self.special.search(text):
             rest = self.special.split(text)
             n = len(rest) - 1
-        whole, piece_count = self.whole, self.piece_count
+        whole, known, piece_count = self.whole, self.known.get, self.piece_count
         for part in rest:
-            pieces = self.pieces.findall(part)
+            pieces = (self.ascii_pieces if part.isascii() else self.pieces).findall(part)
             n += len(pieces)
             for p in pieces:
                 if p not in whole:
-                    n += piece_count(p) - 1
+                    n += (known(p) or piece_count(p)) - 1
         return n
 
 
