@@ -58,7 +58,7 @@ def exponent(sources: DataFrame, budget: float, entropy: float, repeats: float)
 
 
 def mix(docs: DataFrame, budget: int | None = None, entropy: float = 0.95, repeats: float = 4.0, seed: int = 7,
-        bucket_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
+        bucket_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
     """Return source, block, position, doc_id, n_tokens: the mixed corpus in order of each source.
 
@@ -86,9 +86,9 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = 0.95, repea
         "doc_id", "source", "n_tokens", "tokens", "target", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("block").cast("string"),
                                F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
-    buckets = min(65_536, max(1, -(-largest // bucket_rows)))
-    lead = F.conv(F.substring("order", 1, 4), 16, 10).cast("long")
-    dealt = dealt.withColumn("order", order).withColumn("bucket", F.floor(lead * buckets / 65_536).cast("int"))
+    buckets = min(1 << 24, max(1, -(-largest // bucket_rows)))
+    lead = F.conv(F.substring("order", 1, 6), 16, 10).cast("long")
+    dealt = dealt.withColumn("order", order).withColumn("bucket", F.floor(lead * buckets / (1 << 24)).cast("int"))
     # One struct key: a null source compares equal inside it, and the window, sums and join share its exchange.
     keyed = dealt.withColumn("key", F.struct("source", "block", "bucket"))
     inside = Window.partitionBy("key").orderBy("order", "doc_id", "n_tokens")
