@@ -53,8 +53,11 @@ def test_a_lost_control_is_not_hidden_by_gains(spark):
             rows.append((b, i, "d", "x" if b else "control", 1, base, cand))
     df = spark.createDataFrame(rows, "b long, idx long, dom string, cat string, e long, p long, c long")
     boards = P.paired_boards(df, "e", "p", "c", ["b", "dom", "cat"])
-    g = Q.safety_gate(df, boards, "dom", ["cat"], "e", "p", "c").first()
+    rows = {r.dom: r for r in Q.safety_gate(df, boards, "dom", ["cat"], "e", "p", "c", ["d", "absent"]).collect()}
+    assert rows["absent"].safe is False and rows["absent"].reasons == "missing domain"
+    g = rows["d"]
     assert g.gained_boards == 4 and g.lost_boards == 1 and g.safe is False and g.worse_strata == 1
+    assert "lost baseline-correct boards" in g.reasons and "worsened strata" in g.reasons
     assert P.paired_changes(boards, "b").where("outcome = 'lost'").first().b == 0
 
 
