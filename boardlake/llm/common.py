@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,18 @@ def partitions_for(rows: int, per_task: int, least: int = 1) -> int:
     return max(least, -(-rows // per_task))
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 250):
+    """Arrow batches of at most ``rows`` rows for the jobs inside, so that long texts make no large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """Broadcast a stored table of ids or other short rows if it has at most ``rows`` rows.
 

@@ -142,7 +142,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     fresh = runs.withColumn("fresh", F.greatest(end - F.greatest(F.col("start"), seen), F.lit(0)))
     found = stored(fresh.groupBy("row").agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.collect_set(
         F.col("item_id").cast("string"))).alias("named")), "index-found")
-    out = index.lengths().join(bounded(found), "row", "left")
+    out = index.lengths().join(bounded(found, 200_000), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         F.col("doc_id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),

@@ -15,6 +15,9 @@ Before the family is built, heads are counted over the whole corpus. A head that
 repeat, so only entries with repeated heads carry their text. Their set goes to the tasks as a bit
 table of fixed size: the more heads, the more entries pass for nothing, but none is ever lost. Heads that are
 very frequent would meet in one task; their entries are dealt window by window instead.
+
+Entries travel in blocks: all entries of a batch of rows that belong to one range of heads are one packed array, so
+tables and shuffles hold few rows of compressed numbers. The number of ranges follows from the bytes of the corpus.
 """
 
 from __future__ import annotations
@@ -23,21 +26,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardlake.llm.common import bounded, stored
+from boardlake.llm.common import bounded, short_batches, stored
 
 LENGTH = 100
 HEAD = 40
-PIECE = 1 << 19
-BITS = 27
+PIECE = 1 << 16
+PART = 1 << 22  # bytes of text whose entries are held at a time
+BITS = 26
 LAST = np.iinfo(np.int64).max  # stands for a null id: after all others
-COLUMNS = ["key", "head", "g", "doc_id", "sig", "start", "size", "anchor", "level", "text"]
-SCHEMA = ("key long, head long, g long, doc_id long, sig long, start long, size long, anchor int, level int, "
-          "text binary")
-SPAN, NEW = -1, 0  # level of a found repeat, of a new entry; entries of the family have 1 or more
+BLOCK = "level int, bucket long, blob binary"
+SPAN, NEW = -1, 0  # level of a block of found repeats, of new entries; blocks of the family have 1 or more
+RANGE = 16_000  # entries of one head range, about
 
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
@@ -119,21 +122,121 @@ def entries_of(x: np.ndarray, ends: np.ndarray):
     size = np.flatnonzero(last) - start + 1
     with np.errstate(over="ignore"):
         g = span_hash(prefix_sums(x, 1), 1, start, start + size + LENGTH - 1)
-    return start, size, at[start] - start, heads[at[start]], g
+    # Minima are small numbers: mixed once more, heads spread over all ranges again.
+    return start, size, at[start] - start, mixed(heads[at[start]] ^ _BASES[1]), g
+
+
+def pack(columns: list[np.ndarray], tail: bytes = b"") -> bytes:
+    """Integer columns of one length, as byte planes, and a tail, compressed."""
+    planes = [np.ascontiguousarray(c.astype(c.dtype.newbyteorder("<"))).view(np.uint8).reshape(len(c), -1).T.tobytes()
+              for c in columns]
+    head = np.array([len(columns[0]) if columns else 0], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes) + tail)
+
+
+def unpack(blob: bytes, kinds: str) -> tuple[list[np.ndarray], bytes]:
+    """The columns of the given dtypes and the tail."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = int(np.frombuffer(data, "<i8", 1)[0]), 8, []
+    for kind in kinds.split():
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * width
+    return out, data[at:]
+
+
+class Entries:
+    """Columns head, g, doc, sig, start, size, and the texts of those entries that need one."""
+
+    KINDS = "<u8 <u8 <i8 <i8 <i8 <i4 <i4"
+
+    def __init__(self, columns: list[np.ndarray], text: np.ndarray):
+        self.columns, self.text = columns, text
+        self.head, self.g, self.doc, self.sig, self.start, self.size, self.length = columns
+
+    def __len__(self) -> int:
+        return len(self.head)
+
+    def take(self, rows: np.ndarray) -> Entries:
+        ends = np.cumsum(self.length, dtype=np.int64)
+        begin, length = (ends - self.length)[rows], self.length[rows]
+        return Entries([c[rows] for c in self.columns], gather(self.text, begin, length))
+
+    def runs(self, bucket: np.ndarray):
+        """(bucket, entries) of entries that stand in the order of ``bucket``."""
+        cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(self))
+        ends = np.concatenate(([0], np.cumsum(self.length, dtype=np.int64)))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            yield int(bucket[a]), Entries([c[a:b] for c in self.columns], self.text[ends[a]:ends[b]])
+
+    def pack(self) -> bytes:
+        return pack([c.astype(k) for c, k in zip(self.columns, self.KINDS.split())], self.text.tobytes())
+
+    @staticmethod
+    def unpack(blob: bytes) -> Entries:
+        columns, tail = unpack(blob, Entries.KINDS)
+        return Entries(columns, np.frombuffer(tail, np.uint8))
+
+    @staticmethod
+    def concat(parts: list[Entries]) -> Entries:
+        return Entries([np.concatenate(c) for c in zip(*(p.columns for p in parts))],
+                       np.concatenate([p.text for p in parts]))
+
+
+def gather(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes x[start : start + size] of all rows in one array; indexes are made a few megabytes at a time."""
+    size = size.astype(np.int64)
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for a in range(0, len(ends), 8192):
+        b = min(a + 8192, len(ends))
+        low, high = int(ends[a] - size[a]), int(ends[b - 1])
+        out[low:high] = x[np.arange(low, high) + np.repeat(start[a:b] - (ends[a:b] - size[a:b]), size[a:b])]
+    return out
+
+
+def dealt(bucket: np.ndarray):
+    """(bucket, rows) for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for a, b in zip(cut, np.append(cut[1:], len(order))):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def blocks(level: int, found, batch: int = 2048):
+    """Record batches of (bucket, blob)."""
+    rows = []
+    for row in found:
+        rows.append(row)
+        if len(rows) == batch:
+            yield _blocks(level, rows)
+            rows = []
+    if rows:
+        yield _blocks(level, rows)
+
+
+def _blocks(level: int, rows: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([level] * len(rows), pa.int32()), pa.array([b for b, _ in rows], pa.int64()),
+                            pa.array([x for _, x in rows], pa.binary())], names=["level", "bucket", "blob"])
+
+
+def top(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
 
 
 class Screen:
-    """Bit tables of the heads that occur twice and of those with several texts, and the hot heads."""
+    """Bit tables of the heads that occur twice and of those with several texts, and the hot heads (40 bits)."""
 
-    def __init__(self, bits: int, repeated: np.ndarray, several: np.ndarray, hot: np.ndarray):
-        self.bits, self.repeated, self.several, self.hot = bits, repeated, several, hot
+    def __init__(self, bits: int, ranges: int, repeated: np.ndarray, several: np.ndarray, hot: np.ndarray):
+        self.bits, self.ranges, self.repeated, self.several, self.hot = bits, ranges, repeated, several, hot
 
     def _in(self, table: np.ndarray, heads: np.ndarray) -> np.ndarray:
-        at = (heads >> _U(64 - self.bits)).astype(np.int64)
+        at = top(heads, self.bits)
         return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
     def marks(self, heads: np.ndarray):
-        return self._in(self.repeated, heads), self._in(self.several, heads), np.isin(heads, self.hot)
+        return self._in(self.repeated, heads), self._in(self.several, heads), np.isin(heads >> _U(24), self.hot)
 
 
 def _pieces(batch, width: int):
@@ -157,37 +260,24 @@ def _pieces(batch, width: int):
         yield np.frombuffer(b"".join(parts), np.uint8), np.array(ends), np.array(rows), np.array(offsets)
 
 
-def _gather(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    """Binary array of x[start : start + size]."""
-    ends = np.cumsum(size)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
-    offsets = np.concatenate(([0], ends)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(x[at])])
-
-
-def _record(level, head, g, doc, sig, start, size, anchor, text=None, key=None):
-    n = len(head)
-    columns = [head.view(np.int64) if key is None else key, head.view(np.int64), g.view(np.int64), doc, sig,
-               start.astype(np.int64), size.astype(np.int64), anchor.astype(np.int32),
-               np.broadcast_to(np.int32(level), n)]
-    return pa.record_batch([*map(pa.array, columns), pa.nulls(n, pa.binary()) if text is None else text], names=COLUMNS)
+def _spans(doc, sig, start, size, ranges: int):
+    """Blocks of found repeats, dealt by document; those that touch in one text are joined."""
+    doc, sig, start, end = joined_spans(doc, sig, start, size)
+    with np.errstate(over="ignore"):
+        bucket = top(mixed(doc.view(_U) * _BASES[0] + sig.view(_U)), ranges)
+    return blocks(SPAN, ((b, pack([c[r].astype("<i8") for c in (doc, sig, start, end)])) for b, r in dealt(bucket)))
 
 
-def _spans(doc, sig, start, size):
-    """Rows of found repeats; those that touch in one text are joined. They are dealt by their own hash."""
+def joined_spans(doc, sig, start, size):
+    """(doc, sig, start, end) of the maximal runs."""
     order = np.lexsort((start, sig, doc))
     doc, sig, start, end = doc[order], sig[order], start[order], (start + size)[order]
-    # Ends only grow along a text, as spans that start later and end earlier are raised first.
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1])))
-    group = np.cumsum(new) - 1
-    reach = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)
+    rank = np.cumsum(new) - 1
+    reach = np.maximum.accumulate(end + rank * (1 << 40)) - rank * (1 << 40)  # running end inside each text
     cut = np.flatnonzero(new | np.concatenate(([True], start[1:] > reach[:-1])))
     last = np.append(cut[1:], len(start)) - 1
-    doc, sig, start, size = doc[cut], sig[cut], start[cut], reach[last] - start[cut]
-    with np.errstate(over="ignore"):
-        key = mixed(doc.view(_U) * _BASES[0] + sig.view(_U) + start.astype(_U)).view(np.int64)
-    zero = np.zeros(len(doc), _U)
-    return _record(SPAN, zero, zero, doc, sig, start, size, np.zeros(len(doc), np.int64), key=key)
+    return doc[cut], sig[cut], start[cut], reach[last]
 
 
 def _later(order, again, doc, sig, start):
@@ -200,176 +290,205 @@ def _later(order, again, doc, sig, start):
     return again & ((doc[order] != doc[lead]) | (sig[order] != sig[lead]) | (start[order] != start[lead]))
 
 
-def head_rows(batches):
-    """(head, g) of every entry."""
+def parted(batches, width: int):
+    """Lists of (batch, piece) with about PART bytes of text, however long or short the texts of a batch are."""
+    held, total = [], 0
     for batch in batches:
-        for x, ends, _, _ in _pieces(batch, 0):
-            *_, heads, g = entries_of(x, ends)
-            yield pa.record_batch([pa.array(heads.view(np.int64)), pa.array(g.view(np.int64))], names=["head", "g"])
+        for piece in _pieces(batch, width):
+            held.append((batch, piece))
+            total += len(piece[0])
+            if total >= PART:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
 
 
-def entry_rows(batches, screen: Screen):
-    """Entries with repeated heads; equal ones of one batch are settled here, all but the earliest."""
+def head_rows(batches, ranges: int):
+    """Of every part: blocks of distinct (head, g), cut to 40 and 48 bits, and whether they occur twice in it.
+
+    Heads that only agree in 40 bits count as repeated, which costs work and loses nothing.
+    """
+    for pieces in parted(batches, 0):
+        parts = [entries_of(x, ends)[3:] for _, (x, ends, _, _) in pieces]
+        if not sum(len(h) for h, _ in parts):
+            continue
+        head, g = (np.concatenate(c) for c in zip(*parts))
+        head, g = head >> _U(24), g >> _U(16)
+        order = np.lexsort((g, head))
+        head, g = head[order], g[order]
+        first = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]) | (g[1:] != g[:-1]))))
+        twice = (np.diff(np.append(first, len(head))) > 1).astype(np.uint8)
+        head, g = head[first], g[first]
+        bucket = top(head << _U(24), ranges)
+        yield from blocks(NEW, ((b, pack([head[r].view(np.uint8).reshape(-1, 8)[:, k].copy() for k in range(5)]
+                                         + [g[r].view(np.uint8).reshape(-1, 8)[:, k].copy() for k in range(6)]
+                                         + [twice[r]])) for b, r in dealt(bucket)))
+
+
+def _wide(planes: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(planes[0]), 8), np.uint8)
+    for k, p in enumerate(planes):
+        out[:, k] = p
+    return out.view("<u8").reshape(-1)
+
+
+def by_bucket(batches):
+    """(bucket, levels, blobs) of rows sorted by bucket."""
+    bucket, levels, blobs = None, [], []
     for batch in batches:
-        ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-        sigs = batch.column(1).to_numpy(zero_copy_only=False)
-        found, texts = [], []
-        for x, ends, rows, offsets in _pieces(batch, 2):
-            start, size, anchor, head, g = entries_of(x, ends)
+        for level, b, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if b != bucket and blobs:
+                yield bucket, levels, blobs
+                levels, blobs = [], []
+            bucket = b
+            levels.append(level)
+            blobs.append(blob)
+    if blobs:
+        yield bucket, levels, blobs
+
+
+def screen_blocks(batches, bits: int, ranges: int, hot: int):
+    """Bit table slices of each head range, and its hot heads."""
+    for bucket, _, blobs in by_bucket(batches):
+        parts = [unpack(b, " ".join(["u1"] * 12))[0] for b in blobs]
+        planes = [np.concatenate(c) for c in zip(*parts)]
+        head, g, twice = _wide(planes[:5]), _wide(planes[5:11]), planes[11]
+        order = np.lexsort((g, head))
+        head, g, twice = head[order], g[order], twice[order]
+        first = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1])))
+        n = np.diff(np.append(first, len(head)))
+        several = np.maximum.reduceat((np.concatenate(([False], g[1:] != g[:-1]))
+                                       & np.concatenate(([False], head[1:] == head[:-1]))).astype(np.uint8), first) > 0
+        repeated = (n > 1) | (np.maximum.reduceat(twice, first) > 0)
+        at = top(head[first] << _U(24), bits) - (bucket << (bits - ranges))
+        out = []
+        for rows in (repeated, repeated & several):
+            bit = np.zeros(1 << (bits - ranges), np.uint8)
+            bit[at[rows]] = 1
+            out.append(np.packbits(bit, bitorder="little"))
+        yield from blocks(NEW, [(bucket, pack([*out]))])
+        if (n >= hot).any():
+            yield from blocks(SPAN, [(bucket, pack([head[first][n >= hot]]))])
+
+
+def entry_rows(batches, screen: Screen):
+    """Blocks of entries with repeated heads; equal ones of one part are settled here, all but the earliest."""
+    for pieces in parted(batches, 2):
+        parts = []
+        for batch, (x, ends, rows, offsets) in pieces:
+            ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+            sigs = batch.column(1).to_numpy(zero_copy_only=False)
+            start, size, _, head, g = entries_of(x, ends)
             repeated, several, hot = screen.marks(head)
-            plain, split = repeated & ~hot, repeated & hot
             own = np.searchsorted(ends, start, side="right")
             base = offsets[own] - np.concatenate(([0], ends))[own]
-            parts = [(start[plain], size[plain], anchor[plain], head[plain], g[plain], own[plain], base[plain],
-                      several[plain])]
-            if split.any():  # window by window: its own two hashes say all about it
-                n = size[split]
-                at = np.repeat(start[split], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                one, zero = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
-                parts.append((at, one, zero, span_hash(prefix_sums(x, 0), 0, at, at + LENGTH),
-                              span_hash(prefix_sums(x, 1), 1, at, at + LENGTH), np.repeat(own[split], n),
-                              np.repeat(base[split], n), zero.astype(bool)))
-            for start, size, anchor, head, g, own, base, several in parts:
-                lengths = np.where(several, size + LENGTH - 1, 0)
-                texts.append(_gather(x, start, lengths))
-                found.append((head, g, ids[rows[own]], sigs[rows[own]], start + base, size, anchor, several))
-        if not found:
+            kept = np.flatnonzero(repeated & ~hot)
+            length = np.where(several[kept], size[kept] + LENGTH - 1, 0)
+            parts.append(Entries([head[kept], g[kept], ids[rows[own[kept]]], sigs[rows[own[kept]]], (start + base)[kept],
+                                  size[kept], length], gather(x, start[kept], length)))
+            kept = np.flatnonzero(repeated & hot)
+            if len(kept):  # window by window: its own two hashes say all about it
+                n = size[kept]
+                at = np.repeat(start[kept], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                of = np.repeat(kept, n)
+                parts.append(Entries([span_hash(prefix_sums(x, 0), 0, at, at + LENGTH), span_hash(prefix_sums(x, 1), 1, at, at + LENGTH),
+                                      ids[rows[own[of]]], sigs[rows[own[of]]], at + base[of], np.ones(len(at), np.int64),
+                                      np.zeros(len(at), np.int64)], x[:0]))
+        if not sum(map(len, parts)):
             continue
-        head, g, doc, sig, start, size, anchor, several = map(np.concatenate, zip(*found))
-        if not len(head):
-            continue
-        text = pa.chunked_array(texts, pa.binary()).combine_chunks()
-        order = np.lexsort((start, sig, doc, g, head))
-        again = np.concatenate(([False], (head[order][1:] == head[order][:-1]) & (g[order][1:] == g[order][:-1])))
-        later = _later(order, again, doc, sig, start)
-        if later.any():
-            w = order[later]
-            yield _spans(doc[w], sig[w], start[w], size[w] + LENGTH - 1)
-        w = order[~again]
-        for a in range(0, len(w), 1 << 14):
-            v = w[a:a + (1 << 14)]
-            yield _record(NEW, head[v], g[v], doc[v], sig[v], start[v], size[v], anchor[v],
-                          text.take(pa.array(v)))
-
-
-def _scan(table: pa.Table):
-    """Merge-scan of complete head groups: spans of the new entries' repeats, and the new level's entries."""
-    col = {c: table.column(c).combine_chunks() for c in COLUMNS}
-    level = col["level"].to_numpy()
-    if (level == SPAN).any():
-        passed = table.filter(pa.array(level == SPAN))
-        yield from passed.select(COLUMNS).to_batches()
-        table = table.filter(pa.array(level != SPAN))
-        col = {c: table.column(c).combine_chunks() for c in COLUMNS}
-        level = col["level"].to_numpy()
-    if not len(level):
-        return
-    head, g = (col[c].to_numpy().view(_U) for c in ("head", "g"))
-    doc, sig, start, size, anchor = (col[c].to_numpy().astype(np.int64) for c in
-                                     ("doc_id", "sig", "start", "size", "anchor"))
+        e = Entries.concat(parts)
+        order = np.lexsort((e.start, e.sig, e.doc, e.g, e.head))
+        again = np.concatenate(([False], (e.head[order][1:] == e.head[order][:-1]) & (e.g[order][1:] == e.g[order][:-1])))
+        later = order[_later(order, again, e.doc, e.sig, e.start)]
+        if len(later):
+            yield from _spans(e.doc[later], e.sig[later], e.start[later], e.size[later] + LENGTH - 1, screen.ranges)
+        e = e.take(order[~again])  # in the order of heads, so a head range is a run
+        yield from blocks(NEW, ((b, r.pack()) for b, r in e.runs(top(e.head, screen.ranges))), 256)
+
+
+def scan(e: Entries, level: np.ndarray):
+    """Merge-scan of one head range: (doc, sig, start, size) of the new entries' repeats, and the new level's entries."""
     # Suffix order: head, then text; the earliest of equal entries stands first.
-    order = np.lexsort((start, sig, doc, g, head))
-    same = np.concatenate(([False], (head[order][1:] == head[order][:-1]) & (g[order][1:] == g[order][:-1])))
-    place = np.lexsort((start, sig, doc))
-    rank = np.empty(len(place), np.int64)
-    rank[place] = np.arange(len(place))
-    again = order[_later(order, same, doc, sig, start)]
+    order = np.lexsort((e.start, e.sig, e.doc, e.g, e.head))
+    same = np.concatenate(([False], (e.head[order][1:] == e.head[order][:-1]) & (e.g[order][1:] == e.g[order][:-1])))
+    again = order[_later(order, same, e.doc, e.sig, e.start)]
     again = again[level[again] == NEW]
-    gone = [np.stack((again, np.zeros(len(again), np.int64), size[again]))]
+    gone = [np.stack((again, np.zeros(len(again), np.int64), e.size[again]))]
     reps = order[~same]
-    fresh = np.zeros(len(level), np.int64)  # windows of an entry that are found
+    fresh = np.zeros(len(e), np.int64)  # windows of an entry that are found
     # Heads with several texts: their windows are compared one by one.
-    wide = reps[col["text"].is_valid().to_numpy(zero_copy_only=False)[reps]]
-    wide = wide[np.array(size[wide] > 0)]
-    texts = col["text"].take(pa.array(wide))
-    lengths = size[wide] + LENGTH - 1
-    filled = np.asarray(pa.compute.binary_length(texts).fill_null(0)) == lengths if len(wide) else np.zeros(0, bool)
-    wide, texts, lengths = wide[filled], texts.filter(pa.array(filled)), lengths[filled]
+    wide = reps[e.length[reps] > 0]
     if len(wide):
-        x = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
-        base = np.cumsum(lengths) - lengths
-        n = size[wide]
+        place = np.lexsort((e.start[wide], e.sig[wide], e.doc[wide]))
+        rank = np.empty(len(wide), np.int64)
+        rank[place] = np.arange(len(wide))
+        texts = e.take(wide)
+        x, n = texts.text, texts.size.astype(np.int64)
+        base = np.cumsum(texts.length, dtype=np.int64) - texts.length
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at, of = np.repeat(base, n) + inner, np.repeat(wide, n)
-        hashes = []
-        for which in (0, 1):
-            sums = prefix_sums(x, which)
-            hashes.append(span_hash(sums, which, at, at + LENGTH))
-        when = rank[of] * (1 << 24) + inner
-        by = np.lexsort((when, hashes[1], hashes[0]))
-        dup = np.concatenate(([False], (hashes[0][by][1:] == hashes[0][by][:-1]) &
-                              (hashes[1][by][1:] == hashes[1][by][:-1])))
+        at, of = np.repeat(base, n) + inner, np.repeat(np.arange(len(wide)), n)
+        hashes = [span_hash(prefix_sums(x, k), k, at, at + LENGTH) for k in (0, 1)]
+        by = np.lexsort((rank[of] * (1 << 24) + inner, hashes[1], hashes[0]))
+        dup = np.concatenate(([False], (hashes[0][by][1:] == hashes[0][by][:-1]) & (hashes[1][by][1:] == hashes[1][by][:-1])))
         hit = np.sort(by[dup])
-        hit = hit[level[of[hit]] == NEW]
-        np.add.at(fresh, of[hit], 1)
-        gone.append(np.stack((of[hit], inner[hit], np.ones(len(hit), np.int64))))
+        hit = hit[level[wide[of[hit]]] == NEW]
+        np.add.at(fresh, wide[of[hit]], 1)
+        gone.append(np.stack((wide[of[hit]], inner[hit], np.ones(len(hit), np.int64))))
     of, inner, n = np.concatenate(gone, axis=1)
-    if len(of):
-        yield _spans(doc[of], sig[of], start[of] + inner, n + LENGTH - 1)
-    keep = reps[(level[reps] == NEW) & (fresh[reps] < size[reps])]
-    yield from table.take(pa.array(keep)).select(COLUMNS).to_batches()
-
-
-def merge_scan(batches, rows: int = 150_000):
-    """Rows sorted by key in, in parts that end between two keys."""
-    waiting, count = [], 0
-
-    def flush(final: bool):
-        nonlocal waiting, count
-        table = pa.Table.from_batches(waiting)
-        cut = table.num_rows
-        if not final:
-            key = table.column("key")
-            last = key[-1].as_py()
-            keys = key.to_numpy()
-            cut = int(np.searchsorted(keys, last))
-        waiting, count = (table.slice(cut).to_batches(), table.num_rows - cut) if cut < table.num_rows else ([], 0)
-        if cut:
-            yield from _scan(table.slice(0, cut))
+    keep = reps[(level[reps] == NEW) & (fresh[reps] < e.size[reps])]
+    return (e.doc[of], e.sig[of], e.start[of] + inner, n + LENGTH - 1), e.take(keep)
 
-    for batch in batches:
-        if batch.num_rows:
-            waiting.append(batch)
-            count += batch.num_rows
-            if count >= rows:
-                yield from flush(False)
-    if waiting:
-        yield from flush(True)
+
+def merge_scan(batches, ranges: int):
+    """Blocks of repeats and of the new level, from blocks sorted by bucket."""
+    for bucket, levels, blobs in by_bucket(batches):
+        yield from blocks(SPAN, [(bucket, b) for lv, b in zip(levels, blobs) if lv == SPAN])
+        parts = [(lv, Entries.unpack(b)) for lv, b in zip(levels, blobs) if lv != SPAN]
+        if not any(lv == NEW for lv, _ in parts):
+            continue
+        found, kept = scan(Entries.concat([p for _, p in parts]), np.concatenate([np.full(len(p), lv) for lv, p in parts]))
+        if len(found[0]):
+            yield from _spans(*found, ranges)
+        if len(kept):
+            yield from blocks(NEW, [(bucket, kept.pack())])
+
+
+def merge_blocks(batches):
+    """One block, in suffix order, for each head range."""
+    for bucket, _, blobs in by_bucket(batches):
+        e = Entries.concat([Entries.unpack(b) for b in blobs])
+        yield from blocks(NEW, [(bucket, e.take(np.lexsort((e.start, e.sig, e.doc, e.g, e.head))).pack())])
+
+
+def _by_bucket(df: DataFrame) -> DataFrame:
+    return df.repartition("bucket").sortWithinPartitions("bucket")
 
 
 def screen_heads(docs: DataFrame, text_col: str = "text", hot: int = 2000, most_bits: int = BITS) -> Screen:
     """Count the heads of the whole corpus; see :class:`Screen`.
 
-    A head is hot from ``hot`` occurrences on, or from a ten-thousandth of all if that is more, so
-    there are at most ten thousand.
+    A head is hot from ``hot`` different entries on, or from a ten-thousandth of all if that is more, so
+    there are at most ten thousand. The driver gets the bit tables, at most 2^most_bits bits each.
     """
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(head_rows, "head long, g long")
-    counts = rows.groupBy("head").agg(F.count("*").alias("n"), F.min("g").alias("a"), F.max("g").alias("b"))
-    repeated = stored(counts.where(F.col("n") > 1).select("head", "n", (F.col("a") != F.col("b")).alias("several")),
-                      "suffix-heads")
-    size = repeated.agg(F.count("*").alias("heads"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    bits = min(most_bits, max(16, int(size["heads"] * 16).bit_length()))
-    often = repeated.where(F.col("n") >= max(hot, size["n"] // 10_000)).select("head").toArrow()
-    low = 13 if bits < 20 else bits - 8  # a bit block: at most 64 KB
-    at = repeated.select(F.shiftrightunsigned("head", 64 - bits).alias("at"), "several").groupBy("at").agg(
-        F.max("several").alias("several"))
-
-    def block(key, pdf):
-        out = []
-        for part in (pdf["at"], pdf["at"][pdf["several"]]):
-            bit = np.zeros(1 << low, np.uint8)
-            bit[part.to_numpy() & ((1 << low) - 1)] = 1
-            out.append(np.packbits(bit, bitorder="little").tobytes())
-        return type(pdf)({"block": [int(key[0])], "repeated": [out[0]], "several": [out[1]]})
-
-    parts = at.groupBy(F.shiftright("at", low).alias("block")).applyInPandas(
-        block, "block long, repeated binary, several binary").toArrow().to_pylist()
-    tables = np.zeros((2, 1 << (bits - 3)), np.uint8)
-    for p in parts:
-        for row, name in zip(tables, ("repeated", "several")):
-            row[p["block"] << (low - 3):(p["block"] + 1) << (low - 3)] = np.frombuffer(p[name], np.uint8)
-    heads = often.column("head").to_numpy().view(_U) if often.num_rows else np.zeros(0, _U)
-    return Screen(bits, tables[0], tables[1], np.sort(heads))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
+    entries = 1 + 2 * total // (LENGTH - HEAD + 2)
+    ranges = max(0, (entries // RANGE).bit_length() - 1)
+    bits = max(ranges + 3, min(most_bits, max(16, (4 * entries).bit_length())))
+    rows = docs.select(text.alias("text")).mapInArrow(lambda b: head_rows(b, ranges), BLOCK)
+    most = max(hot, entries // 10_000)
+    slices = _by_bucket(rows).mapInArrow(lambda b: screen_blocks(b, bits, ranges, most), BLOCK)
+    tables, often = np.zeros((2, 1 << (bits - 3)), np.uint8), [np.zeros(0, _U)]
+    with short_batches(docs.sparkSession):
+        slices = stored(slices, "suffix-screen")
+    for r in slices.toLocalIterator():
+        if r.level == SPAN:
+            often += unpack(bytes(r.blob), "<u8")[0]
+        else:
+            a, b = r.bucket << (bits - ranges - 3), (r.bucket + 1) << (bits - ranges - 3)
+            tables[0, a:b], tables[1, a:b] = unpack(bytes(r.blob), "u1 u1")[0]
+    return Screen(bits, ranges, tables[0], tables[1], np.concatenate(often))
 
 
 class SuffixFamily:
@@ -380,26 +499,52 @@ class SuffixFamily:
     """
 
     def __init__(self, spark, screen: Screen):
-        self.screen = spark.sparkContext.broadcast(screen)
+        self.screen, self.ranges = spark.sparkContext.broadcast(screen), screen.ranges
         self.levels: list[tuple[int, DataFrame]] = []  # (size in batches, stored table), largest first
 
     def merge(self) -> None:
         """Merge equal-sized levels, smallest first."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels[-2:]
-            both = a.unionByName(b).repartition("key").sortWithinPartitions("key", "head", "g")
-            self.levels[-2:] = [(2 * size, stored(both, "suffix-level"))]
+            both = _by_bucket(a.unionByName(b)).mapInArrow(merge_blocks, BLOCK)
+            with short_batches(both.sparkSession):
+                self.levels[-2:] = [(2 * size, stored(both, "suffix-level"))]
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Take a batch (doc_id, sig, text); returns its repeats (doc_id, sig, start, size) as a stored table."""
+        """Take a batch (doc_id, sig, text); returns blocks of its repeats as a stored table."""
         self.merge()
-        screen = self.screen
-        rows = batch.mapInArrow(lambda b: entry_rows(b, screen.value), SCHEMA)
+        screen, ranges = self.screen, self.ranges
+        rows = batch.select("doc_id", "sig", "text").mapInArrow(lambda b: entry_rows(b, screen.value), BLOCK)
         for number, (_, level) in enumerate(self.levels, 1):
             rows = rows.unionByName(level.withColumn("level", F.lit(number)))
-        scanned = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(merge_scan, SCHEMA), "suffix-scan")
+        scanned = _by_bucket(rows).mapInArrow(lambda b: merge_scan(b, ranges), BLOCK)
+        with short_batches(batch.sparkSession):
+            scanned = stored(scanned, "suffix-scan")
         self.levels.append((1, scanned.where(F.col("level") == NEW)))
-        return scanned.where(F.col("level") == SPAN).select("doc_id", "sig", "start", "size")
+        return scanned.where(F.col("level") == SPAN)
+
+
+def text_spans(batches):
+    """(doc_id, sig, starts, ends) of every text with repeats, from blocks sorted by bucket."""
+    for _, _, blobs in by_bucket(batches):
+        doc, sig, start, end = (np.concatenate(c) for c in zip(*(unpack(b, "<i8 <i8 <i8 <i8")[0] for b in blobs)))
+        doc, sig, start, end = joined_spans(doc, sig, start, end - start)
+        cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1]))))
+        offsets = pa.array(np.append(cut, len(doc)), pa.int32())
+        yield pa.record_batch([pa.array(doc[cut]), pa.array(sig[cut]), pa.ListArray.from_arrays(offsets, pa.array(start)),
+                               pa.ListArray.from_arrays(offsets, pa.array(end))], names=["doc_id", "sig", "starts", "ends"])
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, sig, text): ``sig`` tells texts of one id apart, and is 0 where the id stands once."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    doubled = stored(rows.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(
+        "doc_id", F.lit(True).alias("doubled")), "suffix-doubled")
+    shared = F.col("doc_id").isNull()
+    if not doubled.isEmpty():
+        rows, shared = rows.join(bounded(doubled), "doc_id", "left"), shared | F.col("doubled").isNotNull()
+    return rows.select("doc_id", F.when(shared, F.xxhash64("text")).otherwise(F.lit(0)).alias("sig"), "text")
 
 
 def remove_repeats(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col: str = "text",
@@ -412,32 +557,22 @@ def remove_repeats(docs: DataFrame, batches: int = 4, id_col: str = "doc_id", te
     without id) are different documents in the order of their xxhash64; rows equal in id and text are
     one document and get the same result each. An empty table gives an empty result. Ids are integers.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
+    rows = _documents(docs, id_col, text_col)
     family = SuffixFamily(docs.sparkSession, screen_heads(docs, text_col, hot))
     cuts = rows.where(F.col("doc_id").isNotNull()).approxQuantile(
         "doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    found = []
+    found = None
     for low, high in zip([None, *cuts], [*cuts, None]):
         inside = F.lit(True) if low is None else F.col("doc_id") > low
         if high is not None:
             inside = inside & (F.col("doc_id") <= high)
         elif low is not None:
             inside = inside | F.col("doc_id").isNull()
-        found.append(family.add(rows.where(inside)))
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.unionByName(more)
-    # Spans of one text that touch become one: the text's own spans in order.
-    order = Window.partitionBy("doc_id", "sig").orderBy("start", "size")
-    reach = F.max(F.col("start") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order)
-    joined = spans.withColumn("reach", reach).withColumn("island", island).groupBy("doc_id", "sig", "island").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
-    cut = stored(joined.groupBy("doc_id", "sig").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s")
-                                                     ).select("doc_id", "sig", F.col("s.start").alias("starts"),
-                                                              F.col("s.end").alias("ends")), "suffix-spans")
+        spans = family.add(rows.where(inside))
+        found = spans if found is None else found.unionByName(spans)
+    cut = stored(_by_bucket(found).mapInArrow(
+        text_spans, "doc_id long, sig long, starts array<long>, ends array<long>"), "suffix-spans")
 
     def finish(batches):
         for batch in batches:
