@@ -24,7 +24,7 @@ def merger():
 def texts():
     rng = random.Random(8)
     odd = ["", " ", "  a", "a  ", "\n\n x\t\ty ", "it's we'll I'M 'd", "123 4567,89", "<|endoftext|>", "a<|endoftext|><|endoftext|> b",
-           "<|endoftext", "éà ß ñ", "日本語のテキスト", "\U0001f600\U0001f680 ok", "a" * 700, "ab" * 600, "\u00a0 \u2003x", "x\r\ny", "\x00\x01",
+           "<|endoftext", "éà ß ñ", "日本語のテキスト", "\U0001f600\U0001f680 ok", "a" * 700, "ab" * 600, "\u00a0 \u2003x", "x\r\ny", "\x00\x01", "a\x1c\x1d b\x1e \x1f", "a\x85b \x0b\x0c c", "\u180e \u200b\u2028x\u3000", "x\t\t", "\t y",
            "Zz" * 300 + "9" * 400 + "!" * 500 + " " * 300, "don’t"]
     alphabet = "abcdeéE 1'.,!\n\t’日"
     return odd + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 400))) for _ in range(150)]
