@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents become sequences of line hashes. A line points from every document that has it to the
-first one (smallest id) that has it: these are the pairs, as many as there are lines, never all pairs of a
-group. Pairs start from rare lines; lines of at least ``anchor_words`` words always count as rare, so frequency
-hides no longer line. The two sequences of a pair are aligned with patience diff, and blocks of
-lines that stand in both in a row, with at least ``block_words`` words, are deleted from the later document.
+Documents become sequences of line hashes. Every run of consecutive lines that just reaches
+``block_words`` words points from every document that has it to the first one (smallest id) that has it:
+these are the pairs, at most two for a line, never all pairs of a group. Any longer common block is made
+of such runs, so neither the length nor the frequency of its lines hides it. The two sequences of a pair
+are aligned with patience diff, and blocks of lines that stand in both in a row, with at least
+``block_words`` words, are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -19,6 +20,31 @@ from pyspark.sql import functions as F
 
 from boardlake.llm.common import bounded, stored
 
+BASE, PRIME = 0x1F3D5B79A2C4E687, (1 << 61) - 1
+
+
+def run_keys(lines: list[int], words: list[int], least: int) -> list[int]:
+    """Distinct hashes of the shortest runs of at least ``least`` words from each line on and up to each line.
+
+    Each line of a longer run is in a shortest run inside of it: those from its lines on, then those up to them.
+    """
+    prefix, power, total = [0], [1], [0]
+    for x, n in zip(lines, words):
+        prefix.append((prefix[-1] * BASE + x) % PRIME)
+        power.append(power[-1] * BASE % PRIME)
+        total.append(total[-1] + n)
+    keys, end, start = set(), 0, 0
+    for i in range(len(lines)):
+        while end < len(lines) and total[end] - total[i] < least:
+            end += 1
+        if total[end] - total[i] >= least:
+            keys.add((prefix[end] - prefix[i] * power[end - i]) % PRIME)
+        while total[i + 1] - total[start + 1] >= least and start < i:
+            start += 1
+        if total[i + 1] - total[start] >= least:
+            keys.add((prefix[i + 1] - prefix[start] * power[i + 1 - start]) % PRIME)
+    return list(keys)
+
 
 def line_rows(batches):
     """(doc_id, sig, lines, words): hashes of the lines without surrounding white space, and their word counts."""
@@ -93,12 +119,15 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> l
     return out
 
 
-def deleted_lines(docs: DataFrame, block_words: int = 12, anchor_words: int = 4, rare: int = 20,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sig, gone): line numbers to delete, for the texts that lose some; a stored table.
+def deleted_lines(docs: DataFrame, block_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sig, gone): line numbers to delete, for the texts that lose some; a stored table."""
+    def keys(batches):
+        for batch in batches:
+            runs = [run_keys(lines, words, block_words) for lines, words in
+                    zip(*(batch.column(i).to_pylist() for i in (2, 3)))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int64()))],
+                                  names=["doc_id", "sig", "runs"])
 
-    ``rare``: lines of fewer than ``anchor_words`` words make pairs only up to this number of documents.
-    """
     def cut(batches):
         for batch in batches:
             gone = [common_blocks(first, own, words, block_words) for first, own, words in
@@ -114,11 +143,12 @@ def deleted_lines(docs: DataFrame, block_words: int = 12, anchor_words: int = 4,
     sketches = stored(rows.mapInArrow(line_rows, f"doc_id {kind}, sig long, lines array<long>, words array<int>"),
                       "line-sketches")
     sketches = stored(sketches.dropDuplicates(["doc_id", "sig"]), "line-sketches")
-    lines = sketches.select("doc_id", "sig", F.explode(F.array_distinct(F.arrays_zip("lines", "words"))).alias("l")).select(
-        F.struct("doc_id", "sig").alias("doc"), F.col("l.lines").alias("line"), F.col("l.words").alias("n")).where("n > 0")
-    shared = stored(lines.groupBy("line").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.max("n").alias("n")).where(
-        (F.col("docs") > 1) & ((F.col("n") >= anchor_words) | (F.col("docs") <= rare))).select("line", "first"), "line-shared")
-    pairs = stored(lines.select("doc", "line").join(shared, "line").where(F.col("first") != F.col("doc")).select(
+    runs = sketches.mapInArrow(keys, f"doc_id {kind}, sig long, runs array<long>").select(
+        F.struct("doc_id", "sig").alias("doc"), F.explode("runs").alias("run"))
+    runs = stored(runs, "line-runs")
+    shared = stored(runs.groupBy("run").agg(F.count("*").alias("docs"), F.min("doc").alias("first")).where("docs > 1").select(
+        "run", "first"), "line-shared")
+    pairs = stored(runs.join(shared, "run").where(F.col("first") != F.col("doc")).select(
         "doc.*", F.col("first.doc_id").alias("first_id"), F.col("first.sig").alias("first_sig")).distinct(), "line-pairs")
     own = sketches.select("doc_id", "sig", F.col("lines").alias("own"), "words")
     first = sketches.select(F.col("doc_id").alias("first_id"), F.col("sig").alias("first_sig"), F.col("lines").alias("other"))
@@ -129,8 +159,7 @@ def deleted_lines(docs: DataFrame, block_words: int = 12, anchor_words: int = 4,
         F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "line-cuts")
 
 
-def dedup_lines(docs: DataFrame, block_words: int = 12, anchor_words: int = 4, rare: int = 20,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, block_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with shortened texts, plus ``n_lines`` and ``n_deleted``.
 
     Lines end at ``\\n``. Deletions are judged on the input texts, not on what is left of the earlier one. Null
@@ -139,7 +168,7 @@ def dedup_lines(docs: DataFrame, block_words: int = 12, anchor_words: int = 4, r
     xxhash64. Empty tables give an empty result. Columns of ``docs`` named ``n_lines`` or ``n_deleted``
     are replaced.
     """
-    cuts = deleted_lines(docs, block_words, anchor_words, rare, id_col, text_col).select(
+    cuts = deleted_lines(docs, block_words, id_col, text_col).select(
         F.col("doc_id").alias("_cut_id"), F.col("sig").alias("_cut_sig"), F.col("gone").alias("_gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.join(bounded(cuts, 300_000), (F.col(id_col) == F.col("_cut_id")) & (F.xxhash64(text) == F.col("_cut_sig")),

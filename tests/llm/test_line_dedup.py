@@ -89,3 +89,25 @@ def test_repeated_rows_and_ids(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_short_lines_pair_at_any_frequency(spark):
+    for holders in (20, 21, 40):
+        verse = "\n".join(f"two{i} words{i}" for i in range(30))
+        rows = [(i, f"own opening {i} here\n{verse}") for i in range(holders)]
+        got = {i: (t, n) for i, t, n in run(spark, rows)}
+        assert got[0] == (rows[0][1], 0)
+        assert all(got[i] == (f"own opening {i} here", 30) for i in range(1, holders))
+
+
+def test_shortest_runs_cover_every_repeated_run():
+    rng = random.Random(8)
+    for _ in range(200):
+        size = {x: rng.choice([0, 0, 1, 2, 5, 13]) for x in range(9)}
+        a = [rng.randrange(9) for _ in range(rng.randrange(20))]
+        words = [size[x] for x in a]
+        inside = [a[i:j] for i in range(len(a)) for j in range(i + 1, len(a) + 1) if sum(words[i:j]) >= 12]
+        keys = set(line_dedup.run_keys(a, words, 12))
+        assert bool(inside) == bool(keys)
+        for r in inside:
+            assert keys >= set(line_dedup.run_keys(r, [size[x] for x in r], 12))
