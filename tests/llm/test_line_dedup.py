@@ -111,3 +111,13 @@ def test_shortest_runs_cover_every_repeated_run():
         assert bool(inside) == bool(keys)
         for r in inside:
             assert keys >= set(line_dedup.run_keys(r, [size[x] for x in r], 12))
+
+
+def test_pairs_with_the_first_holder_of_the_block(spark):
+    b, c, d = (f"line {x} of seven words in all" for x in "bcd")
+    block = f"{b}\n{c}\n{d}"
+    rows = [(1, f"start of one\n{b}\nend"), (2, f"start of two\n{c}\nend"), (3, f"start of three\n{d}\nend"),
+            (4, f"four begins\n{block}\nfour ends"), (5, f"five begins\n{block}\nfive ends"), (6, block)]
+    got = {i: (t, n) for i, t, n in run(spark, rows)}
+    assert all(got[i] == (rows[i - 1][1], 0) for i in (1, 2, 3, 4))
+    assert got[5] == ("five begins\nfive ends", 3) and got[6] == ("", 3)
