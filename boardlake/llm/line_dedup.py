@@ -5,7 +5,8 @@ Documents become sequences of line hashes. Every run of consecutive lines that j
 these are the pairs, at most two for a line, never all pairs of a group. Any longer common block is made
 of such runs, so neither the length nor the frequency of its lines hides it. The two sequences of a pair
 are aligned with patience diff, and blocks of lines that stand in both in a row, with at least
-``block_words`` words, are deleted from the later document.
+``block_words`` words, are deleted from the later document. What an alignment cannot match, blocks in another
+order or repeated in the later document, is found by exact matches of runs and deleted too.
 """
 
 from __future__ import annotations
@@ -105,18 +106,74 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def longest_ends(a: list[int], b: list[int]) -> list[int]:
+    """For each line of ``b`` the length of the longest run of lines ending there that stands in ``a``.
+
+    A suffix automaton of the lines of ``a`` that ``b`` has; time and memory grow with the lines of both.
+    """
+    here, kept = set(b), []
+    for x in a:
+        if x in here:
+            kept.append(x)
+        elif kept and kept[-1] is not None:
+            kept.append(None)  # no run crosses a line that b does not have
+    link, size, step, last = [-1], [0], [{}], 0
+    for x in kept:
+        new, p = len(link), last
+        link.append(0), size.append(size[last] + 1), step.append({})
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if size[q] > size[p] + 1:
+                twin = len(link)
+                link.append(link[q]), size.append(size[p] + 1), step.append(dict(step[q]))
+                link[q] = twin
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = twin
+                    p = link[p]
+                q = twin
+            link[new] = q
+        last = new
+    out, at, n = [], 0, 0
+    for x in b:
+        while at and x not in step[at]:
+            at = link[at]
+            n = size[at]
+        if x in step[at]:
+            at, n = step[at][x], n + 1
+        out.append(n)
+    return out
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Lines of ``b`` in aligned blocks of at least ``least`` words."""
-    out, block, previous = [], [], None
+    """Lines of ``b`` in blocks of at least ``least`` words that stand in ``a``.
+
+    Aligned blocks first. Where they leave words, all runs that ``a`` has too follow: moved and repeated ones.
+    """
+    out, block, previous = set(), [], None
     for x, y in [*align(a, b), (None, None)]:
         if previous is not None and (x, y) != (previous[0] + 1, previous[1] + 1):
             if sum(words[k] for k in block) >= least:
-                out += block
+                out.update(block)
             block = []
         if y is not None:
             block.append(y)
             previous = (x, y)
-    return out
+    if len(out) == len(b):
+        return sorted(out)
+    total = [0]
+    for n in words:
+        total.append(total[-1] + n)
+    start = len(b)
+    for j, n in reversed(list(enumerate(longest_ends(a, b)))):
+        # Of the runs that end here or later, the one that reaches furthest back.
+        if total[j + 1] - total[j + 1 - n] >= least:
+            start = min(start, j + 1 - n)
+        if start <= j:
+            out.add(j)
+    return sorted(out)
 
 
 def deleted_lines(docs: DataFrame, block_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

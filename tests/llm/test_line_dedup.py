@@ -121,3 +121,24 @@ def test_pairs_with_the_first_holder_of_the_block(spark):
     got = {i: (t, n) for i, t, n in run(spark, rows)}
     assert all(got[i] == (rows[i - 1][1], 0) for i in (1, 2, 3, 4))
     assert got[5] == ("five begins\nfive ends", 3) and got[6] == ("", 3)
+
+
+def test_all_runs_of_a_pair_go():
+    rng = random.Random(6)
+    for _ in range(400):
+        size = {x: rng.choice([0, 1, 2, 5, 13]) for x in range(7)}
+        a, b = ([rng.randrange(7) for _ in range(rng.randrange(16))] for _ in range(2))
+        words, want = [size[x] for x in b], set()
+        for i in range(len(b)):
+            for j in range(i + 1, len(b) + 1):
+                if sum(words[i:j]) >= 12 and any(a[p:p + j - i] == b[i:j] for p in range(len(a))):
+                    want |= set(range(i, j))
+        assert line_dedup.common_blocks(a, b, words, 12) == sorted(want)
+
+
+def test_repeated_and_moved_blocks(spark):
+    q = P.replace("passage", "second")
+    rows = [(1, f"u\n{P}\nv"), (2, f"y\n{P}\nx\n{P}\nz"), (3, f"u\n{P}\n{q}\nv"), (4, f"a\n{q}\n{P}\nb")]
+    got = {i: (t, n) for i, t, n in run(spark, rows)}
+    assert got[1] == (rows[0][1], 0) and got[2] == ("y\nx\nz", 16)
+    assert got[3] == (f"{q}\nv", 9) and got[4] == ("a\nb", 16)
