@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlake.llm import decontaminate, html_text, line_dedup, mixing, quality, simhash, suffix_dedup, tokens, topk, url_filter
+from boardlake.llm import (decontaminate, html_text, line_dedup, mixing, packing, quality, simhash, suffix_dedup, tokens, topk,
+                           url_filter)
 from boardlake.llm.common import table
 
 
@@ -55,8 +56,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", (F.octet_length("ids") / packing.WIDTH).cast("long").alias("length"),
+                         F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_mixing, op3_line_dedup, op4_decontaminate, op5_quality, op6_top_k, op7_html_text, op8_token_counts, op9_suffix_dedup, op10_url_filter)}
+    f.__name__: f for f in (op1_simhash, op2_mixing, op3_line_dedup, op4_decontaminate, op5_quality, op6_top_k, op7_html_text,
+                            op8_token_counts, op9_suffix_dedup, op10_url_filter, op12_packing)}
 
 OP6_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

@@ -16,5 +16,5 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_each_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(corpus_pipeline.QUERIES) == {"pipeline"}
