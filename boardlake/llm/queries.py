@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlake.llm import (decontaminate, html_text, line_dedup, mixing, packing, quality, simhash, suffix_dedup, tokens, topk,
-                           url_filter)
+from boardlake.llm import (decontaminate, filter_audit, html_text, line_dedup, mixing, packing, periodic, quality, simhash, suffix_dedup,
+                           tokens, topk, url_filter)
 from boardlake.llm.common import table
 
 
@@ -56,15 +56,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", (F.octet_length("ids") / packing.WIDTH).cast("long").alias("length"),
                          F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_mixing, op3_line_dedup, op4_decontaminate, op5_quality, op6_top_k, op7_html_text,
-                            op8_token_counts, op9_suffix_dedup, op10_url_filter, op12_packing)}
+                            op8_token_counts, op9_suffix_dedup, op10_url_filter, op11_periodic_runs, op12_packing, op13_filter_audit)}
 
 OP6_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -124,4 +132,33 @@ SELECT source, CAST(block AS INTEGER) AS block, position, doc_id, n AS n_tokens
 WHERE block * tokens + run - n < target
 """
 
-ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_decontaminate": OP4_SQL, "op6_top_k": OP6_SQL}
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, part, CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+             + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INTEGER)
+             + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+             + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INTEGER) AS mask FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS quality, max(CAST(toxic = 1 AS INTEGER)) AS toxic
+      FROM labels GROUP BY doc_id),
+g AS (SELECT part, mask, count(*) AS n, sum(coalesce(quality, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(f, b)),
+o AS (SELECT p.f || q.f || r.f || s.f || t.f AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits
+      FROM f p, f q, f r, f s, f t WHERE p.b + q.b + r.b + s.b + t.b = 31 AND p.b | q.b | r.b | s.b | t.b = 31),
+s AS (SELECT filter_order, step, bits[step] AS b, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before
+      FROM o, (SELECT unnest(range(1, 6)) AS step)),
+x AS (SELECT part, filter_order, step, b, sum(CASE WHEN mask & (before | b) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & before = 0 AND mask & b > 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & before > 0 AND mask & b > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = b THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & before = 0 AND mask & b > 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & before = 0 AND mask & b > 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM g, s GROUP BY part, filter_order, step, b)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley FROM x
+"""
+
+ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_decontaminate": OP4_SQL, "op6_top_k": OP6_SQL, "op13_filter_audit": OP13_SQL}
