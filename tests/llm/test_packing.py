@@ -21,7 +21,8 @@ def library():
 def texts():
     rng = random.Random(12)
     odd = ["", " ", "\n\n x\t\ty ", "it's we'll", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "éà ß ñ", "日本語",
-           "a" * 700, "   x", "x\x85y", "\x1c\x1d b", "12 345", "w " * 3000]
+           "a" * 700, "   x", "x\x85y", "\x1c\x1d b", "12 345", "w " * 3000,
+           "½ cup, 3² = 9, Ⅷ x①", "é_a__ é b_", "٣٤ é 12५ x", "é\u0301\u0915\u094d é's é'x", "é \u3000\u2028 x\xa0 y"]
     return odd + ["".join(rng.choice("abcdeéE 1'.,!\n\t’日") for _ in range(rng.randrange(1, 900))) for _ in range(120)]
 
 
@@ -86,6 +87,16 @@ def test_long_texts_are_encoded_in_parts(library, monkeypatch):
     assert list(packing.stretches("x" * 1000, 300)) == ["x" * 1000]
 
 
+def test_both_patterns_agree():
+    """On all the characters for which both are used."""
+    encoder = packing.Encoder(open(PATH, encoding="utf-8").read())
+    letters = [chr(c) for c in range(0x3000) if packing.COMMON.fullmatch(chr(c))]
+    rng = random.Random(1)
+    for a in range(0, len(letters), 50):
+        text = "é" + "".join(rng.choice(letters[a:a + 50] + list(" a1'!")) for _ in range(400))
+        assert encoder.common.findall(text) == encoder.pieces.findall(text)
+
+
 def test_other_tokenizer_files(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
