@@ -8,6 +8,8 @@ row per key, so a key held by a third of the corpus never multiplies.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from boardlake.functions.constants import BACKGROUNDS, MARK_KINDS, N_CLASSES, SPLITS
 from boardlake.functions.placement import background, literal_array, square_index
 from boardlake.functions.rules import differs, violations
+from boardlake.operators.joins import nearest_position
 
 ONE = "*"  # counted as rows; a name, so importing needs no session
 
@@ -391,6 +394,51 @@ def session_overlap(sessions: DataFrame, cohort: DataFrame, row_id: str, family:
         F.when(F.col(source).isNotNull(), "known-source").otherwise("unresolved-source").alias("provenance"))
 
 
+def overlap_report(sessions: DataFrame, cohorts: Mapping[str, DataFrame], decisive: Sequence[str], row_id: str,
+                   sample_id: str, grid: str, family: str, source: str, hashes: Sequence[str]) -> DataFrame:
+    """One row per session and cohort: equal positions, families, sources, files, nearest positions, and the status.
+
+    ``<kind>_matches`` counts the cohort's rows of the same value, ``distance`` the fewest differing squares to any of its grids.
+    The status belongs to the session: overlap if it shares a family or known source with a ``decisive``
+    cohort, or a file (one of ``hashes``) with the first cohort. The nearest position is a clue and decides
+    nothing. Counts are taken per key before any join. A cohort without rows has zeros and no distance.
+    """
+    kinds = {"exact": grid, "family": family, "source": source, **{h: h for h in hashes}}
+    out = None
+    for place, (name, cohort) in enumerate(cohorts.items()):
+        part = sessions.select(row_id, *dict.fromkeys(kinds.values()))
+        for kind, col in kinds.items():
+            seen = cohort.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(ONE).alias(f"{kind}_matches"))
+            part = part.join(seen, col, "left")
+        near = nearest_position(sessions.where(F.col(grid).isNotNull()), cohort.where(F.col(grid).isNotNull()), row_id,
+                                sample_id, grid)
+        counts = [F.coalesce(f"{k}_matches", F.lit(0).cast("long")).alias(f"{k}_matches") for k in kinds]
+        counting = [k for k in kinds if (name in decisive and k in ("family", "source")) or (not place and k in hashes)]
+        hit = [F.col(f"{k}_matches").isNotNull() for k in counting]
+        part = part.select(row_id, F.lit(name).alias("cohort"), *counts, F.col(source).isNotNull().alias("_known"),
+                           reduce(or_, hit, F.lit(False)).alias("_hit")).join(near, row_id, "left")
+        out = part if out is None else out.unionByName(part)
+    any_hit = out.groupBy(row_id).agg(F.bool_or("_hit").alias("_any"))
+    return out.drop("_hit").join(any_hit, row_id).select(
+        row_id, "cohort", *[f"{k}_matches" for k in kinds], "distance", "nearest_samples", "first_nearest",
+        F.when(F.col("_any"), "overlap-found").otherwise("no-observed-overlap").alias("status"),
+        F.when(F.col("_known"), "known-source").otherwise("unresolved-source").alias("provenance"))
+
+
+def matching_files(targets: DataFrame, cohort: DataFrame, target_id: str, sample_id: str,
+                   hashes: Sequence[str]) -> DataFrame:
+    """(kind, value, side, id): the members of every hash that both sides have.
+
+    A hash with m target and n cohort files gives m + n rows and no pairs, however hot it is.
+    """
+    kinds = {h: h for h in hashes}
+    left = unpivot(targets, [F.col(target_id).alias("id")], kinds)
+    right = unpivot(cohort, [F.col(sample_id).alias("id")], kinds)
+    shared = left.select("kind", "value").distinct().join(right.select("kind", "value").distinct(), ["kind", "value"])
+    both = left.withColumn("side", F.lit("target")).unionByName(right.withColumn("side", F.lit("cohort")))
+    return both.join(shared, ["kind", "value"]).select("kind", "value", "side", "id")
+
+
 def cached_mismatch(cache: DataFrame, current: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """Fields of a cached record that no longer equal the current annotation."""
     now = current.select(key, F.lit(True).alias("_now"), *[F.col(f).alias(f"_n_{f}") for f in fields])

@@ -17,6 +17,7 @@ from boardlake.functions.hashing import bucket_rank, value_bucket
 from boardlake.functions.constants import SYMBOLS
 from boardlake.functions.placement import literal_array
 from boardlake.functions.rules import differs, violations
+from boardlake.operators import hamming
 from boardlake.session import shared_folder
 
 ONE = "*"  # counted as rows; a name, so importing needs no session
@@ -159,10 +160,11 @@ def nearest_position(sessions: DataFrame, samples: DataFrame, session_id: str, s
     """Fewest differing squares from each session grid to any sample grid, and its ties.
 
     Samples are reduced to distinct grids. Sessions whose grid occurs there are settled by an
-    equi-join (distance 0). The other distinct grids and the samples are dealt into blocks by hash;
-    each block of one side meets each block of the other once, in its own task row, as one matrix product. A
-    meeting returns one row for each of its session grids, so no pair is kept and nothing passes
-    through the driver but two counts. Comparing all of them is the work asked for.
+    equi-join (distance 0), those with a grid in up to seven other squares by equal segments
+    (:mod:`boardlake.operators.hamming`), radius by radius. What is left is proved to be farther than that, where segments of
+    few squares would select nearly every pair; it is dealt into blocks by hash, and each block of one side meets each
+    block of the distinct samples once, in its own task row, as one matrix product that returns one row for each
+    of its session grids. Nothing passes through the driver but counts.
     """
     distinct = _stored(samples.groupBy(grid).agg(F.count(ONE).alias("_n"), F.min(sample_id).alias("_first")), "nearest-samples")
     wanted = sessions.select(session_id, grid)
@@ -170,6 +172,12 @@ def nearest_position(sessions: DataFrame, samples: DataFrame, session_id: str, s
         session_id, F.lit(0).cast("long").alias("distance"), F.col("_n").alias("nearest_samples"),
         F.col("_first").alias("first_nearest"))
     open_grids = _stored(wanted.join(distinct.select(grid), grid, "left_anti").select(grid).distinct(), "nearest-open")
+    known, near = hamming.prepared(distinct, grid), []
+    for count in hamming.SEGMENTS:
+        found = _stored(hamming.near_grids(hamming.prepared(open_grids, grid), known, grid, count), "nearest-found")
+        if not found.isEmpty():
+            near.append(found)
+            open_grids = _stored(open_grids.join(found.select(grid).distinct(), grid, "left_anti"), "nearest-open")
     rows = max(1, -(-open_grids.count() // block))
     columns = max(1, -(-distinct.count() // sample_block))
     left = open_grids.groupBy(F.pmod(F.xxhash64(grid), F.lit(rows)).cast("long").alias("i")).agg(
@@ -181,6 +189,8 @@ def nearest_position(sessions: DataFrame, samples: DataFrame, session_id: str, s
     cells = left.repartition(min(rows * columns, 100_000), "i", "j").join(right, ["i", "j"]).select("asked", "grids", "counts", "firsts")
     kind = samples.schema[sample_id].dataType.simpleString()
     best = cells.mapInPandas(_nearest_in_cells, f"{grid} string, distance long, n long, first {kind}")
+    for found in near:
+        best = best.unionByName(found)
     ties = best.groupBy(grid, "distance").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     found = ties.groupBy(grid).agg(F.min(F.struct("distance", "n", "first")).alias("b"))
     rest = wanted.join(found, grid).select(session_id, F.col("b.distance").alias("distance"),

@@ -475,6 +475,53 @@ def c22(t):
                              "family", "src", "sha")
 
 
+_OVERLAP = ("SELECT board_id, leak_split, grid, family, sha, sha256(grid || orientation) AS pixels, CASE WHEN status = 'P' THEN 'game:' || "
+            "CAST(group_id AS VARCHAR) END AS src, CASE WHEN leak_split = 'validation' THEN 'validation' WHEN leak_split = 'training' "
+            "AND status = 'O' THEN 'development' WHEN leak_split = 'training' THEN 'digital' END AS cohort FROM f")
+
+
+def _overlap_rows(t):
+    src = F.when(F.col("status") == "P", F.concat(F.lit("game:"), F.col("group_id").cast("string")))
+    training, open_ = F.col("leak_split") == "training", F.col("status") == "O"
+    return families(t).select(
+        "board_id", "leak_split", "grid", "family", "sha", F.sha2(F.concat("grid", "orientation"), 256).alias("pixels"), src.alias("src"),
+        F.when(F.col("leak_split") == "validation", "validation").when(training & open_, "development").when(
+            training, "digital").alias("cohort"))
+
+
+@query("c22_overlap_report", sql(
+    "SELECT a.board_id, c.cohort, coalesce(en.n, 0) AS exact_matches, coalesce(fn.n, 0) AS family_matches, coalesce(sn.n, 0) AS "
+    "source_matches, coalesce(hn.n, 0) AS sha_matches, coalesce(pn.n, 0) AS pixels_matches, d.distance, d.n AS nearest_samples, "
+    "d.f AS first_nearest, CASE WHEN bool_or(c.cohort <> 'development' AND (fn.n IS NOT NULL OR sn.n IS NOT NULL) OR c.cohort = 'validation' "
+    "AND (hn.n IS NOT NULL OR pn.n IS NOT NULL)) OVER (PARTITION BY a.board_id) THEN 'overlap-found' ELSE 'no-observed-overlap' END AS "
+    "status, CASE WHEN a.src IS NOT NULL THEN 'known-source' ELSE 'unresolved-source' END AS provenance FROM a JOIN c ON true "
+    + " ".join(f"LEFT JOIN (SELECT cohort, {col}, count(*) AS n FROM s WHERE cohort IS NOT NULL AND {col} IS NOT NULL GROUP BY 1, 2) {k} "
+               f"ON {k}.cohort = c.cohort AND {k}.{col} = a.{col}"
+               for k, col in (("en", "grid"), ("fn", "family"), ("sn", "src"), ("hn", "sha"), ("pn", "pixels")))
+    + " LEFT JOIN (SELECT board_id, cohort, distance, CAST(sum(n) AS BIGINT) AS n, min(f) AS f FROM (SELECT *, rank() OVER (PARTITION BY "
+      "board_id, cohort ORDER BY distance) AS r FROM (SELECT a.board_id, g.cohort, CAST(hamming(a.grid, g.grid) AS BIGINT) AS distance, "
+      "g.n, g.f FROM a, (SELECT cohort, grid, count(*) AS n, min(board_id) AS f FROM s WHERE cohort IS NOT NULL GROUP BY 1, 2) g)) "
+      "WHERE r = 1 GROUP BY 1, 2, 3) d ON d.board_id = a.board_id AND d.cohort = c.cohort",
+    f=_FAM, s=_OVERLAP, a="SELECT * FROM s WHERE leak_split = 'evaluation'",
+    c="SELECT unnest(['validation', 'development', 'digital']) AS cohort"))
+def c22_report(t):
+    s = _overlap_rows(t)
+    cohorts = {c: s.where(F.col("cohort") == c) for c in ("validation", "development", "digital")}
+    return C.overlap_report(s.where("leak_split = 'evaluation'"), cohorts, ["validation", "digital"], "board_id", "board_id", "grid",
+                            "family", "src", ["sha", "pixels"])
+
+
+@query("c22_matching_files", sql(
+    "SELECT kind, value, side, id FROM (SELECT board_id AS id, CASE WHEN leak_split = 'training' THEN 'target' ELSE 'cohort' END AS side, "
+    "unnest(['sha', 'pixels']) AS kind, unnest([sha, pixels]) AS value FROM s WHERE leak_split IN ('training', 'validation')) "
+    "WINDOW w AS (PARTITION BY kind, value) QUALIFY count(*) FILTER (side = 'target') OVER w > 0 AND count(*) FILTER (side = 'cohort') "
+    "OVER w > 0", f=_FAM, s=_OVERLAP))
+def c22_files(t):
+    s = _overlap_rows(t)
+    return C.matching_files(s.where("leak_split = 'training'"), s.where("leak_split = 'validation'"), "board_id", "board_id",
+                            ["sha", "pixels"])
+
+
 _CF = ["group_id", "split", "orientation", "config_id"]
 
 

@@ -193,12 +193,11 @@ def st1(t):
     done = F.col("leak_split") == "evaluation"
     b = b.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("position_id", done)))
     b.where(done).write.parquet(f"{published}/intake=-1")
-    # Two files of each batch, read one after the other: a batch is cut over two micro-batches.
+    # Half of each batch arrives first; the stream is started again for the other half.
     for half in (0, 1):
-        b.where(~done & (F.col("board_id") % 2 == half)).coalesce(1).write.mode("append").parquet(source)
-    stream = t.spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    q = stream_intake(stream, published, pending, mark, "position_id", "size", {"pair": ("pair_id", ["leak_split"])})
-    q.awaitTermination()
+        b.where(~done & (F.col("board_id") % 2 == half)).write.mode("append").parquet(source)
+        stream_intake(t.spark.readStream.schema(b.schema).parquet(source), published, pending, mark, "position_id", "size",
+                      {"pair": ("pair_id", ["leak_split"])})
     return t.spark.read.parquet(published).select("board_id", "leak_split")
 
 

@@ -1,18 +1,29 @@
-"""Incremental batch intake and request deduplication (Structured Streaming)."""
+"""Incremental batch intake and request deduplication (Structured Streaming).
+
+Intake admits whole batches. What has been admitted is known by keyed state: one state per rule and key holds
+the admitted value, so a micro-batch never reads what was published. A batch that has fully arrived claims its
+keys by messages; each key votes; a batch whose keys all agree is published and commits its values,
+any other one is refused. Messages are files that the stream itself reads in its next micro-batch, so Spark's own
+triggers drive the exchange:
+
+    rows -> claims -> votes -> published rows and commits -> votes for the batches that waited
+"""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from boardlake.session import shared_folder
 from boardlake.sources.corpora import signature
 
 Rules = Mapping[str, tuple[str, Sequence[str]]]
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+KEY = ["rule", "key"]
 
 
 def facts(df: DataFrame, keep: Sequence[str], rules: Rules) -> DataFrame:
@@ -23,65 +34,205 @@ def facts(df: DataFrame, keep: Sequence[str], rules: Rules) -> DataFrame:
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex[:6]}")
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def admissible(rows: DataFrame, published: DataFrame, batch_id: str, rules: Rules) -> DataFrame:
-    """Rows of the batches that contradict neither themselves, nor what is published, nor an earlier admitted batch.
+class KeyState(StatefulProcessor):
+    """Admitted value of one key, and the claims of batches that are not decided yet, in the order of (round, batch).
 
-    A rule ``name: (key, values)`` says that a key has one combination of values: a group one split, the same
-    bytes one identity. Batches are taken in the order of ``batch_id``, as if one came after another. A
-    round admits every open batch that no earlier open batch contradicts, so the number of rounds is the length
-    of the longest chain of contradictions, and keys are compared by joins on one row per key and value.
+    A claim gets a yes if it agrees with the admitted value; before there is one, if every earlier
+    undecided claim agrees with it. It gets a no if it differs from the admitted value, and waits otherwise. Waiting is
+    always for earlier claims, so it ends. Once a value is admitted, claims are answered at once and none is kept.
     """
-    own = _kept(facts(rows, [batch_id], rules), "facts")
-    keys = own.select("rule", "key").distinct()
-    known = _kept(facts(published, [], rules).join(keys, ["rule", "key"], "left_semi"), "known")
-    admitted = None
-    while True:
-        said = known.select("rule", "key", F.col("value").alias("other"))
-        within = own.groupBy(batch_id, "rule", "key").agg(F.count("*").alias("n")).where("n > 1").select(batch_id)
-        against = own.join(said, ["rule", "key"]).where("value <> other").select(batch_id)
-        open_ = _kept(own.join(within.unionByName(against).distinct(), batch_id, "left_anti"), "open")
-        first = open_.groupBy("rule", "key", "value").agg(F.min(batch_id).alias("first"))
-        first = first.withColumnRenamed("value", "other")
-        blocked = open_.join(first, ["rule", "key"]).where(
-            (F.col("value") != F.col("other")) & (F.col("first") < F.col(batch_id))).select(batch_id).distinct()
-        free = _kept(open_.join(blocked, batch_id, "left_anti"), "free")
-        won = free.select(batch_id).distinct()
-        admitted = won if admitted is None else admitted.unionByName(won)
-        own = _kept(open_.join(won, batch_id, "left_anti"), "facts")
-        if own.isEmpty():
-            return rows.join(admitted, batch_id, "left_semi")
-        known = known.unionByName(free.select("rule", "key", "value").distinct())
+
+    def __init__(self, batch_type: str):
+        self.batch_type = batch_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.admitted = handle.getValueState("admitted", "value string, several boolean")
+        self.claims = handle.getMapState("claims", f"round bigint, batch {self.batch_type}", "value string, voted boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.admitted.get() if self.admitted.exists() else None
+        for r in rows:
+            if r.event == "claim":
+                self.claims.updateValue((r.round, r.batch), (r.value, False))
+                continue
+            if r.event in ("commit", "abort") and self.claims.containsKey((r.round, r.batch)):
+                self.claims.removeKey((r.round, r.batch))
+            if r.event in ("commit", "seed"):
+                now = (r.value, False) if held is None else (held[0], held[1] or held[0] != r.value)
+                if held is None or now != (held[0], held[1]):
+                    held = now
+                    self.admitted.update(held)
+        for place, value, yes in self._answers(held):
+            yield Row(rule=key[0], key=key[1], round=place[0], batch=place[1], value=value, yes=yes)
+
+    def _answers(self, held) -> list:
+        if held is not None:
+            out = [(place, value, not held[1] and value == held[0]) for place, (value, voted) in self._open() if not voted]
+            self.claims.clear()
+            return out
+        first = min(self._open(), default=None)
+        if first is None:
+            return []
+        value = first[1][0]
+        other = min((place for place, (v, _) in self._open() if v != value), default=None)
+        out = [(place, value, True) for place, (v, voted) in self._open()
+               if v == value and not voted and (other is None or place < other)]
+        for place, *_ in out:
+            self.claims.updateValue(place, (value, True))
+        return out
+
+    def _open(self):
+        return ((tuple(place), tuple(claim)) for place, claim in self.claims.iterator())
+
+    def close(self) -> None:
+        pass
+
+
+class _Versions:
+    """Tables with one version for each micro-batch; a replayed micro-batch replaces its own."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, *parts):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.base, *map(str, parts))))
+
+    def exists(self, name: str) -> bool:
+        return self.files.exists(self._path(name, "_SUCCESS"))
+
+    def numbers(self, name: str) -> list[int]:
+        """Complete versions, in order."""
+        found = self.files.globStatus(self._path(name, "intake=*", "_SUCCESS")) or []
+        return sorted(int(f.getPath().getParent().getName()[len("intake="):]) for f in found)
+
+    def before(self, name: str, number: int, schema) -> DataFrame:
+        """The latest version before ``number``; older ones are removed."""
+        old = [n for n in self.numbers(name) if n < number]
+        for n in old[:-1]:
+            self.files.delete(self._path(name, f"intake={n}"), True)
+        if not old:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{name}/intake={old[-1]}")
+
+    def write(self, df: DataFrame, name: str, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.base}/{name}/intake={number}")
+
+
+class _Intake:
+    """One micro-batch: votes are counted, complete batches make claims, decided ones are published or dropped."""
+
+    def __init__(self, schema, published: str, pending: str, batch_id: str, size: str, rules: Rules):
+        self.schema, self.published, self.pending = schema, published, pending
+        self.batch_id, self.size, self.rules = batch_id, size, rules
+        batch_type = schema[batch_id].dataType.simpleString()
+        self.claim_schema = f"round bigint, batch {batch_type}, rule string, key string, value string"
+        self.message_schema = f"event string, {self.claim_schema}"
+        self.vote_schema = f"{self.claim_schema}, yes boolean"
+
+    def __call__(self, events: DataFrame, number: int) -> None:
+        events = _kept(events, "events")
+        kinds = {r.new for r in events.select(F.col("row").isNotNull().alias("new")).distinct().collect()}
+        if not kinds:
+            return
+        held: list[DataFrame] = []
+        try:
+            self._step(events, number, kinds, lambda df: held.append(df.persist()) or df)
+        finally:
+            for df in held:
+                df.unpersist()
+
+    def _step(self, events: DataFrame, number: int, kinds: set[bool], once) -> None:
+        """``once`` keeps small tables of keys and batches for the writes below; lost parts are computed again."""
+        batch, place, at = self.batch_id, ["round", "batch"], F.lit(number).cast("long")
+        tables = _Versions(events.sparkSession, self.pending)
+        new = events.where("row IS NOT NULL").select("row.*").withColumn("_round", F.lit(None).cast("long"))
+        votes = events.where("row IS NULL").select(*place, *KEY, F.col("yes").alias("now"))
+        open_ = tables.before("voting", number, self.vote_schema)
+        if False in kinds:
+            open_ = once(open_.join(votes, [*place, *KEY], "left").select(
+                *place, *KEY, "value", F.coalesce("now", "yes").alias("yes")))
+        decided = open_.groupBy(*place).agg(F.bool_and(F.coalesce("yes", F.lit(False))).alias("admitted"),
+                                            F.bool_or(~F.col("yes")).alias("bad")).where("admitted OR bad").drop("bad")
+        rows = tables.before("rows", number, new.schema).unionByName(new)
+        # Batches of which all rows are there and none is being voted on: torn by their own facts, silent, or claiming.
+        full = rows.where("_round IS NULL").groupBy(F.col(batch).alias("batch")).agg(
+            F.count("*").alias("n"), F.max(self.size).alias("size")).where("n >= size").join(
+            open_.select("batch").distinct(), "batch", "left_anti").select("batch")
+        said = facts(rows.where("_round IS NULL").withColumnRenamed(batch, "batch").join(full, "batch", "left_semi"), ["batch"],
+                     self.rules)
+        said = said.groupBy("batch", *KEY).agg(F.count("*").alias("n"), F.min("value").alias("value"))
+        torn = said.groupBy("batch").agg(F.max("n").alias("most"))
+        started = once(full.join(torn, "batch", "left").select(at.alias("round"), "batch", F.when(F.col("most").isNull(), True).when(
+            F.col("most") > 1, False).alias("admitted")))
+        claims = once(said.join(started.where("admitted IS NULL").select(*place), "batch").select(*place, *KEY, "value"))
+        outcome = once(decided.unionByName(started.where("admitted IS NOT NULL")))
+        named = rows.join(started.select(F.col("batch").alias(batch), F.col("round").alias("_now")), batch, "left").withColumn(
+            "_round", F.coalesce("_round", "_now")).select(new.columns)
+        ended = named.join(outcome.select(F.col("round").alias("_round"), F.col("batch").alias(batch), "admitted"),
+                           [batch, "_round"], "left")
+        ended.where("admitted").select(*self.schema.names).write.mode("overwrite").parquet(
+            f"{self.published}/intake={number}")
+        said_now = claims.withColumn("event", F.lit("claim"))
+        if False in kinds:
+            said_now = said_now.unionByName(open_.drop("yes").join(decided, place).withColumn(
+                "event", F.when(F.col("admitted"), "commit").otherwise("abort")).drop("admitted"))
+        tables.write(said_now, "messages", number)
+        tables.write(open_.join(outcome, place, "left_anti").unionByName(
+            claims.withColumn("yes", F.lit(None).cast("boolean"))), "voting", number)
+        tables.write(ended.where("admitted IS NULL").select(new.columns), "rows", number)
 
 
 def stream_intake(stream: DataFrame, published: str, pending: str, checkpoint: str, batch_id: str, size: str,
-                  rules: Rules) -> StreamingQuery:
+                  rules: Rules, drain: bool = True) -> StreamingQuery:
     """Append admissible batches to the published table, each as a whole.
 
-    ``size`` is the number of rows of a row's batch. Rows of a batch that has not fully arrived wait below
-    ``pending``, so it does not matter how files are cut into micro-batches. Each micro-batch writes its own
-    ``intake=<n>`` folders in overwrite mode: replayed after a failure it replaces its own output
-    and nothing else.
+    A rule ``name: (key, values)`` says that a key has one combination of values: a group one split, the same
+    bytes one identity. A batch is refused if it contradicts itself, what is published, or an earlier admitted
+    batch; batches that are complete in one micro-batch are taken in the order of their ids. ``size`` is the number of rows of a row's
+    batch: rows wait below ``pending`` until their batch is complete and decided, so it does not matter how
+    files are cut into micro-batches. Rows of a batch id that come after its decision are a batch of their own.
+
+    The published table is read once, when the stream starts for the first time, to seed the keys; from then on it is only
+    appended to. A restarted stream goes on from its checkpoint. Each micro-batch writes its own ``intake=<n>``
+    folders in overwrite mode: replayed after a failure it replaces its own output and nothing else.
+    With ``drain`` the call returns the stopped query after everything available, messages included, is
+    settled; otherwise the query goes on.
     """
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        arrived = batch
-        if number:
-            arrived = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{pending}/intake={number - 1}"))
-        arrived = _kept(arrived, "arrived")
-        full = arrived.groupBy(batch_id).agg(F.count("*").alias("_n"), F.max(size).alias("_size")).where(
-            "_n >= _size").select(batch_id)
-        known = spark.read.option("basePath", published).parquet(published).where(F.col("intake") != number)
-        kept = admissible(arrived.join(full, batch_id, "left_semi"), known, batch_id, rules)
-        kept.write.mode("overwrite").parquet(f"{published}/intake={number}")
-        arrived.join(full, batch_id, "left_anti").write.mode("overwrite").parquet(f"{pending}/intake={number}")
-
-    return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    spark = stream.sparkSession
+    intake = _Intake(stream.schema, published, pending, batch_id, size, rules)
+    tables = _Versions(spark, f"{pending}/messages")
+    if not tables.exists("seed"):
+        known = facts(spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(published), [], rules)
+        known.select(F.lit("seed").alias("event"), F.lit(None).cast("long").alias("round"),
+                     F.lit(None).cast(stream.schema[batch_id].dataType).alias("batch"), *KEY, "value").write.mode(
+            "overwrite").parquet(f"{pending}/messages/seed")
+    messages = (spark.readStream.schema(intake.message_schema).option("recursiveFileLookup", "true")
+                .option("cleanSource", "delete").parquet(f"{pending}/messages"))
+    votes = messages.groupBy(*KEY).transformWithState(
+        KeyState(stream.schema[batch_id].dataType.simpleString()), intake.vote_schema, "Append", "None")
+    row = F.struct(*[F.col(c) for c in stream.columns])
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in votes.schema]
+    events = stream.select(row.alias("row"), *nothing).unionByName(
+        votes.withColumn("row", F.lit(None).cast(stream.schema)))
+    provider = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, STATE_STORE)
+    try:
+        query = events.writeStream.foreachBatch(intake).option("checkpointLocation", checkpoint).start()
+    finally:
+        spark.conf.set(PROVIDER, provider)
+    if drain:
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return query
 
 
 def stream_dedupe(stream: DataFrame, time: str, delay: str, cols: Sequence[str]) -> DataFrame:

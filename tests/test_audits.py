@@ -109,6 +109,62 @@ def test_nearest_position_brute_force(spark):
         assert got[sid] == (low, len(ids), min(ids))
 
 
+def test_nearest_position_by_segments(spark):
+    """Grids one to nine squares apart, ties among them, and hot segments."""
+    import random
+    r = random.Random(11)
+    base = ["".join(r.choice("...PpKk") for _ in range(64)) for _ in range(8)] + ["." * 64]
+    def changed(g, n):
+        g = list(g)
+        for k in r.sample(range(64), n):
+            g[k] = r.choice([c for c in "PNBRQKpnbrqk." if c != g[k]])
+        return "".join(g)
+    samples = [(k, changed(base[k % 9], k % 6)) for k in range(200)] + [(900 + k, base[k]) for k in range(3)]
+    sessions = [(k, changed(base[k % 9], k % 10)) for k in range(120)]
+    s = spark.createDataFrame(samples, "id long, g string")
+    got = {x.sid: (x.distance, x.nearest_samples, x.first_nearest)
+           for x in J.nearest_position(spark.createDataFrame(sessions, "sid long, g string"), s, "sid", "id", "g").collect()}
+    seen = set()
+    for sid, g in sessions:
+        d = [(sum(a != b for a, b in zip(g, h)), i) for i, h in samples]
+        low = min(d)[0]
+        ids = [i for x, i in d if x == low]
+        assert got[sid] == (low, len(ids), min(ids))
+        seen.add(low)
+    assert {0, 1, 2, 3, 5, 7} <= seen and max(seen) > 7
+    empty = J.nearest_position(spark.createDataFrame(sessions[:2], "sid long, g string"), s.limit(0), "sid", "id", "g")
+    assert empty.count() == 0
+
+
+def test_segments_alone_settle_near_grids(spark):
+    from boardlake.operators import hamming
+    a = "." * 20 + "K" + "." * 30 + "k" + "." * 12
+    b = "." * 20 + "K" + "." * 29 + "k" + "." * 13
+    known = spark.createDataFrame([(a, 2, 5), ("P" * 64, 1, 6)], "g string, _n long, _first long")
+    asked = hamming.prepared(spark.createDataFrame([(b,)], "g string"), "g")
+    for count, want in ((2, []), (4, [(b, 2, 2, 5)]), (8, [(b, 2, 2, 5)])):
+        assert values(hamming.near_grids(asked, hamming.prepared(known, "g"), "g", count)) == want
+
+
+def test_overlap_report_statuses(spark):
+    g = lambda c: c * 64
+    schema = "id long, g string, fam string, src string, sha string"
+    sessions = spark.createDataFrame([(1, g("P"), "f1", None, "s1"), (2, g("p"), "f2", "game:2", "s2"), (3, g("K"), "f3", "game:3", "s3"),
+                                      (4, g("k"), None, None, None)], schema)
+    main = spark.createDataFrame([(10, g("N"), "f9", None, "s1"), (11, g("N"), "f9", None, "s1"), (12, None, None, None, None)], schema)
+    clue = spark.createDataFrame([(20, g("p"), "f2", "game:2", "s2")], schema)
+    plan = spark.createDataFrame([(30, g("B"), "f8", "game:3", "s9")], schema)
+    got = {(r.id, r.cohort): r for r in C.overlap_report(
+        sessions, {"main": main, "clue": clue, "plan": plan, "none": plan.limit(0)}, ["main", "plan"], "id", "id", "g", "fam", "src",
+        ["sha"]).collect()}
+    assert len(got) == 16 and {k[0] for k, r in got.items() if r.status == "overlap-found"} == {1, 3}
+    assert got[1, "main"].sha_matches == 2 and got[1, "main"].distance == 64 and got[1, "main"].nearest_samples == 2
+    assert got[2, "clue"].exact_matches == 1 and got[2, "clue"].distance == 0 and got[2, "clue"].provenance == "known-source"
+    assert got[4, "none"].distance is None and got[4, "none"].provenance == "unresolved-source"
+    files = values(C.matching_files(sessions, main, "id", "id", ["sha"]), "kind", "side", "id")
+    assert files == [("sha", "cohort", 10), ("sha", "cohort", 11), ("sha", "target", 1)]
+
+
 def test_membership_and_parity(spark):
     a, b = spark.range(5), spark.range(1, 6)
     assert values(J.membership_diff(a, b, ["id"])) == [(0, "only-left"), (5, "only-right")]

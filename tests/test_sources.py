@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -9,7 +10,7 @@ from boardlake.operators import models as L
 from boardlake.sources import corpora as K
 from boardlake.sources import datasets as D
 from boardlake.sources.images import image_catalog
-from boardlake.streaming.intake import stream_dedupe, stream_intake
+from boardlake.streaming.intake import _Versions, stream_dedupe, stream_intake
 from boardlake.streaming.monitor import monitor, stream_monitor
 
 
@@ -127,6 +128,76 @@ def test_intake_stream_rejects_leaking_batches_and_replays(spark, tmp_path):
         assert run() == got
 
 
+def sequential(rows, rules, published=()):
+    """Ids of rows whose batches are admitted one after the other."""
+    known, kept = {}, []
+
+    def says(r):
+        return {(name, r[key], tuple(r[v] for v in values)) for name, (key, values) in rules.items() if r[key] is not None}
+
+    for r in published:
+        for name, key, value in says(r):
+            known.setdefault((name, key), set()).add(value)
+    for batch in sorted({r["batch"] for r in rows}):
+        own = [r for r in rows if r["batch"] == batch]
+        said = {}
+        for r in own:
+            for name, key, value in says(r):
+                said.setdefault((name, key), set()).add(value)
+        if len(own) >= own[0]["size"] and all(len(v) == 1 and known.get(k, v) == v for k, v in said.items()):
+            known.update(said)
+            kept += [r["id"] for r in own]
+    return sorted(kept)
+
+
+def test_intake_equals_one_batch_after_the_other(spark, tmp_path):
+    """Chains of contradictions over shared keys, batches without keys, ids that do not sort as text."""
+    rng, rows = random.Random(4), []
+    for b in range(1, 61):
+        n = rng.randrange(1, 4)
+        rows += [dict(id=len(rows) + k, grp=rng.choice([None, *range(25)]), batch=b, split=rng.choice(["t", "v"]), size=n)
+                 for k in range(n)]
+    rows += [dict(id=1000 + k, grp=100 + k // 2, batch=70 + k, split="tv"[k % 4 // 2], size=1) for k in range(12)]
+    schema, rules = "id long, grp long, batch long, split string, size long", {"group": ("grp", ["split"]), "id": ("id", ["batch"])}
+    old = [dict(id=-1, grp=0, batch=-1, split="t", size=1), dict(id=-2, grp=1, batch=-2, split="t", size=1),
+           dict(id=-3, grp=1, batch=-3, split="v", size=1)]
+    pub, pend, src, mark = (str(tmp_path / n) for n in ("pub", "pend", "src", "mark"))
+    spark.createDataFrame([tuple(r.values()) for r in old], schema).write.parquet(f"{pub}/intake=-1")
+    spark.createDataFrame([tuple(r.values()) for r in rows], schema).repartition(3).write.parquet(src)
+    stream_intake(spark.readStream.schema(schema).parquet(src), pub, pend, mark, "batch", "size", rules)
+    got = sorted(r.id for r in spark.read.parquet(pub).where("id >= 0").collect())
+    assert got == sequential(rows, rules, old) and 0 < len(got) < len(rows)
+    voting = _Versions(spark, pend)
+    assert voting.before("voting", 10 ** 6, "round long, batch long").count() == 0 and len(voting.numbers("rows")) <= 2
+
+
+@pytest.mark.parametrize("table", ["messages", "voting", "rows"])
+def test_intake_goes_on_after_a_failure(spark, tmp_path, monkeypatch, table):
+    """A micro-batch that dies while it writes is replayed and replaces what it left."""
+    rows = [(1, 1, 1, "t", 2), (2, 2, 1, "t", 2), (3, 2, 2, "v", 1), (4, 3, 3, "v", 1), (5, 3, 4, "t", 1)]
+    schema, rules = "id long, grp long, batch long, split string, size long", {"group": ("grp", ["split"])}
+    pub, pend, src, mark = (str(tmp_path / n) for n in ("pub", "pend", "src", "mark"))
+    spark.createDataFrame(rows[:0], schema).write.parquet(f"{pub}/intake=-1")
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(src)
+    start = lambda: stream_intake(spark.readStream.schema(schema).parquet(src), pub, pend, mark, "batch", "size", rules)
+    write, seen = _Versions.write, []
+
+    def failing(self, df, name, number):
+        write(self, df, name, number)
+        if name == table and number == 1 and not seen:
+            seen.append(number)
+            raise OSError("disk gone")
+
+    monkeypatch.setattr(_Versions, "write", failing)
+    with pytest.raises(Exception, match="disk gone"):
+        start()
+    start()
+    assert seen == [1] and sorted(r.id for r in spark.read.parquet(pub).collect()) == [1, 2, 4]
+    spark.createDataFrame([(6, 1, 5, "v", 1), (7, 3, 6, "v", 1)], schema).write.mode("append").parquet(src)
+    start()
+    assert sorted(r.id for r in spark.read.parquet(pub).collect()) == [1, 2, 4, 7]
+
+
 def test_stream_monitor_drops_late_rows_and_matches_batch(spark, tmp_path):
     schema = "ts timestamp, code string, ms double"
     src, out, mark = (str(tmp_path / n) for n in ("s", "o", "m"))
