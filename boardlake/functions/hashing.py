@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType, StringType
 
 
 def stable_hash(*parts: Column | str) -> Column:
@@ -49,26 +53,58 @@ def bucket_rank(df: DataFrame, by: list[str], bucket: Column, order: list, out:
     return result.drop("_key", "_offset", "__size", "_inner")
 
 
+BUCKETS = 4096  # of value_bucket at most; beyond that each holds more rows
+
+
+def splitters(df: DataFrame, column: str, parts: int) -> list:
+    """Values that cut ``column`` into about ``parts`` parts of equally many rows, in order, without repeats.
+
+    Numbers come from Spark's mergeable quantile sketch over all rows. Other types come from the rows
+    whose hash falls below a bound, some 16 values for each part, strings up to their first 1024 characters. Splitters only decide where
+    parts end; whatever they are, order is kept.
+    """
+    kind = df.schema[column].dataType
+    if parts <= 1:
+        return []
+    if isinstance(kind, NumericType):
+        shares = F.lit([k / parts for k in range(1, parts)])
+        found = df.agg(F.percentile_approx(column, shares, F.lit(8 * parts))).first()[0] or []
+        return sorted(set(found))
+    every = max(1, df.count() // (16 * parts))
+    lead = F.substring(column, 1, 1024) if isinstance(kind, StringType) else F.col(column)
+    rows = df.where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(every)) == 0)).groupBy(
+        lead.alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()
+    found, held, step = [], 0, sum(r.n for r in rows) / parts
+    for r in sorted(rows, key=lambda r: r.v.encode() if isinstance(r.v, str) else r.v):
+        if held >= step:
+            found.append(r.v)
+            held = 0
+        held += r.n
+    return found
+
+
+def split_number(value: Column, cuts: list, kind: DataType) -> Column:
+    """How many of the ordered ``cuts`` do not exceed ``value``, found in two steps; 0 for null."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    width = max(1, math.isqrt(len(cuts)))
+    chunks = [cuts[k:k + width] for k in range(0, len(cuts), width)]
+    # One literal that is read once, cast back to the type of the column.
+    texts = F.from_json(F.lit(json.dumps([[str(c) for c in chunk] for chunk in chunks])), "array<array<string>>")
+    typed = texts.cast(f"array<array<{kind.simpleString()}>>")
+    chunk = F.size(F.filter(F.transform(typed, lambda c: F.get(c, F.lit(0))), lambda x: x <= value)) - 1
+    inside = F.size(F.filter(F.get(typed, chunk), lambda x: x <= value))
+    return F.when(chunk >= 0, chunk * width + inside).otherwise(0).cast("long")
+
+
 def value_bucket(df: DataFrame, column: str, rows: int = 20_000) -> Column:
     """Bucket number that never decreases along ``column``, about one bucket for ``rows`` rows.
 
-    Numbers are cut into equal ranges between the smallest and the largest value. Strings are cut by the
-    six bytes behind the prefix that all of them share; Spark orders strings by bytes. One
-    aggregation finds range and count.
+    The buckets end at :func:`splitters`, so they are even for any distribution of numbers or strings;
+    equal values share a bucket, nulls are in the first one.
     """
-    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
-    if low is None or low == high:
-        return F.lit(0).cast("long")
-    if isinstance(low, str):
-        first, last = low.encode(), high.encode()
-        shared = next((i for i, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
-        lead = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), shared + 1, 6)), 12, "0")
-        value = F.conv(lead, 16, 10).cast("double")
-        start, stop = (int.from_bytes(x[shared:shared + 6].ljust(6, b"\0"), "big") for x in (first, last))
-    else:
-        value, start, stop = F.col(column).cast("double"), float(low), float(high)
-    buckets = -(-n // rows)
-    return F.floor((value - F.lit(float(start))) / F.lit(max(float(stop - start), 1e-300)) * F.lit(buckets - 1)).cast("long")
+    buckets = min(BUCKETS, -(-df.count() // rows))
+    return split_number(F.col(column), splitters(df, column, buckets), df.schema[column].dataType)
 
 
 def spread_rank(df: DataFrame, by: list[str], digest: str, ties: list[str],

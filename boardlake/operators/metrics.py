@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardlake.functions.constants import FAILED, MARK_KINDS, N_CLASSES, SPLITS
+from boardlake.functions.hashing import value_bucket
 from boardlake.functions.placement import background, class_label, literal_array
 from boardlake.operators.audits import full_grid
 
@@ -150,15 +151,16 @@ def latency(df: DataFrame, seconds: str, by: Sequence[str] = ()) -> DataFrame:
 QUANTILES = (("q50", 0.5), ("q95", 0.95))
 
 
-def quantiles_by_rank(df: DataFrame, value: str, by: Sequence[str], width: float) -> DataFrame:
+def quantiles_by_rank(df: DataFrame, value: str, by: Sequence[str], rows: int = 20_000) -> DataFrame:
     """Exact median and p95 per group (linear interpolation) without a group in one task.
 
-    Equal values collapse to one counted row. Counts per value band of ``width`` locate
-    the few bands holding the neighbours of each quantile; only those are ordered.
+    Equal values collapse to one counted row. Bands of about ``rows`` rows are placed by a quantile sketch of all values,
+    so they are even for any distribution. Counts per band locate the few bands holding the neighbours of each
+    quantile; only those are ordered.
     """
-    by = list(by)
-    vals = (df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(ONE).alias("_n"))
-            .withColumn("_band", F.floor(F.col("_v") / width)))
+    by, known = list(by), df.where(F.col(value).isNotNull())
+    band = value_bucket(known, value, rows)
+    vals = (known.groupBy(*by, F.col(value).alias("_v"), band.alias("_band")).agg(F.count(ONE).alias("_n")))
     before = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     bands = (vals.groupBy(*by, "_band").agg(F.sum("_n").alias("_bn"))
              .withColumn("_lo", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
@@ -181,20 +183,20 @@ def quantiles_by_rank(df: DataFrame, value: str, by: Sequence[str], width: float
     ).withColumnRenamed("_all", "samples")
 
 
-def latency_by_rank(df: DataFrame, seconds: str, by: Sequence[str], width: float) -> DataFrame:
+def latency_by_rank(df: DataFrame, seconds: str, by: Sequence[str], rows: int = 20_000) -> DataFrame:
     """Same result as :func:`latency` for groups of any size."""
-    q = quantiles_by_rank(df, seconds, by, width)
+    q = quantiles_by_rank(df, seconds, by, rows)
     return q.select(*by, "samples", F.round(F.col("q50") * 1000, 6).alias("median_ms"),
                     F.round(F.col("q95") * 1000, 6).alias("p95_ms"))
 
 
-def trial_aggregate(df: DataFrame, trial: str, model: str, value: str, baseline: str, width: float,
-                    limit: float = 1.25) -> DataFrame:
+def trial_aggregate(df: DataFrame, trial: str, model: str, value: str, baseline: str,
+                    limit: float = 1.25, rows: int = 20_000) -> DataFrame:
     """Median over trials of the trial median and p95, and the ratio gate.
 
     Only the trial rows (a handful per model) reach the exact ``percentile``.
     """
-    trials = quantiles_by_rank(df, value, [model, trial], width)
+    trials = quantiles_by_rank(df, value, [model, trial], rows)
     models = trials.groupBy(model).agg(F.percentile("q50", 0.5).alias("_m"), F.percentile("q95", 0.5).alias("_p"))
     is_base = F.col(model) == baseline
     every = Window.partitionBy(F.lit(0))

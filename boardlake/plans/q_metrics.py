@@ -104,13 +104,13 @@ _LAT = ("count({v}) AS samples, round(quantile_cont({v}, 0.5) * 1000, 6) AS medi
 @query("a7_latency", sql(
     f"SELECT category, {_LAT.format(v='seconds')} FROM boards GROUP BY 1"))
 def a7(t):
-    return M.latency_by_rank(t.boards, "seconds", ["category"], 0.001)
+    return M.latency_by_rank(t.boards, "seconds", ["category"])
 
 
 @query("a7_latency_by_event", sql(
     f"SELECT event_type, {_LAT.format(v='value')} FROM events GROUP BY 1"))
 def a7b(t):
-    return M.latency_by_rank(t.events, "value", ["event_type"], 1.0)
+    return M.latency_by_rank(t.events, "value", ["event_type"])
 
 
 @query("a8_trial_aggregate", sql(
@@ -124,7 +124,7 @@ def a7b(t):
     a="SELECT model, quantile_cont(m, 0.5) AS m, quantile_cont(p, 0.5) AS p FROM tr GROUP BY 1"))
 def a8(t):
     e = t.events.select(F.col("event_type").alias("model"), (F.col("event_id") % 3).alias("trial"), "value")
-    return M.trial_aggregate(e, "trial", "model", "value", "click", 1.0)
+    return M.trial_aggregate(e, "trial", "model", "value", "click")
 
 
 @query("a9_stratified_metrics", sql(

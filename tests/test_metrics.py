@@ -30,14 +30,31 @@ def test_quantiles_match_numpy_with_one_hot_value(spark):
     rng = np.random.default_rng(2)
     data = [("a", float(v)) for v in rng.gamma(2, 3, 501)] + [("b", 7.0)] * 400 + [("b", 9.0)] * 3 + [("c", 1.5)]
     df = spark.createDataFrame(data, "k string, v double")
-    for width in (0.01, 1.0, 100.0):
-        for r in M.latency_by_rank(df, "v", ["k"], width).collect():
+    for rows in (1, 50, 20_000):
+        for r in M.latency_by_rank(df, "v", ["k"], rows).collect():
             x = [v for k, v in data if k == r.k]
             assert r.samples == len(x)
             assert abs(r.median_ms - np.percentile(x, 50) * 1000) < 1e-5
             assert abs(r.p95_ms - np.percentile(x, 95) * 1000) < 1e-5
 
 
+def test_quantile_bands_are_even_for_a_heavy_tail(spark):
+    """Values over fifteen orders of magnitude, a hot group, nulls: no band holds many rows and results are exact."""
+    from boardlake.functions.hashing import value_bucket
+    rng = np.random.default_rng(3)
+    x = np.exp(rng.normal(0, 12, 20_000))
+    data = [("hot" if k % 3 else f"g{k % 7}", float(v)) for k, v in enumerate(x)] + [("hot", None), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(6)
+    sizes = [r["count"] for r in df.where("v IS NOT NULL").groupBy(value_bucket(df, "v", 200)).count().collect()]
+    assert len(sizes) > 80 and max(sizes) < 600
+    got = {r.k: r for r in M.quantiles_by_rank(df, "v", ["k"], 200).collect()}
+    for k in {k for k, v in data if v is not None}:
+        own = [v for g, v in data if g == k and v is not None]
+        assert got[k].samples == len(own)
+        assert np.allclose([got[k].q50, got[k].q95], [np.percentile(own, 50), np.percentile(own, 95)], rtol=1e-12)
+    assert "none" not in got
+
+
 def test_zero_count_weight_is_null(spark):
     df = spark.createDataFrame([(0, 30), (1, 10), (2, 0)], "c long, squares long")
     w = dict(values(M.class_weights(df, ["c"]), "c", "weight"))

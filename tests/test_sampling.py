@@ -2,7 +2,7 @@ import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
-from boardlake.functions.hashing import bucket_rank, spread_rank, stable_hash
+from boardlake.functions.hashing import bucket_rank, spread_rank, stable_hash, value_bucket
 from boardlake.operators import sampling as W
 
 
@@ -58,6 +58,34 @@ def test_bucket_ranks_with_a_hot_and_a_null_group(spark):
     assert q.where("r <> id + 1").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["outlier", "prefix", "negative", "date", "decimal"])
+def test_value_buckets_are_even_and_ordered(spark, kind):
+    """An outlier of 10^15, strings with a long common prefix, and other types: even buckets, exact ranks."""
+    expr = {"outlier": "IF(id = 7, 1000000000000000L, id * 3)", "prefix": "concat(repeat('corpus/clean/', 5), IF(id % 2 = 0, 'a', 'é'), id * 7919L % 10007)",
+            "negative": "CAST((id - 3000) AS DOUBLE) / 7", "date": "date_add(DATE'2020-01-01', CAST(id AS INT))",
+            "decimal": "CAST(id * 1.25 AS DECIMAL(20, 2))"}[kind]
+    df = spark.range(6000).selectExpr("id", f"{expr} AS v").unionByName(spark.range(1).selectExpr("-1 AS id", f"IF(false, {expr}, NULL) AS v"))
+    bucket = value_bucket(df, "v", 100)
+    rows = df.select("v", bucket.alias("b")).orderBy("v").collect()
+    assert [r.b for r in rows] == sorted(r.b for r in rows) and rows[0].b == 0
+    sizes = {}
+    for r in rows:
+        sizes[r.b] = sizes.get(r.b, 0) + 1
+    assert len(sizes) >= 40 and max(sizes.values()) <= 500
+    ranked = bucket_rank(df.where("v IS NOT NULL"), [], bucket, ["v"], out="r")
+    want = spark.createDataFrame([(r.v,) for r in rows[1:]], df.select("v").schema).collect()
+    assert [r.v for r in ranked.orderBy("r").collect()] == [r.v for r in want]
+
+
+def test_value_buckets_with_few_or_equal_values(spark):
+    for rows in ([], [(None,)], [("x",)] * 300, [(k,) for k in "abc"] * 200):
+        df = spark.createDataFrame(rows, "v string")
+        out = df.select("v", value_bucket(df, "v", 10).alias("b")).distinct().collect()
+        assert [r.b for r in sorted(out, key=lambda r: r.v or "")] == sorted(r.b for r in out)
+    many = spark.range(3000).select((F.col("id") % 2).alias("v"))
+    assert many.select(value_bucket(many, "v", 10).alias("b")).distinct().count() == 2
+
+
 def test_every_batch_is_full_but_the_last(spark):
     n = values(W.shuffle_batches(spark.range(1000), ["id"], 1, 0, 64).groupBy("batch").count())
     assert n == sorted([(b, 64) for b in range(15)] + [(15, 40)], key=repr)
