@@ -24,12 +24,44 @@ HEADER = "width long, height long, mode string, whole boolean, animated boolean"
 BROKEN = (None, None, None, False, False)
 
 
+ORIENTATION = 0x0112  # fixed value: the directory entry that says how an image is turned
+TURNED = (5, 6, 7, 8)  # fixed values: orientations that swap width and height
+SIZES = {1: 1, 3: 2, 4: 4}  # fixed values: entry types of whole numbers and their bytes
+
+
+def orientation(tiff: bytes) -> int:
+    """Orientation 1 to 8 from the first directory of TIFF bytes in either byte order; 1 if it says nothing.
+
+    A directory that ends too early counts as far as it goes; entries of other types, with several
+    values or out of range say nothing.
+    """
+    order = {b"II*\0": "little", b"MM\0*": "big"}.get(tiff[:4])
+    found = 1
+    if order is None or len(tiff) < 8:
+        return found
+    at = int.from_bytes(tiff[4:8], order)
+    for k in range(int.from_bytes(tiff[at:at + 2], order)):
+        entry = tiff[at + 2 + 12 * k:at + 14 + 12 * k]
+        if len(entry) < 12:
+            break
+        tag, kind, n = (int.from_bytes(entry[a:b], order) for a, b in ((0, 2), (2, 4), (4, 8)))
+        if tag == ORIENTATION and kind in SIZES and n == 1:
+            value = int.from_bytes(entry[8:8 + SIZES[kind]], order)
+            found = value if 1 <= value <= 8 else 1
+    return found
+
+
+def turned(width: int, height: int, turn: int) -> tuple[int, int]:
+    """Size of the upright image."""
+    return (height, width) if turn in TURNED else (width, height)
+
+
 def png_header(data: bytes) -> tuple:
-    """Size, mode, whether all chunks up to the end chunk are sound, and whether frames are announced.
+    """Upright size, mode, whether all chunks up to the end chunk are sound, and whether frames are announced.
 
     Only an ``acTL`` chunk before the pixels announces frames; bytes behind the end chunk do not matter.
     """
-    at, size, pixels, animated = 8, None, False, False
+    at, size, pixels, animated, turn = 8, None, False, False, 1
     while at + 12 <= len(data):
         length, kind = int.from_bytes(data[at:at + 4], "big"), data[at + 4:at + 8]
         body = data[at + 8:at + 8 + length]
@@ -46,15 +78,17 @@ def png_header(data: bytes) -> tuple:
             animated = 1 < int.from_bytes(body[:4], "big") <= 1 << 31
         elif kind == b"IDAT":
             pixels = True
+        elif kind == b"eXIf":
+            turn = orientation(body)
         elif kind == b"IEND":
-            return (*size, pixels and min(size[:2]) > 0, animated)
+            return (*turned(*size[:2], turn), size[2], pixels and min(size[:2]) > 0, animated)
         at += 12 + length
-    return (*size, False, animated) if size else BROKEN
+    return (*turned(*size[:2], turn), size[2], False, animated) if size else BROKEN
 
 
 def jpeg_header(data: bytes) -> tuple:
-    """Size and mode of the first frame header, behind any number of segments."""
-    at = 2
+    """Upright size and mode of the first frame header, behind any number of segments."""
+    at, turn = 2, None
     while at + 4 <= len(data) and data[at] == 0xFF:
         marker = data[at + 1]
         if marker == 0xFF:  # a fill byte
@@ -67,11 +101,13 @@ def jpeg_header(data: bytes) -> tuple:
                 return BROKEN
             height, width = (int.from_bytes(data[i:i + 2], "big") for i in (at + 5, at + 7))
             whole = min(height, width) > 0 and data.find(b"\xff\xd9", at + 10) >= 0
-            return (width, height, JPEG_MODES.get(data[at + 9]), whole, False)
+            return (*turned(width, height, turn or 1), JPEG_MODES.get(data[at + 9]), whole, False)
         else:
             length = int.from_bytes(data[at + 2:at + 4], "big")
             if length < 2:
                 break
+            if marker == 0xE1 and turn is None and data[at + 4:at + 10] == b"Exif\0\0":
+                turn = orientation(data[at + 10:at + 2 + length])
             at += 2 + length
     return BROKEN
 
@@ -87,7 +123,10 @@ def read_headers(content: pd.Series) -> pd.DataFrame:
 
 
 def identify(files: DataFrame, content: str = "content", max_pixels: int = MAX_PIXELS) -> DataFrame:
-    """Add format, width, height, mode, sha256 and an error code (null when usable)."""
+    """Add format, width, height, mode, sha256 and an error code (null when usable).
+
+    Width and height are those of the upright image, turned as its EXIF orientation says.
+    """
     c = F.col(content)
     lead = F.hex(F.substring(c, 1, 8))
     kind = (F.when(lead == PNG_SIGNATURE, "PNG").when(lead.startswith("FFD8FF"), "JPEG"))

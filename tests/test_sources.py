@@ -56,6 +56,55 @@ def test_catalogue(spark, tmp_path):
     assert image_catalog(spark, str(tmp_path), "*.gif").count() == 1
 
 
+def tiff(value, order="<", tag=0x0112, kind=3, n=1, count=None, before=0):
+    """Directory of one orientation entry behind ``before`` others."""
+    mark = b"II*\0" if order == "<" else b"MM\0*"
+    other = struct.pack(order + "HHIHH", 0x0100, 3, 1, 9, 0)
+    short = struct.pack(order + "H", value) + b"\0\0" if kind == 3 else struct.pack(order + "I", value)
+    entry = struct.pack(order + "HHI", tag, kind, n) + short
+    return (mark + struct.pack(order + "I", 8) + struct.pack(order + "H", before + 1 if count is None else count)
+            + other * before + entry + b"\0" * 4)
+
+
+def exif_jpeg(w, h, data, lead=b""):
+    body = b"Exif\0\0" + data
+    app = b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body
+    plain = jpeg(w, h)
+    return plain[:2] + lead + app + plain[2:]
+
+
+def test_orientation_turns_the_size(spark, tmp_path):
+    """All eight values in both byte orders and both formats; broken or foreign directories leave the stored size."""
+    files, want = {}, {}
+    for value in range(1, 9):
+        for order in "<>":
+            size = (20, 30) if value >= 5 else (30, 20)
+            name = f"{value}{'le' if order == '<' else 'be'}"
+            files[f"j{name}.jpg"] = exif_jpeg(30, 20, tiff(value, order, before=value % 3))
+            files[f"p{name}.png"] = png(30, 20, extra=chunk(b"eXIf", tiff(value, order)))
+            want[f"j{name}.jpg"] = want[f"p{name}.png"] = size
+    late = png(30, 20)
+    files["late.png"] = late[:-12] + chunk(b"eXIf", tiff(6)) + late[-12:]
+    files["long.jpg"] = exif_jpeg(30, 20, tiff(8, ">", kind=4))
+    files["second.jpg"] = exif_jpeg(30, 20, tiff(1), lead=exif_jpeg(1, 1, tiff(6))[2:][:4 + 6 + len(tiff(6))])
+    want |= {"late.png": (20, 30), "long.jpg": (20, 30), "second.jpg": (20, 30)}
+    odd = {"zero": tiff(0), "nine": tiff(9), "tag": tiff(6, tag=0x0111), "two": tiff(6, n=2), "text": tiff(6, kind=2), "cut": tiff(6)[:20],
+           "far": b"II*\0\xff\xff\xff\xff", "magic": b"XX*\0" + tiff(6)[4:], "none": b"", "many": tiff(1, count=60_000)}
+    for name, data in odd.items():
+        files[f"{name}.jpg"] = exif_jpeg(30, 20, data)
+        files[f"{name}.png"] = png(30, 20, extra=chunk(b"eXIf", data))
+        want[f"{name}.jpg"] = want[f"{name}.png"] = (30, 20)
+    files["crc.png"] = png(30, 20, extra=chunk(b"eXIf", tiff(6))[:-1] + b"?")
+    xmp = b"http://ns.adobe.com/xap/1.0/\0" + tiff(6)
+    files["xmp.jpg"] = jpeg(30, 20)[:2] + b"\xff\xe1" + struct.pack(">H", len(xmp) + 2) + xmp + jpeg(30, 20)[2:]
+    want["xmp.jpg"] = (30, 20)
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: r for r in image_catalog(spark, str(tmp_path)).collect()}
+    assert {n: (got[n].width, got[n].height) for n in want} == want
+    assert {got[n].error_code for n in want} == {None} and got["crc.png"].error_code == "INVALID_IMAGE"
+
+
 def test_publish_refuses_an_existing_destination(spark, tmp_path):
     df = spark.range(10).withColumn("split", F.when(F.col("id") < 7, "training").otherwise("validation"))
     path = str(tmp_path / "d")
