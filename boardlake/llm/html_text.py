@@ -119,9 +119,42 @@ class _Quotes:
             i = close + 1
 
 
+class _Open:
+    """The open elements, however deep: what they make of the text inside, and the places of each name."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.states = [(False, False, False, False)]  # aside, main, shut, inside any main; the first is the page's
+
+    def state(self):
+        return self.states[-1]
+
+    def push(self, name: str, kind: str) -> None:
+        aside, main, shut, any_main = self.states[-1]
+        if not shut:
+            if kind == "main":
+                aside, main = False, True
+            elif kind:
+                aside, shut = True, kind == "shut"
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.states.append((aside, main, shut, any_main or kind == "main"))
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost element of these names, or -1."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def close(self, at: int) -> None:
+        """Close the element at this place and all inside it; each is closed once."""
+        while len(self.names) > at:
+            self.places[self.names.pop()].pop()
+            self.states.pop()
+
+
 def blocks(page: str):
     """Flat blocks of a page: (text, words, words in links, aside, main, heading)."""
-    out, parts, stack = [], [], []
+    out, parts, stack = [], [], _Open()
     low = page.lower()
     if len(low) != len(page):  # a letter whose lower case is longer
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
@@ -141,15 +174,7 @@ def blocks(page: str):
         if not tidy:
             return
         words = len(tidy.split(" "))
-        aside = main = False
-        for _, kind in stack:
-            if kind == "shut":
-                aside = True
-                break
-            if kind == "main":
-                aside, main = False, True
-            elif kind == "aside":
-                aside = True
+        aside, main, _, _ = stack.state()
         out.append((tidy, words, min(linked, words), aside or state["own"], main, state["heading"]))
 
     def text(a: int, b: int):
@@ -215,9 +240,8 @@ def blocks(page: str):
         if name not in HOLDERS and ends:
             continue
         if ends:
-            at_open = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at_open is not None:
-                del stack[at_open:]
+            if (at_open := stack.last(name)) >= 0:
+                stack.close(at_open)
             continue
         tag = page[stop:end]
         called = " ".join("".join(m) for m in NAMED.findall(tag))
@@ -226,7 +250,7 @@ def blocks(page: str):
             kind = "shut"
         elif name in ASIDE:
             # The header or footer of an article is beside its text, but not its headline.
-            kind = "" if name == "header" and any(k == "main" for _, k in stack) else "aside"
+            kind = "" if name == "header" and stack.state()[3] else "aside"
         elif name in ("article", "main") or re.search(r"(?:^|\s)main(?=$|\s)", called, re.I):
             kind = "main"
         elif ASIDE_WORD.search(called) and name != "body":
@@ -235,13 +259,10 @@ def blocks(page: str):
             state["own"] = kind in ("shut", "aside")
             continue
         if name in RESTART:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in (name, *RESTART[name])), None)
-            if i is not None and stack[i][0] == name:
-                del stack[i:]
-        stack.append((name, kind))
-        if len(stack) > 400:  # runaway nesting of unclosed elements: the oldest plain ones carry no kind
-            plain = next((i for i, (_, k) in enumerate(stack) if not k), 0)
-            del stack[plain]
+            i = stack.last(name, *RESTART[name])
+            if i >= 0 and stack.names[i] == name:
+                stack.close(i)
+        stack.push(name, kind)
     close_block()
     return out
 

@@ -10,6 +10,9 @@ probability. Chunks overlap by WIDTH - 1 symbols, so every window lies in a chun
 
 from __future__ import annotations
 
+import re
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +54,30 @@ def symbols(data: bytes) -> np.ndarray:
     return x
 
 
+def repeated_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words equal to the one before them, for texts that are read in pieces."""
+    spans, before = array("q"), None
+    for m in re.finditer(rb"[^\x20\x09-\x0d]+", data):
+        word = m.group()
+        if word == before:
+            spans.extend(m.span())
+        before = word
+    spans = np.frombuffer(spans, np.int64) if spans else np.zeros(0, np.int64)
+    return spans[0::2], spans[1::2]
+
+
+def piece_symbols(data: bytes, a: int, b: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """:func:`symbols` of the whole text from a to b, given its repeated words."""
+    x = np.frombuffer(data, dtype=np.uint8, count=b - a, offset=a).astype(np.int32)
+    lo, hi = np.searchsorted(last, a, "right"), np.searchsorted(first, b, "left")
+    if lo < hi:
+        turn = np.zeros(b - a + 1, dtype=np.int32)
+        turn[np.maximum(first[lo:hi], a) - a] += 256
+        turn[np.minimum(last[lo:hi], b) - a] -= 256
+        x += np.cumsum(turn[:-1], dtype=np.int32)
+    return x
+
+
 def chunk_maxima(x: np.ndarray, table: np.ndarray, where: bool = False):
     """(chunks, FILTERS) maxima of the filter responses; with ``where`` also their positions."""
     n = len(x) - WIDTH + 1
@@ -76,16 +103,19 @@ def chunk_maxima(x: np.ndarray, table: np.ndarray, where: bool = False):
 
 
 def probability(data: bytes, model: dict) -> float:
-    """Score of one text. Long ones are read in overlapping pieces, which add up to the same mean."""
-    hidden, chunks = np.zeros(FILTERS), 0
-    for a in range(0, max(1, len(data)), PIECE):
-        lead = min(a, 512)  # the word before, for the repeat mark
-        x = symbols(data[a - lead:a + PIECE + WIDTH - 1])[lead:]
-        if a and len(x) < WIDTH:
-            break  # its windows were in the piece before
-        act = np.tanh(chunk_maxima(x, model["table"]))
-        hidden += act.sum(axis=0, dtype=np.float64)
-        chunks += len(act)
+    """Score of one text. Long ones are read in overlapping pieces, which add up to the same mean; words that
+    repeat the one before them are found in the whole text first, so no border hides one.
+    """
+    if len(data) <= PIECE:
+        act = np.tanh(chunk_maxima(symbols(data), model["table"]))
+        hidden, chunks = act.sum(axis=0, dtype=np.float64), len(act)
+    else:
+        hidden, chunks, again = np.zeros(FILTERS), 0, repeated_words(data)
+        for a in range(0, len(data) - WIDTH + 1, PIECE):
+            x = piece_symbols(data, a, min(len(data), a + PIECE + WIDTH - 1), *again)
+            act = np.tanh(chunk_maxima(x, model["table"]))
+            hidden += act.sum(axis=0, dtype=np.float64)
+            chunks += len(act)
     logit = hidden / chunks @ model["out"] + model["bias"]
     return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 

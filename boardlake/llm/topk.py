@@ -23,11 +23,17 @@ LIMIT = float(2 ** 62)
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """Rows (id, v): floor(scale * x) as long; rows with null or non-finite parts are left out."""
+    """Rows (id, v): floor(scale * x) as long; rows with null or non-finite parts are left out.
+
+    A finite component whose scaled value has no place in a long is an error that names the row: any
+    other value would give wrong scores.
+    """
     x = F.col(vector_col)
     double = F.transform(x, lambda c: c.cast("double"))
     fine = F.forall(double, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    whole = F.transform(double, lambda c: F.floor(F.greatest(F.least(c * scale, F.lit(LIMIT)), F.lit(-LIMIT))))
+    refused = F.raise_error(F.concat(F.lit(f"{vector_col} of {id_col} "), F.col(id_col).cast("string"), F.lit(
+        ": a component is beyond 2^62 after scaling"))).cast("long")
+    whole = F.transform(double, lambda c: F.when(F.abs(c * scale) > F.lit(LIMIT), refused).otherwise(F.floor(c * scale)))
     return df.where(F.col(id_col).isNotNull() & x.isNotNull() & fine).select(
         F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
@@ -82,7 +88,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: float =
 
     Queries are rows whose id is divisible by ``query_every``; candidates are all rows with
     another id. Score: inner product of ``floor(scale * x)``; shorter vectors count as padded with
-    zeros, components beyond 2^62 are clipped and sums wrap like a long. Ties go to the smaller
+    zeros, components beyond 2^62 are an error and sums wrap like a long. Ties go to the smaller
     vec_id; a candidate row that repeats another one (same id) takes a place of its own, and a
     query id that repeats is asked once, with its smallest vector. Rows with null id, null vector, null
     or non-finite component take no part; no query or no other row gives no result rows; empty vectors

@@ -11,6 +11,18 @@ TREE = html_text.train()
 LONG = "A sentence of plain words that goes on for a while so that a block has more than twenty words in it, as paragraphs do."
 
 
+@pytest.mark.parametrize("depth", [10, 390, 410, 5_000])
+def test_deep_nesting_keeps_its_elements(depth):
+    """The end tag of each element closes that element, however many are open."""
+    deep = f"<div class='sidebar'>{'<div>' * depth}<p>Aside {LONG}</p>{'</div>' * depth}</div>"
+    page = f"<body><article><p>{LONG}</p></article>{deep}<div class='content'><p>After. {LONG}</p></div></body>"
+    assert html_text.main_text(page, TREE) == html_text.main_text(page.replace(deep, ""), TREE)
+    inside = f"<article>{'<div>' * depth}<p>{LONG}</p><div class='comments'><p>{LONG}</p></div><p>{LONG}</p>{'</div>' * depth}</article>"
+    assert html_text.main_text(inside + f"<footer><p>{LONG}</p></footer>", TREE) == f"{LONG} {LONG}"
+    unclosed = f"<article>{'<ul><li>' * depth}<p>{LONG}</article><footer>x</footer>"
+    assert html_text.main_text(unclosed, TREE) == LONG
+
+
 def test_tree_knows_its_examples():
     assert all(html_text.judge(TREE, row[:-1]) == bool(row[-1]) for row in html_text.EXAMPLES)
 

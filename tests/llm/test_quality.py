@@ -40,6 +40,22 @@ def test_long_texts_score_the_same_in_pieces(model, monkeypatch):
         assert quality.probability(data, model) == pytest.approx(whole, abs=1e-9)
 
 
+@pytest.mark.parametrize("size", [1, 300, 910, 5_000])
+def test_repeated_words_at_borders_of_pieces(model, monkeypatch, size):
+    """Long words, long gaps and repeats of repeats keep their mark wherever a piece ends."""
+    word = ("0123456789abcdef" * 400)[:size]
+    data = f"a {word} {word} b {word}{' ' * 700}{word}\t{word}x {word} {word}".encode() + b" end" * 40
+    first, last = quality.repeated_words(data)
+    want = quality.symbols(data)
+    for a in range(0, len(data) - 60, 37):
+        b = min(len(data), a + 300)
+        assert (quality.piece_symbols(data, a, b, first, last) == want[a:b]).all()
+    whole = quality.probability(data, model)
+    for piece in (256, 512, 1024):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert quality.probability(data, model) == pytest.approx(whole, abs=1e-9)
+
+
 def test_held_out_accuracy_on_the_tables(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -47,3 +47,9 @@ def test_few_rows_and_large_numbers(spark):
     one = df.where("vec_id = 0")
     assert topk.top_k(one).count() == 0 and topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id = 1")).count() == 0
+
+
+def test_components_without_a_place_in_a_long_are_an_error(spark):
+    df = spark.createDataFrame([(50, [1.0, 2.0]), (51, [1e300, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="embedding of vec_id 51"):
+        topk.top_k(df).collect()
