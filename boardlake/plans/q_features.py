@@ -308,6 +308,27 @@ def m4(t):
     return rows.groupBy("label").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("rows"))
 
 
+def soft_rows(t):
+    """Hard labels of all rows; a teacher speaks on every third one, with its scores of the same classes."""
+    scores = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double"))
+    return weighted(t).withColumn("target", F.when(F.col("vec_id") % 3 == 0, L.softmax(scores, 2.0)))
+
+
+@query("m4_soft_fit")
+def m4_fit(t):
+    """Validation metrics of every fifth epoch of a fit with soft labels, and the epoch that is chosen."""
+    rows, seen = soft_rows(t), []
+    L.fit_soft(rows, "embedding", "label", "weight", "target", 10, 0.25, 2.0, epochs=10,
+               on_epoch=lambda n, fit: seen.append((n, fit)) if n % 5 == 0 else None)
+    board = F.floor(F.col("vec_id") / 4)
+    scored = t.embeddings.select("label", board.alias("board"), F.inline(F.array(*[
+        F.struct(F.lit(n).cast("long").alias("epoch"), fit.scores(F.col("embedding")).alias("scores")) for n, fit in seen])))
+    metrics = L.validate(scored, ["epoch"], "board", "label", "scores", F.col("board") % 4 == 0)
+    best = L.select_candidate(metrics, F.lit(True), [F.desc("exact_boards"), F.desc("macro_recall"), F.asc("loss"), F.asc("epoch")])
+    return metrics.join(best.select("epoch", F.lit(True).alias("chosen")), "epoch", "left").withColumn(
+        "chosen", F.coalesce("chosen", F.lit(False)))
+
+
 @query("m5_teacher_mask", sql(
     "SELECT board_id, idx, category IN ('1-URGENT', '2-HIGH') AND NOT (class_id = 0 AND pred_id <> 0) AS use_teacher FROM cells"))
 def m5(t):
