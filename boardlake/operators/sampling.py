@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from boardlake.functions.hashing import bucket_rank, hash_number, spread_rank, stable_hash, value_bucket
 from boardlake.functions.placement import background, literal_array
+from boardlake.session import cut_lineage
 
 ONE = "*"  # counted as rows; a name, so importing needs no session
 
@@ -129,42 +130,90 @@ def group_profile(cells: DataFrame, group: str, class_id: str, idx: str) -> Data
         for c in range(13) for colour in ("light", "dark")])
 
 
+SELECT_DIGITS = 3  # hex digits by which a round of the selection narrows the hashes
+SELECT_ROWS = 64  # rows of a boundary bin, about, that are ranked exactly
+
+
+def trial_hashes(groups: DataFrame, group: str, low: int, high: int, seed: int) -> DataFrame:
+    """Each group with the hash that places it in each of the trials; one row is exploded inside its task."""
+    rows = groups.withColumn("trial", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+    return rows.withColumn("_h", stable_hash(F.lit(seed), "trial", group))
+
+
+def trial_thresholds(groups: DataFrame, group: str, low: int, high: int, seed: int, ranks: Sequence[int], rows: int) -> DataFrame:
+    """(trial, t0, t1, ...): the (hash, group) that holds each rank in each trial, null where there are fewer groups.
+
+    Counts of hash prefixes, added up inside the tasks, tell in which bin each rank lies; the bins of all trials are
+    narrowed at once until they hold a few rows, and only those rows are exchanged and ranked.
+    """
+    digits = SELECT_DIGITS
+    hashed = trial_hashes(groups.select(group), group, low, high, seed)
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).cast("long").alias("rank")) for k, r in enumerate(ranks)])
+    found = None  # (trial, k, bin, rank): the rank still to be found inside the bin
+    while True:
+        bin_ = F.substring("_h", 1, digits)
+        part = hashed.withColumn("bin", bin_)
+        if found is None:
+            counts = part.groupBy("trial", "bin").agg(F.count(ONE).alias("n")).withColumn("w", F.explode(wanted)).select(
+                "trial", "w.*", "bin", "n")
+        else:
+            inside = found.withColumnRenamed("bin", "above")
+            counts = part.withColumn("above", F.substring("_h", 1, digits - SELECT_DIGITS)).groupBy("trial", "above", "bin").agg(
+                F.count(ONE).alias("n")).join(F.broadcast(inside), ["trial", "above"]).select("trial", "k", "rank", "bin", "n")
+        run = Window.partitionBy("trial", "k").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        upto = counts.withColumn("upto", F.sum("n").over(run))
+        found = cut_lineage(upto.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select(
+            "trial", "k", "bin", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")))
+        if rows <= SELECT_ROWS * 16 ** digits or digits >= 15:
+            break
+        digits += SELECT_DIGITS
+    near = hashed.withColumn("bin", bin_).join(F.broadcast(found), ["trial", "bin"])
+    place = Window.partitionBy("trial", "k").orderBy("_h", group)
+    exact = near.withColumn("_r", F.row_number().over(place)).where(F.col("_r") == F.col("rank"))
+    return exact.groupBy("trial").agg(*[F.max(F.when(F.col("k") == k, F.struct("_h", group))).alias(f"t{k}")
+                                        for k in range(len(ranks))])
+
+
 def assign_splits(profile: DataFrame, group: str, sizes: Sequence[tuple[str, int]], minimum: int,
                   seed: int, trials: int = 10_000, block: int = 64, required: Sequence[str] = ()) -> DataFrame:
     """First seeded allocation whose every split holds ``minimum`` of each class and colour.
 
     ``profile`` has one row per group; of the counts named in ``required`` (promotions of either
-    colour) one is enough. Trials are evaluated block by block: a block aggregates (trial, split)
-    sums and only the smallest passing trial number returns to the driver. No passing trial is an error.
+    colour) one is enough. ``block`` trials are tried first, then a thousand at a time: the hashes that end each split are
+    selected for all trials of a block together (:func:`trial_thresholds`), and the sums of a (trial, split) are added up inside
+    the tasks, so groups times trials are never exchanged. Only the smallest passing trial number
+    returns to the driver. No passing trial is an error.
     """
     counts = [c for c in profile.columns if c != group and c not in required]
-    bounds, used = [], 0
-    for name, n in sizes:
-        used += n
-        bounds.append((name, used))
+    names, ranks = [n for n, _ in sizes], [sum(k for _, k in sizes[:i + 1]) for i in range(len(sizes))]
+    profile = cut_lineage(profile)
+    rows = profile.count()
 
-    def named(rank: Column) -> Column:
+    def named(bounds: Sequence[Column]) -> Column:
         out = None
-        for name, upper in bounds:
-            out = F.when(rank <= upper, name) if out is None else out.when(rank <= upper, name)
+        for name, within in zip(names, bounds):
+            out = F.when(within, name) if out is None else out.when(within, name)
         return out
 
-    def allocation(low: int, high: int) -> DataFrame:
-        rows = profile.select(group, F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("trial"))
-        keyed = rows.withColumn("_h", stable_hash(F.lit(seed), "trial", group))
-        ranked = spread_rank(keyed, ["trial"], "_h", [group], out="_rank")
-        return ranked.select("trial", group, named(F.col("_rank")).alias("split"))
-
-    for low in range(0, trials, block):
-        alloc = allocation(low, min(low + block, trials))
-        sums = (alloc.where(F.col("split").isNotNull()).join(profile, group)
-                .groupBy("trial", "split").agg(F.least(*[F.sum(c) for c in counts], *[
-                    F.when(F.sum(c) > 0, F.lit(minimum)).otherwise(F.lit(minimum - 1)) for c in required]).alias("_least")))
+    low = 0
+    while low < trials:
+        high = min(trials, low + (block if not low else 1000))
+        ends = trial_thresholds(profile, group, low, high, seed, ranks, rows).withColumnRenamed("trial", "_trial")
+        placed = trial_hashes(profile, group, low, high, seed).join(F.broadcast(ends), F.col("trial") == F.col("_trial"), "left")
+        own = F.struct("_h", group)
+        alloc = placed.withColumn("split", named([F.coalesce(own <= F.col(f"t{k}"), F.lit(True)) for k in range(len(names))]))
+        sums = (alloc.where(F.col("split").isNotNull()).groupBy("trial", "split").agg(
+            F.least(*[F.sum(c) for c in counts], *[F.when(F.sum(c) > 0, F.lit(minimum)).otherwise(F.lit(minimum - 1))
+                                                   for c in required]).alias("_least")))
         passing = (sums.groupBy("trial").agg(F.count(ONE).alias("_s"), F.min("_least").alias("_m"))
                    .where((F.col("_s") == len(sizes)) & (F.col("_m") >= minimum)))
         first = passing.agg(F.min("trial")).first()[0]
         if first is not None:
-            return allocation(first, first + 1).where(F.col("split").isNotNull())
+            chosen = trial_hashes(profile.select(group), group, first, first + 1, seed)
+            ranked = spread_rank(chosen, ["trial"], "_h", [group], out="_rank")
+            return ranked.select("trial", group, named([F.col("_rank") <= r for r in ranks]).alias("split")).where(
+                F.col("split").isNotNull())
+        low = high
     raise ValueError(f"none of {trials} allocations gives every split {minimum} of each class and colour")
 
 

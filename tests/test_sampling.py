@@ -122,6 +122,20 @@ def test_first_passing_trial(spark):
         W.assign_splits(p, "g", sizes, 99, 1, 20)
 
 
+@pytest.mark.parametrize("digits,rows", [(3, 64), (1, 1), (2, 5)])
+def test_ranks_of_all_trials_at_once(spark, monkeypatch, digits, rows):
+    """The selected hashes are those of a full sort, whatever the number of rounds; ranks beyond the groups are null."""
+    import hashlib
+    monkeypatch.setattr(W, "SELECT_DIGITS", digits)
+    monkeypatch.setattr(W, "SELECT_ROWS", rows)
+    groups = spark.range(90).withColumnRenamed("id", "g")
+    got = {r.trial: r for r in W.trial_thresholds(groups, "g", 5, 25, 3, [1, 40, 41, 90, 91], 90).collect()}
+    assert len(got) == 20
+    for t, r in got.items():
+        order = sorted((hashlib.sha256(f"3|{t}|{g}".encode()).hexdigest(), g) for g in range(90))
+        assert [tuple(r[f"t{k}"]) for k in range(4)] == [order[0], order[39], order[40], order[89]] and r.t4 is None
+
+
 def test_required_counts_need_one_in_each_split(spark):
     p = spark.createDataFrame([(g, 9, int(g in (0, 1, 2)), int(g in (3, 4, 5))) for g in range(9)],
                               "g long, c0 long, white long, black long")
