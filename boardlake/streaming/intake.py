@@ -12,6 +12,7 @@ triggers drive the exchange:
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -177,16 +178,18 @@ class _Intake:
             "_round", F.coalesce("_round", "_now")).select(new.columns)
         ended = named.join(outcome.select(F.col("round").alias("_round"), F.col("batch").alias(batch), "admitted"),
                            [batch, "_round"], "left")
-        ended.where("admitted").select(*self.schema.names).write.mode("overwrite").parquet(
-            f"{self.published}/intake={number}")
         said_now = claims.withColumn("event", F.lit("claim"))
         if False in kinds:
             said_now = said_now.unionByName(open_.drop("yes").join(decided, place).withColumn(
                 "event", F.when(F.col("admitted"), "commit").otherwise("abort")).drop("admitted"))
-        tables.write(said_now, "messages", number)
-        tables.write(open_.join(outcome, place, "left_anti").unionByName(
-            claims.withColumn("yes", F.lit(None).cast("boolean"))), "voting", number)
-        tables.write(ended.where("admitted IS NULL").select(new.columns), "rows", number)
+        still = open_.join(outcome, place, "left_anti").unionByName(claims.withColumn("yes", F.lit(None).cast("boolean")))
+        published = ended.where("admitted").select(*self.schema.names)
+        writes = [lambda: published.write.mode("overwrite").parquet(f"{self.published}/intake={number}"),
+                  lambda: tables.write(said_now, "messages", number), lambda: tables.write(still, "voting", number),
+                  lambda: tables.write(ended.where("admitted IS NULL").select(new.columns), "rows", number)]
+        with ThreadPoolExecutor(len(writes)) as pool:  # small jobs that do not wait for each other
+            for done in [pool.submit(w) for w in writes]:
+                done.result()
 
 
 def stream_intake(stream: DataFrame, published: str, pending: str, checkpoint: str, batch_id: str, size: str,
