@@ -8,6 +8,7 @@ from boardlake.plans.q_compare import _STAGE, stages
 from boardlake.plans.registry import query, sql
 from boardlake.session import shared_folder
 from boardlake.sources import corpora as K
+from boardlake.sources import commits as V
 from boardlake.sources import datasets as D
 from boardlake.sources.images import identify
 from boardlake.streaming.intake import stream_dedupe, stream_intake
@@ -89,6 +90,26 @@ def s5(t):
     return D.published_counts(t.spark, path)
 
 
+@query("s5_versions", sql(
+    "SELECT CAST(1 AS INTEGER) AS version, split, count(*) AS boards FROM boards WHERE split = 'training' GROUP BY 2 UNION ALL "
+    "SELECT CAST(2 AS INTEGER), split, count(*) FROM boards WHERE split <> 'evaluation' GROUP BY 2"))
+def s5_versions(t):
+    """Two versions and a refused one: every reader sees the version it has pinned."""
+    path, split = shared_folder(t.spark, "versions"), F.col("split")
+    V.publish_new(t.boards.where(split == "training"), path, "first", ["split"])
+    V.append_unseen(t.boards.where(split == "validation"), path, ["board_id"], "second", ["split"])
+    try:
+        V.append_unseen(t.boards.where(split != "training"), path, ["board_id"], "third", ["split"])
+    except V.AlreadyCommitted:
+        pass
+    log, out = V.CommitLog(t.spark, path), None
+    for version in range(1, log.version() + 1):
+        rows = log.read(t.boards.schema, version).groupBy("split").agg(F.count("*").alias("boards")).select(
+            F.lit(version).alias("version"), "split", "boards")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("s6_inventory", sql(
     "SELECT CAST(board_id AS VARCHAR) AS board_id, stage, CAST(annotated_errors AS VARCHAR) AS annotated_errors, recovered_squares, introduced_squares, "
     "array_to_string(conditions, '; ') AS conditions FROM s JOIN (SELECT board_id, conditions FROM boards) USING (board_id) WHERE stage <> 'both-correct'", s=_STAGE))
