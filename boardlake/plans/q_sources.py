@@ -1,13 +1,19 @@
 """Source, sink, corpus and streaming queries (families S and ST)."""
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boardlake.functions.placement import literal_array
 from boardlake.plans.q_compare import _STAGE, stages
+from boardlake.plans.q_features import images
 from boardlake.plans.registry import query, sql
 from boardlake.session import shared_folder
 from boardlake.sources import corpora as K
+from boardlake.sources import archives as R
 from boardlake.sources import commits as V
 from boardlake.sources import datasets as D
 from boardlake.sources.images import identify
@@ -83,6 +89,40 @@ def s4(t):
     return D.read_cells(t.spark, path, "evaluation", 3, chosen).select("board_id", "idx", "class_id", "valid")
 
 
+def _packed(batches):
+    """One archive of 64 cells of 2 x 2 grey pixels for each customer."""
+    for pdf in batches:
+        rows = []
+        for key, px in zip(pdf["c_custkey"], pdf["pixels"]):
+            cells = np.asarray(px, np.uint8).reshape(8, 2, 8, 2).swapaxes(1, 2).reshape(64, 2, 2, 1)
+            out = io.BytesIO()
+            np.savez_compressed(out, images=cells, class_ids=((key + np.arange(64)) % 13).astype(np.uint8))
+            rows.append((key, out.getvalue()))
+        yield pd.DataFrame(rows, columns=["c_custkey", "content"])
+
+
+@query("s4_cell_archives", sql(
+    "SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN 'not-in-index' WHEN c_custkey % 11 = 0 THEN 'unreadable' WHEN c_custkey % 13 = 0 THEN "
+    "'wrong-labels' END AS problem, CASE WHEN c_custkey % 17 > 0 AND c_custkey % 11 > 0 AND c_custkey % 13 > 0 THEN 64 END::BIGINT AS cells, CASE "
+    "WHEN c_custkey % 17 > 0 AND c_custkey % 11 > 0 AND c_custkey % 13 > 0 THEN total END AS total FROM (SELECT c_custkey, CAST(sum(((c_custkey * 31 + y * 17 "
+    "+ x * 7 + c_nationkey * x * y) % 256) * (y // 2 * 8 + x // 2 + 1)) AS BIGINT) AS total FROM (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey "
+    "FROM customer), (SELECT range AS y FROM range(16)), (SELECT range AS x FROM range(16)) GROUP BY 1)"))
+def s4_archives(t):
+    """Archives are written, cut, mislabelled or left out of the index, and read back."""
+    k, path = F.col("c_custkey"), shared_folder(t.spark, "archives")
+    packed = images(t).select("c_custkey", "pixels").mapInPandas(_packed, "c_custkey long, content binary")
+    D.publish(packed.withColumn("content", F.when(k % 11 == 0, F.substring("content", 1, 50)).otherwise(F.col("content"))), path, [])
+    files = t.spark.read.schema("c_custkey long, content binary").parquet(path).withColumn("path", k.cast("string"))
+    labels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((k + i + F.when(k % 13 == 0, 1).otherwise(0)) % 13).cast("int"))
+    index = files.where(k % 17 != 0).select("path", F.sha2("content", 256).alias("sha256"), labels.alias("class_ids"))
+    problems = R.archive_problems(files, index, 2, 1)
+    good = problems.where("problem IS NULL").select("path")
+    cells = R.read_archives(files.join(good, "path", "left_semi"), index.join(good, "path", "left_semi"), 2, 1)
+    place = F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v) * (F.col("idx") + 1)
+    sums = cells.groupBy("path").agg(F.count("*").alias("cells"), F.sum(place).alias("total"))
+    return problems.join(sums, "path", "left").select(F.col("path").cast("long").alias("c_custkey"), "problem", "cells", "total")
+
+
 @query("s5_publish", sql("SELECT split, count(*) AS boards FROM boards GROUP BY 1"))
 def s5(t):
     path = shared_folder(t.spark, "published")
