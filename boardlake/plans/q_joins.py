@@ -96,6 +96,16 @@ def j8(t):
     return J.arrow_routes(kings, "idx").groupBy("board_id", "geometry").agg(F.count(F.lit(1)).alias("routes"))
 
 
+@query("j8_all_routes", sql(
+    "SELECT class_id, geometry, count(*) AS routes FROM (SELECT class_id, CASE WHEN dx > 0 AND dy = 0 THEN "
+    "'horizontal' WHEN dx = 0 AND dy > 0 THEN 'vertical' WHEN dx = dy AND dx > 0 THEN 'diagonal' WHEN dx * dy = 2 "
+    "THEN 'knight' END AS geometry FROM (SELECT class_id, abs(i % 8 - idx % 8) AS dx, abs(i // 8 - idx // 8) AS dy "
+    "FROM cells, idx)) WHERE geometry IS NOT NULL GROUP BY 1, 2"))
+def j8_all(t):
+    return J.arrow_routes(t.cells.select("class_id", "idx"), "idx").groupBy("class_id", "geometry").agg(
+        F.count(F.lit(1)).alias("routes"))
+
+
 _KEYS = "SELECT doc_id, split, unnest(['text_sha', 'norm_sha', 'head_sha']) AS kind, " \
         "unnest([text_sha, norm_sha, head_sha]) AS v FROM hashes"
 
@@ -135,6 +145,38 @@ def j11(t):
     return J.inheritance_violations(p.where("m >= 37"), p, "board_id", "seed_key", "board_id", _FIELDS)
 
 
+_BOX = ["left", "top", "right", "bottom"]
+_CROPPED = (
+    "SELECT *, CASE WHEN cut THEN x1 - x0 ELSE 512 END + CASE WHEN board_id % 7 = 0 THEN 1 ELSE 0 END AS width, CASE WHEN cut THEN y1 - y0 ELSE 512 "
+    "END AS height, 64 - coalesce(x0, 0) + CASE WHEN board_id % 11 = 0 THEN 2 ELSE 0 END AS g_left, 64 - coalesce(y0, 0) AS g_top, "
+    "448 - coalesce(x0, 0) AS g_right, 448 - coalesce(y0, 0) AS g_bottom FROM (SELECT board_id, seed_key, board_id % 4 > 0 AS cut, CASE WHEN board_id % 4 "
+    "> 0 THEN 10 * (board_id % 3) END AS x0, CASE WHEN board_id % 4 > 0 THEN 20 END AS y0, CASE WHEN board_id % 4 > 0 THEN CASE WHEN board_id % 5 = 0 "
+    "THEN 600 ELSE 500 END END AS x1, CASE WHEN board_id % 4 > 0 THEN 480 END AS y1 FROM boards WHERE m >= 37)")
+
+
+@query("j11_cropped_variants", sql(
+    "SELECT c.board_id, " + problems_sql({
+        "parent": "p.board_id IS NULL OR c.seed_key = c.board_id",
+        "crop": "p.board_id IS NOT NULL AND cut AND NOT (x0 >= 0 AND y0 >= 0 AND x0 < x1 AND y0 < y1 AND x1 <= 512 AND y1 <= 512)",
+        "size": "p.board_id IS NOT NULL AND cut AND (width <> x1 - x0 OR height <> y1 - y0)",
+        "grid": "p.board_id IS NOT NULL AND cut AND (g_left <> 64 - x0 OR g_top <> 64 - y0 OR g_right <> 448 - x0 OR g_bottom <> 448 - y0)"})
+    + " FROM c LEFT JOIN boards p ON c.seed_key = p.board_id", c=_CROPPED))
+def j11_cropped(t):
+    k = F.col("board_id")
+    cut = k % 4 > 0
+    x0, y0 = F.when(cut, 10 * (k % 3)), F.when(cut, F.lit(20))
+    x1, y1 = F.when(cut, F.when(k % 5 == 0, 600).otherwise(500)), F.when(cut, F.lit(480))
+    near = {"g_left": 64 - F.coalesce(x0, F.lit(0)) + F.when(k % 11 == 0, 2).otherwise(0), "g_top": 64 - F.coalesce(y0, F.lit(0)),
+            "g_right": 448 - F.coalesce(x0, F.lit(0)), "g_bottom": 448 - F.coalesce(y0, F.lit(0))}
+    size = {"width": F.when(cut, x1 - x0).otherwise(512) + F.when(k % 7 == 0, 1).otherwise(0), "height": F.when(cut, y1 - y0).otherwise(512)}
+    child = t.boards.where("m >= 37").select(k, "seed_key", x0.alias("left"), y0.alias("top"), x1.alias("right"), y1.alias("bottom"),
+                                             *[v.alias(n) for n, v in {**size, **near}.items()])
+    whole = t.boards.select(k, *[F.lit(v).alias(n) for n, v in (("width", 512), ("height", 512), ("g_left", 64), ("g_top", 64),
+                                                                ("g_right", 448), ("g_bottom", 448))])
+    return J.inheritance_violations(child, whole, "board_id", "seed_key", "board_id", [], _BOX, ["width", "height"],
+                                    [f"g_{b}" for b in _BOX])
+
+
 _MAP = ("SELECT pair_id, unnest(['split', 'category', 'status', 'orientation']) AS name, "
         "unnest([split, category, status, orientation]) AS v FROM boards WHERE board_id % 2 = {r}")
 
