@@ -1,14 +1,16 @@
 """Rectangles, quadrilaterals, crop requests and arrow footprints (family G).
 
-Everything is row-level arithmetic. Arrow footprints are analytic (distance of the
+Everything is row-level arithmetic, but for exact crossings, where each pair of arrow shapes is examined in numpy. Arrow footprints are analytic (distance of the
 shaft and head to cell rectangles) and may differ from a rasterised mask by boundary
 pixels.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -367,6 +369,90 @@ def crossing_cells(marks: DataFrame, board: str, mark: str, start: str, end: str
     return covered.where(F.col("_n") > distinct).select(board, "idx")
 
 
+FINEST = 12  # halvings of a square; strokes whose common part holds a disc of two such steps are found
+
+
+def _stroke(start: int, end: int, bend: str | None, width: float) -> list[tuple]:
+    """Convex parts of an arrow as :func:`_arrow_parts` has them: two shafts with round ends (a, b, radius) and the head."""
+    p, q = (np.array([k % 8 + 0.5, k // 8 + 0.5]) for k in (start, end))
+    corner = np.array([q[0], p[1]]) if bend == "horizontal-first" else np.array([p[0], q[1]]) if bend == "vertical-first" else p
+    v = (q - corner) / np.linalg.norm(q - corner)
+    length, half, side = max(0.30, width * 2.1), width * 1.5, np.array([-v[1], v[0]])
+    base = q - v * length
+    return [("shaft", p, corner, width / 2), ("shaft", corner, base + v * width * 0.4, width / 2),
+            ("head", q, base + side * half, base - side * half)]
+
+
+def _outside(part: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distance to a part, negative inside; it never changes faster than the place."""
+    if part[0] == "shaft":
+        _, a, b, radius = part
+        d = b - a
+        t = np.clip(((x - a[0]) * d[0] + (y - a[1]) * d[1]) / max(d @ d, 1e-300), 0, 1)
+        return np.hypot(x - a[0] - t * d[0], y - a[1] - t * d[1]) - radius
+    corners = part[1:]
+    turn = np.sign(np.cross(np.append(corners[1] - corners[0], 0), np.append(corners[2] - corners[0], 0))[2])
+    out = None
+    for k in range(3):
+        a, b = corners[k], corners[(k + 1) % 3]
+        d = (b - a) / np.linalg.norm(b - a)
+        s = turn * (d[1] * (x - a[0]) - d[0] * (y - a[1]))
+        out = s if out is None else np.maximum(out, s)
+    return out
+
+
+def overlap_mask(first: tuple, second: tuple) -> int:
+    """64-bit mask of the squares in which two arrows (start, end, bend, width) overlap.
+
+    Two parts overlap in a square where the larger of their distances is negative somewhere. Distances change no faster than
+    the place, so a square whose centre is farther out than its half diagonal is settled; the others are quartered.
+    """
+    mask = 0
+    for a in _stroke(*first):
+        for b in _stroke(*second):
+            cell = np.array([k for k in range(64) if not mask >> k & 1])
+            x, y, half = cell % 8 + 0.5, cell // 8 + 0.5, 0.5
+            for _ in range(FINEST):
+                far = np.maximum(_outside(a, x, y), _outside(b, x, y))
+                hit = np.unique(cell[far < 0])
+                for k in hit.tolist():
+                    mask |= 1 << k
+                keep = (far < half * 1.4142135623730951) & ~np.isin(cell, hit)
+                if not keep.any():
+                    break
+                cell, x, y, half = np.repeat(cell[keep], 4), np.repeat(x[keep], 4), np.repeat(y[keep], 4), half / 2
+                x, y = x + np.tile([-half, half, -half, half], len(x) // 4), y + np.tile([-half, -half, half, half], len(y) // 4)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def exact_crossings(marks: DataFrame, board: str, mark: str, start: str, end: str, bend: str, width: str) -> DataFrame:
+    """Squares where the strokes of two arrows of a board overlap, however thin: no points are sampled.
+
+    Each pair of different shapes is examined once, whatever the number of boards that have it; a shape that a board has twice
+    overlaps itself where it lies. A board holds a few arrows, so its pairs of shapes are few. ``mark`` is unique within
+    its board.
+    """
+    shape = [start, end, bend, width]
+    own = marks.groupBy(board, *shape).agg(F.count(mark).alias("_n"))
+    name = F.to_json(F.struct(*[F.col(c) for c in shape]), {"ignoreNullFields": "false"})
+    named = own.select(board, "_n", name.alias("_a"))
+    lists = named.groupBy(board).agg(F.array_sort(F.collect_list("_a")).alias("_all"), F.collect_list(
+        F.when(F.col("_n") > 1, F.col("_a"))).alias("_twice"))
+    pairs = lists.select(board, F.explode(F.concat(
+        F.flatten(F.transform("_all", lambda a: F.transform(F.filter("_all", lambda b: b > a), lambda b: F.struct(
+            a.alias("_a"), b.alias("_b"))))), F.transform("_twice", lambda a: F.struct(a.alias("_a"), a.alias("_b"))))).alias("_p")).select(
+        board, "_p._a", "_p._b")
+
+    def examine(batches):
+        for pdf in batches:
+            shapes = [[tuple(json.loads(v)[c] for c in shape) for v in pdf[side]] for side in ("_a", "_b")]
+            yield pdf.assign(_mask=[overlap_mask(x, y) for x, y in zip(*shapes)])
+
+    masks = pairs.select("_a", "_b").distinct().mapInPandas(examine, "_a string, _b string, _mask long")
+    found = pairs.join(masks, ["_a", "_b"]).groupBy(board).agg(F.bit_or("_mask").alias("_m"))
+    return found.select(board, F.explode(mask_cells("_m")).alias("idx"))
+
+
 def annotation_mismatch(touched: DataFrame, boards: DataFrame, annotated: DataFrame, board: str, grid: str) -> DataFrame:
     """(board, problem): stored index lists of arrow coverage that the recomputed cells do not bear out.
 
@@ -394,7 +480,7 @@ def cell_tags(boards: DataFrame, marks: DataFrame, board: str, is_clean: Column,
         F.struct(F.col(b).alias("idx"), F.lit("arrow-tip").alias("tag")))))
     others = marks.where(F.col(kind) != "arrow").select(
         board, F.explode(F.array(a, b)).alias("idx"), F.col(kind).alias("tag"))
-    cross = crossing_cells(arrows, board, mark, a, b, bend, width).withColumn("tag", F.lit("arrow-crossing"))
+    cross = exact_crossings(arrows, board, mark, a, b, bend, width).withColumn("tag", F.lit("arrow-crossing"))
     both = (touch.select(board, "idx").join(others.select(board, "idx").distinct(), [board, "idx"], "left_semi")
             .withColumn("tag", F.lit("arrow-with-other-mark")))
     rows = clean

@@ -198,6 +198,13 @@ def g5b(t):
     return G.crossing_cells(arrows, "position_id", "mark_no", "sq1", "sq2", "bend", "width")
 
 
+@query("g5_exact_crossings")
+def g5_exact(t):
+    arrows = _arrows(t).select(
+        F.floor(F.col("board_id") / 4).alias("position_id"), F.col("board_id").alias("mark_no"), "sq1", "sq2", "bend", "width")
+    return G.exact_crossings(arrows, "position_id", "mark_no", "sq1", "sq2", "bend", "width")
+
+
 _TAGS = ("SELECT board_id, i AS idx, 'clean-control' AS tag FROM boards, idx WHERE conditions = ['clean'] UNION SELECT board_id, sq1, "
          "'arrow-start' FROM marks WHERE kind = 'arrow' UNION SELECT board_id, sq2, 'arrow-tip' FROM marks WHERE kind = 'arrow' UNION "
          "SELECT board_id, unnest([sq1, sq2]), kind FROM marks WHERE kind <> 'arrow'")

@@ -54,6 +54,72 @@ def test_crossing_cells(spark):
     assert {(r.b, r.idx) for r in G.crossing_cells(df, "b", "m", "s", "e", "bend", "w").collect()} == {(1, 36)}
 
 
+def cells_of(mask):
+    return {k for k in range(64) if mask >> k & 1}
+
+
+def sampled(first, second, n):
+    """Squares with a common point on an n x n grid of each square, by the definition of a stroke."""
+    at = (np.arange(8 * n) + 0.5) / n
+    x, y = np.meshgrid(at, at)
+
+    def covered(s, e, bend, w):
+        p, q = (np.array([k % 8 + 0.5, k // 8 + 0.5]) for k in (s, e))
+        c = np.array([q[0], p[1]]) if bend == "horizontal-first" else np.array([p[0], q[1]]) if bend == "vertical-first" else p
+        v = (q - c) / np.hypot(*(q - c))
+        length = max(0.3, 2.1 * w)
+        tail = q - v * length + v * w * 0.4
+
+        def near(a, b):
+            d = b - a
+            t = np.clip(((x - a[0]) * d[0] + (y - a[1]) * d[1]) / max(d @ d, 1e-30), 0, 1)
+            return np.hypot(x - a[0] - t * d[0], y - a[1] - t * d[1]) < w / 2
+
+        along = (q[0] - x) * v[0] + (q[1] - y) * v[1]
+        off = np.abs((x - q[0]) * v[1] - (y - q[1]) * v[0])
+        return near(p, c) | near(c, tail) | ((along > 0) & (along < length) & (off < along / length * 1.5 * w))
+
+    both = covered(*first) & covered(*second)
+    return {r * 8 + f for r in range(8) for f in range(8) if both[r * n:(r + 1) * n, f * n:(f + 1) * n].any()}
+
+
+def test_exact_crossings_find_what_points_miss():
+    """Nothing that any grid finds is missing, everything found is confirmed by a finer grid, and thin overlaps are found."""
+    rng, thin, shapes = np.random.default_rng(7), 0, []
+    while len(shapes) < 60:
+        s, e = (int(k) for k in rng.integers(0, 64, 2))
+        dx, dy = abs(s % 8 - e % 8), abs(s // 8 - e // 8)
+        w = float(rng.choice([0.08, 0.14, 0.22]))
+        if dx * dy == 2:
+            shapes.append((s, e, str(rng.choice(["horizontal-first", "vertical-first"])), w))
+        elif s != e and (dx == 0 or dy == 0 or dx == dy):
+            shapes.append((s, e, None, w))
+    for a, b in zip(shapes[::2], shapes[1::2]):
+        exact = cells_of(G.overlap_mask(a, b))
+        assert exact == cells_of(G.overlap_mask(b, a)) and sampled(a, b, 16) <= exact and sampled(a, b, 40) <= exact
+        missed = exact - sampled(a, b, 16)
+        thin += len(missed)
+        assert not missed or missed <= sampled(a, b, 300), (a, b)
+    corner = (0, 2, None, 0.08), (2, 18, None, 0.08)  # both reach the middle of square 2
+    assert 2 in cells_of(G.overlap_mask(*corner))
+    lanes = (0, 7, None, 0.22), (8, 15, None, 0.22)
+    assert G.overlap_mask(*lanes) == 0
+    # The heads of both arrows end on a common border of squares, a sixtieth of a square deep.
+    a, b = (8, 10, None, 0.22), (3, 24, None, 0.22)
+    assert thin > 0 and cells_of(G.overlap_mask(a, b)) == sampled(a, b, 300)
+
+
+def test_exact_crossings_of_boards(spark):
+    rows = [(1, 1, 32, 39, None, 0.14), (1, 2, 4, 60, None, 0.14), (2, 1, 0, 7, None, 0.08), (2, 2, 56, 63, None, 0.08), (3, 1, 0, 2, None, 0.08),
+            (3, 2, 0, 2, None, 0.08), (4, 1, 32, 39, None, 0.14), (5, 1, 32, 39, None, 0.14), (5, 2, 4, 60, None, 0.14), (5, 3, 56, 7, None, 0.08)]
+    df = spark.createDataFrame(rows, "b long, m long, s long, e long, bend string, w double")
+    got = {}
+    for r in G.exact_crossings(df, "b", "m", "s", "e", "bend", "w").collect():
+        got.setdefault(r.b, []).append(r.idx)
+    got = {b: sorted(v) for b, v in got.items()}
+    assert got[1] == [36] and 2 not in got and 4 not in got and {0, 1, 2} <= set(got[3]) and got[5] == [28, 35, 36]
+
+
 def test_route_table_counts(spark):
     t = G.route_table(spark, [0.08])
     n = {r.geometry: r["count"] for r in t.groupBy("geometry").count().collect()}
