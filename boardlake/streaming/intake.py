@@ -52,40 +52,54 @@ class KeyState(StatefulProcessor):
         self.batch_type = batch_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.admitted = handle.getValueState("admitted", "value string, several boolean")
+        self.summary = handle.getValueState("summary", "value string, several boolean, waiting bigint")
         self.claims = handle.getMapState("claims", f"round bigint, batch {self.batch_type}", "value string, voted boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.admitted.get() if self.admitted.exists() else None
+        """One read and one write of the summary; claims are read only if some are waiting."""
+        before = self.summary.get()
+        value, several, waiting = before or (None, False, 0)
+        fresh = {}
         for r in rows:
+            place = (r.round, r.batch)
             if r.event == "claim":
-                self.claims.updateValue((r.round, r.batch), (r.value, False))
+                fresh[place] = r.value
                 continue
-            if r.event in ("commit", "abort") and self.claims.containsKey((r.round, r.batch)):
-                self.claims.removeKey((r.round, r.batch))
+            if r.event != "seed" and waiting:  # a decided batch; before a value is admitted its claim is held
+                self.claims.removeKey(place)
+                waiting -= 1
             if r.event in ("commit", "seed"):
-                now = (r.value, False) if held is None else (held[0], held[1] or held[0] != r.value)
-                if held is None or now != (held[0], held[1]):
-                    held = now
-                    self.admitted.update(held)
-        for place, value, yes in self._answers(held):
-            yield Row(rule=key[0], key=key[1], round=place[0], batch=place[1], value=value, yes=yes)
-
-    def _answers(self, held) -> list:
-        if held is not None:
-            out = [(place, value, not held[1] and value == held[0]) for place, (value, voted) in self._open() if not voted]
-            self.claims.clear()
-            return out
-        first = min(self._open(), default=None)
-        if first is None:
+                several = several or (value is not None and value != r.value)
+                value = r.value if value is None else value
+        if value is not None:
+            answers = [(p, v, not several and v == value) for p, v in fresh.items()]
+            if waiting:
+                answers += [(p, v, not several and v == value) for p, (v, voted) in self._open() if not voted]
+                self.claims.clear()
+                waiting = 0
+        else:
+            answers = self._first_answers(fresh, dict(self._open()) if waiting else {})
+            waiting += len(fresh)
+        if (value, several, waiting) != (before or (None, False, 0)):
+            self.summary.update((value, several, waiting))
+        for place, said, yes in answers:
+            yield Row(rule=key[0], key=key[1], round=place[0], batch=place[1], value=said, yes=yes)
+
+    def _first_answers(self, fresh: dict, held: dict) -> list:
+        """Without an admitted value: a yes to all that agree with the earliest claim and precede any that differs."""
+        claims = {**held, **{p: (v, False) for p, v in fresh.items()}}
+        if not claims:
             return []
-        value = first[1][0]
-        other = min((place for place, (v, _) in self._open() if v != value), default=None)
-        out = [(place, value, True) for place, (v, voted) in self._open()
-               if v == value and not voted and (other is None or place < other)]
-        for place, *_ in out:
-            self.claims.updateValue(place, (value, True))
-        return out
+        value = claims[min(claims)][0]
+        other = min((p for p, (v, _) in claims.items() if v != value), default=None)
+        answers = []
+        for place, (said, voted) in claims.items():
+            yes = not voted and said == value and (other is None or place < other)
+            if yes:
+                answers.append((place, said, True))
+            if yes or place in fresh:
+                self.claims.updateValue(place, (said, yes))
+        return answers
 
     def _open(self):
         return ((tuple(place), tuple(claim)) for place, claim in self.claims.iterator())
