@@ -4,7 +4,7 @@ import xxhash  # noqa: F401  (the operators need it)
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boardlake.llm import decontaminate, mixing, quality, simhash
+from boardlake.llm import decontaminate, mixing, near_copies, quality
 from boardlake.llm.common import stored, table
 
 
@@ -26,8 +26,9 @@ def test_stages(spark, sf):
     before, after = seen["line dedup"]
     assert after.where(F.length("text") != F.col("n_chars")).count() == before.where(F.length("text") != F.col("n_chars")).count()
     before, after = seen["near duplicates"]
-    groups = simhash.near_duplicates(before).select("component_id").distinct().count()
-    assert after.count() == groups
+    gone = near_copies.near_copies(before)
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in near_copies.keep_one(before).collect()}
+    assert gone.where("keep").count() > 0 and after.count() < before.count()
     before, after = seen["decontamination"]
     bad = decontaminate.contamination(before, table(spark, sf, "benchmark")).where("contaminated").count()
     assert after.count() == before.count() - bad
