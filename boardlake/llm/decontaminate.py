@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardlake.llm.common import ascii_lower, bounded, stored
+from boardlake.llm.common import ascii_lower, bounded, own_column, stored
 
 WINDOW = 13
 
@@ -156,3 +156,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     judged = contamination(docs, items, id_col=id_col, text_col=text_col)
     gone = stored(judged.where("contaminated").select(id_col).distinct(), "index-gone")
     return docs.join(bounded(gone), id_col, "left_anti")
+
+
+def drop_contaminated_rows(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose own text is not contaminated, whatever their id: null and repeated ids are judged alike."""
+    key = own_column(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    judged = contamination(keyed.select(key, text_col), items, id_col=key, text_col=text_col)
+    gone = stored(judged.where("contaminated").select(key).distinct(), "index-gone")
+    return keyed.join(bounded(gone), key, "left_anti").select(docs.columns)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardlake.llm.common import bounded, stored
+from boardlake.llm.common import bounded, own_column, stored
 
 BASE, PRIME = 0x1F3D5B79A2C4E687, (1 << 61) - 1
 
@@ -216,22 +216,23 @@ def deleted_lines(docs: DataFrame, block_words: int = 12, id_col: str = "doc_id"
         F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "line-cuts")
 
 
-def dedup_lines(docs: DataFrame, block_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, block_words: int = 12, id_col: str = "doc_id", text_col: str = "text",
+                counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
     """All columns of ``docs`` with shortened texts, plus ``n_lines`` and ``n_deleted``.
 
     Lines end at ``\\n``. Deletions are judged on the input texts, not on what is left of the earlier one. Null
     and empty texts, and rows with a null id, stay as they are and shorten no other. Equal rows are one
     document and get the same result; different texts of one id come in the order of their
-    xxhash64. Empty tables give an empty result. Columns of ``docs`` named ``n_lines`` or ``n_deleted``
-    are replaced.
+    xxhash64. Empty tables give an empty result. Columns of ``docs`` with the
+    names in ``counts`` are replaced; no other name clashes. Very long texts take time in proportion to their lines.
     """
-    cuts = deleted_lines(docs, block_words, id_col, text_col).select(
-        F.col("doc_id").alias("_cut_id"), F.col("sig").alias("_cut_sig"), F.col("gone").alias("_gone"))
+    cut_id, cut_sig, gone = names = [own_column(docs, c) for c in ("cut_id", "cut_sig", "gone")]
+    cuts = deleted_lines(docs, block_words, id_col, text_col).select("doc_id", "sig", "gone").toDF(*names)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(bounded(cuts, 300_000), (F.col(id_col) == F.col("_cut_id")) & (F.xxhash64(text) == F.col("_cut_sig")),
-                       "left")
+    joined = docs.join(bounded(cuts, 300_000), (F.col(id_col) == F.col(cut_id)) & (F.xxhash64(text) == F.col(cut_sig)), "left")
     lines = F.split(text, "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.transform(F.array(lines), lambda own: F.array_join(F.transform(left, lambda i: F.get(own, i)), "\n"))[0]
     return joined.withColumns({
-        "n_lines": F.size(lines).cast("long"), "n_deleted": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)}).drop("_cut_id", "_cut_sig", "_gone")
+        counts[0]: F.size(lines).cast("long"), counts[1]: F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+        text_col: F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)}).drop(*names)

@@ -89,3 +89,13 @@ def test_drop_contaminated(spark):
                               "doc_id long, text string, source string")
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert sorted((r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()), key=repr) == [2, 3, None]
+
+
+def test_rows_go_by_their_own_text(spark):
+    item = " ".join(f"b{i}" for i in range(13))
+    rows = [(1, "clean words here", "k"), (1, "see " + item, "k"), (None, item, "k"), (None, None, "k"), (2, "", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string")
+    items = spark.createDataFrame([("i", item)], "item_id string, text string")
+    out = decontaminate.drop_contaminated_rows(docs, items)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([rows[0], rows[3], rows[4]], key=repr)

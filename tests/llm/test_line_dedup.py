@@ -142,3 +142,19 @@ def test_repeated_and_moved_blocks(spark):
     got = {i: (t, n) for i, t, n in run(spark, rows)}
     assert got[1] == (rows[0][1], 0) and got[2] == ("y\nx\nz", 16)
     assert got[3] == (f"{q}\nv", 9) and got[4] == ("a\nb", 16)
+
+
+def test_columns_of_any_name_stay(spark):
+    block = "one two three four five six seven\neight nine ten eleven twelve thirteen"
+    rows = [(1, block, 1, 2, 3, "a", 5), (2, "own words\n" + block + "\nend", 6, 7, 8, "b", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int, cut_id int, cut_sig int, _gone string, n_lines int")
+    out = line_dedup.dedup_lines(df, counts=("lines", "deleted"))
+    assert out.columns == df.columns + ["lines", "deleted"]
+    assert sorted(map(tuple, out.collect())) == [(*rows[0], 2, 0), (2, "own words\nend", *rows[1][2:], 4, 2)]
+
+
+def test_a_document_of_very_many_lines(spark):
+    block = "\n".join(f"line {i} of a long shared list of words" for i in range(20_000))
+    rows = [(1, block), (2, "head\n" + block + "\ntail")]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].text == block and out[2].text == "head\ntail" and out[2].n_deleted == 20_000
