@@ -36,12 +36,21 @@ def read_index(spark: SparkSession, path: str, schema: str, split: str) -> DataF
 
 def read_cells(spark: SparkSession, path: str, split: str, length: int,
                selected: DataFrame | None = None) -> DataFrame:
-    """Cell rows of one split with a shape flag, optionally only the selected (board, cell) rows."""
-    cells = spark.read.parquet(path).where(F.col("split") == split)
-    if selected is not None:
-        cells = cells.join(selected.select("board_id", "idx"), ["board_id", "idx"], "left_semi")
-    return cells.withColumn("valid", F.coalesce(
+    """Cell rows of one split with a shape flag, optionally only the selected (board, cell) rows.
+
+    Selected cells are reduced to one bit mask for each board and block of 64 indexes. Their number is unknown before
+    they are made, and an estimate may take millions for few, so the join is never left to a broadcast.
+    """
+    cells = spark.read.parquet(path).where(F.col("split") == split).withColumn("valid", F.coalesce(
         (F.size("px") == length) & F.col("idx").between(0, CELLS - 1) & F.col("class_id").between(0, 12), F.lit(False)))
+    if selected is None:
+        return cells
+    block, bit = F.floor(F.col("idx") / CELLS), F.call_function(
+        "shiftleft", F.lit(1).cast("long"), F.pmod("idx", F.lit(CELLS)).cast("int"))
+    masks = selected.where(F.col("idx").isNotNull()).select("board_id", block.alias("_block"), bit.alias("_bit")).groupBy(
+        "board_id", "_block").agg(F.bit_or("_bit").alias("_mask")).hint("shuffle_hash")
+    return (cells.withColumn("_block", block).join(masks, ["board_id", "_block"])
+            .where(F.col("_mask").bitwiseAND(bit) != 0).drop("_block", "_mask"))
 
 
 def publish(df: DataFrame, path: str, partition_by: Sequence[str], file_rows: int = 5_000_000,

@@ -318,3 +318,16 @@ def test_shared_folder_needs_a_setting_on_a_cluster(spark):
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             base_folder(there(master, None))
+
+
+def test_selected_cells_are_never_broadcast(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    rows = [(b, i, i % 13, "evaluation", [1, 2, 3]) for b in range(3) for i in (0, 5, 63, 64, 70, -1)]
+    rows.append((1, None, 2, "evaluation", [1, 2, 3]))
+    spark.createDataFrame(rows, "board_id long, idx long, class_id long, split string, px array<int>").write.partitionBy(
+        "split").parquet(path)
+    wanted = spark.createDataFrame([(0, 5), (0, 5), (1, 63), (1, 64), (1, None), (2, -1), (2, 6), (9, 0)], "board_id long, idx long")
+    out = D.read_cells(spark, path, "evaluation", 3, wanted)
+    assert values(out, "board_id", "idx", "valid") == sorted(
+        [(0, 5, True), (1, 63, True), (1, 64, False), (2, -1, False)], key=repr)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
