@@ -284,6 +284,15 @@ def tag_examples(cells: DataFrame, tags: str, archive: str, class_id: str, idx:
                     F.col("_at.i").alias(idx)))
 
 
+def marked_cells(cells: DataFrame, marks: DataFrame, board: str, idx: str, squares: str) -> DataFrame:
+    """Each cell beside each mark of its board that lies on it, once, however often the mark names the square.
+
+    Both sides meet by the board alone, on the partitioning they may have already. Which side is small is not known
+    before the marks are made, so none of them is left to a broadcast.
+    """
+    return cells.join(marks.hint("shuffle_hash"), board).where(F.array_contains(squares, F.col(idx))).drop(squares)
+
+
 def marked_coverage(marked: DataFrame, split: str, kind: str, class_id: str, idx: str,
                     splits: Sequence[str] = SPLITS, kinds: Sequence[str] = ("arrow", *MARK_KINDS)) -> DataFrame:
     """Marked cells per split x kind x class x colour with zero rows for missing pairs."""

@@ -199,8 +199,7 @@ def a12b(t):
       "(SELECT unnest(['arrow', 'last-move', 'selection', 'check', 'circle', 'move-dot']) AS kind), (SELECT CAST(range AS BIGINT) AS class_id FROM range(13)), "
       "(SELECT unnest(['light', 'dark']) AS background)"))
 def a13(t):
-    ends = t.marks.select("board_id", "kind", F.explode(F.array_distinct(F.array("sq1", "sq2"))).alias("idx"))
-    marked = t.cells.join(ends, ["board_id", "idx"])
+    marked = M.marked_cells(t.cells, t.marks.select("board_id", "kind", F.array("sq1", "sq2").alias("squares")), "board_id", "idx", "squares")
     return M.marked_coverage(marked, "split", "kind", "class_id", "idx")
 
 

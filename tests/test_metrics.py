@@ -104,3 +104,13 @@ def test_cell_changes(spark):
     assert [r.change for r in P.cell_changes(df, "e", "a", "b", []).orderBy("idx").collect()] == [
         "regression", "recovery", "changed-error"]
     assert df.where(F.col("a") != F.col("b")).count() == 3
+
+
+def test_marked_cells_are_never_broadcast(spark):
+    cells = spark.createDataFrame([(b, i) for b in (1, 2) for i in range(4)], "board_id long, idx long")
+    marks = spark.createDataFrame([(1, "arrow", [0, 0]), (1, "circle", [0, 3]), (2, "check", [1, None]), (3, "arrow", [1, 2])],
+                                  "board_id long, kind string, squares array<long>")
+    out = M.marked_cells(cells, marks, "board_id", "idx", "squares")
+    assert values(out, "board_id", "idx", "kind") == sorted(
+        [(1, 0, "arrow"), (1, 0, "circle"), (1, 3, "circle"), (2, 1, "check")], key=repr)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
