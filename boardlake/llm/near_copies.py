@@ -9,8 +9,15 @@ long, the ``parts`` ones with the smallest mixed fingerprints stand for it, so t
 Texts meet under equal fingerprints. A fingerprint that more than ``crowd`` texts share deals them again by pairs
 of their parts. Under each key, all meet the ``leaders`` texts with the smallest hashes there: all pairs, if the
 key has no more, and otherwise leaders that differ from key to key. Each pair whose lengths allow it is then
-verified by the Jaccard similarity of the two whole shingle sets. A pair that shares no chosen part is missed, as
-with any SimHash; what is lost is measured in the README.
+verified by the Jaccard similarity of the two whole shingle sets.
+
+What these fingerprints miss is found by an exact prefix filter between the groups that they made: two texts of the
+similarity share one of the first ``n - ceil(0.8 n) + 1`` shingles of each, in any order that all texts use, and k of
+the first ``n - ceil(0.8 n) + k``. In the order of hashes most texts share fewer with other groups and are settled. The others are ordered again,
+shingles of one group first (they link nothing that is not linked), then those of few holders. Texts of different
+groups that share a shingle of these prefixes are compared, all of them, by the shingles that more than one group has.
+So the groups are those of all pairs. The work of this part grows with the pairs of texts in different groups that share
+a rare shingle.
 """
 
 from __future__ import annotations
@@ -28,6 +35,7 @@ from boardlake.llm.simhash import SEED, _words, link_fingerprints
 SIZE = 5
 RADIUS = 4
 BLOCK = 1 << 13
+EXTRA = 20
 
 
 def shingle_hashes(text: str, size: int = SIZE) -> np.ndarray:
@@ -67,7 +75,10 @@ def mixed(fp: np.ndarray) -> np.ndarray:
 
 def sketch(text: str, parts: int = 8, size: int = SIZE) -> tuple[int, int, np.ndarray]:
     """(distinct shingles, SimHash of the whole, chosen SimHashes of parts); (0, 0, [0]) without words."""
-    hashes = shingle_hashes(text, size)
+    return _sketch(shingle_hashes(text, size), parts)
+
+
+def _sketch(hashes: np.ndarray, parts: int) -> tuple[int, int, np.ndarray]:
     if not len(hashes):
         return 0, 0, np.zeros(1, dtype=np.uint64)
     starts, whole, found = part_starts(hashes), np.zeros(64, dtype=np.int64), []
@@ -83,19 +94,32 @@ def sketch(text: str, parts: int = 8, size: int = SIZE) -> tuple[int, int, np.nd
     return len(np.unique(hashes)), int(np.packbits(2 * whole > len(hashes), bitorder="little").view("<u8")[0]), chosen
 
 
-def _sketches(docs: DataFrame, parts: int, size: int) -> DataFrame:
-    """(doc_id, sig, n, fp, parts) of every row of (doc_id, sig, text)."""
+def prefix_size(n: int, percent: int) -> int:
+    """First shingles of a set of ``n`` that are stored: so many that any set of the similarity has ``n // EXTRA + 1`` of them.
+
+    If the other set is smaller, its own number holds, which is at least that of ``percent`` of ``n``.
+    """
+    needed = -(-percent * n // 100)
+    return n - needed + min(n // EXTRA + 1, needed)
+
+
+def _sketches(docs: DataFrame, parts: int, size: int, percent: int) -> DataFrame:
+    """(doc_id, sig, n, fp, parts, prefix) of every row of (doc_id, sig, text); the prefix is in the order of hashes."""
     def run(batches):
         for batch in batches:
-            got = [sketch(t.as_py(), parts, size) for t in batch.column(2)]
+            got, firsts = [], []
+            for text in batch.column(2):
+                hashes = shingle_hashes(text.as_py(), size)
+                got.append(_sketch(hashes, parts))
+                firsts.append(np.unique(hashes)[:prefix_size(got[-1][0], percent)].view(np.int64))
             yield pa.record_batch([
                 batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int64()),
                 pa.array(np.array([g[1] for g in got], dtype=np.uint64).view(np.int64)),
-                pa.array([g[2].view(np.int64) for g in got], pa.list_(pa.int64()))],
-                names=["doc_id", "sig", "n", "fp", "parts"])
+                pa.array([g[2].view(np.int64) for g in got], pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["doc_id", "sig", "n", "fp", "parts", "prefix"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sig long, n long, fp long, "
-                                "parts array<long>")
+                                "parts array<long>, prefix array<long>")
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -144,15 +168,21 @@ def _pairs(nodes: DataFrame, crowd: int, leaders: int, percent: int) -> DataFram
     return stored(led.union(anchored).distinct(), "near-pairs")
 
 
-def _links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs whose whole shingle sets have the similarity; sets are computed for texts in pairs only."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes, "sig").select(
-        F.col("sig").alias("want"), F.col("doc_id").alias("want_id")), "near-wanted")
+def _sets_of(sigs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(sig, shingles) of the texts named by ``sigs``, once each."""
+    wanted = stored(sigs.join(nodes, "sig").select(F.col("sig").alias("want"), F.col("doc_id").alias("want_id"),
+                                                 (F.col("copies") > 1).alias("several")), "near-wanted")
     texts = rows.join(bounded(wanted), (F.col("sig") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("want_id")),
-                      "left_semi").select("sig", "text")
+                      "inner")
+    once = texts.where(~F.col("several")).select("sig", "text")
+    again = texts.where("several").select("sig", "text").dropDuplicates(["sig"])
     with short_batches(rows.sparkSession):
-        sets = stored(_shingle_sets(texts, size), "near-texts")
-    sets = stored(sets.dropDuplicates(["sig"]), "near-sets")
+        return stored(_shingle_sets(once.union(again), size), "near-sets")
+
+
+def _links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs whose whole shingle sets have the similarity; sets are computed for texts in pairs only."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), rows, nodes, size)
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -160,6 +190,61 @@ def _links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, si
     return stored(both.where(alike).select("a", "b"), "near-links")
 
 
+def _between_groups(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """(token, sig, root, held) of the rows (token, sig) whose token more than one group holds.
+
+    Tokens of one text are most of all and go first, so that they carry no group.
+    """
+    alone = Window.partitionBy("token")
+    two = stored(rows.select("token", "sig", F.min("sig").over(alone).alias("low"), F.max("sig").over(alone).alias("high")).where(
+        "low < high").select("token", "sig"), "near-tokens")
+    two = two.join(of, "sig", "left").select("token", "sig", F.coalesce("root", "sig").alias("root"))
+    return stored(two.select("*", F.min("root").over(alone).alias("low"), F.max("root").over(alone).alias("high"), F.count("*").over(
+        alone).alias("held")).where("low < high").select("token", "sig", "root", "held"), "near-shared")
+
+
+def _missed_links(rows: DataFrame, nodes: DataFrame, found: DataFrame, roots: DataFrame, percent: int, size: int) -> DataFrame:
+    """Every pair (a, b) of the similarity whose texts are in different groups of ``roots``."""
+    of = roots.select(F.col("node").alias("sig"), "root")
+    least = F.ceil(percent * F.col("n") / 100)  # common shingles of a text and any that is similar to it; also the least size
+    shared = _between_groups(found.select("sig", F.explode("prefix").alias("token")), of)
+    enough = F.col("common") >= F.least(F.floor(least / EXTRA) + 1, F.ceil(percent * least / 100))
+    for _ in range(2):  # the second time without what only settled texts share
+        met = shared.groupBy("sig").agg(F.countDistinct("token").alias("common")).join(nodes.select("sig", "n"), "sig")
+        met = stored(met.where(enough).select("sig"), "near-met")
+        shared = _between_groups(shared.join(met, "sig", "left_semi"), of)
+    met = shared.groupBy("sig").agg(F.countDistinct("token").alias("common")).join(nodes.select("sig", "n"), "sig").where(
+        enough).select("sig")
+    sets = _sets_of(met, rows, nodes, size)
+    shared = _between_groups(sets.select("sig", F.explode("shingles").alias("token")), of).join(nodes.select("sig", "n"), "sig")
+    # Only shingles of several groups can be common to two groups, and a text needs enough of them to be linked.
+    # The others come first in the order, so a text's place in it is known from their number.
+    held = shared.withColumn("all", F.count("*").over(Window.partitionBy("sig"))).where(F.col("all") >= least)
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("held", "token"))
+    held = stored(held.withColumn("place", F.col("n") - F.col("all") + place), "near-held")
+    keys = stored(held.where(F.col("place") <= F.col("n") - least + 1).select("token", "sig", "n", "root", "place"), "near-prefixes")
+    # Under a key, texts outside its largest group meet all others; inside a group nothing is left to link.
+    sizes = keys.groupBy("token", "root").agg(F.count("*").alias("size"))
+    largest = stored(sizes.groupBy("token").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("groups"))
+                     .where("groups > 1").select("token", F.col("top.root").alias("top")), "near-largest")
+    several = keys.join(largest, "token")
+    left = several.where("root <> top").select("token", F.col("sig").alias("a"), F.col("n").alias("x"), F.col("root").alias("from"),
+                                               F.col("place").alias("i"))
+    right = several.select("token", F.col("sig").alias("b"), F.col("n").alias("y"), F.col("root").alias("to"),
+                           F.col("place").alias("j"), "top")
+    # If this is their first common shingle, no more than those from here on are common; of linked texts one key says so.
+    most = 1 + F.least(F.col("x") - F.col("i"), F.col("y") - F.col("j"))
+    near = (100 + percent) * most >= percent * (F.col("x") + F.col("y"))
+    pairs = stored(left.join(right, "token").where((F.col("from") != F.col("to")) & near & (
+        (F.col("to") == F.col("top")) | (F.col("a") < F.col("b")))).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-others")
+    lists = stored(held.groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "near-lists")
+    both = pairs.join(lists.select(F.col("sig").alias("a"), F.col("n").alias("x"), F.col("tokens").alias("s")), "a")
+    both = both.join(lists.select(F.col("sig").alias("b"), F.col("n").alias("y"), F.col("tokens").alias("t")), "b")
+    common = F.size(F.array_intersect("s", "t"))
+    return both.where(100 * common >= percent * (F.col("x") + F.col("y") - common)).select("a", "b")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = SIZE,
                 parts: int = 8, leaders: int = 8, crowd: int = 64) -> DataFrame:
     """Return (sig, keep, keep_id, repeated) for every text that has a copy or near copy in ``docs``.
@@ -172,7 +257,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     with short_batches(docs.sparkSession):
-        found = stored(_sketches(rows, parts, size), "near-sketches")
+        found = stored(_sketches(rows, parts, size, percent), "near-sketches")
     each = found.groupBy("sig", "doc_id").agg(F.count("*").alias("copies"), F.first("n").alias("n"),
                                               F.first("fp").alias("fp"), F.first("parts").alias("parts"))
     least = F.min_by(F.struct("doc_id", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id"))
@@ -181,6 +266,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.first("parts").alias("parts")).select("sig", "held", "least.*", "n", "fp", "parts"), "near-nodes")
     links = _links(rows, nodes, _pairs(nodes, crowd, leaders, percent), percent, size)
     roots = components(links)
+    missed = stored(_missed_links(rows, nodes, found, roots, percent, size), "near-missed")
+    if not missed.isEmpty():
+        roots = components(links.union(missed))
     linked = stored(roots.join(nodes.select("sig", "doc_id"), F.col("node") == F.col("sig")).select(
         "root", "sig", "doc_id"), "near-linked")
     first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sig")).alias("first"))

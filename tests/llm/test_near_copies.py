@@ -99,6 +99,28 @@ def test_a_common_passage_links_nothing(spark):
     assert kept(df) == sorted(range(150), key=repr)
 
 
+def test_pairs_under_crowded_parts_are_found(spark):
+    rng = random.Random(23)
+    passage, texts = " ".join(f"p{i}" for i in range(100)), []
+    for k in range(120):
+        own = [f"u{rng.randrange(10**6)}" for _ in range(30)]
+        texts += [f"{passage} {' '.join(own)}", f"{passage} {edited(rng, own, 2)}"]
+    rng.shuffle(texts)
+    groups, links = plain_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert len(links) >= 120 and kept(df) == sorted(set(groups), key=repr)
+
+
+def test_caps_lose_no_link(spark):
+    rng = random.Random(29)
+    texts = [t for k in range(8) for t in family(rng, 40 + 30 * k, 25, 4)] + ["", "one two", "One two", "a b c d e"]
+    rng.shuffle(texts)
+    texts = list(dict.fromkeys(texts))
+    groups, _ = plain_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert kept(df, parts=1, leaders=1, crowd=2) == sorted(set(groups), key=repr)
+
+
 def test_rows_are_judged_one_by_one(spark):
     text = "the quick brown fox jumps over the lazy dog again and again until the night falls"
     rows = [(None, text, 1, {"a": 1}), (4, text, 2, None), (4, text, 3, None), (4, "a clean text of another row", 4, None),
