@@ -6,6 +6,7 @@ looked-up side to one row per key, so the output grows with the left side only.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -122,18 +123,26 @@ def plan_jobs(positions: DataFrame, group: str, position: str, configs: Sequence
                                                     F.col(group).cast("string")))
 
 
+def _routes_to(end: int) -> list[tuple[int, str]]:
+    """(start, geometry) of every square from which a straight or knight arrow can end on ``end``."""
+    found = []
+    for start in range(64):
+        dx, dy = abs(start % 8 - end % 8), abs(start // 8 - end // 8)
+        geometry = ("horizontal" if dx and not dy else "vertical" if dy and not dx else "diagonal" if dx and dx == dy else
+                    "knight" if dx * dy == 2 else None)
+        if geometry:
+            found.append((start, geometry))
+    return found
+
+
 def arrow_routes(df: DataFrame, end: str) -> DataFrame:
     """Every start square from which a straight or knight arrow can end on ``end``.
 
-    64 candidate starts per row are generated in place and filtered by geometry.
+    The routes of the 64 squares are one small literal, from which each row takes those of its square.
     """
-    rows = df.select("*", F.explode(literal_array(range(64)).cast("array<bigint>")).alias("start"))
-    dx = F.abs(F.col("start") % 8 - F.col(end) % 8)
-    dy = F.abs(F.floor(F.col("start") / 8) - F.floor(F.col(end) / 8))
-    geometry = (F.when((dx > 0) & (dy == 0), "horizontal").when((dx == 0) & (dy > 0), "vertical")
-                .when((dx == dy) & (dx > 0), "diagonal")
-                .when((dx * dy == 2), "knight"))
-    return rows.withColumn("geometry", geometry).where(F.col("geometry").isNotNull())
+    table = F.from_json(F.lit(json.dumps([[{"start": s, "geometry": g} for s, g in _routes_to(e)] for e in range(64)])),
+                        "array<array<struct<start:bigint,geometry:string>>>")
+    return df.select("*", F.inline(F.get(table, F.col(end).cast("int"))))
 
 
 def _hash_keys(df: DataFrame, row_id: str, hashes: Sequence[str]) -> DataFrame:

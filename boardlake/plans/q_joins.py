@@ -102,8 +102,8 @@ def j8(t):
     "THEN 'knight' END AS geometry FROM (SELECT class_id, abs(i % 8 - idx % 8) AS dx, abs(i // 8 - idx // 8) AS dy "
     "FROM cells, idx)) WHERE geometry IS NOT NULL GROUP BY 1, 2"))
 def j8_all(t):
-    return J.arrow_routes(t.cells.select("class_id", "idx"), "idx").groupBy("class_id", "geometry").agg(
-        F.count(F.lit(1)).alias("routes"))
+    ends = t.cells.groupBy("class_id", "idx").agg(F.count(F.lit(1)).alias("n"))  # before routes multiply rows
+    return J.arrow_routes(ends, "idx").groupBy("class_id", "geometry").agg(F.sum("n").alias("routes"))
 
 
 _KEYS = "SELECT doc_id, split, unnest(['text_sha', 'norm_sha', 'head_sha']) AS kind, " \
