@@ -9,6 +9,8 @@ exchange.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +19,10 @@ from boardlake.functions.constants import FAILED, MARK_KINDS, N_CLASSES, SPLITS
 from boardlake.functions.hashing import value_bucket
 from boardlake.functions.placement import background, class_label, literal_array
 from boardlake.operators.audits import full_grid
+from boardlake.operators.joins import _stored
 
 ONE = "*"  # counted as rows; a name, so importing needs no session
+BITS = 16  # classes that have a bit for each colour
 
 
 def ratio(num: Column | str, den: Column | str) -> Column:
@@ -245,15 +249,42 @@ def coverage(cells: DataFrame, class_id: str, idx: str, board: str, position: st
              split: str, splits: Sequence[str] = SPLITS) -> DataFrame:
     """Squares, boards, positions and groups per split x class x colour (full grid of ``splits``).
 
-    Distinct counting goes through two keyed reductions, not one set per class.
+    The (class, colour) pairs of a board are bits of one number, so its 64 cells become one row before any distinct
+    counting, and positions and groups join the bits of their boards. Cells of classes without a bit are counted as rows.
     """
-    rows = cells.groupBy(split, class_id, background(idx).alias("background"), board, position,
-                         group).agg(F.count(ONE).alias("_n"))
-    by = [split, class_id, "background"]
-    pos = rows.groupBy(*by, position, group).agg(F.sum("_n").alias("_n"), F.count(ONE).alias("_b"))
-    counts = pos.groupBy(*by).agg(
-        F.sum("_n").alias("squares"), F.sum("_b").alias("boards"),
-        F.countDistinct(position).alias("positions"), F.countDistinct(group).alias("groups"))
+    by, keys = [split, class_id, "background"], [split, board, position, group]
+    with_bit = F.coalesce(F.col(class_id).between(0, BITS - 1), F.lit(False))
+    place = (2 * F.col(class_id) + F.when(background(idx) == "dark", 1).otherwise(0)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    pairs = F.array(*[F.struct(F.lit(c).cast(cells.schema[class_id].dataType).alias(class_id), F.lit(b).alias("background"),
+                               F.lit(2 * c + i).alias("_bit")) for c in range(BITS) for i, b in enumerate(("light", "dark"))])
+
+    def held(rows: DataFrame, name: str) -> DataFrame:
+        """How many of ``rows`` have each bit."""
+        sums = rows.groupBy(split).agg(*[F.sum(F.getbit("_bits", F.lit(b)).cast("long")).alias(f"_{b}") for b in range(2 * BITS)])
+        listed = sums.select(split, F.array(*[f"_{b}" for b in range(2 * BITS)]).alias("_sums"), F.inline(pairs))
+        return listed.select(*by, F.get("_sums", "_bit").alias(name)).where(F.col(name) > 0)
+
+    def of(rows: DataFrame, key: str) -> DataFrame:
+        return rows.where(F.col(key).isNotNull()).groupBy(split, key).agg(F.bit_or("_bits").alias("_bits"))
+
+    squares = _stored(cells.groupBy(split, class_id, background(idx).alias("background")).agg(F.count(ONE).alias("squares")),
+                      "coverage-squares")
+    boards = _stored(cells.where(with_bit).groupBy(*keys).agg(F.bit_or(bit).alias("_bits")), "coverage-boards")
+    counts = squares.where(with_bit)
+    for rows, name in ((boards, "boards"), (of(boards, position), "positions"), (of(boards, group), "groups")):
+        counts = counts.join(held(rows, name), by, "left")
+    if squares.where(~with_bit).isEmpty():
+        return _coverage_grid(cells, counts, by, split, splits, class_id)
+    rows = cells.where(~with_bit).groupBy(split, class_id, background(idx).alias("background"), board, position, group).agg(
+        F.count(ONE).alias("_n"))
+    counts = counts.unionByName(rows.groupBy(*by).agg(
+        F.sum("_n").alias("squares"), F.count(ONE).alias("boards"), F.countDistinct(position).alias("positions"),
+        F.countDistinct(group).alias("groups")))
+    return _coverage_grid(cells, counts, by, split, splits, class_id)
+
+
+def _coverage_grid(cells: DataFrame, counts: DataFrame, by: list[str], split: str, splits: Sequence[str], class_id: str) -> DataFrame:
     return (full_grid(cells, {split: splits}, class_id).join(counts, by, "full").na.fill(0, ["squares", "boards", "positions", "groups"])
             .withColumn("label", class_label(class_id)))
 
