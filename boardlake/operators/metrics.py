@@ -404,11 +404,13 @@ def teacher_audit(draws: DataFrame, cell_keys: Sequence[str], pool: str, label:
     for consistency without comparing arrays pairwise.
     """
     conflict = F.col(target_class).isNotNull() & (F.col(target_class) != F.col(label))
+    known = F.col(target_digest).isNotNull()  # numbers, as strings cannot be aggregated by hash
+    digest = [F.when(known, F.xxhash64(target_digest)), F.when(known, F.hash(target_digest))]
     per_cell = draws.groupBy(pool, *cell_keys).agg(
         F.count(ONE).alias("_n"), F.count(target_class).alias("_t"),
         count_of(conflict).alias("_c"),
         count_of(conflict & (F.col(label) == 0)).alias("_f"),
-        (F.min(target_digest) != F.max(target_digest)).alias("_diff"))
+        reduce(or_, [F.min(d) != F.max(d) for d in digest]).alias("_diff"))
     return per_cell.groupBy(pool).agg(
         F.sum("_n").alias("exposures"), F.count(ONE).alias("distinct_cells"),
         F.sum("_t").alias("soft_exposures"), F.sum("_c").alias("conflicting_targets"),

@@ -262,7 +262,7 @@ def a17(t):
       "sha256(concat_ws('|', CASE WHEN pred_id >= 0 THEN CAST(pred_id AS VARCHAR) END)) AS dg "
       "FROM cells c JOIN boards USING (board_id)"))
 def a20(t):
-    draws = t.cells.select(
+    draws = t.cells_by("seed_key").select(
         F.col("category").alias("pool"), "seed_key", "idx", "class_id",
         F.when(F.col("pred_id") >= 0, F.col("pred_id")).alias("tc")) \
         .withColumn("dg", stable_hash("tc"))

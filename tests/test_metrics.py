@@ -2,6 +2,7 @@ import numpy as np
 from conftest import values
 from pyspark.sql import functions as F
 
+from boardlake.plans import QUERIES
 from boardlake.operators import compare as P
 from boardlake.operators import gates as Q
 from boardlake.operators import metrics as M
@@ -114,3 +115,40 @@ def test_marked_cells_are_never_broadcast(spark):
     assert values(out, "board_id", "idx", "kind") == sorted(
         [(1, 0, "arrow"), (1, 0, "circle"), (1, 3, "circle"), (2, 1, "check")], key=repr)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coverage_of_any_class_by_definition(spark, sf):
+    rows = [(s, c, b, None if b == 7 else b // 2, b // 3, i) for b in range(12) for i in range(64)
+            for s in ("training",) for c in [None if (b + i) % 9 == 0 else -1 if (b + i) % 7 == 0 else (b * i) % 40]]
+    cells = spark.createDataFrame(rows, "split string, class_id long, board_id long, position_id long, group_id long, idx long")
+    want = {}
+    for s, c, b, p, g, i in rows:
+        cell = want.setdefault((s, c, "dark" if (i // 8 + i % 8) % 2 else "light"), ([], set(), set(), set()))
+        cell[0].append(i)
+        for held, value in zip(cell[1:], (b, p, g)):
+            held.add(value)
+    got = {(r.split, r.class_id, r.background): (r.squares, r.boards, r.positions, r.groups) for r in M.coverage(
+        cells, "class_id", "idx", "board_id", "position_id", "group_id", "split").collect() if r.squares}
+    assert got == {k: (len(n), len(b), len(p - {None}), len(g)) for k, (n, b, p, g) in want.items()}
+
+
+def test_coverage_counts_boards_and_not_cells(spark, sf):
+    df = QUERIES["a11_coverage"](spark, sf)
+    assert "Expand" not in plan_of(df)  # distinct counting over one row for each board and class
+
+
+def test_teacher_audit_sorts_no_cells(spark, sf):
+    plan = plan_of(QUERIES["a20_teacher_audit"](spark, sf))
+    assert "SortAggregate" not in plan
+
+
+def test_teacher_audit_of_unknown_digests(spark):
+    draws = spark.createDataFrame([("a", 1, 0, 3, "x"), ("a", 1, 0, None, None), ("a", 2, 0, None, None), ("b", 1, 5, 5, "x"),
+                                   ("b", 1, 5, 4, "y")], "pool string, cell int, label int, tc int, dg string")
+    got = {r.pool: (r.exposures, r.distinct_cells, r.inconsistent_cells) for r in M.teacher_audit(
+        draws, ["cell"], "pool", "label", "tc", "dg").collect()}
+    assert got == {"a": (3, 2, 0), "b": (2, 1, 1)}
