@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from boardlake.functions.hashing import bucket_rank, hash_number, spread_rank, stable_hash, value_bucket
 from boardlake.functions.placement import background, literal_array
+from boardlake.operators.joins import _stored
 from boardlake.session import cut_lineage
 
 ONE = "*"  # counted as rows; a name, so importing needs no session
@@ -32,9 +33,16 @@ def hash_pick(df: DataFrame, by: Sequence[str], identity: Sequence[str], salt: s
 
 
 def hash_pick_covering(df: DataFrame, by: Sequence[str], identity: Sequence[str], salt: str,
-                       grid: DataFrame) -> DataFrame:
-    """:func:`hash_pick` over a required grid; buckets without a row keep null identities."""
-    return grid.join(hash_pick(df, by, identity, salt), list(by), "left")
+                       grid: DataFrame, bound: str = "001") -> DataFrame:
+    """:func:`hash_pick` over a required grid; buckets without a row keep null identities.
+
+    A bucket that has a digest below ``bound`` has its minimum there, so only these few rows are ordered. The buckets of
+    the grid that have none are picked from all of their rows.
+    """
+    low = _stored(hash_pick(df.where(stable_hash(F.lit(salt), *identity) < bound), by, identity, salt), "picked")
+    missing = _stored(grid.select(*by).distinct().join(low, list(by), "left_anti"), "unpicked")
+    rest = hash_pick(df.join(missing, list(by), "left_semi"), by, identity, salt)
+    return grid.join(low.unionByName(rest), list(by), "left")
 
 
 def hash_fraction(df: DataFrame, identity: Sequence[str], n: int) -> DataFrame:

@@ -194,3 +194,19 @@ def test_arrow_plan_fits_its_case(spark, widths):
         else:
             assert r.touched is None and r.reason == "no-route"
     assert {r.geometry for rs in got.values() for r in rs} == set(by_kind)
+
+
+def test_covering_orders_few_rows_and_loses_no_bucket(spark, monkeypatch):
+    ordered, pick = [], W.hash_pick
+
+    def counted(df, *args):
+        ordered.append(df.count())
+        return pick(df, *args)
+
+    df = spark.range(60_000).select("id", F.when(F.col("id") < 3, "rare").otherwise("often").alias("kind"))
+    grid = spark.createDataFrame([("rare",), ("often",), ("none",)], "kind string")
+    want = values(grid.join(W.hash_pick(df, ["kind"], ["id"], "x"), "kind", "left"))
+    monkeypatch.setattr(W, "hash_pick", counted)
+    assert values(W.hash_pick_covering(df, ["kind"], ["id"], "x", grid)) == want
+    found = dict(want)
+    assert len(ordered) == 2 and sum(ordered) < 100 and found["none"] is None and found["rare"] is not None
