@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from boardlake.functions.constants import BACKGROUNDS, MARK_KINDS, N_CLASSES, SPLITS
 from boardlake.functions.placement import background, literal_array, square_index
 from boardlake.functions.rules import differs, violations
-from boardlake.operators.joins import nearest_position
+from boardlake.operators.joins import _stored, nearest_position
 
 ONE = "*"  # counted as rows; a name, so importing needs no session
 
@@ -401,12 +401,15 @@ def overlap_report(sessions: DataFrame, cohorts: Mapping[str, DataFrame], decisi
     ``<kind>_matches`` counts the cohort's rows of the same value, ``distance`` the fewest differing squares to any of its grids.
     The status belongs to the session: overlap if it shares a family or known source with a ``decisive``
     cohort, or a file (one of ``hashes``) with the first cohort. The nearest position is a clue and decides
-    nothing. Counts are taken per key before any join. A cohort without rows has zeros and no distance.
+    nothing. Counts are taken per key before any join. A cohort without rows has zeros and no distance. Sessions and
+    cohorts are stored first, as each is read once for every kind and for the nearest position.
     """
     kinds = {"exact": grid, "family": family, "source": source, **{h: h for h in hashes}}
-    out = None
+    cols, out = list(dict.fromkeys(kinds.values())), None
+    sessions = _stored(sessions.select(*dict.fromkeys([row_id, *cols])), "overlap-sessions")
+    cohorts = {name: _stored(c.select(*dict.fromkeys([sample_id, *cols])), "overlap-cohort") for name, c in cohorts.items()}
     for place, (name, cohort) in enumerate(cohorts.items()):
-        part = sessions.select(row_id, *dict.fromkeys(kinds.values()))
+        part = sessions
         for kind, col in kinds.items():
             seen = cohort.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(ONE).alias(f"{kind}_matches"))
             part = part.join(seen, col, "left")

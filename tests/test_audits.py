@@ -208,3 +208,18 @@ def test_marks_by_kind(spark):
         got.setdefault(r.n, set()).add(r.problem)
     assert got == {2: {"squares"}, 4: {"squares"}, 6: {"check"}, 8: {"squares"}, 9: {"kind"}, 10: {"squares"}, 11: {"squares"},
                    12: {"squares"}}
+
+
+def test_overlap_report_makes_its_inputs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def grid(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2] * 64, "f", None, str(i)) for i in range(8)],
+                                 "id long, grid string, fam string, src string, sha string").mapInArrow(
+        grid, "id long, grid string, fam string, src string, sha string")
+    got = C.overlap_report(rows, {"one": rows, "two": rows}, ["one"], "id", "id", "grid", "fam", "src", ["sha"]).collect()
+    assert len(got) == 16 and {r.distance for r in got} == {0} and made.value == 24
