@@ -10,7 +10,7 @@ from boardlake.operators import models as L
 from boardlake.sources import corpora as K
 from boardlake.sources import datasets as D
 from boardlake.sources.images import image_catalog
-from boardlake.streaming.intake import _Versions, stream_dedupe, stream_intake
+from boardlake.streaming.intake import _Versions, stream_dedupe, stream_intake, voted
 from boardlake.streaming.monitor import monitor, stream_monitor
 
 
@@ -247,6 +247,43 @@ def test_intake_goes_on_after_a_failure(spark, tmp_path, monkeypatch, table):
     assert sorted(r.id for r in spark.read.parquet(pub).collect()) == [1, 2, 4, 7]
 
 
+def test_intake_state_is_an_aggregation(spark, tmp_path):
+    """No Python runs for a key, and the state holds one row for each key that rows or messages named."""
+    schema, rules = "id long, grp long, batch long, split string, size long", {"group": ("grp", ["split"])}
+    pub, pend, src, mark = (str(tmp_path / n) for n in ("pub", "pend", "src", "mark"))
+    spark.createDataFrame([(-1, 0, -1, "t", 1)], schema).write.parquet(f"{pub}/intake=-1")
+    spark.range(3000).selectExpr("id", "id AS grp", "id AS batch", "if(id % 3 = 0, 'v', 't') AS split", "1L AS size").write.parquet(src)
+    query = stream_intake(spark.readStream.schema(schema).parquet(src), pub, pend, mark, "batch", "size", rules)
+    states = [s for p in query.recentProgress for s in p["stateOperators"]]
+    assert {s["operatorName"] for s in states} == {"stateStoreSave"} and states[-1]["numRowsTotal"] == 3000
+    assert spark.read.parquet(pub).where("id >= 0").count() == 2999
+
+
+def test_votes_follow_the_order_of_claims(spark):
+    """Hand values, and keys at random against one claim after the other."""
+    rng, claims, answers = random.Random(6), [], {}
+    for key in map(str, range(300)):
+        if rng.random() < 0.9:
+            answers[key] = rng.choice([(None, None), ("v", "v"), ("w", "w"), ("v", "w")])
+        places = rng.sample([(r, b) for r in (2, 10) for b in (5, 9, 30)], rng.randrange(1, 6))
+        claims += [(*p, "group", key, rng.choice("vvw"), None) for p in places]
+    claims += [(1, 1, "group", "held", "v", True), (1, 2, "group", "held", "w", None), (2, 1, "group", "held", "v", None)]
+    answers["held"] = (None, None)
+    schema = "round long, batch long, rule string, key string, value string, yes boolean"
+    said = spark.createDataFrame([("group", k, *v) for k, v in answers.items()], "rule string, key string, low string, high string")
+    got = {(r.round, r.batch, r.key): r.yes for r in voted(spark.createDataFrame(claims, schema), said).collect()}
+    want = {}
+    for round_, batch, _, key, value, yes in sorted(claims):
+        low, high = answers.get(key, (None, None))
+        if low is not None:
+            yes = low == high == value
+        elif key in answers and {c[4] for c in claims if c[3] == key and c[:2] <= (round_, batch)} == {value}:
+            yes = True
+        want[round_, batch, key] = yes
+    assert got == want and {True, False, None} == set(want.values())
+    assert [want[p] for p in ((1, 1, "held"), (1, 2, "held"), (2, 1, "held"))] == [True, None, None]
+
+
 def test_stream_monitor_drops_late_rows_and_matches_batch(spark, tmp_path):
     schema = "ts timestamp, code string, ms double"
     src, out, mark = (str(tmp_path / n) for n in ("s", "o", "m"))
