@@ -251,10 +251,13 @@ def s13(t):
     "SELECT board_id, leak_split FROM boards WHERE leak_split = 'evaluation' UNION ALL SELECT board_id, leak_split FROM boards WHERE leak_split <> 'evaluation' AND position_id NOT IN "
     "(SELECT position_id FROM boards b WHERE leak_split <> 'evaluation' AND pair_id IN (SELECT pair_id FROM boards GROUP BY 1 HAVING count(DISTINCT leak_split) > 1))"))
 def st1(t):
-    source, published, pending, mark = (shared_folder(t.spark, n) for n in ("incoming", "published", "pending", "intake"))
+    source, published, pending, mark, sized = (
+        shared_folder(t.spark, n) for n in ("incoming", "published", "pending", "intake", "sized"))
     b = t.boards.select("board_id", "pair_id", "position_id", "leak_split")
     done = F.col("leak_split") == "evaluation"
     b = b.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("position_id", done)))
+    b.write.parquet(sized)  # read three times below
+    b = t.spark.read.schema(b.schema).parquet(sized)
     b.where(done).write.parquet(f"{published}/intake=-1")
     # Half of each batch arrives first; the stream is started again for the other half.
     for half in (0, 1):
