@@ -1,25 +1,29 @@
 """Exact top-k search by inner product: distributed selection on score histograms.
 
-Vectors are packed into blocks. Every query block meets every vector block in one cell of a
-grid, and each cell is one matrix product. Scores are never stored: a round reduces each cell to
-counts of score bins, the counts of all cells add up to one global histogram for each query, and
-the bin that holds the k-th score becomes the range of the next round. When the range is a
-single score, one more round returns the rows above it, and of its ties the smallest ids.
-
-A cell reports only the bins down to its own k-th score: the global k-th score is never below
-that, so the counts above it stay exact.
+Vectors are packed into blocks of small integers. Every query block meets every vector block, tile by tile as
+matrix products, in a cartesian product of two stored tables: nothing is multiplied before it is shuffled or broadcast.
+Scores are never stored: a round reduces the blocks of a task to counts of score bins, the counts of all tasks
+add up to one global histogram for each query, and the bin that holds the k-th score becomes the range of the
+next round. When the range is a single score, one more round returns the rows above it, and of its ties the smallest ids.
+
+A task reports only the scores down to its own k-th one: the global k best are among them, so the
+counts above the global k-th score stay exact.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardlake.llm.common import partitions_for, stored
+from boardlake.llm.common import partitions_for, short_batches, stored
 
 LIMIT = float(2 ** 62)
+TILES = 8  # fixed value: tiles on each side of a pair of blocks
+BYTES = 1 << 23  # fixed value: numbers of a block, unless a single row has more
+PACKED = "block int, piece int, rows int, width int, kind string, ids binary, data binary"
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -38,48 +42,105 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float) -
         F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
 
-def _blocks(rows: DataFrame, n: int, size: int, name: str) -> DataFrame:
-    """Pack rows (id, v) into about n / size blocks (block, rows, ids, data) of int64 bytes."""
-    count = partitions_for(n, size)
+def _packed(block: int, ids: np.ndarray, offsets: np.ndarray, values: np.ndarray, size: int):
+    """Rows of PACKED: vectors padded with zeros, in the smallest kind of integer, at most ``size`` rows and about BYTES each."""
+    length, done, piece = np.diff(offsets), 0, 0
+    while done < len(ids):
+        take = min(size, len(ids) - done)
+        take = max(1, min(take, BYTES // max(1, 8 * int(length[done:done + take].max()))))
+        width = int(length[done:done + take].max())
+        data = np.zeros((take, width), dtype=np.int64)
+        data[np.arange(width) < length[done:done + take, None]] = values[offsets[done]:offsets[done + take]]
+        least, most = (data.min(), data.max()) if data.size else (0, 0)
+        kind = next(k for k in map(np.dtype, ("i1", "i2", "i4", "i8")) if np.iinfo(k).min <= least and most <= np.iinfo(k).max)
+        yield block, piece, take, width, kind.str, ids[done:done + take].tobytes(), data.astype(kind).tobytes()
+        done, piece = done + take, piece + 1
+
+
+def _query_blocks(rows: DataFrame, count: int, size: int) -> DataFrame:
+    """Rows (id, v) in ``count`` blocks by the hash of their id."""
     keyed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
 
     def pack(key, pdf):
-        width = int(pdf["v"].map(len).max())
-        data = np.zeros((len(pdf), width), dtype=np.int64)
-        for i, v in enumerate(pdf["v"]):
-            data[i, :len(v)] = v
-        ids = pdf["id"].to_numpy(dtype=np.int64)
-        # A hash block may exceed its mean size when ids repeat; it is cut into pieces.
-        return pd.DataFrame([(int(key[0]), len(ids[a:a + size]), width, ids[a:a + size].tobytes(),
-                              data[a:a + size].tobytes()) for a in range(0, len(ids), size)],
-                            columns=["block", "rows", "width", "ids", "data"])
-
-    packed = keyed.groupBy("block").applyInPandas(pack, "block int, rows int, width int, ids binary, data binary")
-    return stored(packed, name)
-
-
-def _matrix(row, width: int, kind) -> np.ndarray:
-    data = np.frombuffer(row.data, dtype=np.int64).reshape(row.rows, row.width)
-    out = np.zeros((row.rows, width), dtype=kind)
-    out[:, :row.width] = data
-    return out
+        # A hash block may exceed its mean size; it is cut into pieces.
+        offsets = np.concatenate(([0], np.cumsum(pdf["v"].map(len))))
+        values = np.concatenate([np.asarray(v, dtype=np.int64) for v in pdf["v"]])
+        return pd.DataFrame(list(_packed(int(key[0]), pdf["id"].to_numpy(dtype=np.int64), offsets, values, size)),
+                            columns=[c.split()[0] for c in PACKED.split(", ")])
+
+    return stored(keyed.groupBy("block").applyInPandas(pack, PACKED), "topk-queries")
+
+
+def _vector_blocks(rows: DataFrame, n: int, size: int) -> DataFrame:
+    """Rows (id, v) in blocks, dealt out evenly whatever their ids: enough files for all tasks, many blocks in each of a large table."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    files = max(min(2 * tasks, partitions_for(n, 256)), partitions_for(n, 16 * size))
+    kinds = pa.schema([("block", pa.int32()), ("piece", pa.int32()), ("rows", pa.int32()), ("width", pa.int32()), ("kind", pa.string()),
+                       ("ids", pa.binary()), ("data", pa.binary())])
+
+    def pack(batches):
+        for batch in batches:
+            ids, v = batch.column(0).to_numpy(), batch.column(1)
+            for row in _packed(0, ids, v.offsets.to_numpy(), v.values.to_numpy(), size):
+                yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, row))], schema=kinds)
+
+    return stored(rows.select("id", "v").repartition(files).mapInArrow(pack, PACKED), "topk-candidates")
+
+
+class _Met:
+    """A query block with the rows that it has met in this task."""
+
+    def __init__(self, row, real, tile: int, low: int | None):
+        self.block, self.real, self.tile = (row.q_block, row.q_piece), real, tile
+        self.ids = np.frombuffer(row.q_ids, dtype=np.int64)
+        self.matrix = _matrix(row.q_data, row.q_kind, row.q_rows, row.q_width, real)
+        self.low = np.full(len(self.ids), low, dtype=np.int64) if low is not None else _low(row, self.ids)
 
+    def tiles(self, row, size: int):
+        """(first query row, vector ids, scores) of each tile; a query's own rows get the least number."""
+        least = -np.inf if self.real is not np.int64 else np.iinfo(np.int64).min
+        ids = np.frombuffer(row.c_ids, dtype=np.int64)
+        data = _matrix(row.c_data, row.c_kind, row.c_rows, row.c_width, self.real)
+        width = min(data.shape[1], self.matrix.shape[1])  # what only one of them has meets zeros
+        own = np.flatnonzero(np.isin(self.ids, ids))
+        for b in range(0, len(ids), size):
+            part, at = data[b:b + size, :width].T, ids[b:b + size]
+            for a in range(0, len(self.ids), self.tile):
+                scores = self.matrix[a:a + self.tile, :width] @ part
+                here = own[(own >= a) & (own < a + self.tile)]
+                if len(here):
+                    q, c = np.nonzero(self.ids[here][:, None] == at[None, :])
+                    scores[here[q] - a, c] = least
+                yield a, at, scores
 
-def _scores(q, c, row_kind) -> np.ndarray:
-    width = max(q.width, c.width)
-    return (_matrix(q, width, row_kind) @ _matrix(c, width, row_kind).T)
 
+def _matrix(data: bytes, kind: str, rows: int, width: int, real) -> np.ndarray:
+    return np.frombuffer(data, dtype=kind).reshape(rows, width).astype(real)
 
-def _cells(batches, use):
-    """For each grid cell: ``use(state rows, query ids, candidate ids, scores)`` as a frame."""
+
+def _low(row, ids: np.ndarray) -> np.ndarray:
+    """The ranges' lower ends; a query without one has no row to find."""
+    out = np.full(len(ids), np.iinfo(np.int64).max, dtype=np.int64)
+    known, low = np.asarray(row.s_id, dtype=np.int64), np.asarray(row.s_low, dtype=np.int64)
+    order = np.argsort(known)
+    at = np.minimum(np.searchsorted(known[order], ids), len(known) - 1)
+    found = known[order][at] == ids
+    out[found] = low[order][at][found]
+    return out
+
+
+def _runs(batches, start, meet, finish):
+    """Joined rows come query block by query block: one frame for each run of a block."""
+    met = None
     for pdf in batches:
-        for row in pdf.itertuples():
-            q = pd.Series({"rows": row.q_rows, "width": row.q_width, "data": row.q_data})
-            c = pd.Series({"rows": row.c_rows, "width": row.c_width, "data": row.c_data})
-            kind = np.float64 if row.exact else np.int64
-            scores = _scores(q, c, kind).astype(np.int64)
-            qid, cid = np.frombuffer(row.q_ids, dtype=np.int64), np.frombuffer(row.c_ids, dtype=np.int64)
-            yield use(row, qid, cid, scores)
+        for row in pdf.itertuples(index=False):
+            if met is None or met.block != (row.q_block, row.q_piece):
+                if met is not None:
+                    yield finish(met)
+                met = start(row)
+            meet(met, row)
+    if met is not None:
+        yield finish(met)
 
 
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: float = 256.0, id_col: str = "vec_id",
@@ -99,47 +160,49 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: float =
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(norm), F.lit(0.0)).alias("norm"),
                     F.count_if(F.col("id") % query_every == 0).alias("q")).first()
-    # |score| <= largest squared norm (Cauchy-Schwarz); below 2^53 a float product is exact.
+    # |score| <= largest squared norm (Cauchy-Schwarz); below 2^53 a double product is exact, below 2^24 a float.
     bound = int(min(size["norm"], 2.0 ** 62)) + 1
-    exact = size["norm"] < 2.0 ** 53
-    c_blocks = _blocks(rows, size["n"], block, "topk-candidates")
-    q_blocks = _blocks(asked, size["q"], query_block, "topk-queries")
-    n_c, n_q = partitions_for(size["n"], block), partitions_for(size["q"], query_block)
-    c = c_blocks.select(F.col("block").alias("j"), F.col("rows").alias("c_rows"), F.col("width").alias("c_width"),
-                        F.col("ids").alias("c_ids"), F.col("data").alias("c_data"),
-                        F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"))
-    c = c.repartition(max(1, min(n_c * n_q, 100_000)), "i", "j")
+    real = np.float32 if size["norm"] < 2.0 ** 24 else np.float64 if size["norm"] < 2.0 ** 53 else np.int64
+    n_q = partitions_for(size["q"], query_block * TILES)
+    c = _vector_blocks(rows, size["n"], block * TILES)
+    q = _query_blocks(asked, n_q, query_block * TILES)
+    c, q = (t.select([F.col(x).alias(f"{side}_{x}") for x in t.columns]) for t, side in ((c, "c"), (q, "q")))
 
     def grid(states: DataFrame | None) -> DataFrame:
-        """Cells of query block i and vector block j; each side is copied once for every block of the other."""
-        q = q_blocks.select(F.col("block").alias("i"), F.col("rows").alias("q_rows"), F.col("width").alias("q_width"),
-                            F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+        """Every query block with every vector block, both from stored tables; query blocks carry their ranges."""
+        asking = q
         if states is not None:
-            # One row of ranges for each query block: at most query_block entries.
-            of = states.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("i")).agg(
-                F.collect_list(F.struct("query_id", "low", "above")).alias("state"))
-            q = q.join(of, "i").select("*", F.col("state.query_id").alias("s_id"), F.col("state.low").alias("s_low"),
-                                       F.col("state.above").alias("s_above")).drop("state")
-        q = q.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-        return q.join(c, ["i", "j"]).withColumn("exact", F.lit(exact))
+            # One row of ranges for each query block: as many entries as it has queries.
+            of = states.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("q_block")).agg(
+                F.collect_list(F.struct("query_id", "low")).alias("state"))
+            asking = stored(q.hint("merge").join(of, "q_block").select(
+                "*", F.col("state.query_id").alias("s_id"), F.col("state.low").alias("s_low")).drop("state"), "topk-asking")
+        # A broadcast would hold all blocks of one side on the driver; here tasks read pairs of partitions.
+        return asking.hint("shuffle_replicate_nl").crossJoin(c)
 
     def counts(width: int, first: bool):
-        """Counts of the bins of one cell, down to the bin of the cell's own k-th score in the range."""
-        def run(batches):
-            def use(row, qid, cid, scores):
-                if first:
-                    low = np.full(len(qid), -bound, dtype=np.int64)
-                else:
-                    at = dict(zip(row.s_id, row.s_low))
-                    low = np.array([at.get(q, 0) for q in qid.tolist()], dtype=np.int64)
-                at_bin = (scores - low[:, None]) // width
-                at_bin[(scores < low[:, None]) | (at_bin >= bins) | (qid[:, None] == cid[None, :])] = -1
-                least = np.partition(at_bin, -k, axis=1)[:, -k] if len(cid) > k else np.zeros(len(qid), dtype=np.int64)
-                q, v = np.nonzero(at_bin >= np.maximum(least, 0)[:, None])
-                code, n = np.unique(q * bins + at_bin[q, v], return_counts=True)
-                return pd.DataFrame({"query_id": qid[code // bins], "bin": code % bins, "n": n})
-            yield from _cells(batches, use)
-        return run
+        """Counts of the bins of one task, down to the bin of the task's own k-th score in the range."""
+        def start(row):
+            met = _Met(row, real, query_block, -bound if first else None)
+            # What is below the range does not count; it stands for missing rows.
+            met.best = np.repeat((met.low - 1).astype(real)[:, None], k, axis=1)
+            return met
+
+        def meet(met, row):
+            for a, _, scores in met.tiles(row, block):
+                best = met.best[a:a + query_block]
+                more = np.flatnonzero(scores.max(axis=1) > best[:, 0])
+                if len(more):
+                    best[more] = np.partition(np.concatenate((best[more], scores[more]), axis=1), -k, axis=1)[:, -k:]
+
+        def finish(met):
+            at = (met.best.astype(np.int64) - met.low[:, None]) // width
+            asked = (met.low < np.iinfo(np.int64).max)[:, None]
+            of, place = np.nonzero(asked & (at >= 0) & (at < bins))
+            code, n = np.unique(of * bins + at[of, place], return_counts=True)
+            return pd.DataFrame({"query_id": met.ids[code // bins], "bin": code % bins, "n": n})
+
+        return lambda batches: _runs(batches, start, meet, finish)
 
     span = 2 * bound + 1
     width = 1
@@ -147,7 +210,8 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: float =
         width *= bins
     states, first = None, True
     while True:
-        found = grid(states).mapInPandas(counts(width, first), "query_id long, bin long, n long")
+        with short_batches(vectors.sparkSession, TILES):
+            found = stored(grid(states).mapInPandas(counts(width, first), "query_id long, bin long, n long"), "topk-counts")
         # At most ``bins`` rows for each query after the sum.
         total = found.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("query_id").orderBy(F.col("bin").desc())
@@ -168,19 +232,41 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: float =
             break
         width //= bins
 
-    def pick(batches):
-        def use(row, qid, cid, scores):
-            at = dict(zip(row.s_id, row.s_low))
-            kth = np.array([at.get(q, np.iinfo(np.int64).max) for q in qid.tolist()], dtype=np.int64)
-            keep = (scores >= kth[:, None]) & (qid[:, None] != cid[None, :])
-            q, v = np.nonzero(keep)
-            out = pd.DataFrame({"query_id": qid[q], "vec_id": cid[v], "score": scores[q, v]})
-            # Of a cell at most k rows can be among the k best.
-            return out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]
-                                   ).groupby("query_id").head(k)
-        yield from _cells(batches, use)
-
-    rows = grid(states).mapInPandas(pick, "query_id long, vec_id long, score long")
+    def start(row):
+        met = _Met(row, real, query_block, None)
+        met.least, met.found, met.held = met.low.astype(real), [], 0
+        if real is not np.int64:
+            met.least[met.low == np.iinfo(np.int64).max] = np.inf
+        return met
+
+    def best_of(met):
+        """Of a task at most k rows can be among the k best."""
+        of, ids, scores = (np.concatenate(c) for c in zip(*met.found))
+        order = np.lexsort((ids, -scores, of))
+        of, ids, scores = of[order], ids[order], scores[order]
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        keep = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of)))) < k
+        met.found = [(of[keep], ids[keep], scores[keep])]
+        met.held = 2 * int(keep.sum()) + 100_000  # gathered anew beyond that
+
+    def pick(met, row):
+        for a, ids, scores in met.tiles(row, block):
+            of, at = np.nonzero(scores >= met.least[a:a + query_block, None])
+            if len(of):
+                met.found.append((of + a, ids[at], scores[of, at].astype(np.int64)))
+                if sum(len(f[0]) for f in met.found) > max(met.held, 100_000):
+                    best_of(met)
+
+    def picked(met):
+        if not met.found:
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
+        best_of(met)
+        of, ids, scores = met.found[0]
+        return pd.DataFrame({"query_id": met.ids[of], "vec_id": ids, "score": scores})
+
+    with short_batches(vectors.sparkSession, TILES):
+        rows = stored(grid(states).mapInPandas(lambda batches: _runs(batches, start, pick, picked),
+                                               "query_id long, vec_id long, score long"), "topk-found")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from boardlake.llm import topk
@@ -53,3 +54,32 @@ def test_components_without_a_place_in_a_long_are_an_error(spark):
     df = spark.createDataFrame([(50, [1.0, 2.0]), (51, [1e300, 0.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="embedding of vec_id 51"):
         topk.top_k(df).collect()
+
+
+def test_no_side_is_multiplied_before_it_is_sent(spark, monkeypatch):
+    """Copies of a side for every block of the other one would be broadcast (or shuffled) as a whole."""
+    plans, keep = [], topk.stored
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(topk, "stored", stored)
+    df = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>")
+    rows = topk.top_k(df, block=2, query_block=1)
+    assert sorted(map(tuple, rows.collect())) == plain(vectors(), 5, 50)
+    assert not any("Generate" in p or "BroadcastNestedLoopJoin" in p for p in plans)
+    meeting = [p for p in plans if "MapInPandas" in p]
+    assert len(meeting) > 2 and all("CartesianProduct" in p for p in meeting)
+
+
+def test_packed_blocks_come_back():
+    rows = [[1, -2], [], [127, -129, 5], [2 ** 62 - 1], [-128, 127, 0, 1]]
+    offsets, values = np.cumsum([0, *map(len, rows)]), np.array([x for r in rows for x in r])
+    got, kinds = [], []
+    for block, _, n, width, kind, ids, data in topk._packed(3, np.arange(10, 15), offsets, values, 2):
+        assert block == 3 and n <= 2
+        kinds.append(np.dtype(kind).itemsize)
+        got += zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(data, kind).reshape(n, width).tolist())
+    assert [i for i, _ in got] == [10, 11, 12, 13, 14] and kinds == [1, 8, 1]
+    assert [v[:len(r)] for (_, v), r in zip(got, rows)] == rows and not any(any(v[len(r):]) for (_, v), r in zip(got, rows))
