@@ -16,8 +16,9 @@ repeat, so only entries with repeated heads carry their text. Their set goes to
 table of fixed size: the more heads, the more entries pass for nothing, but none is ever lost. Heads that are
 very frequent would meet in one task; their entries are dealt window by window instead.
 
-Entries travel in blocks: all entries of a batch of rows that belong to one range of heads are one packed array, so
-tables and shuffles hold few rows of compressed numbers. The number of ranges follows from the bytes of the corpus.
+Entries travel in blocks: all entries of a task (or of some tens of megabytes of text) that belong to one range of heads are
+one packed array, so tables and shuffles hold few rows of compressed numbers. The number of ranges follows from the bytes of the
+corpus. As blocks are tasks times ranges, a range of a large corpus is wide and is scanned slice by slice.
 """
 
 from __future__ import annotations
@@ -35,12 +36,15 @@ from boardlake.llm.common import bounded, short_batches, stored
 LENGTH = 100
 HEAD = 40
 PIECE = 1 << 16
-PART = 1 << 22  # bytes of text whose entries are held at a time
+HELD = 1 << 20  # entries (or spans) that are held at a time before they are dealt to ranges
+TEXT = 1 << 25  # bytes of text that entries held carry at most, about
 BITS = 26
 LAST = np.iinfo(np.int64).max  # stands for a null id: after all others
 BLOCK = "level int, bucket long, blob binary"
 SPAN, NEW = -1, 0  # level of a block of found repeats, of new entries; blocks of the family have 1 or more
-RANGE = 16_000  # entries of one head range, about
+RANGE = 16_000  # entries of one head range or of a slice of it, about
+FEW = 256  # beyond so many ranges they become wider
+WIDE = 128_000  # entries of one range, about, where there are more than FEW
 
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
@@ -290,40 +294,35 @@ def _later(order, again, doc, sig, start):
     return again & ((doc[order] != doc[lead]) | (sig[order] != sig[lead]) | (start[order] != start[lead]))
 
 
-def parted(batches, width: int):
-    """Lists of (batch, piece) with about PART bytes of text, however long or short the texts of a batch are."""
-    held, total = [], 0
-    for batch in batches:
-        for piece in _pieces(batch, width):
-            held.append((batch, piece))
-            total += len(piece[0])
-            if total >= PART:
-                yield held
-                held, total = [], 0
-    if held:
-        yield held
-
-
 def head_rows(batches, ranges: int):
-    """Of every part: blocks of distinct (head, g), cut to 40 and 48 bits, and whether they occur twice in it.
+    """Of HELD entries at a time: blocks of distinct (head, g), cut to 40 and 48 bits, and whether they occur twice in them.
 
     Heads that only agree in 40 bits count as repeated, which costs work and loses nothing.
     """
-    for pieces in parted(batches, 0):
-        parts = [entries_of(x, ends)[3:] for _, (x, ends, _, _) in pieces]
-        if not sum(len(h) for h, _ in parts):
-            continue
-        head, g = (np.concatenate(c) for c in zip(*parts))
-        head, g = head >> _U(24), g >> _U(16)
-        order = np.lexsort((g, head))
-        head, g = head[order], g[order]
-        first = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]) | (g[1:] != g[:-1]))))
-        twice = (np.diff(np.append(first, len(head))) > 1).astype(np.uint8)
-        head, g = head[first], g[first]
-        bucket = top(head << _U(24), ranges)
-        yield from blocks(NEW, ((b, pack([head[r].view(np.uint8).reshape(-1, 8)[:, k].copy() for k in range(5)]
-                                         + [g[r].view(np.uint8).reshape(-1, 8)[:, k].copy() for k in range(6)]
-                                         + [twice[r]])) for b, r in dealt(bucket)))
+    parts, held = [], 0
+    for batch in batches:
+        for x, ends, _, _ in _pieces(batch, 0):
+            parts.append(entries_of(x, ends)[3:])
+            held += len(parts[-1][0])
+            if held >= HELD:
+                yield from _head_blocks(parts, ranges)
+                parts, held = [], 0
+    if held:
+        yield from _head_blocks(parts, ranges)
+
+
+def _head_blocks(parts: list, ranges: int):
+    head, g = (np.concatenate(c) for c in zip(*parts))
+    head, g = head >> _U(24), g >> _U(16)
+    order = np.lexsort((g, head))
+    head, g = head[order], g[order]
+    first = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]) | (g[1:] != g[:-1]))))
+    twice = (np.diff(np.append(first, len(head))) > 1).astype(np.uint8)
+    head, g = head[first], g[first]
+    bucket = top(head << _U(24), ranges)
+    yield from blocks(NEW, ((b, pack([head[r].view(np.uint8).reshape(-1, 8)[:, k].copy() for k in range(5)]
+                                     + [g[r].view(np.uint8).reshape(-1, 8)[:, k].copy() for k in range(6)]
+                                     + [twice[r]])) for b, r in dealt(bucket)))
 
 
 def _wide(planes: list[np.ndarray]) -> np.ndarray:
@@ -373,12 +372,12 @@ def screen_blocks(batches, bits: int, ranges: int, hot: int):
 
 
 def entry_rows(batches, screen: Screen):
-    """Blocks of entries with repeated heads; equal ones of one part are settled here, all but the earliest."""
-    for pieces in parted(batches, 2):
-        parts = []
-        for batch, (x, ends, rows, offsets) in pieces:
-            ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-            sigs = batch.column(1).to_numpy(zero_copy_only=False)
+    """Blocks of entries with repeated heads; equal ones of those held together are settled here, all but the earliest."""
+    parts, held, carried = [], 0, 0
+    for batch in batches:
+        ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+        sigs = batch.column(1).to_numpy(zero_copy_only=False)
+        for x, ends, rows, offsets in _pieces(batch, 2):
             start, size, _, head, g = entries_of(x, ends)
             repeated, several, hot = screen.marks(head)
             own = np.searchsorted(ends, start, side="right")
@@ -387,6 +386,8 @@ def entry_rows(batches, screen: Screen):
             length = np.where(several[kept], size[kept] + LENGTH - 1, 0)
             parts.append(Entries([head[kept], g[kept], ids[rows[own[kept]]], sigs[rows[own[kept]]], (start + base)[kept],
                                   size[kept], length], gather(x, start[kept], length)))
+            carried += len(parts[-1].text)
+            held += len(kept)
             kept = np.flatnonzero(repeated & hot)
             if len(kept):  # window by window: its own two hashes say all about it
                 n = size[kept]
@@ -394,17 +395,30 @@ def entry_rows(batches, screen: Screen):
                 of = np.repeat(kept, n)
                 parts.append(Entries([span_hash(prefix_sums(x, 0), 0, at, at + LENGTH), span_hash(prefix_sums(x, 1), 1, at, at + LENGTH),
                                       ids[rows[own[of]]], sigs[rows[own[of]]], at + base[of], np.ones(len(at), np.int64),
-                                      np.zeros(len(at), np.int64)], x[:0]))
-        if not sum(map(len, parts)):
-            continue
-        e = Entries.concat(parts)
-        order = np.lexsort((e.start, e.sig, e.doc, e.g, e.head))
-        again = np.concatenate(([False], (e.head[order][1:] == e.head[order][:-1]) & (e.g[order][1:] == e.g[order][:-1])))
-        later = order[_later(order, again, e.doc, e.sig, e.start)]
-        if len(later):
-            yield from _spans(e.doc[later], e.sig[later], e.start[later], e.size[later] + LENGTH - 1, screen.ranges)
-        e = e.take(order[~again])  # in the order of heads, so a head range is a run
-        yield from blocks(NEW, ((b, r.pack()) for b, r in e.runs(top(e.head, screen.ranges))), 256)
+                                      np.zeros(len(at), np.int64)], np.zeros(0, np.uint8)))
+                held += len(at)
+            if held >= HELD or carried >= TEXT:
+                yield from _settled(parts, screen.ranges)
+                parts, held, carried = [], 0, 0
+    if held:
+        yield from _settled(parts, screen.ranges)
+
+
+def _settled(parts: list[Entries], ranges: int):
+    e = Entries.concat(parts)
+    order = np.lexsort((e.start, e.sig, e.doc, e.g, e.head))
+    again = np.concatenate(([False], (e.head[order][1:] == e.head[order][:-1]) & (e.g[order][1:] == e.g[order][:-1])))
+    later = order[_later(order, again, e.doc, e.sig, e.start)]
+    if len(later):
+        yield from _spans(e.doc[later], e.sig[later], e.start[later], e.size[later] + LENGTH - 1, ranges)
+    e = e.take(order[~again])  # in the order of heads, so a head range is a run
+    yield from blocks(NEW, ((b, r.pack()) for b, r in e.runs(top(e.head, ranges))), 256)
+
+
+def slices(head: np.ndarray):
+    """(from, to) of runs of about RANGE sorted heads; equal heads stay together."""
+    cut = np.unique(np.searchsorted(head, head[RANGE::RANGE]))
+    return zip([0, *cut[cut > 0].tolist()], [*cut[cut > 0].tolist(), len(head)])
 
 
 def scan(e: Entries, level: np.ndarray):
@@ -442,16 +456,29 @@ def scan(e: Entries, level: np.ndarray):
 
 def merge_scan(batches, ranges: int):
     """Blocks of repeats and of the new level, from blocks sorted by bucket."""
+    spans, held = [], 0
     for bucket, levels, blobs in by_bucket(batches):
         yield from blocks(SPAN, [(bucket, b) for lv, b in zip(levels, blobs) if lv == SPAN])
         parts = [(lv, Entries.unpack(b)) for lv, b in zip(levels, blobs) if lv != SPAN]
         if not any(lv == NEW for lv, _ in parts):
             continue
-        found, kept = scan(Entries.concat([p for _, p in parts]), np.concatenate([np.full(len(p), lv) for lv, p in parts]))
-        if len(found[0]):
-            yield from _spans(*found, ranges)
+        e, level = Entries.concat([p for _, p in parts]), np.concatenate([np.full(len(p), lv) for lv, p in parts])
+        order, kept = np.argsort(e.head, kind="stable"), []
+        for a, b in slices(e.head[order]):
+            found, fresh = scan(e.take(order[a:b]), level[order[a:b]])
+            kept.append(fresh)
+            if len(found[0]):
+                doc, sig, start, end = joined_spans(*found)
+                spans.append((doc, sig, start, end - start))
+                held += len(doc)
+        kept = Entries.concat(kept)
         if len(kept):
             yield from blocks(NEW, [(bucket, kept.pack())])
+        if held >= HELD:
+            yield from _spans(*map(np.concatenate, zip(*spans)), ranges)
+            spans, held = [], 0
+    if held:
+        yield from _spans(*map(np.concatenate, zip(*spans)), ranges)
 
 
 def merge_blocks(batches):
@@ -474,7 +501,7 @@ def screen_heads(docs: DataFrame, text_col: str = "text", hot: int = 2000, most_
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
     entries = 1 + 2 * total // (LENGTH - HEAD + 2)
-    ranges = max(0, (entries // RANGE).bit_length() - 1)
+    ranges = max(0, max(min(entries // RANGE, FEW), entries // WIDE).bit_length() - 1)
     bits = max(ranges + 3, min(most_bits, max(16, (4 * entries).bit_length())))
     rows = docs.select(text.alias("text")).mapInArrow(lambda b: head_rows(b, ranges), BLOCK)
     most = max(hot, entries // 10_000)

@@ -110,3 +110,45 @@ def test_packed_columns_come_back():
     columns = [np.array([1, 2 ** 63 + 5, 7], "<u8"), np.array([-1, 2 ** 40, 0], "<i8"), np.array([9, 8, 7], "u1")]
     got, tail = suffix_dedup.unpack(suffix_dedup.pack(columns, b"tail"), "<u8 <i8 u1")
     assert tail == b"tail" and all((a == b).all() for a, b in zip(got, columns))
+
+
+def test_wide_ranges_are_scanned_in_slices(spark, monkeypatch):
+    for name, value in (("RANGE", 20), ("FEW", 4), ("WIDE", 100_000), ("HELD", 300), ("TEXT", 5_000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rows = corpus()
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    assert suffix_dedup.screen_heads(df).ranges == 2
+    assert run(spark, rows, batches=3, hot=30) == plain(rows)
+
+
+def test_slices_cover_all_and_keep_equal_heads_together(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "RANGE", 10)
+    for head in ([], [3] * 40, list(range(35)), sorted([1, 2, 3, 9] * 12)):
+        head = np.array(head, "<u8")
+        cut = list(suffix_dedup.slices(head))
+        assert np.concatenate([head[a:b] for a, b in cut]).tolist() == head.tolist()
+        assert all(head[b - 1] != head[b] for _, b in cut[:-1]) and all(a < b for a, b in cut if len(head))
+
+
+def test_blocks_of_a_task_do_not_multiply_with_its_text():
+    rng = np.random.default_rng(5)
+    letters = rng.integers(97, 123, 3 << 22, dtype=np.uint8).tobytes().decode()
+    batch = suffix_dedup.pa.record_batch([[letters[a:a + 100_000] for a in range(0, len(letters), 100_000)]], names=["text"])
+    found = [b for out in suffix_dedup.head_rows([batch], 4) for b in out.column(1).to_pylist()]
+    assert sorted(found) == list(range(16))
+
+
+def test_spans_of_many_ranges_are_dealt_once(spark):
+    rows = corpus()
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(t or "" for _, t in rows)], "doc_id long, text string, sig long")
+    screen = suffix_dedup.screen_heads(df)
+    screen.ranges = 3
+    batch = suffix_dedup.pa.record_batch([[i for i, _ in enumerate(rows)], [0] * len(rows), [t or "" for _, t in rows]],
+                                         names=["doc_id", "sig", "text"])
+    blocks = [r for out in suffix_dedup.entry_rows([batch], screen) for r in out.to_pylist() if r["level"] == suffix_dedup.NEW]
+    blocks.sort(key=lambda r: r["bucket"])
+    assert len(blocks) == 8
+    given = suffix_dedup.pa.RecordBatch.from_pylist(blocks, schema=suffix_dedup.pa.schema(
+        [("level", "int32"), ("bucket", "int64"), ("blob", "binary")]))
+    spans = [r["bucket"] for out in suffix_dedup.merge_scan([given], 3) for r in out.to_pylist() if r["level"] == suffix_dedup.SPAN]
+    assert spans and len(spans) == len(set(spans))
